@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pagewarden.llm import bpe_tree, decontaminate
+from pagewarden.llm import bpe_tree, decontaminate, language, media, secrets, token_count
 
 QUERIES = {
+    "op1_guess_cost_secrets": secrets.query,
+    "op2_hyperdimensional_language": language.query,
+    "op3_interleaved_media": media.query,
+    "op7_transducer_token_counts": token_count.query,
     "op8_bpe_tree": bpe_tree.query,
     "op10_winnowing": decontaminate.query,
 }
