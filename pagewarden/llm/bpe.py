@@ -20,17 +20,139 @@ def ranks_of(path: str) -> dict[bytes, int]:
     return read_ranks(path)
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: the adjacent pair of lowest rank merges first, the leftmost of equal ones."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    if len(piece) > 96:
-        return _merged_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
+MOST_STATES = 250_000
+
+
+class Transducer:
+    """Deterministic transducer over the bytes of one piece, compiled from ranks as far as texts need it.
+
+    A state holds, for every place where a token still under way could have begun, the
+    trie node reached from there, the last token before that place, and how many tokens
+    fewer there were. Reading a byte ends exactly one token that the pair rule allows:
+    the tokens of a text are those of which every one encodes to itself and every
+    neighbouring pair encodes to itself. A transition carries the change of the count.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}  # what a token last merged from; None: a text of its bytes is other tokens
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.hopes: dict[tuple[int, bytes], bool] = {}
+        self.root: dict = {}
+        for token in ranks:
+            node = self.root
+            for b in token:
+                node = node.setdefault(b, {})
+            node[-1] = token
+        self.few: dict[int, list[bytes] | None] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: list[tuple] = []
+        self.index: dict[tuple, int] = {}
+        self.step: dict[int, int] = {}
+        self.state(((id(self.root), b"", 0),), (self.root,))
+
+    def state(self, key: tuple, nodes: tuple) -> int:
+        if key not in self.index:
+            self.index[key] = len(self.states)
+            self.states.append((key, nodes))
+        return self.index[key]
+
+    def split(self, token: bytes) -> tuple[bytes, bytes] | None:
+        if token not in self.halves:
+            parts = merged_parts(token, self.ranks, len(token) > 1 and 2 or 1)
+            self.halves[token] = tuple(parts) if len(parts) == 2 and b"".join(parts) == token and token in self.ranks else None
+        return self.halves[token]
+
+    def allowed(self, before: bytes, token: bytes) -> bool:
+        """Whether before and token stay as they are when their bytes are merged together.
+
+        The merges of both are undone, the latest first. While two parts stood side by
+        side across the border, they would have merged if their own rank came before
+        that of the next merge on either side (on the right side also at the same rank,
+        for the leftmost merges first).
+        """
+        if len(token) > 1 and self.split(token) is None:
+            return False
+        if not before:
+            return True
+        found = self.pairs.get((before, token))
+        if found is None:
+            if len(self.pairs) > 300_000:
+                self.pairs.clear()
+            found = self.pairs[before, token] = self._border(before, token)
+        return found
+
+    def _border(self, x: bytes, y: bytes) -> bool:
+        ranks, x_next, y_next = self.ranks, 1 << 30, 1 << 30  # rank of the merge that x and y went into
+        while True:
+            r = ranks.get(x + y)
+            if r is not None and r < x_next and r <= y_next:
+                return False
+            x_made, y_made = (ranks[p] if len(p) > 1 else -1 for p in (x, y))
+            if x_made < 0 and y_made < 0:
+                return True
+            if x_made > y_made:
+                x_next, x = x_made, self.split(x)[1]
+            else:
+                y_next, y = y_made, self.split(y)[0]
+
+    def hope(self, node: dict, before: bytes) -> bool:
+        """False if no token below node may follow before; only looked into if few are below."""
+        key = (id(node), before)
+        found = self.hopes.get(key)
+        if found is None:
+            if id(node) not in self.few:
+                self.few[id(node)] = below(node, 12)
+            tokens = self.few[id(node)]
+            if len(self.hopes) > 300_000:
+                self.hopes.clear()
+            found = self.hopes[key] = tokens is None or any(self.allowed(before, t) for t in tokens)
+        return found
+
+    def compiled(self, at: int, b: int) -> int:
+        """Transition from state at by byte b: the next state times 512, plus the change of the count plus 256."""
+        key, nodes = self.states[at]
+        live, last, change = [], None, 0
+        for (_, before, fewer), node in zip(key, nodes, strict=True):
+            child = node.get(b)
+            if child is None:
+                continue
+            live.append((child, before, fewer))
+            token = child.get(-1)
+            if last is None and token is not None and self.allowed(before, token):
+                last, change = token, fewer + 1
+        if last is None:
+            raise ValueError("the vocabulary lacks a byte")
+        kept = [(child, before, fewer - change) for child, before, fewer in live if len(child) > (-1 in child) and self.hope(child, before)]
+        kept.append((self.root, last, 0))
+        to = self.state(tuple((id(child), before, fewer) for child, before, fewer in kept), tuple(child for child, _, _ in kept))
+        out = self.step[at << 8 | b] = to << 9 | change + 256
+        return out
+
+    def count(self, piece: bytes) -> int:
+        if len(self.states) > MOST_STATES:
+            self.clear()
+        at, n, get = 0, 0, self.step.get
+        for b in piece:
+            to = get(at << 8 | b)
+            if to is None:
+                to = self.compiled(at, b)
+            at = to >> 9
+            n += (to & 511) - 256
+        return n
+
+
+def merged_parts(text: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[bytes]:
+    """The definition: of adjacent parts, single bytes at first, the pair of lowest rank merges, the leftmost of equal ones.
+
+    Ends early when stop parts are left.
+    """
+    parts = [text[i : i + 1] for i in range(len(text))]
     get = ranks.get
     pair = [get(a + b, 1 << 30) for a, b in zip(parts, parts[1:], strict=False)]
-    while pair:
+    while len(parts) > stop:
         best = min(pair)
         if best == 1 << 30:
             break
@@ -41,29 +163,29 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             pair[i - 1] = get(parts[i - 1] + parts[i], 1 << 30)
         if i < len(pair):
             pair[i] = get(parts[i] + parts[i + 1], 1 << 30)
-    return [ranks[p] for p in parts]
+    return parts
 
 
-def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same in n log n: a linked list of parts and a heap of pairs."""
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ranks of a piece's tokens; for long pieces in n log n, by a linked list of parts and a heap of pairs."""
+    if len(piece) < 200:
+        return [ranks[p] for p in merged_parts(piece, ranks)]
     n = len(piece)
     end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap: list[tuple[int, int, int]] = []
 
     def push(i: int) -> None:
         j = end[i]
-        if i >= 0 and j < n:
-            r = ranks.get(piece[i : end[j]])
-            if r is not None:
-                heapq.heappush(heap, (r, i, end[j]))
+        if j < n and (r := ranks.get(piece[i : end[j]])) is not None:
+            heapq.heappush(heap, (r, i, end[j]))
 
     for i in range(n - 1):
         push(i)
     while heap:
         _, i, e = heapq.heappop(heap)
-        if not alive[i] or end[i] >= n or end[end[i]] != e:
-            continue
         j = end[i]
+        if not alive[i] or j >= n or end[j] != e:
+            continue  # one of the two has merged meanwhile
         alive[j] = False
         end[i] = e
         if e < n:
@@ -78,33 +200,65 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def below(node: dict, most: int) -> list[bytes] | None:
+    """Tokens under a trie node, itself left out; None if there are more than most."""
+    out, todo = [], [c for b, c in node.items() if b >= 0]
+    while todo:
+        n = todo.pop()
+        if -1 in n:
+            out.append(n[-1])
+            if len(out) > most:
+                return None
+        todo += [c for b, c in n.items() if b >= 0]
+    return out
+
+
 class Unclosed(KeyError):
     """A piece whose neighbours may change its tokens."""
 
 
-class Segments(dict):
-    """Memo from a text segment to what encode makes of it; cleared when it holds too many characters.
-
-    A segment runs from one cut to the next. A cut is a place before a space that
-    follows a character which isn't white space: no match of the splitting pattern
-    spans it, whatever stands around, and matches after it depend on what follows only.
-    """
+class Memo(dict):
+    """What make gives for a text, kept in two generations of bounded size: the older one goes when the younger is full."""
 
-    def __init__(self, encode, most_chars: int = 12_000_000):
-        self.encode, self.most, self.held = encode, most_chars, 0
+    def __init__(self, make, most: int, most_chars: int = 20_000_000):
+        self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
+        self.old: dict = {}
 
-    def __missing__(self, segment: str):
-        if segment == " " or not segment or segment[-1].isspace() or segment[-1] in "\x1c\x1d\x1e\x1f\x85":
-            raise Unclosed(segment)
-        out = self.encode(segment)
-        self.held += len(segment) + 60
-        if self.held > self.most:
+    def __missing__(self, text: str):
+        out = self.old.get(text)
+        if out is None:
+            out = self.make(text)
+        self.chars += len(text)
+        if len(self) >= self.most or self.chars > self.most_chars:
+            self.old, self.chars = dict(self), len(text)
             self.clear()
-            self.held = len(segment) + 60
-        self[segment] = out
+        self[text] = out
         return out
 
 
+class Segments(Memo):
+    """Memo from what stands between two spaces to what make gives for it and the space before it.
+
+    Texts split at cuts. A cut is a place before a space that follows a character which
+    isn't white space: no match of the splitting pattern spans it, whatever stands
+    around, and matches after it depend on what follows only. A stretch that is empty
+    or ends with white space is refused, as the space after it isn't at a cut.
+    """
+
+    def __init__(self, make, most: int = 400_000):
+        super().__init__(lambda x: make(" " + x), most)
+
+    def __missing__(self, text: str):
+        if not text or white(text[-1]):
+            raise Unclosed(text)
+        return super().__missing__(text)
+
+
+def white(c: str) -> bool:
+    """White space in any library's view."""
+    return c.isspace() or c in "\x1c\x1d\x1e\x1f\x85"
+
+
 #: Segments of any text, by a slower way: white space and what follows up to the next white space.
 _SLOW = regex.compile(r"[\s\x1c-\x1f\x85]*[^\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+")
 

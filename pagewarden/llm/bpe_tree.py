@@ -18,6 +18,7 @@ Null text is empty text. Every text round-trips; ids are those of the rank file.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm.bpe import Segments, Unclosed, merged, ranks_of, segments
+from pagewarden.llm.bpe import Memo, Segments, Unclosed, merged, ranks_of, segments, white
 from pagewarden.llm.common import spread, table
 
 LEAF_CHARS = 16_384
@@ -44,38 +45,40 @@ class Codec:
     def __init__(self, path: str, pattern: str, leaf: int = LEAF_CHARS):
         self.ranks, self.leaf = ranks_of(path), leaf
         self.find = regex.compile(pattern).findall
-        self.memo = Segments(self._segment)
+        self.pieces = Memo(self._piece, 300_000)
+        self.spaced = Segments(self._segment)
         self.bytes = {i: b for b, i in self.ranks.items()}
 
+    def _piece(self, piece: str) -> bytes:
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        ids = [whole] if whole is not None else merged(data, self.ranks)
+        return array("I", ids).tobytes()
+
     def _segment(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.find(segment):
-            ids += merged(piece.encode(), self.ranks)
-        return np.array(ids, "<u4").tobytes()
+        pieces = self.find(segment)
+        return b"".join([self.pieces[p] for p in pieces])
 
     def closed(self, text: str) -> bytes:
         """Ids of text that begins and ends at a cut (or at an end of the whole text)."""
         first, *rest = text.split(" ")
         try:
-            memo = self.memo
-            return b"".join([memo[first] if first else b"", *[memo[" " + x] for x in rest]])
+            if first and white(first[-1]):
+                raise Unclosed(first)
+            return self._segment(first) + b"".join(map(self.spaced.__getitem__, rest))
         except Unclosed:
-            out = []
-            for segment in segments(text):
-                found = self.memo.get(segment)
-                out.append(self._segment(segment) if found is None else found)
-            return b"".join(out)
+            return b"".join(map(self._segment, segments(text)))
 
     def _leaf(self, text: str) -> Part:
         a = b = -1
         i = text.find(" ")
-        while i >= 0 and (i == 0 or _white(text[i - 1])):
+        while i >= 0 and (i == 0 or white(text[i - 1])):
             i = text.find(" ", i + 1)
         a = i
         if a < 0:
             return Part(text, None, "")
         i = text.rfind(" ")
-        while i > a and _white(text[i - 1]):
+        while i > a and white(text[i - 1]):
             i = text.rfind(" ", 0, i)
         b = max(a, i)
         return Part(text[:a], [self.closed(text[a:b])] if b > a else [], text[b:])
@@ -84,7 +87,7 @@ class Codec:
         window = x.tail + y.head if x.body is not None else x.head + y.head
         # A cut may lie just where the parts meet.
         edge = (x.tail if x.body is not None else x.head)[-1:]
-        meets = bool(edge) and not _white(edge) and y.head[:1] == " "
+        meets = bool(edge) and not white(edge) and y.head[:1] == " "
         if meets:
             left, right = (x.tail if x.body is not None else x.head), y.head
             if x.body is None:
@@ -115,10 +118,6 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-def _white(c: str) -> bool:
-    return c.isspace() or c in "\x1c\x1d\x1e\x1f\x85"
-
-
 _CODECS: dict[tuple, Codec] = {}
 
 

@@ -8,7 +8,7 @@ exactly one token that the pair rule allows: the tokens of a text are those of w
 every token encodes to itself and every neighbouring pair encodes to itself. The
 transition carries the change of the token count. States and transitions are compiled
 when first reached and shared by all texts of a worker; if there are more than
-MOST_STATES the tables start anew.
+bpe.MOST_STATES the tables start anew.
 
 A text is read in chunks. The map of a chunk takes what an earlier chunk left open
 (an unread stretch of text since the last cut, see bpe.Segments) to the count of tokens
@@ -29,12 +29,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm.bpe import Segments, Unclosed, segments
+from pagewarden.llm.bpe import Memo, Segments, Transducer, Unclosed, segments, white
 from pagewarden.llm.common import spread, table
 
 CHUNK_CHARS = 32_768
 LIMIT = 1024
-MOST_STATES = 150_000
 #: The splitting pattern that a ByteLevel pre-tokenizer has (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,90 +45,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Transducer:
-    """Counts the tokens of one piece."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.root: dict = {}
-        for token in ranks:
-            node = self.root
-            for b in token:
-                node = node.setdefault(b, {})
-            node[-1] = token
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.alone: dict[bytes, bool] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.states: list[tuple] = []
-        self.index: dict[tuple, int] = {}
-        self.step: dict[int, int] = {}
-        self.state(((id(self.root), b"", 0),), (self.root,))
-
-    def state(self, key: tuple, nodes: tuple) -> int:
-        if key not in self.index:
-            self.index[key] = len(self.states)
-            self.states.append((key, nodes))
-        return self.index[key]
-
-    def allowed(self, before: bytes, token: bytes) -> bool:
-        own = self.alone.get(token)
-        if own is None:
-            own = self.alone[token] = len(merged_from_bytes(token, self.ranks)) == 1
-        if not own or not before:
-            return own
-        found = self.pairs.get((before, token))
-        if found is None:
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-            found = self.pairs[before, token] = merged_from_bytes(before + token, self.ranks) == [self.ranks[before], self.ranks[token]]
-        return found
-
-    def compiled(self, at: int, b: int) -> int:
-        """Transition from state at by byte b: the next state times 512, plus the change of the count plus 256."""
-        key, nodes = self.states[at]
-        live, last, change = [], None, 0
-        for (_, before, fewer), node in zip(key, nodes, strict=True):
-            child = node.get(b)
-            if child is None:
-                continue
-            live.append((child, before, fewer))
-            token = child.get(-1)
-            if last is None and token is not None and self.allowed(before, token):
-                last, change = token, fewer + 1
-        if last is None:
-            raise ValueError("the vocabulary lacks a byte")
-        kept = [(child, before, fewer - change) for child, before, fewer in live if len(child) > (-1 in child)]
-        kept.append((self.root, last, 0))
-        to = self.state(tuple((id(child), before, fewer) for child, before, fewer in kept), tuple(child for child, _, _ in kept))
-        out = self.step[at << 8 | b] = to << 9 | change + 256
-        return out
-
-    def count(self, piece: bytes) -> int:
-        if len(self.states) > MOST_STATES:
-            self.clear()
-        at, n, get = 0, 0, self.step.get
-        for b in piece:
-            to = get(at << 8 | b)
-            if to is None:
-                to = self.compiled(at, b)
-            at = to >> 9
-            n += (to & 511) - 256
-        return n
-
-
-def merged_from_bytes(text: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """merged() without its shortcut for whole tokens: from single bytes on."""
-    parts = [text[i : i + 1] for i in range(len(text))]
-    while len(parts) > 1:
-        best, i = min((ranks.get(parts[j] + parts[j + 1], 1 << 30), j) for j in range(len(parts) - 1))
-        if best == 1 << 30:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
-
-
 @dataclass(slots=True)
 class Map:
     """What a chunk makes of what was left open before it: head is read with that, n counts what follows, tail is left open."""
@@ -155,20 +70,21 @@ class Counter:
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(held["added_tokens"], key=lambda t: -len(t["content"]))) or r"(?!)")
         self.transducer, self.chunk = Transducer(ranks), chunk
         self.find = regex.compile(PATTERN).findall
-        self.memo = Segments(self._segment)
+        self.pieces = Memo(lambda p: self.transducer.count(p.encode()), 300_000)
+        self.spaced = Segments(self._segment)
 
     def _segment(self, segment: str) -> int:
-        count = self.transducer.count
-        return sum(count(p.encode()) for p in self.find(segment))
+        return sum([self.pieces[p] for p in self.find(segment)])
 
     def closed(self, text: str) -> int:
         """Tokens of text from one cut to another."""
         first, *rest = text.split(" ")
-        memo = self.memo
         try:
-            return (memo[first] if first else 0) + sum([memo[" " + x] for x in rest])
+            if first and white(first[-1]):
+                raise Unclosed(first)
+            return self._segment(first) + sum(map(self.spaced.__getitem__, rest))
         except Unclosed:
-            return sum(self._segment(s) if (n := memo.get(s)) is None else n for s in segments(text))
+            return sum(map(self._segment, segments(text)))
 
     def map(self, chunk: str) -> Map:
         a = _cut(chunk, 1)
@@ -179,7 +95,7 @@ class Counter:
 
     def then(self, x: Map, y: Map) -> Map:
         left = x.head if x.n is None else x.tail
-        meets = left and y.head[:1] == " " and not _white(left[-1])  # a cut just where they meet
+        meets = left and y.head[:1] == " " and not white(left[-1])  # a cut just where they meet
         if x.n is None:
             if meets:
                 return Map(left, 0, y.head) if y.n is None else Map(left, self.closed(y.head) + y.n, y.tail)
@@ -216,14 +132,10 @@ class Counter:
         return n + self.plain(text[at:])
 
 
-def _white(c: str) -> bool:
-    return c.isspace() or c in "\x1c\x1d\x1e\x1f\x85"
-
-
 def _cut(text: str, way: int) -> int:
     """The first or last cut of text, -1 if there is none. Its very first place is none: what stands before isn't known."""
     i = text.find(" ", 1) if way > 0 else text.rfind(" ", 1)
-    while i > 0 and _white(text[i - 1]):
+    while i > 0 and white(text[i - 1]):
         i = text.find(" ", i + 1) if way > 0 else text.rfind(" ", 1, i)
     return i if i > 0 else -1
 

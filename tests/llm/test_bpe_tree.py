@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 
 from pagewarden.llm import bpe_tree
-from pagewarden.llm.bpe import merged, ranks_of
+from pagewarden.llm.bpe import Transducer, merged, merged_parts, ranks_of
 
 from .texts import HARD, documents, saved
 
@@ -39,9 +39,12 @@ def test_random_texts(known):
         assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == known.encode_ordinary(text), repr(text)
 
 
-def test_long_pieces_merge_alike(known):
-    for piece in (b"the" * 90, b"abcabd" * 200, bytes(range(97, 123)) * 30):
-        assert merged(piece, ranks_of(PATH)) == known.encode_ordinary(piece.decode())
+def test_pieces_merge_as_defined_and_counts_agree(known):
+    own = Transducer(ranks_of(PATH))
+    for piece in (b"the" * 90, b"abcabd" * 100, bytes(range(97, 123)) * 10, b"a" * 999):
+        ids = merged(piece, ranks_of(PATH))
+        assert ids == [ranks_of(PATH)[p] for p in merged_parts(piece, ranks_of(PATH))] == known.encode_ordinary(piece.decode())
+        assert own.count(piece) == len(ids)
 
 
 def test_query(spark, tmp_path, known):

@@ -4,6 +4,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
+from pagewarden.llm import bpe
 from pagewarden.llm import token_count as T
 
 from .texts import HARD, documents, saved
@@ -37,7 +38,7 @@ def test_random_texts(known):
 
 
 def test_tables_start_anew_without_changing_counts(known, monkeypatch):
-    monkeypatch.setattr(T, "MOST_STATES", 20)
+    monkeypatch.setattr(bpe, "MOST_STATES", 20)
     own = T.Counter(PATH)
     for text in ("internationalization of tokenizers", "Größe und Länge", "x" * 400):
         assert own.count(text) == n(known, text)
