@@ -192,8 +192,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     items = items.select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("string").alias("words")).where("item is not null and words is not null").distinct()
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>"
-    size = items.agg(F.sum(F.octet_length("words") + F.octet_length("item") + 64)).first()[0] or 0
-    if size <= broadcast_bytes:
+    if _bytes(items) <= broadcast_bytes:
         known = Items([(r.item, r.words) for r in items.collect()], window, k)
         return spread(docs).mapInArrow(_scan(known), schema).withColumnRenamed("id", id_col)
     keyed = docs.withColumn("key", F.sha2(F.concat_ws("\0", F.coalesce(F.col("id").cast("string"), F.lit("\1")), F.coalesce("text", F.lit("\1"))), 256))
@@ -209,6 +208,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     return counted.join(met, "key", "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", none).alias("spans"))
 
 
+def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", window: int = WINDOW, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows, with their columns, whose text holds no window of an item."""
+    few = items.select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("string").alias("words")).where("item is not null and words is not null").distinct()
+    if _bytes(few) <= broadcast_bytes:
+        known, where = Items([(r.item, r.words) for r in few.collect()], window, k), docs.columns.index("text")
+
+        def run(batches):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for a, w in each_words(batch.column(where)):
+                    for r, places in known.places(w).items():
+                        keep[a + r] = not known.spans(w, w.doc[r], w.doc[r + 1], places)[0]
+                yield batch.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
+    hit = decontaminate(docs, items, id_col=id_col, item_col=item_col, window=window, k=k, broadcast_bytes=broadcast_bytes).where("size(items) > 0")
+    return docs.join(hit.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+
+
+def _bytes(items: DataFrame) -> int:
+    return items.agg(F.sum(F.octet_length("words") + F.octet_length("item") + 64)).first()[0] or 0
+
+
 def _count_words(batches):
     for batch in batches:
         n = np.zeros(batch.num_rows, np.int64)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pagewarden.llm import bpe_tree, decontaminate, language, media, secrets, token_count
+from pagewarden.llm import bpe_tree, decontaminate, language, main_text, media, near_dup, quality, secrets, token_count
 
 QUERIES = {
     "op1_guess_cost_secrets": secrets.query,
     "op2_hyperdimensional_language": language.query,
     "op3_interleaved_media": media.query,
+    "op4_factorisation_quality": quality.query,
+    "op5_order_minhash": near_dup.query,
+    "op6_block_main_text": main_text.query,
     "op7_transducer_token_counts": token_count.query,
     "op8_bpe_tree": bpe_tree.query,
     "op10_winnowing": decontaminate.query,

@@ -58,6 +58,16 @@ def test_against_brute_force_both_ways(spark, limit):
         assert (r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) == want[r.doc_id], docs[0]
 
 
+@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
+def test_clean_rows_stay_with_their_columns(spark, limit):
+    docs, items = table(spark)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("items", F.lit(1))
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    kept = D.clean(d, i, broadcast_bytes=limit)
+    assert kept.columns == d.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, v in brute(docs, items).items() if not v[1])
+
+
 @pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
 def test_nothing_to_look_for_repeated_rows_and_no_documents(spark, limit):
     docs = documents(spark)
