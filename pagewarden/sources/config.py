@@ -1,0 +1,105 @@
+"""Configuration: YAML files read and checked on the driver, and environment files."""
+
+from __future__ import annotations
+
+import os
+import re
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+from pathlib import Path
+from typing import Any
+from urllib.parse import urlsplit
+
+from pyspark.sql import DataFrame, SparkSession
+
+MOST_URLS, LEAST_INTERVAL, CONCURRENCY = 10, 1.0, 1
+
+
+class ConfigError(ValueError):
+    """A configuration that can't be used."""
+
+
+@dataclass(frozen=True)
+class Target:
+    target_id: str
+    name: str
+    base_url: str
+    menu: Mapping[str, Any] = field(default_factory=dict)
+    allowed_domains: tuple[str, ...] = ()
+    date_selectors: Mapping[str, Any] = field(default_factory=dict)
+    list_selectors: Mapping[str, Any] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Config:
+    targets: tuple[Target, ...]
+    rules: Mapping[str, Any]
+    exclusions: Mapping[str, Any]
+
+
+def read(path: str | Path) -> dict[str, Any]:
+    import yaml
+
+    try:
+        held = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    except (OSError, yaml.YAMLError) as e:
+        raise ConfigError(f"{path}: {e}") from e
+    if not isinstance(held, dict):
+        raise ConfigError(f"{path}: a mapping is needed")
+    return held
+
+
+def number(value: Any, name: str, least: float = 0.0) -> float:
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or value < least or value <= 0:
+        raise ConfigError(f"{name}: a number from {least or 'above 0'} is needed")
+    return float(value)
+
+
+def target(name: str, raw: Any) -> Target:
+    if not isinstance(raw, Mapping):
+        raise ConfigError(f"{name}: a mapping is needed")
+    for k in ("name", "base_url"):
+        if not isinstance(raw.get(k), str) or not raw[k].strip():
+            raise ConfigError(f"{name}.{k}: a text is needed")
+    u = urlsplit(raw["base_url"].strip())
+    if u.scheme != "https" or not u.hostname or u.path not in ("", "/") or u.query or u.fragment:
+        raise ConfigError(f"{name}.base_url: the root of an https site is needed")
+    domains = raw.get("allowed_domains", [])
+    if not isinstance(domains, list) or not all(isinstance(d, str) for d in domains):
+        raise ConfigError(f"{name}.allowed_domains: a list of texts is needed")
+    return Target(name, raw["name"], raw["base_url"].strip().rstrip("/"), raw.get("menu") or {}, tuple(domains), raw.get("date_selectors") or {}, raw.get("list_selectors") or {})
+
+
+def load(folder: str | Path) -> Config:
+    """targets.yaml, rules.yaml and exclusions.yaml of a folder. The limits on load are those of polite collection."""
+    folder = Path(folder)
+    targets, rules, exclusions = (read(folder / f"{n}.yaml") for n in ("targets", "rules", "exclusions"))
+    crawl = rules.get("crawl")
+    if not isinstance(crawl, Mapping):
+        raise ConfigError("rules.crawl is missing")
+    if crawl.get("concurrency") != CONCURRENCY or isinstance(crawl.get("concurrency"), bool):
+        raise ConfigError("crawl.concurrency must be 1")
+    number(crawl.get("request_interval_seconds"), "crawl.request_interval_seconds", LEAST_INTERVAL)
+    number(crawl.get("timeout_seconds"), "crawl.timeout_seconds")
+    if number(crawl.get("max_urls"), "crawl.max_urls") > MOST_URLS:
+        raise ConfigError(f"crawl.max_urls must be {MOST_URLS} at most")
+    held = targets.get("targets")
+    if not isinstance(held, Mapping) or not held:
+        raise ConfigError("targets are missing")
+    return Config(tuple(target(k, v) for k, v in held.items()), rules, exclusions)
+
+
+def targets_frame(spark: SparkSession, config: Config) -> DataFrame:
+    return spark.createDataFrame([(t.target_id, t.name, t.base_url, list(t.allowed_domains)) for t in config.targets], "target_id string, name string, base_url string, allowed_domains array<string>")
+
+
+def load_environment(path: str | Path) -> dict[str, str]:
+    """Names of an environment file that the process doesn't have yet; they are set and returned."""
+    out = {}
+    for line in Path(path).read_text(encoding="utf-8").splitlines() if Path(path).exists() else ():
+        m = re.fullmatch(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*", line)
+        if m and m[1] not in os.environ:
+            value = m[2]
+            out[m[1]] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+    os.environ.update(out)
+    return out
