@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewarden.llm import bpe_tree, decontaminate, language, main_text, media, near_dup, quality, secrets, token_count
+from pagewarden.llm import bpe_tree, decontaminate, language, main_text, media, near_dup, quality, secrets, token_count, token_files
 
 QUERIES = {
     "op1_guess_cost_secrets": secrets.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_block_main_text": main_text.query,
     "op7_transducer_token_counts": token_count.query,
     "op8_bpe_tree": bpe_tree.query,
+    "op9_mixed_range_coder": token_files.query,
     "op10_winnowing": decontaminate.query,
 }
 SQL = {"op10_winnowing": decontaminate.SQL}
