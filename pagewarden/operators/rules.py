@@ -200,7 +200,7 @@ def content_freshness(pages: DataFrame, dates: DataFrame, keys: list[str], refer
     applies = C.applicability(U.path(F.col("url")), F.col("page_type"), required, not_required)
     applied = rows.withColumn("applicability", applies)
     verdict = C.freshness_verdict(F.col("applicability"), F.col("day"), archived, reference, review_days, tolerance)
-    return applied.select(*keys, "url", "applicability", "published", "modified", F.when(F.col("applicability") == "required", F.datediff(reference, F.col("day"))).alias("elapsed_days"), verdict.alias("verdict"))
+    return applied.select(*keys, *([] if "url" in keys else ["url"]), "applicability", "published", "modified", F.when(F.col("applicability") == "required", F.datediff(reference, F.col("day"))).alias("elapsed_days"), verdict.alias("verdict"))
 
 
 def list_items(elements: DataFrame, keys: list[str]) -> DataFrame:
