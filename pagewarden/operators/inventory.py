@@ -147,12 +147,10 @@ def menu(elements: DataFrame, keys: list[str], selector: str = "nav a, header a"
     """Menu links of pages' elements: (keys, seq, href, title, menu_path). The path joins the labels of the list items around, the outermost first."""
     from pagewarden.sources.dom import attribute, selected
 
-    links = elements.where(selected(selector) & attribute("href").isNotNull()).select(*keys, "seq", attribute("href").alias("href"), F.col("text").alias("title"))
-    own_link = elements.where("tag = 'a'").select(*keys, F.col("parent").alias("li"), F.struct("seq", "text").alias("a")).groupBy(*keys, "li").agg(F.min("a").alias("a"))
-    items = elements.where("tag = 'li'").select(*keys, F.col("seq").alias("li"), F.col("end").alias("li_end"), "own_text")
-    items = items.join(own_link, [*keys, "li"], "left").select(*keys, "li", "li_end", F.coalesce("a.text", "own_text").alias("label"))
-    around = links.join(items, keys, "left").where("li is null or (li < seq and seq <= li_end)")
-    labels = F.array_sort(F.collect_list(F.struct("li", "label")))
-    paths = around.groupBy(*keys, "seq").agg(labels.alias("l"))
-    path = F.array_join(F.transform(F.filter("l", lambda x: F.coalesce(x["label"], F.lit("")) != ""), lambda x: x["label"]), " > ")
-    return links.join(paths.select(*keys, "seq", path.alias("menu_path")), [*keys, "seq"], "left").withColumn("menu_path", F.coalesce("menu_path", F.lit("")))
+    links = elements.where(selected(selector) & attribute("href").isNotNull()).select(*keys, "seq", "up", attribute("href").alias("href"), F.col("text").alias("title"))
+    own_link = elements.where("tag = 'a'").groupBy(*keys, F.col("parent").alias("li")).agg(F.min(F.struct("seq", "text")).alias("a"))
+    items = elements.where("tag = 'li'").select(*keys, F.col("seq").alias("li"), "own_text").join(own_link, [*keys, "li"], "left").select(*keys, "li", F.coalesce("a.text", "own_text").alias("label"))
+    around = links.select(*keys, "seq", F.explode("up").alias("li")).join(items, [*keys, "li"]).where("label <> ''")
+    labels = F.array_sort(F.collect_list(F.struct("li", "label")))  # as many as elements nest
+    paths = around.groupBy(*keys, "seq").agg(F.array_join(F.transform(labels, lambda x: x["label"]), " > ").alias("menu_path"))
+    return links.drop("up").join(paths, [*keys, "seq"], "left").withColumn("menu_path", F.coalesce("menu_path", F.lit("")))

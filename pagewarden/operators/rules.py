@@ -105,9 +105,8 @@ def element_issues(elements: DataFrame, keys: list[str]) -> DataFrame:
     pointed = clickable.where(~blank(attribute("aria-labelledby"))).select(*keys, "seq", F.explode(F.split(F.trim(attribute("aria-labelledby")), r"\s+")).alias("ref"))
     lost = pointed.join(ids, [*keys, "ref"], "left_anti").groupBy(*keys, "seq").agg(F.array_join(F.array_sort(F.collect_set("ref")), ",").alias("refs"))
     out = out.unionByName(rows(clickable.join(lost, [*keys, "seq"]), "accessible-name-ref", T.ERROR, T.MIDDLE, F.concat(F.lit("aria-labelledby 대상 없음: "), F.col("refs"))))
-    images = e.where("tag = 'img'").select(*keys, F.col("seq").alias("img"), attribute("alt").alias("alt"))
-    inside = clickable.where(blank(attribute("aria-labelledby"))).join(images, keys, "left").groupBy(*keys, "seq").agg(F.min(F.when((F.col("img") > F.col("seq")) & (F.col("img") <= F.col("end")), F.struct("img", "alt"))).alias("first"))
-    nameless = clickable.join(inside, [*keys, "seq"])
+    images = e.where("tag = 'img'").select(*keys, F.struct(F.col("seq").alias("img"), attribute("alt").alias("alt")).alias("i"), F.explode("up").alias("seq")).groupBy(*keys, "seq").agg(F.min("i").alias("first"))
+    nameless = clickable.where(blank(attribute("aria-labelledby"))).join(images, [*keys, "seq"], "left")
     out = out.unionByName(rows(nameless.where(F.col("first").isNotNull() & blank(F.col("first.alt"))), "icon-control", T.MANUAL, T.TO_REVIEW, manual=True))
     out = out.unionByName(rows(nameless.where(F.col("first").isNull()), "empty-control", T.REVIEW, T.TO_REVIEW))
 
@@ -210,13 +209,11 @@ def list_items(elements: DataFrame, keys: list[str]) -> DataFrame:
     rows = elements.select("*", F.explode(F.filter(of, lambda x: x.isNotNull())).alias("k"))
     counted = rows.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy(*keys).agg(F.min("k").alias("k"))
     rows = rows.join(counted, [*keys, "k"])
-    stamps = elements.where("tag = 'time'").select(*keys, F.col("seq").alias("t"), F.coalesce(attribute("datetime"), F.col("text")).alias("stamp"))
-    links = elements.where("tag = 'a'").select(*keys, F.col("seq").alias("a"), F.struct("seq", F.col("text").alias("title"), attribute("href").alias("href")).alias("link"))
-    inside = lambda s: (F.col(s) > F.col("seq")) & (F.col(s) <= F.col("end"))
-    first = rows.join(stamps, keys, "left").groupBy(*keys, "seq").agg(F.min(F.when(inside("t"), F.struct("t", "stamp"))).alias("s"))
-    linked = rows.join(links, keys, "left").groupBy(*keys, "seq").agg(F.min(F.when(inside("a"), F.struct("a", "link"))).alias("l"))
-    text = F.coalesce("s.stamp", "text")
-    return rows.join(first, [*keys, "seq"], "left").join(linked, [*keys, "seq"], "left").select(*keys, "seq", C.parsed_date(text).alias("day"), F.col("l.link.title").alias("title"), F.col("l.link.href").alias("href"))
+    inside = lambda tag, *cols: elements.where(F.col("tag") == tag).select(*keys, F.struct("seq", *cols).alias("x"), F.explode("up").alias("seq")).groupBy(*keys, "seq").agg(F.min("x").alias(tag))
+    stamps = inside("time", F.coalesce(attribute("datetime"), F.col("text")).alias("stamp"))
+    links = inside("a", F.col("text").alias("title"), attribute("href").alias("href"))
+    rows = rows.join(stamps, [*keys, "seq"], "left").join(links, [*keys, "seq"], "left")
+    return rows.select(*keys, "seq", C.parsed_date(F.coalesce("time.stamp", "text")).alias("day"), F.col("a.title").alias("title"), F.col("a.href").alias("href"))
 
 
 def list_freshness(items: DataFrame, keys: list[str], reference: Column, months: int = 3) -> DataFrame:

@@ -213,8 +213,8 @@ EDGES = "SELECT DISTINCT user_id AS src, (user_id * 7 + event_id % 3) % (SELECT
 @query(f"WITH RECURSIVE e AS ({EDGES}), r(url, depth) AS (SELECT min(src), 0 FROM e UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 5) SELECT url, min(depth) AS depth FROM r GROUP BY url")
 def crawl_reachability(spark, sf):
     ev = table(spark, sf, "events")
-    n = ev.agg((F.max("user_id") + 1).alias("n"))
-    edges = ev.join(F.broadcast(n)).select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("event_id") % 3) % F.col("n")).alias("dst")).distinct()  # one row
+    n = ev.agg(F.max("user_id") + 1).first()[0]
+    edges = ev.select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("event_id") % 3) % n).alias("dst")).distinct()
     return I.reachable(edges, ev.agg(F.min("user_id").alias("url")), max_depth=5)
 
 
@@ -439,13 +439,12 @@ def attachment_cache_decision(spark, sf):
     e = table(spark, sf, "events")
     i, url = F.col("event_id"), F.col("event_id").cast("string")
     refs = e.select("event_id", url.alias("normalized_url"), F.lit("h").alias("content_hash"), F.lit("f.pdf").alias("filename"), F.lit("t").alias("link_text"))
-    today = e.agg(F.to_date(F.max("ts")).alias("today"))
-    cache = e.where(i % 5 != 0).join(F.broadcast(today)).select(  # one row
+    today = F.lit(e.agg(F.to_date(F.max("ts"))).first()[0])
+    cache = e.where(i % 5 != 0).select(
         url.alias("normalized_url"), F.when(i % 7 == 0, "p0").otherwise("p1").alias("policy_version"), F.when(i % 3 == 0, "old").otherwise("h").alias("content_hash"), F.when(i % 11 == 0, "g.pdf").otherwise("f.pdf").alias("filename"), F.lit("t").alias("link_text"),
-        F.when(i % 13 == 0, T.ERROR).otherwise(T.OK).alias("verdict"), F.when(F.to_date("ts") <= F.date_sub("today", 10), F.to_date("ts")).otherwise(F.date_add("today", 1)).alias("next_recheck_date"), "today",
+        F.when(i % 13 == 0, T.ERROR).otherwise(T.OK).alias("verdict"), F.when(F.to_date("ts") <= F.date_sub(today, 10), F.to_date("ts")).otherwise(F.date_add(today, 1)).alias("next_recheck_date"),
     )
-    day = F.lit(e.agg(F.to_date(F.max("ts"))).first()[0])
-    return R.attachment_decisions(refs, cache, day, "p1").select("event_id", "reuse", "reason")
+    return R.attachment_decisions(refs, cache, today, "p1").select("event_id", "reuse", "reason")
 
 
 @query("SELECT user_id AS attachment, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS pages, max(CAST(ts AS DATE) + 30) AS next_recheck_date FROM events GROUP BY user_id")

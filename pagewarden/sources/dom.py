@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first kind ends an open element of the second kinds.
 ENDS = {"li": ("li",), "p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+DEEPEST = 512  # what nests deeper holds nothing; its text is that of the element around
 ELEMENT = pa.struct(
     [
-        ("seq", pa.int32()), ("parent", pa.int32()), ("end", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
+        ("seq", pa.int32()), ("parent", pa.int32()), ("end", pa.int32()), ("up", pa.list_(pa.int32())), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
         ("own_text", pa.string()), ("text", pa.string()), ("path", pa.string()), ("before", pa.string()),
     ]
 )
-DDL = "array<struct<seq: int, parent: int, end: int, depth: int, tag: string, attrs: map<string,string>, own_text: string, text: string, path: string, before: string>>"
+DDL = "array<struct<seq: int, parent: int, end: int, up: array<int>, depth: int, tag: string, attrs: map<string,string>, own_text: string, text: string, path: string, before: string>>"
 
 
 class _Tree(HTMLParser):
@@ -38,9 +39,9 @@ class _Tree(HTMLParser):
         for k, v in attrs:
             held.setdefault(k, v or "")
         up = self.rows[parent]["path"] if parent >= 0 else ""
-        self.rows.append({"seq": len(self.rows), "parent": parent, "end": -1, "depth": len(self.stack), "tag": tag, "attrs": held, "own_text": "", "text": "", "path": f"{up}/{tag}"})
+        self.rows.append({"seq": len(self.rows), "parent": parent, "end": -1, "up": list(self.stack), "depth": len(self.stack), "tag": tag, "attrs": held, "own_text": "", "text": "", "path": f"{up}/{tag}"})
         self.marks.append(len(self.texts))
-        if tag in VOID:
+        if tag in VOID or len(self.stack) >= DEEPEST:
             self.rows[-1]["end"] = len(self.rows) - 1
             self.rows[-1]["span"] = (len(self.texts), len(self.texts))
         else:
@@ -48,7 +49,7 @@ class _Tree(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID:
+        if self.stack and self.stack[-1] == len(self.rows) - 1:
             self._close(len(self.stack) - 1)
 
     def _close(self, level: int) -> None:
@@ -81,7 +82,7 @@ class _Tree(HTMLParser):
 
 
 def elements_of(source: str | None) -> list[dict]:
-    """Elements in order: seq, parent, the last seq inside (end), depth, tag, attributes, own text, whole text, tag path, and text just before."""
+    """Elements in order: seq, parent, the last seq inside (end), those around (up), depth, tag, attributes, own text, whole text, tag path, and text just before."""
     tree = _Tree()
     tree.feed(source or "")
     return tree.done()
