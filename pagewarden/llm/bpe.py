@@ -245,7 +245,7 @@ class Segments(Memo):
     or ends with white space is refused, as the space after it isn't at a cut.
     """
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 250_000):
         super().__init__(lambda x: make(" " + x), most)
 
     def __missing__(self, text: str):

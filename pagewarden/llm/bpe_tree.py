@@ -45,7 +45,7 @@ class Codec:
     def __init__(self, path: str, pattern: str, leaf: int = LEAF_CHARS):
         self.ranks, self.leaf = ranks_of(path), leaf
         self.find = regex.compile(pattern).findall
-        self.pieces = Memo(self._piece, 300_000)
+        self.pieces = Memo(self._piece, 150_000)
         self.spaced = Segments(self._segment)
         self.bytes = {i: b for b, i in self.ranks.items()}
 

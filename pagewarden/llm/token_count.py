@@ -70,7 +70,7 @@ class Counter:
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(held["added_tokens"], key=lambda t: -len(t["content"]))) or r"(?!)")
         self.transducer, self.chunk = Transducer(ranks), chunk
         self.find = regex.compile(PATTERN).findall
-        self.pieces = Memo(lambda p: self.transducer.count(p.encode()), 300_000)
+        self.pieces = Memo(lambda p: self.transducer.count(p.encode()), 200_000)
         self.spaced = Segments(self._segment)
 
     def _segment(self, segment: str) -> int:
