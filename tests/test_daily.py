@@ -48,3 +48,20 @@ def test_two_runs(spark, tmp_path):
 def test_nothing_to_do(spark):
     out = run(spark, responses(spark), dt.datetime(2026, 3, 1))
     assert out.pages.count() == 0 and out.inventory.count() == 0 and out.lifecycle.count() == 0
+
+
+def test_command_line_and_report(spark, tmp_path):
+    import json
+    import zipfile
+
+    from pagewarden.plans import cli
+
+    from .test_sources import write
+
+    write(tmp_path, targets={"s": {"name": "S", "base_url": "https://s.test"}})
+    (tmp_path / "r.json").write_text(json.dumps([{"target_id": "s", "url": "https://s.test/p", "status_code": 200, "html": PAGE, "elapsed_seconds": 0.1}]))
+    args = ["--config", str(tmp_path), "--responses", f"file://{tmp_path}/r.json", "--state", f"file://{tmp_path}/st", "--report", str(tmp_path / "out.xlsx"), "--at", "2026-03-01"]
+    assert cli.main(args, spark) == 0
+    with zipfile.ZipFile(tmp_path / "out.xlsx") as z:
+        assert "https://s.test/p" in z.read("xl/worksheets/sheet5.xml").decode()
+    assert cli.main(["--config", str(tmp_path / "none"), *args[2:]], spark) == 1
