@@ -9,13 +9,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after making sure that its session gives Python BATCH_ROWS rows at once at most, as texts may be long."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out anew only if the scan has fewer splits than the cluster has cores.
 
     Such an input is a few splits at most, so the shuffle is bounded; a large
     input already has enough splits and isn't moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = small_batches(df).sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

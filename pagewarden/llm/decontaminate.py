@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import spread, table
+from pagewarden.llm.common import small_batches, spread, table
 from pagewarden.llm.words import each_words, grams
 
 WINDOW, K = 10, 5
@@ -222,7 +222,7 @@ def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col
                         keep[a + r] = not known.spans(w, w.doc[r], w.doc[r + 1], places)[0]
                 yield batch.filter(pa.array(keep))
 
-        return docs.mapInArrow(run, docs.schema)
+        return small_batches(docs).mapInArrow(run, docs.schema)
     hit = decontaminate(docs, items, id_col=id_col, item_col=item_col, window=window, k=k, broadcast_bytes=broadcast_bytes).where("size(items) > 0")
     return docs.join(hit.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
 

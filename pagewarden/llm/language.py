@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import spread, table
+from pagewarden.llm.common import small_batches, spread, table
 
 ALPHABET, DIMENSIONS, SEED = 40, 512, 20
 CELLS = ALPHABET**3
@@ -138,7 +138,7 @@ def identified(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float)
             got = [model.predict(t.as_py()) for t in batch.column(where)]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in got]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

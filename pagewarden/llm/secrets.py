@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import spread, table
+from pagewarden.llm.common import small_batches, spread, table
 
 KINDS = ("assign", "access", "hex", "guess")
 THRESHOLD = 10.0
@@ -211,7 +211,8 @@ def redact(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
             columns[where] = pa.array([None if t is None else redacted(t, threshold) for t in columns[where].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    rows = small_batches(docs).withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _joined(spans: Column) -> Column:
