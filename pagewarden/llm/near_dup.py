@@ -1,9 +1,11 @@
 """Near-duplicate documents by order MinHash with banded alignment.
 
-A text's k-mers are its spans of five words, labelled with their occurrence number. Each
-of BANDS random orders picks the LENGTH smallest k-mers of a text, and keeps them in text
-order: two texts share such a tuple with a probability that falls with their edit
-distance. Texts that share a tuple are in one bucket.
+A text's k-mers are its spans of five words. Each of BANDS random orders picks the LENGTH
+smallest of its distinct k-mers, the set that is verified, and keeps them in order of first
+occurrence: two texts share such a tuple with a probability that falls with their edit
+distance. Texts with repeated k-mers have BANDS more of k-mers labelled with their
+occurrence number, texts of few k-mers SHORT_BANDS more of SHORT_LENGTH. Texts that share a
+tuple are in one bucket.
 
 1. Exact copies (equal word sequences; texts without words: equal texts) are one class
    from the start and go on as one text.
@@ -19,8 +21,9 @@ distance. Texts that share a tuple are in one bucket.
 
 Each row gets class_id, the least id of its class. Rows without id or text are classes of
 their own (class_id is their id). Texts of under five words only have exact copies.
-Repeated rows are copies. The chance that a pair of similarity 0.8 shares no tuple is
-(1 - 0.8 ** LENGTH) ** BANDS, 3e-6.
+Repeated rows are copies. A pair with m of u distinct k-mers in common shares no tuple with
+a chance of (1 - C(m, LENGTH) / C(u, LENGTH)) ** BANDS at most: at similarity 0.8 under 5e-6
+from u = 41 on (3e-6 for long texts), and under 4e-6 with the short tuples below.
 """
 
 from __future__ import annotations
@@ -37,10 +40,12 @@ from pagewarden.llm.common import spread, stored, table
 from pagewarden.llm.words import each_words, grams, mixed, utf8
 
 K, LENGTH, BANDS, THRESHOLD, SEED = 5, 4, 24, 0.8, 5
+#: Texts of so many distinct k-mers also have tuples of this length, in so many bands.
+SHORT, SHORT_LENGTH, SHORT_BANDS = 40, 2, 14
 LEADERS = 8
 BROADCAST_IDS = 2_000_000
 U64 = np.uint64
-_SEEDS = np.random.default_rng(SEED).integers(0, 2**63, BANDS).astype(U64)
+_SEEDS = np.random.default_rng(SEED).integers(0, 2**63, 2 * BANDS + SHORT_BANDS).astype(U64)
 
 
 def labelled(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,24 +62,31 @@ def labelled(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(kmers + occurrence * U64(0x9E3779B97F4A7C15)), kmers[np.sort(order[new])]
 
 
-def sketch(kmers: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Buckets of a text: one a band, and one of its distinct k-mers as they come."""
+def sketch(kmers: np.ndarray, length: int = LENGTH) -> list[int | None]:
+    """Buckets of a text: one a band of its distinct k-mers, one of all of them as they come, and, each None if it has none, those of short tuples and of labelled k-mers."""
     if not len(kmers):
-        return np.zeros(0, np.int64)
+        return []
     own, distinct = labelled(kmers)
+    whole = int.from_bytes(hashlib.blake2b(distinct.tobytes(), digest_size=8).digest(), "little", signed=True)
+    short = _tuples(distinct, SHORT_LENGTH, _SEEDS[BANDS : BANDS + SHORT_BANDS]) if len(distinct) <= SHORT / THRESHOLD else [None] * SHORT_BANDS
+    repeated = _tuples(own, length, _SEEDS[BANDS + SHORT_BANDS :]) if len(own) > len(distinct) else [None] * BANDS
+    return [*_tuples(distinct, length, _SEEDS[:BANDS]), whole, *short, *repeated]
+
+
+def _tuples(own: np.ndarray, length: int, all_seeds: np.ndarray) -> list[int]:
+    """Of each seed the tuple of the length smallest, in text order, hashed with the seed."""
     n, length = len(own), min(length, len(own))
-    out = np.empty(BANDS + 1, U64)
+    out = np.empty(len(all_seeds), U64)
     step = max(1, 200_000 // n)
-    for a in range(0, BANDS, step):
-        seeds = _SEEDS[a : a + step, None]
+    for a in range(0, len(out), step):
+        seeds = all_seeds[a : a + step, None]
         ranks = mixed(own[None, :] ^ seeds)
         at = np.sort(np.argpartition(ranks, length - 1, axis=1)[:, :length], axis=1)
         value = seeds[:, 0].copy()
         for j in range(length):
             value = mixed(value * U64(0x100000001B3) + own[at[:, j]])
         out[a : a + len(value)] = value
-    out[BANDS] = U64(int.from_bytes(hashlib.blake2b(distinct.tobytes(), digest_size=8).digest(), "little"))
-    return out.view(np.int64)
+    return out.view(np.int64).tolist()
 
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -178,7 +190,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", k: int = K, threshold: f
     one = stored(texts.groupBy("key").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets")), "one")
 
     # Buckets of two texts or more, and of each text in one: its buckets in order, and how many texts they hold together.
-    placed = one.select("key", "id", F.posexplode("buckets").alias("band", "bucket"))
+    placed = one.select("key", "id", F.posexplode("buckets").alias("band", "bucket")).where("bucket is not null")
     sizes = stored(placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     central = placed.join(sizes, ["band", "bucket"]).groupBy("key").agg(F.sum("size").alias("central"), F.min("id").alias("id"), F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("buckets"))
     central = stored(central, "central")

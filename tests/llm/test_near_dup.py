@@ -89,6 +89,24 @@ def test_against_all_pairs(spark, tmp_path):
     assert sorted(tuple(r) for r in N.classes(docs, broadcast_ids=0).collect()) == brute(rows)
 
 
+def shares(a, b):
+    return bool({x for x in N.sketch(a) if x is not None} & {x for x in N.sketch(b) if x is not None})
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_similar_texts_share_a_bucket_whatever_repeats_or_length(seed):
+    rng = np.random.default_rng(seed)
+    new = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    base, line = new(400), new(8)
+    changed = base.copy()
+    changed[200:205] = new(5)
+    assert shares(np.concatenate([base, np.tile(line, 5)]), np.concatenate([changed, np.tile(line, 200)]))
+    assert shares(base, np.concatenate([changed, base[:1]]))
+    for n in (5, 6, 10, 40, 41, 50):
+        long = new(n)
+        assert shares(long, np.delete(long, rng.choice(n, n // 5, replace=False)))
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("class_id", F.lit(0))
