@@ -10,10 +10,11 @@ tuple are in one bucket.
 1. Exact copies (equal word sequences; texts without words: equal texts) are one class
    from the start and go on as one text.
 2. In each bucket the most central text (the one whose buckets hold most texts) is
-   compared with all others. After that, wherever a bucket, or the texts that agree in two
-   consecutive ones, hold several classes, the least central text and LEADERS random ones
-   are compared with those that aren't in their class. A bucket of n texts so gives a
-   multiple of n pairs and not n squared, and copies of a copy are still found.
+   compared with all others. After that, all pairs of a bucket that still are in two classes
+   are compared: in buckets of up to LARGE texts outright; texts of larger ones where they
+   share one of their rarest k-mers, of which each text keeps so many that a pair without
+   a common one can't reach THRESHOLD. Sizes that can't reach it don't meet. Nothing is
+   capped, so the classes are those of all pairs that share a bucket.
 3. A pair is verified by an alignment of both texts' distinct k-mers in their order
    within a band. Matched k-mers over all distinct k-mers must be THRESHOLD or more. The
    band is as wide as that threshold allows, so it loses no pair.
@@ -22,8 +23,8 @@ tuple are in one bucket.
 Each row gets class_id, the least id of its class. Rows without id or text are classes of
 their own (class_id is their id). Texts of under five words only have exact copies.
 Repeated rows are copies. A pair with m of u distinct k-mers in common shares no tuple with
-a chance of (1 - C(m, LENGTH) / C(u, LENGTH)) ** BANDS at most: at similarity 0.8 under 5e-6
-from u = 41 on (3e-6 for long texts), and under 4e-6 with the short tuples below.
+a chance of (1 - C(m, LENGTH) / C(u, LENGTH)) ** BANDS at most: at similarity 0.8 that is
+under 6e-6 for texts without short tuples (3e-6 for long ones), under 3e-6 with them.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewarden.llm.common import spread, stored, table
@@ -42,7 +43,7 @@ from pagewarden.llm.words import each_words, grams, mixed, utf8
 K, LENGTH, BANDS, THRESHOLD, SEED = 5, 4, 24, 0.8, 5
 #: Texts of so many distinct k-mers also have tuples of this length, in so many bands.
 SHORT, SHORT_LENGTH, SHORT_BANDS = 40, 2, 14
-LEADERS = 8
+LARGE, BLOCK = 50, 500
 BROADCAST_IDS = 2_000_000
 U64 = np.uint64
 _SEEDS = np.random.default_rng(SEED).integers(0, 2**63, 2 * BANDS + SHORT_BANDS).astype(U64)
@@ -126,7 +127,7 @@ def _texts(with_kmers: bool, k: int):
                     digest = hashlib.blake2b(own.tobytes() if len(own) else data[offsets[a + r] : offsets[a + r + 1]].tobytes(), digest_size=16, person=b"words" if len(own) else b"bytes")
                     keys.append(digest.digest())
                     kmers = grams(own, k)
-                    sizes.append(len(kmers))
+                    sizes.append(len(np.unique(kmers)))
                     found.append(labelled(kmers)[1].tobytes() if with_kmers else sketch(kmers))
             if with_kmers:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "kmers"])
@@ -180,6 +181,34 @@ def _pairs(members: DataFrame, group: str, leaders: DataFrame) -> DataFrame:
     return met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
 
 
+def crossing(members: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of keys in one group g and two classes of, whose sizes n allow that threshold.
+
+    Groups are dealt in blocks of about BLOCK members, and each two blocks meet on their own.
+    """
+    mixed = members.groupBy("g").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("x <> y")
+    members = stored(members.join(mixed.select("g", "blocks"), "g").withColumn("block", F.pmod(F.xxhash64("key"), "blocks")), "members")
+    left = members.select("g", "key", "n", "of", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"))
+    right = members.select("g", F.col("key").alias("b"), F.col("n").alias("m"), F.col("of").alias("with"), F.explode(F.expr("sequence(0L, block)")).alias("i"), F.col("block").alias("j"))
+    met = left.join(right, ["g", "i", "j"]).where((F.col("of") != F.col("with")) & ((F.col("i") < F.col("j")) | (F.col("key") < F.col("b"))) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-6))
+    return met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+
+
+def _each_kmer(batches):
+    for batch in batches:
+        own = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+        yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(3)], pa.array(np.concatenate(own) if own else [], pa.int64())], names=["key", "n", "of", "g"])
+
+
+def prefixes(texts: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
+    """(key, n, of, g) of texts (key, n, of): each text's rarest k-mers g, so many that texts without a common one can't reach threshold."""
+    each = stored(texts.join(kmers, "key").select("key", "n", "of", "kmers").mapInArrow(_each_kmer, "key binary, n bigint, of binary, g bigint"), "each")
+    ranked = each.join(each.groupBy("g").agg(F.count(F.lit(1)).alias("texts")), "g")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("texts", "g")))
+    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-6) + 1) & (F.col("texts") > 1)).select("key", "n", "of", "g")
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", k: int = K, threshold: float = THRESHOLD, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(id, class_id) per row of docs."""
     rows = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
@@ -187,12 +216,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", k: int = K, threshold: f
     alone = rows.where("id is null or text is null").select("id", F.col("id").alias("class_id"))
     rows = rows.where("id is not null and text is not null")
     texts = stored(spread(rows).mapInArrow(_texts(False, k), f"id {kind}, key binary, n bigint, buckets array<bigint>"), "texts")
-    one = stored(texts.groupBy("key").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets")), "one")
+    one = stored(texts.groupBy("key").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets"), F.first("n").alias("n")), "one")
 
     # Buckets of two texts or more, and of each text in one: its buckets in order, and how many texts they hold together.
-    placed = one.select("key", "id", F.posexplode("buckets").alias("band", "bucket")).where("bucket is not null")
+    placed = one.select("key", "id", "n", F.posexplode("buckets").alias("band", "bucket")).where("bucket is not null")
     sizes = stored(placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    central = placed.join(sizes, ["band", "bucket"]).groupBy("key").agg(F.sum("size").alias("central"), F.min("id").alias("id"), F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("buckets"))
+    central = placed.join(sizes, ["band", "bucket"]).groupBy("key").agg(F.sum("size").alias("central"), F.min("id").alias("id"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("buckets"))
     central = stored(central, "central")
 
     # K-mers of those texts.
@@ -208,18 +237,15 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", k: int = K, threshold: f
     links = stored(verified(_pairs(members, "g", leaders), kmers, threshold), "links")
     found = stored(components(links), "found")
 
-    # Then, in buckets and where two buckets agree, the least central text and LEADERS others, wherever several classes meet.
+    # Then all pairs of a bucket that still are in two classes: those of larger buckets by their rarest k-mers.
     own = F.coalesce("component", "key")
-    placed = central.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "central", own.alias("of"), "buckets")
-    both = F.expr("concat(transform(buckets, x -> xxhash64(x.band, x.bucket)), transform(sequence(1, size(buckets)), i -> xxhash64(buckets[i - 1], buckets[i % size(buckets)], i)))")
-    met = placed.select("key", "central", "of", F.explode(F.array_distinct(both)).alias("g"))
-    chosen = [F.min(F.struct("central", "key", "of")).alias("l0"), *[F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("central"), "key", "of")).alias(f"l{i}") for i in range(1, LEADERS + 1)]]
-    leaders = met.groupBy("g").agg(*chosen, F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y")
-    leaders = stored(leaders.select("g", F.array_distinct(F.array(*[F.struct(f"l{i}.key", f"l{i}.of") for i in range(LEADERS + 1)])).alias("leaders")), "leaders")
-    more = met.join(leaders, "g").select("key", F.explode(F.filter("leaders", lambda l: l["of"] != F.col("of"))).alias("l"))
-    more = more.select(F.least("key", F.col("l.key")).alias("a"), F.greatest("key", F.col("l.key")).alias("b")).distinct()
-    more = stored(verified(more, kmers, threshold), "more")
-    found = stored(components(links.unionByName(more)), "found")
+    members = central.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "n", own.alias("of"), F.explode("buckets").alias("g")).withColumn("g", F.xxhash64("g.band", "g.bucket"))
+    met = stored(members.groupBy("g").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("g", "size"), "met")
+    few, many = (stored(members.join(met.where(w), "g").drop("size"), "members") for w in (f"size <= {LARGE}", f"size > {LARGE}"))
+    rest = crossing(few, threshold).unionByName(crossing(stored(prefixes(many.select("key", "n", "of").distinct(), kmers, threshold), "prefixes"), threshold))
+    rest = stored(rest.distinct(), "rest")
+    links = links.unionByName(stored(verified(rest, kmers, threshold), "last"))
+    found = stored(components(links), "found")
 
     # Least id of each class.
     named = found.join(one.select(F.col("key").alias("node"), "id"), "node")
