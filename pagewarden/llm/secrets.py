@@ -6,7 +6,7 @@ arrow is cut into segments of least total guess cost by dynamic programming. A
 segment is a common word (also capitalised or with look-alike characters), a date or
 year, a repeated character, a walk along keys or an alphabet, or brute force. Costs
 are decimal logarithms of guesses and add up; values of ``threshold`` or more that
-overlap no base span are added as spans of kind ``guess``. Base spans always stay.
+reach beyond the base spans are added whole as spans of kind ``guess``. Base spans always stay.
 
 Null text is empty text; texts without a span have none. Rows are treated one by one.
 Offsets count code points, ends are exclusive. The search is linear in the value's
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,10 +156,16 @@ def find(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, f
     base += [(*m.span(), "hex", None, None) for m in HEX.finditer(text)]
     out = list(base)
     if hinted:
-        taken = sorted((a, b) for a, b, *_ in base)
+        taken: list[tuple[int, int]] = []  # base spans, those that meet as one
+        for a, b in sorted((a, b) for a, b, *_ in base):
+            if taken and a <= taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+            else:
+                taken.append((a, b))
         for m in CONTEXT.finditer(text):
             a, b = m.span(m.lastindex)
-            if any(x < b and a < y for x, y in taken[max(0, _after(taken, a) - 3) : _after(taken, b) + 1]):
+            at = bisect_right(taken, a, key=lambda s: s[0])
+            if at and taken[at - 1][1] >= b:
                 continue
             cost, parts = guess_cost(text[a:b])
             if cost >= threshold:
@@ -166,12 +173,6 @@ def find(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, f
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def _after(taken: list[tuple[int, int]], a: int) -> int:
-    import bisect
-
-    return bisect.bisect_left(taken, (a, a))
-
-
 def _written(parts: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in parts)
 

@@ -46,6 +46,14 @@ def test_added_spans():
     assert added("no context X9$kd!2qPz#7vB") == []
 
 
+def test_values_that_reach_beyond_base_spans_are_added_whole():
+    text = 'x password: "Winter2024!x#Q9z$T" y'
+    assert [(k, text[a:b]) for a, b, k, *_ in S.find(text)] == [("assign", 'password: "Winter2024'), ("guess", "Winter2024!x#Q9z$T")]
+    assert S.redacted(text) == 'x [SECRET]" y'
+    assert S.redacted("token: abcdefgh1!x#Q9z$T, secret=abcdefgh1") == "[SECRET], [SECRET]"
+    assert all(s[2] != "guess" for s in S.find("secret=k7#; token=x8Jq2LpW9zRt"))
+
+
 def exhaustive(value):
     """Least cost over all segmentations."""
     n = len(value)
