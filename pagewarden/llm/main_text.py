@@ -37,6 +37,9 @@ BESIDE = frozenset("nav header footer aside form menu dialog button select searc
 BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement adbox banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay comment comments reply replies discussion disqus sidebar rail widget menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended subscribe newsletter signup login search footer header masthead copyright pagination toolbar skip".split()
 )
+#: Elements that aren't beside the article whatever their class, and words of a class that tell of a page's layout.
+WHOLE = frozenset("html body main article".split())
+_LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S+", re.I)
 #: Elements whose start closes an open paragraph; what an unclosed p held ends with it.
 _WORD = re.compile(r"[A-Za-z]+")
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -47,8 +50,9 @@ DEPTH = 6
 def _marked(tag: str, attributes: str) -> bool:
     if tag in BESIDE:
         return True
-    if attributes:
+    if attributes and tag not in WHOLE:
         for a, b, c in _MARK.findall(attributes):
+            a, b, c = (_LAYOUT.sub("", x) for x in (a, b, c))
             if not BESIDE_WORDS.isdisjoint(w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a or b or c))):
                 return True
     return False
@@ -84,7 +88,11 @@ def blocks(source: str) -> list[tuple[str, list[float], bool]]:
                 flush()
                 # A block-level start tag ends an open paragraph or heading of its kind.
                 if stack and stack[-1][0] == "p" and name != "br":
-                    stack.pop()
+                    _, i, b, m = stack.pop()
+                    inside, beside, main = inside - i, beside - b, main - m
+                if name == "main":  # what holds it isn't beside it, whatever its class
+                    beside -= sum(b for t, _, b, _ in stack if t not in BESIDE)
+                    stack = [(t, i, b if t in BESIDE else 0, m) for t, i, b, m in stack]
             heading = int(name in HEADINGS) if name in BLOCKS else heading
             if name == "a":
                 link += 1

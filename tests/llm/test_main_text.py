@@ -18,6 +18,22 @@ def test_page():
     assert M.main_text("") == "" and M.main_text(None) == "" and M.main_text("<") in ("", "<")
 
 
+def test_marks_end_with_their_paragraph_and_layout_classes_are_none():
+    article = f"<h1>One two three four</h1><p>{'word ' * 40}</p><p>{'more ' * 30}</p>"
+    want = M.main_text(f"<article>{article}</article>")
+    assert want.count("word") == 40 and want.count("more") == 30
+    for before, after in (
+        ('<p class="notice">Ad now.<article>', "</article>"),
+        ('<body class="has-sidebar"><article>', "</article></body>"),
+        ('<body class="sidebar"><article class="post comment-enabled">', "</article></body>"),
+        ('<div class="header-sidebar"><main>', "</main></div>"),
+        ('<div class="no-sidebar"><article>', "</article></div>"),
+    ):
+        assert M.main_text(before + article + after).endswith(want), before
+    blocks = M.blocks(f'<p class="ad">Buy<div id="content" class="no-sidebar">{article}</div>')
+    assert [f[-1] for _, f, _ in blocks] == [1, 0, 0, 0]
+
+
 def test_the_tree_fits_its_table_and_splits_on_density():
     rows = [b for p in M.labelled_pages() for b in M.blocks(p)]
     right = sum(M.decided(M.tree(), f) == y for _, f, y in rows)
