@@ -33,11 +33,13 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors can reach.
 
-    Only a session that doesn't name one (a test in local mode) gets a fresh
-    temporary folder, once a session.
+    Only a session in local mode (a test) may leave it unset: it gets a fresh
+    temporary folder. On a cluster that is an error, as no local folder is shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="spark-pagewarden-")
@@ -45,14 +47,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    import uuid
+class Scratch:
+    """Tables of one run in the shared folder, written and read back: cuts the lineage, survives lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        import uuid
+
+        path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
 
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later step reads."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        kept = {id(t) for t in tables}
+        self.drop(*[t for key, (_, t) in list(self.paths.items()) if key not in kept])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """One such table, which stays."""
+    return Scratch(df.sparkSession)(df, name)
 
 
 def pieces(batch_rows: int, sizes, limit: int):

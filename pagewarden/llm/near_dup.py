@@ -11,14 +11,17 @@ tuple are in one bucket.
    from the start and go on as one text.
 2. In each bucket the most central text (the one whose buckets hold most texts) is
    compared with all others. After that, all pairs of a bucket that still are in two classes
-   are compared: in buckets of up to LARGE texts outright; texts of larger ones where they
-   share one of their rarest k-mers, of which each text keeps so many that a pair without
-   a common one can't reach THRESHOLD. Sizes that can't reach it don't meet. Nothing is
-   capped, so the classes are those of all pairs that share a bucket.
+   are compared: in buckets of up to LARGE texts outright; texts of larger ones by their rarest
+   k-mers. A pair of n and m distinct k-mers can reach THRESHOLD only with a common one among
+   the first n - o + 1 of one and the first m - o + 1 of the other, rarest first, where o is
+   the overlap that THRESHOLD asks of these sizes. So each text keeps few k-mers, and texts of
+   a large bucket meet only where that holds; nothing is capped or lost. The classes are those
+   of all pairs that share a bucket.
 3. A pair is verified by an alignment of both texts' distinct k-mers in their order
    within a band. Matched k-mers over all distinct k-mers must be THRESHOLD or more. The
    band is as wide as that threshold allows, so it loses no pair.
-4. Classes are the connected components of verified pairs, by alternating stars.
+4. Classes are the connected components of verified pairs, by alternating stars: first of
+   those with central texts, then of those that were found between the classes so far.
 
 Each row gets class_id, the least id of its class. Rows without id or text are classes of
 their own (class_id is their id). Texts of under five words only have exact copies.
@@ -37,14 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import spread, stored, table
+from pagewarden.llm.common import Scratch, spread, table
 from pagewarden.llm.words import each_words, grams, mixed, utf8
 
 K, LENGTH, BANDS, THRESHOLD, SEED = 5, 4, 24, 0.8, 5
 #: Texts of so many distinct k-mers also have tuples of this length, in so many bands.
 SHORT, SHORT_LENGTH, SHORT_BANDS = 40, 2, 14
-LARGE, BLOCK = 50, 500
-BROADCAST_IDS = 2_000_000
+LARGE = 50
+#: Ids of the texts to be compared are broadcast up to so many bytes.
+BROADCAST_BYTES = 16_000_000
 U64 = np.uint64
 _SEEDS = np.random.default_rng(SEED).integers(0, 2**63, 2 * BANDS + SHORT_BANDS).astype(U64)
 
@@ -55,8 +59,6 @@ def labelled(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ranked = kmers[order]
     new = np.ones(len(kmers), bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    if new.all():
-        return kmers, kmers
     first = np.flatnonzero(new)
     occurrence = np.empty(len(kmers), U64)
     occurrence[order] = (np.arange(len(kmers)) - np.repeat(first, np.diff(np.append(first, len(kmers))))).astype(U64)
@@ -156,42 +158,60 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component: its least node) of a graph of edges (a, b), by alternating large and small stars.
 
     A round keeps as many edges as there are nodes at most; rounds grow with the
-    logarithm of the largest component.
+    logarithm of the largest component. Edges with a null end count for nothing.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    keep = Scratch(edges.sparkSession)
+    edges = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # large star
-        edges = stored(edges, "edges")
-        least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = edges.join(least, "u")
-        edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        keep.drop(edges, least)
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u")
+        edges = keep(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        keep.drop(large, least)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             # Each node points at its component's least node, which itself has no edge upwards.
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now
 
 
-def _pairs(members: DataFrame, group: str, leaders: DataFrame) -> DataFrame:
+def _pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
     """Distinct pairs of a group's leader with its other members."""
-    met = members.join(stored(leaders, "leaders"), group).where("key <> leader")
+    met = members.join(leaders, "g").where("key <> leader")
     return met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
 
 
+def _distinct(met: DataFrame) -> DataFrame:
+    return met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+
+
+def _other(members: DataFrame) -> DataFrame:
+    return members.withColumnsRenamed({"key": "b", "n": "m", "of": "with", "rank": "at"})
+
+
 def crossing(members: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of keys in one group g and two classes of, whose sizes n allow that threshold.
+    """Distinct pairs (a, b) of keys in one small group g and two classes of, whose sizes n allow that threshold."""
+    met = members.join(_other(members), "g")
+    return _distinct(met.where((F.col("of") != F.col("with")) & (F.col("key") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-6)))
 
-    Groups are dealt in blocks of about BLOCK members, and each two blocks meet on their own.
-    """
-    mixed = members.groupBy("g").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("x <> y")
-    members = stored(members.join(mixed.select("g", "blocks"), "g").withColumn("block", F.pmod(F.xxhash64("key"), "blocks")), "members")
-    left = members.select("g", "key", "n", "of", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"))
-    right = members.select("g", F.col("key").alias("b"), F.col("n").alias("m"), F.col("of").alias("with"), F.explode(F.expr("sequence(0L, block)")).alias("i"), F.col("block").alias("j"))
-    met = left.join(right, ["g", "i", "j"]).where((F.col("of") != F.col("with")) & ((F.col("i") < F.col("j")) | (F.col("key") < F.col("b"))) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-6))
-    return met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+
+def _overlap(n: str, m: str, threshold: float):
+    """Common k-mers that texts of n and m need to reach the threshold."""
+    return F.ceil(threshold / (1 + threshold) * (F.col(n) + F.col(m)) - 1e-6)
+
+
+def close(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of keys in two classes of that share a k-mer g within the ranks that their sizes allow."""
+    need = _overlap("n", "m", threshold)
+    shorter = prefixes.where(F.col("rank") <= F.col("n") - _overlap("n", "n", threshold) + 1)
+    met = shorter.join(_other(prefixes), "g").where(
+        (F.col("of") != F.col("with")) & (F.col("n") <= F.col("m")) & (F.col("n") >= threshold * F.col("m") - 1e-6) & (F.col("rank") <= F.col("n") - need + 1) & (F.col("at") <= F.col("m") - need + 1)
+    )
+    return _distinct(met)
 
 
 def _each_kmer(batches):
@@ -201,57 +221,67 @@ def _each_kmer(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(3)], pa.array(np.concatenate(own) if own else [], pa.int64())], names=["key", "n", "of", "g"])
 
 
-def prefixes(texts: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
-    """(key, n, of, g) of texts (key, n, of): each text's rarest k-mers g, so many that texts without a common one can't reach threshold."""
-    each = stored(texts.join(kmers, "key").select("key", "n", "of", "kmers").mapInArrow(_each_kmer, "key binary, n bigint, of binary, g bigint"), "each")
+def prefixes(each: DataFrame, threshold: float) -> DataFrame:
+    """(key, n, of, g, rank) of k-mers (key, n, of, g): each text's rarest, as many as a text of any size can need, without those of one text alone."""
     ranked = each.join(each.groupBy("g").agg(F.count(F.lit(1)).alias("texts")), "g")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("texts", "g")))
-    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-6) + 1) & (F.col("texts") > 1)).select("key", "n", "of", "g")
+    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-6) + 1) & (F.col("texts") > 1)).select("key", "n", "of", "g", "rank")
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", k: int = K, threshold: float = THRESHOLD, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", k: int = K, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, class_id) per row of docs."""
+    keep = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     alone = rows.where("id is null or text is null").select("id", F.col("id").alias("class_id"))
     rows = rows.where("id is not null and text is not null")
-    texts = stored(spread(rows).mapInArrow(_texts(False, k), f"id {kind}, key binary, n bigint, buckets array<bigint>"), "texts")
-    one = stored(texts.groupBy("key").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets"), F.first("n").alias("n")), "one")
+    texts = keep(spread(rows).mapInArrow(_texts(False, k), f"id {kind}, key binary, n bigint, buckets array<bigint>"), "texts")
+    one = keep(texts.groupBy("key").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets"), F.first("n").alias("n")), "one")
 
-    # Buckets of two texts or more, and of each text in one: its buckets in order, and how many texts they hold together.
-    placed = one.select("key", "id", "n", F.posexplode("buckets").alias("band", "bucket")).where("bucket is not null")
-    sizes = stored(placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    central = placed.join(sizes, ["band", "bucket"]).groupBy("key").agg(F.sum("size").alias("central"), F.min("id").alias("id"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("buckets"))
-    central = stored(central, "central")
+    # Buckets of two texts or more, and of each text in one: its buckets, and how many texts they hold together.
+    placed = one.select("key", "id", "n", F.posexplode("buckets").alias("band", "bucket")).where("bucket is not null").select("key", "id", "n", F.xxhash64("band", "bucket").alias("g"))
+    sizes = keep(placed.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    central = placed.join(sizes, "g").groupBy("key").agg(F.sum("size").alias("central"), F.min("id").alias("id"), F.first("n").alias("n"), F.collect_set("g").alias("groups"))
+    central = keep(central, "central")
+    keep.drop(sizes)
 
     # K-mers of those texts.
     ids = central.select("id").distinct()
-    few = ids.count() <= broadcast_ids
-    again = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    kmers = spread(again).mapInArrow(_texts(True, k), "key binary, kmers binary").dropDuplicates(["key"])
-    kmers = stored(kmers, "kmers")
+    held = ids.agg(F.sum(F.length(F.col("id").cast("string")) + 40)).first()[0] or 0
+    again = rows.join(F.broadcast(ids) if held <= broadcast_bytes else ids, "id", "left_semi")
+    kmers = keep(spread(again).mapInArrow(_texts(True, k), "key binary, kmers binary").dropDuplicates(["key"]), "kmers")
 
     # First the most central text of each bucket.
-    members = central.select("key", "central", F.explode("buckets").alias("g")).select("key", "central", F.xxhash64("g.band", "g.bucket").alias("g"))
-    leaders = members.groupBy("g").agg(F.max(F.struct("central", "key")).alias("l")).select("g", F.col("l.key").alias("leader"))
-    links = stored(verified(_pairs(members, "g", leaders), kmers, threshold), "links")
-    found = stored(components(links), "found")
+    members = central.select("key", "central", F.explode("groups").alias("g"))
+    leaders = keep(members.groupBy("g").agg(F.max(F.struct("central", "key")).alias("l")).select("g", F.col("l.key").alias("leader")), "leaders")
+    pairs = keep(_pairs(members, leaders), "pairs")
+    links = keep(verified(pairs, kmers, threshold), "links")
+    found = keep(components(links), "found")
+    keep.drop(leaders, pairs, links)
 
     # Then all pairs of a bucket that still are in two classes: those of larger buckets by their rarest k-mers.
     own = F.coalesce("component", "key")
-    members = central.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "n", own.alias("of"), F.explode("buckets").alias("g")).withColumn("g", F.xxhash64("g.band", "g.bucket"))
-    met = stored(members.groupBy("g").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("g", "size"), "met")
-    few, many = (stored(members.join(met.where(w), "g").drop("size"), "members") for w in (f"size <= {LARGE}", f"size > {LARGE}"))
-    rest = crossing(few, threshold).unionByName(crossing(stored(prefixes(many.select("key", "n", "of").distinct(), kmers, threshold), "prefixes"), threshold))
-    rest = stored(rest.distinct(), "rest")
-    links = links.unionByName(stored(verified(rest, kmers, threshold), "last"))
-    found = stored(components(links), "found")
+    classed = keep(central.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "n", own.alias("of"), "groups"), "classed")
+    members = classed.select("key", "n", "of", F.explode("groups").alias("g"))
+    met = keep(members.groupBy("g").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("g", "size"), "met")
+    mixed = keep(members.join(met, "g"), "mixed")
+    keep.drop(central, met)
+    many = mixed.where(f"size > {LARGE}").select("key", "n", "of").distinct()
+    each = keep(many.join(kmers, "key").select("key", "n", "of", "kmers").mapInArrow(_each_kmer, "key binary, n bigint, of binary, g bigint"), "each")
+    rare = keep(prefixes(each, threshold), "prefixes")
+    keep.drop(each)
+    rest = keep(crossing(mixed.where(f"size <= {LARGE}").drop("size"), threshold).unionByName(close(rare, threshold)).distinct(), "rest")
+    more = keep(verified(rest, kmers, threshold), "more")
+    of = classed.select("key", "of")
+    more = more.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    joined = keep(components(more), "joined")
 
     # Least id of each class.
-    named = found.join(one.select(F.col("key").alias("node"), "id"), "node")
-    least = stored(named.groupBy("component").agg(F.min("id").alias("class_id")), "named")
-    named = found.join(least, "component").select(F.col("node").alias("key"), "class_id")
-    of_text = stored(one.select("key", "id").join(named, "key", "left").select("key", F.coalesce("class_id", "id").alias("class_id")), "classes")
+    last = classed.join(joined.withColumnRenamed("node", "of"), "of", "left").select("key", F.coalesce("component", "of").alias("of"))
+    named = keep(one.select("key", "id").join(last, "key", "left").select("key", "id", F.coalesce("of", "key").alias("of")), "named")
+    of_text = named.join(named.groupBy("of").agg(F.min("id").alias("class_id")), "of").select("key", "class_id")
+    of_text = keep(of_text, "classes")
+    keep.drop_all_but(texts, of_text)
     out = texts.select("id", "key").join(of_text, "key").select("id", "class_id").unionByName(alone)
     return out.withColumnRenamed("id", id_col)
 

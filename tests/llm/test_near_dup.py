@@ -71,6 +71,9 @@ def corpus():
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
             sep = rng.choice([" ", ", ", "\n"])
             rows.append((len(rows), sep.join(w).upper() if rng.random() < 0.3 else sep.join(w)))
+    for _ in range(6):  # the same text with and without a passage of its own once more
+        base = [rng.choice(vocabulary) for _ in range(120)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + base[40:52])), (len(rows) + 2, " ".join(base[:8] * 3 + base))]
     long = [rng.choice(vocabulary) for _ in range(4000)]
     rows += [(500, " ".join(long)), (501, " ".join(long[:1500] + ["x"] * 5 + long[1500:])), (502, " ".join(long[2000:] + long[:2000]))]
     rows += [(600 + i, t) for i, t in enumerate(HARD)] + [(700, "hello, WORLD"), (701, "repeat the line\n" * 80), (702, ""), (703, "!!!"), (704, "!!!"), (705, None), (1, rows[1][1]), (706, rows[4][1])]
@@ -86,7 +89,7 @@ def test_against_all_pairs(spark, tmp_path):
     got = N.query(spark, saved(spark, tmp_path, documents=docs))
     assert got.columns == ["doc_id", "class_id"]
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
-    assert sorted(tuple(r) for r in N.classes(docs, broadcast_ids=0).collect()) == brute(rows)
+    assert sorted(tuple(r) for r in N.classes(docs, broadcast_bytes=0).collect()) == brute(rows)
 
 
 def test_small_classes_of_a_hot_bucket_meet(spark, monkeypatch):
@@ -101,6 +104,21 @@ def test_small_classes_of_a_hot_bucket_meet(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
 
 
+def test_pairs_of_a_large_bucket_by_their_rarest_kmers(spark):
+    rng = random.Random(8)
+    base = [rng.randrange(10**9) for _ in range(60)]
+    rows = []
+    for i in range(90):
+        own = [x if rng.random() > i / 300 else rng.randrange(10**9) for x in base][: rng.randint(50, 60)]
+        rows.append((bytes([i]), len(own), bytes([rng.randrange(100)]) if i % 3 else b"same", own))
+    each = spark.createDataFrame([(k, n, c, g) for k, n, c, own in rows for g in own], "key binary, n bigint, of binary, g bigint")
+    pairs = N.close(N.prefixes(each, 0.8), 0.8)
+    got = {(bytes(r.a), bytes(r.b)) for r in pairs.collect()}
+    share = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[2] != y[2] and share(x[3], y[3]) >= 0.8}
+    assert want <= got and len(want) > 100 and len(got) < len(rows) ** 2 / 3
+
+
 def shares(a, b):
     return bool({x for x in N.sketch(a) if x is not None} & {x for x in N.sketch(b) if x is not None})
 
