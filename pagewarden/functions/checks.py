@@ -137,8 +137,10 @@ def link_cell(value: Column) -> Column:
     return F.when(F.lower(value).rlike(r"^https?://"), cell(value)).otherwise(F.lit(""))
 
 
-def signature_matches(body: Column, content_type: Column) -> Column:
-    """Whether an attachment begins as its type says; null if neither is known."""
-    start = F.hex(F.substring(body, 1, 8))
-    t = F.lower(F.coalesce(content_type, F.lit("")))
-    return F.when(t.contains("pdf"), start.startswith("255044462D")).when(t.rlike("zip|openxml"), start.startswith("504B")).when(t.rlike("msword|ms-excel|ms-powerpoint|hwp"), start.startswith("D0CF11E0") | start.startswith("504B"))
+def attachment_mismatch(url: Column, content_type: Column, start: Column) -> Column:
+    """Whether an attachment's first bytes (as hex) or type don't fit the extension of its URL."""
+    name, t, begin = F.lower(F.regexp_extract(url, r"^([^?#]*)", 1)), F.lower(F.coalesce(content_type, F.lit(""))), F.coalesce(start, F.lit(""))
+    packed = name.rlike(r"\.(zip|docx|xlsx|pptx|hwpx)$")
+    signed = F.when(name.endswith(".pdf"), begin.startswith("255044462D")).when(packed, begin.startswith("504B")).when(name.endswith(".hwp"), begin.startswith("D0CF11E0")).otherwise(True)
+    typed = F.when(name.endswith(".pdf"), t.contains("pdf")).when(packed, t.rlike("zip|office|octet-stream")).otherwise(True)
+    return ((begin != "") & ~signed) | ((t != "") & ~typed)

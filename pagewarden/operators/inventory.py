@@ -106,8 +106,10 @@ def comparison_status(previous_header: DataFrame, current_header: DataFrame, hea
 
 
 def first_occurrences(occurrences: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return occurrences.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """The first row of each key in that order. Minima combine before the shuffle, so a key found everywhere is no hot group."""
+    rest = [c for c in occurrences.columns if c not in key and c not in order]
+    least = F.min(F.struct(*order, *rest)).alias("least")
+    return occurrences.groupBy(*key).agg(least).select(*[F.col(c) if c in key else F.col(f"least.`{c}`").alias(c) for c in occurrences.columns])
 
 
 def reachable(edges: DataFrame, roots: DataFrame, *, max_depth: int = 20) -> DataFrame:
@@ -143,14 +145,15 @@ def sitemap_urls(responses: DataFrame) -> DataFrame:
     return rows.select("url", "kind", plain.alias("loc"))
 
 
-def menu(elements: DataFrame, keys: list[str], selector: str = "nav a, header a") -> DataFrame:
-    """Menu links of pages' elements: (keys, seq, href, title, menu_path). The path joins the labels of the list items around, the outermost first."""
-    from pagewarden.sources.dom import attribute, selected
+def menu(pages: DataFrame, keys: list[str], selector: str = "nav a, header a") -> DataFrame:
+    """Menu links of parsed pages: (keys, seq, href, title, menu_path). The path joins the labels of the list items around, the outermost first."""
+    from pagewarden.sources.dom import attribute, first, having, inside, let, selected
 
-    links = elements.where(selected(selector) & attribute("href").isNotNull()).select(*keys, "seq", "up", attribute("href").alias("href"), F.col("text").alias("title"))
-    own_link = elements.where("tag = 'a'").groupBy(*keys, F.col("parent").alias("li")).agg(F.min(F.struct("seq", "text")).alias("a"))
-    items = elements.where("tag = 'li'").select(*keys, F.col("seq").alias("li"), "own_text").join(own_link, [*keys, "li"], "left").select(*keys, "li", F.coalesce("a.text", "own_text").alias("label"))
-    around = links.select(*keys, "seq", F.explode("up").alias("li")).join(items, [*keys, "li"]).where("label <> ''")
-    labels = F.array_sort(F.collect_list(F.struct("li", "label")))  # as many as elements nest
-    paths = around.groupBy(*keys, "seq").agg(F.array_join(F.transform(labels, lambda x: x["label"]), " > ").alias("menu_path"))
-    return links.drop("up").join(paths, [*keys, "seq"], "left").withColumn("menu_path", F.coalesce("menu_path", F.lit("")))
+    els = F.col("elements")
+    links = having(lambda e: selected(e, selector) & attribute(e, "href").isNotNull(), els)
+    anchors = having(lambda e: e["tag"] == "a", els)
+    label = lambda i, of: F.coalesce(first(F.filter(of, lambda a: a["parent"] == i["seq"]))["text"], i["own_text"])
+    items = let(anchors, lambda of: F.transform(having(lambda e: e["tag"] == "li", els), lambda i: F.struct(i["seq"].alias("seq"), i["end"].alias("end"), label(i, of).alias("label"))))
+    around = lambda a, many: F.array_join(F.transform(F.filter(many, lambda i: inside(a, i) & (i["label"] != "")), lambda i: i["label"]), " > ")
+    rows = let(items, lambda many: F.transform(links, lambda a: F.struct(a["seq"].alias("seq"), attribute(a, "href").alias("href"), F.coalesce(a["text"], F.lit("")).alias("title"), around(a, many).alias("menu_path"))))
+    return pages.select(*keys, F.explode(rows).alias("m")).select(*keys, "m.*")

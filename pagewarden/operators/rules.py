@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewarden.functions import checks as C
 from pagewarden.functions import terms as T
 from pagewarden.functions import urls as U
-from pagewarden.sources.dom import attribute, has_class
+from pagewarden.sources.dom import attribute, blank, first, has_class, having, inside, let, places, selected
 
 GENERIC_TITLES = ("홈", "페이지", "home", "untitled")
 LANGS = ("ko", "ko-KR", "en", "en-US")
@@ -18,7 +20,12 @@ SKIP_WORDS = ("본문 바로가기", "콘텐츠 바로가기", "skip to content"
 BALANCED = ("html", "head", "body", "title", "main", "form")
 DATE_LABELS = {"published": ("게시일", "등록일", "작성일", "발행일"), "modified": ("수정일", "최종수정일", "변경일", "갱신일")}
 ARCHIVE_WORDS = ("연혁", "지난자료", "아카이브")
+# Fixed values of list pages: phrases, labels of rows' dates, contexts whose dates don't count, kinds of lists that need no check.
 EMPTY_LISTS = ("게시물이 없습니다", "등록된 게시물이 없습니다", "검색 결과가 없습니다", "조회된 결과가 없습니다")
+POSTED = ("게시일", "등록일", "작성일", "발행일")
+OTHER_DATES = ("수정일", "최종수정", "행사기간", "접수기간", "조회수", "첨부")
+UNCHECKED_LISTS, UNCHECKED_WORDS = ("calendar", "history", "table_stat", "menu", "gallery"), ("연혁", "달력", "관련 사이트")
+UNDATED_PAGES = ("list", "listing", "search")
 SOFT_404 = ("페이지를 찾을 수 없습니다", "존재하지 않습니다", "오류가 발생했습니다")
 ISSUE_COLUMNS = ("code", "result", "severity", "element", "location", "evidence", "manual")
 
@@ -74,45 +81,76 @@ def page_issues(pages: DataFrame, keys: list[str], **settings) -> DataFrame:
     return rows.withColumn("issue_key", C.key(*[F.col(k) for k in keys], F.col("code"), F.col("location"), size=20))
 
 
-def element_issues(elements: DataFrame, keys: list[str]) -> DataFrame:
-    """Issues that need the tree: ids, labels of controls, names of links and buttons, targets of skip links, alternative texts."""
-    e = elements.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "tag").orderBy("seq")) - 1).persist()
-    at = F.concat(F.col("tag"), F.lit("["), F.col("nth").cast("string"), F.lit("]"))
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    ids = e.where(~blank(attribute("id"))).select(*keys, attribute("id").alias("ref")).distinct()
-    names = e.where(~blank(attribute("name"))).select(*keys, attribute("name").alias("ref")).union(ids).distinct()
+def _found(e: Column, code: str, result, severity, evidence: Column | None = None, manual: bool = False, location: Column | None = None, element: Column | None = None) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(
+        F.lit(code).alias("code"), lit(result).alias("result"), lit(severity).alias("severity"), (e["tag"] if element is None else element).alias("element"), (places(e) if location is None else location).alias("location"),
+        F.substring(F.coalesce(F.lit("") if evidence is None else evidence, F.lit("")), 1, 500).alias("evidence"), F.lit(manual).alias("manual"),
+    )
+
+
+def _id_issues(els: Column) -> Column:
+    held = F.transform(having(lambda e: attribute(e, "id").isNotNull(), els), lambda e, i: F.struct(attribute(e, "id").alias("id"), e["tag"].alias("tag"), i.cast("string").alias("i")))
+    empty = lambda h: F.transform(F.filter(h, lambda x: blank(x["id"])), lambda x: _found(x, "empty-id", T.REVIEW, T.LOW, location=F.concat(F.lit("id["), x["i"], F.lit("]"))))
+    # Equal ids are neighbours once sorted.
+    ranked = lambda h: F.array_sort(F.transform(F.filter(h, lambda x: ~blank(x["id"])), lambda x: F.struct(x["id"].alias("id"), x["i"].cast("int").alias("i"), x["tag"].alias("tag"))))
+    again = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["id"] == x["id"], F.lit(False)) | (F.when(i > 0, F.get(s, i - 1)["id"] == x["id"]).otherwise(False)))
+    place = lambda x: F.concat(x["tag"], F.lit("["), x["i"].cast("string"), F.lit("]"))
+
+    def told(d: Column) -> Column:
+        where = lambda k: F.array_join(F.transform(F.filter(d, lambda x: x["id"] == k), place), "|")
+        return F.transform(F.array_distinct(F.transform(d, lambda x: x["id"])), lambda k: let(where(k), lambda w: _found(w, "duplicate-id", T.ERROR, T.MIDDLE, w, location=w, element=k)))
+
+    return let(held, lambda h: F.concat(empty(h), let(ranked(h), lambda s: let(again(s), told))))
+
+
+def _control_issues(els: Column, names: Column) -> Column:
+    kinds = lambda e: e["tag"].isin("input", "select", "textarea") & ~F.lower(F.coalesce(attribute(e, "type"), F.lit(""))).isin("hidden", "submit", "button", "reset", "image")
+    every = F.transform(having(lambda e: e["tag"].isin("input", "select", "textarea"), els), lambda e, i: F.struct(e.alias("e"), F.concat(e["tag"], F.lit("["), i.cast("string"), F.lit("]")).alias("at")))
+    pointed = lambda e: F.split(F.trim(F.coalesce(attribute(e, "aria-labelledby"), F.lit(""))), r"\s+")
+    lost = lambda e, n: ~blank(attribute(e, "aria-labelledby")) & (F.size(F.array_except(pointed(e), n)) > 0)
+    labels = F.transform(having(lambda e: (e["tag"] == "label") & attribute(e, "for").isNotNull(), els), lambda e: attribute(e, "for"))
+    bare = lambda e, f: blank(attribute(e, "aria-label")) & blank(attribute(e, "aria-labelledby")) & ~e["path"].contains("/label/") & ~(~blank(attribute(e, "id")) & F.array_contains(f, F.coalesce(attribute(e, "id"), F.lit(""))))
+    hint = lambda e: ~blank(attribute(e, "placeholder"))
+    issue = lambda x, n, f: (
+        F.when(~kinds(x["e"]), None)
+        .when(lost(x["e"], n), _found(x["e"], "input-label-ref", T.ERROR, T.MIDDLE, attribute(x["e"], "aria-labelledby"), location=x["at"]))
+        .when(bare(x["e"], f), _found(x["e"], "input-label", F.when(hint(x["e"]), T.REVIEW).otherwise(T.ERROR), F.when(hint(x["e"]), T.TO_REVIEW).otherwise(T.MIDDLE), location=x["at"]))
+    )
+    return let(names, lambda n: let(labels, lambda f: F.transform(every, lambda x: issue(x, n, f))))
+
+
+def _name_issues(els: Column, ids: Column) -> Column:
+    every = F.transform(having(lambda e: e["tag"].isin("a", "button"), els), lambda e, i: F.struct(e.alias("e"), F.concat(e["tag"], F.lit("["), i.cast("string"), F.lit("]")).alias("at")))
+    images = having(lambda e: e["tag"] == "img", els)
+    pointed = lambda e: F.split(F.trim(F.coalesce(attribute(e, "aria-labelledby"), F.lit(""))), r"\s+")
+    nameless = lambda e: blank(e["text"]) & blank(attribute(e, "aria-label"))
+    gone = lambda e, n: F.array_except(pointed(e), n)
+    image = lambda e, m: first(F.filter(m, lambda i: inside(i, e)))
+    issue = lambda x, n, m: (
+        F.when(~nameless(x["e"]), None)
+        .when(~blank(attribute(x["e"], "aria-labelledby")), F.when(F.size(gone(x["e"], n)) > 0, _found(x["e"], "accessible-name-ref", T.ERROR, T.MIDDLE, F.concat(F.lit("aria-labelledby 대상 없음: "), F.array_join(gone(x["e"], n), ",")), location=x["at"])))
+        .otherwise(
+            let(image(x["e"], m), lambda i: F.when(i.isNull(), _found(x["e"], "empty-control", T.REVIEW, T.TO_REVIEW, location=x["at"])).when(blank(attribute(i, "alt")), _found(x["e"], "icon-control", T.MANUAL, T.TO_REVIEW, manual=True, location=x["at"])))
+        )
+    )
+    return let(ids, lambda n: let(images, lambda m: F.transform(every, lambda x: issue(x, n, m))))
 
-    def rows(df: DataFrame, code: str, result, severity, evidence=None, manual=False, location=None) -> DataFrame:
-        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return df.select(*keys, F.lit(code).alias("code"), lit(result).alias("result"), lit(severity).alias("severity"), F.col("tag").alias("element"), (at if location is None else location).alias("location"), F.substring(F.coalesce(lit("" if evidence is None else evidence), F.lit("")), 1, 500).alias("evidence"), F.lit(manual).alias("manual"))
-
-    out = rows(e.where(attribute("id").isNotNull() & blank(attribute("id"))), "empty-id", T.REVIEW, T.LOW)
-    twice = e.where(~blank(attribute("id"))).groupBy(*keys, attribute("id").alias("tag")).agg(F.array_join(F.array_sort(F.collect_list(at)), "|").alias("places"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    out = out.unionByName(rows(twice, "duplicate-id", T.ERROR, T.MIDDLE, F.col("places"), location=F.col("places")))
-
-    controls = e.where(F.col("tag").isin("input", "select", "textarea") & ~F.lower(F.coalesce(attribute("type"), F.lit(""))).isin("hidden", "submit", "button", "reset", "image"))
-    pointed = controls.where(~blank(attribute("aria-labelledby"))).select(*keys, "seq", F.explode(F.split(F.trim(attribute("aria-labelledby")), r"\s+")).alias("ref"))
-    lost = pointed.join(names, [*keys, "ref"], "left_anti").select(*keys, "seq").distinct()
-    out = out.unionByName(rows(controls.join(lost, [*keys, "seq"], "left_semi"), "input-label-ref", T.ERROR, T.MIDDLE, attribute("aria-labelledby")))
-    labels = e.where(F.col("tag") == "label").select(*keys, attribute("for").alias("ref")).where("ref is not null").distinct()
-    named = controls.where(~blank(attribute("aria-label")) | ~blank(attribute("aria-labelledby")) | F.col("path").contains("/label/")).select(*keys, "seq")
-    named = named.union(controls.withColumn("ref", attribute("id")).join(labels, [*keys, "ref"], "left_semi").select(*keys, "seq")).union(lost)
-    bare = controls.join(named.distinct(), [*keys, "seq"], "left_anti")
-    hint = ~blank(attribute("placeholder"))
-    out = out.unionByName(rows(bare, "input-label", F.when(hint, T.REVIEW).otherwise(T.ERROR), F.when(hint, T.TO_REVIEW).otherwise(T.MIDDLE)))
-
-    clickable = e.where(F.col("tag").isin("a", "button") & (F.col("text") == "") & blank(attribute("aria-label")))
-    pointed = clickable.where(~blank(attribute("aria-labelledby"))).select(*keys, "seq", F.explode(F.split(F.trim(attribute("aria-labelledby")), r"\s+")).alias("ref"))
-    lost = pointed.join(ids, [*keys, "ref"], "left_anti").groupBy(*keys, "seq").agg(F.array_join(F.array_sort(F.collect_set("ref")), ",").alias("refs"))
-    out = out.unionByName(rows(clickable.join(lost, [*keys, "seq"]), "accessible-name-ref", T.ERROR, T.MIDDLE, F.concat(F.lit("aria-labelledby 대상 없음: "), F.col("refs"))))
-    images = e.where("tag = 'img'").select(*keys, F.struct(F.col("seq").alias("img"), attribute("alt").alias("alt")).alias("i"), F.explode("up").alias("seq")).groupBy(*keys, "seq").agg(F.min("i").alias("first"))
-    nameless = clickable.where(blank(attribute("aria-labelledby"))).join(images, [*keys, "seq"], "left")
-    out = out.unionByName(rows(nameless.where(F.col("first").isNotNull() & blank(F.col("first.alt"))), "icon-control", T.MANUAL, T.TO_REVIEW, manual=True))
-    out = out.unionByName(rows(nameless.where(F.col("first").isNull()), "empty-control", T.REVIEW, T.TO_REVIEW))
-
-    skip = e.where((F.col("tag") == "a") & attribute("href").startswith("#") & F.lower("text").rlike("|".join(SKIP_WORDS))).withColumn("ref", F.substring(attribute("href"), 2, 2000))
-    out = out.unionByName(rows(skip.join(names, [*keys, "ref"], "left_anti"), "skip-link-target", T.ERROR, T.MIDDLE, attribute("href"), location=F.lit("")))
-    out = out.unionByName(rows(e.where((F.col("tag") == "img") & attribute("alt").isNull() & (F.coalesce(attribute("role"), F.lit("")) != "presentation")), "image-alt", T.ERROR, T.MIDDLE))
+
+def element_issues(pages: DataFrame, keys: list[str], *, skip: Iterable[str] = SKIP_WORDS) -> DataFrame:
+    """Issues that need the tree, of parsed pages: ids, labels of controls, names of links and buttons, targets of skip links, alternative texts.
+
+    All rules are one projection over the array of a page's elements: one parse, no shuffle.
+    """
+    els = F.col("elements")
+    ids = F.transform(having(lambda e: ~blank(attribute(e, "id")), els), lambda e: attribute(e, "id"))
+    names = F.array_distinct(F.concat(ids, F.transform(having(lambda e: ~blank(attribute(e, "name")), els), lambda e: attribute(e, "name"))))
+    skips = having(lambda e: (e["tag"] == "a") & attribute(e, "href").startswith("#") & F.lower(e["text"]).rlike("|".join(skip)), els)
+    target = lambda e: F.substring(attribute(e, "href"), F.lit(2), F.length(attribute(e, "href")))
+    lost = let(names, lambda n: F.transform(F.filter(skips, lambda e: ~F.array_contains(n, target(e))), lambda e: _found(e, "skip-link-target", T.ERROR, T.MIDDLE, attribute(e, "href"), location=F.lit(""))))
+    bare = F.transform(having(lambda e: (e["tag"] == "img") & attribute(e, "alt").isNull() & (F.coalesce(attribute(e, "role"), F.lit("")) != "presentation"), els), lambda e: _found(e, "image-alt", T.ERROR, T.MIDDLE))
+    found = F.filter(F.concat(_id_issues(els), _control_issues(els, names), _name_issues(els, ids), lost, bare), lambda i: i.isNotNull())
+    out = pages.select(*keys, F.explode(found).alias("i")).select(*keys, "i.*")
     return out.withColumn("issue_key", C.key(*[F.col(k) for k in keys], F.col("code"), F.col("location"), size=20))
 
 
@@ -149,38 +187,62 @@ def mixed_content(refs: DataFrame) -> DataFrame:
     return hit.groupBy("page_url").agg(F.array_sort(F.collect_set("normalized_url")).alias("mixed_content"))
 
 
-def date_candidates(elements: DataFrame, keys: list[str], labels=DATE_LABELS, selectors: dict[str, list[str]] | None = None) -> DataFrame:
-    """(keys, kind, day, original, method, confidence, priority, seq): every place of a page that may date it."""
+def _walked(text: str) -> list[tuple[str, str]]:
+    """Dates of a JSON-LD text, objects before what they hold."""
+    try:
+        todo = [json.loads(text)]
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while todo:
+        at = todo.pop()
+        if isinstance(at, dict):
+            out += [(kind, str(at[key])) for kind, key in (("published", "datePublished"), ("modified", "dateModified")) if at.get(key)]
+            todo += reversed(at.values())
+        elif isinstance(at, list):
+            todo += reversed(at)
+    return out
+
+
+def _json_dates(scripts: Column) -> Column:
+    @F.pandas_udf("array<struct<seq: int, kind: string, raw: string>>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda held: [{"seq": s["seq"], "kind": k, "raw": r} for s in held for k, r in _walked(s["text"])])
+
+    return run(scripts)
+
+
+def date_candidates(pages: DataFrame, keys: list[str], labels=DATE_LABELS, selectors: dict[str, list[str]] | None = None) -> DataFrame:
+    """(keys, kind, day, original, method, confidence, priority, seq) of parsed pages: every place of a page that may date it.
+
+    Pages whose page_type (if they have that column) is a list have none. Selectors need pages that were parsed with texts=None.
+    """
+    els = F.col("elements")
     of = lambda text: F.when(F.lower(text).rlike("|".join(labels["modified"])), "modified").when(F.lower(text).rlike("|".join(labels["published"])), "published")
 
-    def rows(df, kind, original, method, confidence, priority):
+    def row(e, kind, original, method, confidence, priority):
         lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return df.select(*keys, lit(kind).alias("kind"), C.parsed_date(original).alias("day"), original.alias("original"), lit(method).alias("method"), lit(confidence).cast("double").alias("confidence"), F.lit(priority).alias("priority"), "seq")
+        return F.struct(lit(kind).alias("kind"), original.alias("original"), lit(method).alias("method"), lit(confidence).cast("double").alias("confidence"), F.lit(priority).alias("priority"), e["seq"].alias("seq"))
 
-    times = elements.where("tag = 'time'")
-    stamp = F.coalesce(F.when(attribute("datetime") != "", attribute("datetime")), F.col("text"))
-    w = Window.partitionBy(*keys).orderBy("seq")
-    labelled = of(F.concat_ws(" ", F.col("before"), attribute("class")))
+    explicit = lambda e: ~blank(attribute(e, "datetime"))
+    stamp = lambda e: F.when(explicit(e), attribute(e, "datetime")).otherwise(F.coalesce(e["text"], e["own_text"]))
+    own = lambda e: of(F.concat_ws(" ", e["before"], F.split(F.coalesce(attribute(e, "class"), F.lit("")), r"\s+")[0]))
+    times = F.transform(having(lambda e: e["tag"] == "time", els), lambda e: F.struct(e.alias("e"), own(e).alias("own")))
     # The first unlabelled time is the publication's, unless an earlier one was taken for it.
-    times = times.withColumn("own", labelled).withColumn("earlier", F.coalesce(F.max(F.when(F.coalesce("own", F.lit("published")) == "published", 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    kind = F.coalesce("own", F.when(F.col("earlier") == 0, "published").otherwise("modified"))
-    explicit = F.coalesce(attribute("datetime"), F.lit("")) != ""
-    out = rows(times, kind, stamp, F.when(explicit, "time_datetime").otherwise("label"), F.when(explicit, 0.98).otherwise(0.88), 1)
-    prop = F.coalesce(attribute("property"), attribute("name"))
-    metas = elements.where((F.col("tag") == "meta") & prop.isin("article:published_time", "article:modified_time") & (F.coalesce(attribute("content"), F.lit("")) != ""))
-    out = out.unionByName(rows(metas, F.when(prop == "article:published_time", "published").otherwise("modified"), attribute("content"), "article_meta", 0.96, 2))
-    scripts = elements.where((F.col("tag") == "script") & F.lower(attribute("type")).contains("ld+json"))
-    for name, key in (("published", "datePublished"), ("modified", "dateModified")):
-        every = scripts.select(*keys, "seq", F.explode(F.regexp_extract_all("text", F.lit(rf'"{key}"\s*:\s*"([^"]+)"'), 1)).alias("raw"))
-        out = out.unionByName(rows(every, name, F.col("raw"), "json_ld", 0.94, 3))
-    dated = F.regexp_extract("text", C.DATE, 0)
-    out = out.unionByName(rows(elements.where(of(F.col("own_text")).isNotNull() & (dated != "")), of(F.col("own_text")), dated, "label", 0.90, 4))
-    for name, chosen in (selectors or {}).items():
-        from pagewarden.sources.dom import selected
-
-        for s in chosen:
-            out = out.unionByName(rows(elements.where(selected(s)), name, stamp, "configured_selector", 0.86, 5))
-    return out
+    taken = lambda t: F.array_position(F.transform(t, lambda x: F.coalesce(x["own"], F.lit("published"))), "published")
+    kind = lambda x, i, at: F.coalesce(x["own"], F.when((at == 0) | (i + 1 <= at), "published").otherwise("modified"))
+    timed = let(times, lambda t: let(taken(t), lambda at: F.transform(t, lambda x, i: row(x["e"], kind(x, i, at), stamp(x["e"]), F.when(explicit(x["e"]), "time_datetime").otherwise("label"), F.when(explicit(x["e"]), 0.98).otherwise(0.88), 1))))
+    prop = lambda e: F.coalesce(attribute(e, "property"), attribute(e, "name"))
+    metas = F.transform(having(lambda e: (e["tag"] == "meta") & prop(e).isin("article:published_time", "article:modified_time") & ~blank(attribute(e, "content")), els), lambda e: row(e, F.when(prop(e) == "article:published_time", "published").otherwise("modified"), attribute(e, "content"), "article_meta", 0.96, 2))
+    said = F.transform(F.col("said"), lambda x: row(x, x["kind"], x["raw"], "json_ld", 0.94, 3))
+    date = lambda e: F.regexp_extract(F.coalesce(e["text"], e["own_text"]), C.DATE, 0)
+    labelled = F.transform(having(lambda e: ~e["tag"].isin("script", "style") & of(e["own_text"]).isNotNull() & (date(e) != ""), els), lambda e: row(e, of(e["own_text"]), date(e), "label", 0.90, 4))
+    chosen = [F.slice(F.transform(having(lambda e, s=s: selected(e, s), els), lambda e, name=name: row(e, name, stamp(e), "configured_selector", 0.86, 5)), 1, 1) for name, many in (selectors or {}).items() for s in many]
+    scripts = F.transform(having(lambda e: (e["tag"] == "script") & F.lower(attribute(e, "type")).contains("ld+json"), els), lambda e: F.struct(e["seq"].alias("seq"), F.coalesce(e["text"], F.lit("")).alias("text")))
+    if "page_type" in pages.columns:
+        pages = pages.where(~F.lower(F.coalesce("page_type", F.lit(""))).isin(*UNDATED_PAGES))
+    rows = pages.withColumn("said", _json_dates(scripts)).select(*keys, F.explode(F.concat(timed, metas, said, labelled, *chosen)).alias("c"))
+    return rows.select(*keys, "c.kind", C.parsed_date(F.col("c.original")).alias("day"), "c.original", "c.method", "c.confidence", "c.priority", "c.seq")
 
 
 def chosen_dates(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -202,18 +264,76 @@ def content_freshness(pages: DataFrame, dates: DataFrame, keys: list[str], refer
     return applied.select(*keys, *([] if "url" in keys else ["url"]), "applicability", "published", "modified", F.when(F.col("applicability") == "required", F.datediff(reference, F.col("day"))).alias("elapsed_days"), verdict.alias("verdict"))
 
 
-def list_items(elements: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a page's list: of the first kind of container of which there are two at least."""
-    kinds = [("table tbody tr", F.col("path").rlike("/table/tbody/tr$")), ("article", F.col("tag") == "article"), (".item", has_class("item")), (".card", has_class("card")), ("li", F.col("tag") == "li")]
-    of = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, (_, c) in enumerate(kinds)])
-    rows = elements.select("*", F.explode(F.filter(of, lambda x: x.isNotNull())).alias("k"))
-    counted = rows.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy(*keys).agg(F.min("k").alias("k"))
-    rows = rows.join(counted, [*keys, "k"])
-    inside = lambda tag, *cols: elements.where(F.col("tag") == tag).select(*keys, F.struct("seq", *cols).alias("x"), F.explode("up").alias("seq")).groupBy(*keys, "seq").agg(F.min("x").alias(tag))
-    stamps = inside("time", F.coalesce(attribute("datetime"), F.col("text")).alias("stamp"))
-    links = inside("a", F.col("text").alias("title"), attribute("href").alias("href"))
-    rows = rows.join(stamps, [*keys, "seq"], "left").join(links, [*keys, "seq"], "left")
-    return rows.select(*keys, "seq", C.parsed_date(F.coalesce("time.stamp", "text")).alias("day"), F.col("a.title").alias("title"), F.col("a.href").alias("href"))
+def _rows_of(els: Column, selectors: dict[str, list[str]]) -> Column:
+    """The rows of a page's list: by selector, or the first kind of container of which there are two at least."""
+    if selectors:
+        rows = having(lambda e: selected(e, selectors["row"][0]), els) if selectors.get("row") else F.slice(els, 1, 0)
+        if selectors.get("container"):
+            return let(first(having(lambda e: selected(e, selectors["container"][0]), els)), lambda c: F.when(c.isNull(), rows).otherwise(having(lambda e: inside(e, c), rows)))
+        return rows
+    kinds = [lambda e: e["path"].rlike("/table/(?:.*/)?tbody/(?:.*/)?tr$"), lambda e: e["tag"] == "article", lambda e: has_class(e, "item"), lambda e: has_class(e, "card"), lambda e: e["tag"] == "li"]
+    several = [F.filter(F.array(having(kind, els)), lambda k: F.size(k) >= 2) for kind in kinds]
+    return F.coalesce(first(F.concat(*several)), F.slice(els, 1, 0))
+
+
+def _items(els: Column, rows: Column, selectors: dict[str, list[str]]) -> Column:
+    """(seq, day, original, title, href, timed) of each row; dates of other contexts don't count unless a posted one is named too."""
+    one = lambda name: (selectors.get(name) or [None])[0]
+    tagged = lambda *tags: having(lambda e: e["tag"].isin(*tags), els)
+    of = lambda name, default: having(lambda e: selected(e, one(name)), els) if one(name) else default
+    any_of = lambda text, words: text.rlike("|".join(words))
+    table = lambda r: F.element_at(F.filter(tagged("table"), lambda t: inside(r, t)), -1)
+    heads = lambda t: F.transform(having(lambda e: (e["tag"] == "th") & e["path"].contains("/thead/") & inside(e, t), els), lambda e: any_of(F.lower(F.coalesce(e["text"], F.lit(""))), POSTED))
+    # The column under a head that names the posting date, from 1; 0 if there is none.
+    column = F.lit(0) if one("date") else let(first(rows), lambda r: F.when(F.exists(tagged("table"), lambda t: inside(r, t)), let(table(r), lambda t: F.array_position(heads(t), True).cast("int"))).otherwise(0))
+    text = lambda e: F.coalesce(e["text"], e["own_text"])
+
+    def item(r, at, times, cells, titles, links):
+        within = lambda many: first(F.filter(many, lambda e: inside(e, r)))
+        stamp = F.when(F.coalesce(at, F.lit(0)) > 0, F.get(F.filter(cells, lambda c: c["parent"] == r["seq"]), at - 1)).otherwise(within(times))
+        other = any_of(text(r), OTHER_DATES) & ~any_of(text(r), POSTED)
+        raw = lambda s: F.when(~blank(attribute(s, "datetime")), attribute(s, "datetime")).when(other, "").otherwise(F.when(s.isNull(), text(r)).otherwise(text(s)))
+        return let(stamp, lambda s: F.struct(r["seq"].alias("seq"), C.parsed_date(raw(s)).alias("day"), raw(s).alias("original"), F.coalesce(text(within(titles)), F.lit("")).alias("title"), F.coalesce(attribute(within(links), "href"), F.lit("")).alias("href"), s.isNotNull().alias("timed")))
+
+    return let(
+        column,
+        lambda at: let(of("date", tagged("time")), lambda times: let(tagged("td"), lambda cells: let(of("title", tagged("h1", "h2", "h3", "h4", "a")), lambda titles: let(of("link", having(lambda e: (e["tag"] == "a") & attribute(e, "href").isNotNull(), els)), lambda links: F.transform(rows, lambda r: item(r, at, times, cells, titles, links)))))),
+    )
+
+
+def list_items(pages: DataFrame, keys: list[str], selectors: dict[str, list[str]] | None = None) -> DataFrame:
+    """(keys, seq, day, original, title, href, timed) of the rows of parsed pages' lists."""
+    rows = pages.select(*keys, "elements", _rows_of(F.col("elements"), selectors or {}).alias("rows"))
+    return rows.select(*keys, F.explode(_items(F.col("elements"), F.col("rows"), selectors or {})).alias("i")).select(*keys, "i.*")
+
+
+def _list_verdict(valid: Column, future: Column, latest: Column, boundary: Column) -> Column:
+    return F.when(future > 0, T.MANUAL).when(valid == 0, T.UNCHECKABLE).when(latest <= boundary, T.REVIEW).otherwise(T.OK)
+
+
+def page_lists(pages: DataFrame, keys: list[str], reference: Column, *, months: int = 3, selectors: dict[str, list[str]] | None = None, empty: Iterable[str] = EMPTY_LISTS, issue: str = T.STALE_LIST) -> DataFrame:
+    """Freshness of the list that each parsed page holds, by the first rule that fits: a phrase that says it is empty, a kind of list that needs no check, no rows, then the dates of its rows.
+
+    pages may have list_type. Only what the page shows is looked at.
+    """
+    els = F.col("elements")
+    seen = F.array_join(F.transform(having(lambda e: ~e["tag"].isin("script", "style", "template"), els), lambda e: e["own_text"]), " ")
+    kind = F.lower(F.coalesce("list_type", F.lit(""))) if "list_type" in pages.columns else F.lit("")
+    rows = pages.select(*keys, "elements", seen.alias("seen"), kind.alias("list_type"), _rows_of(els, selectors or {}).alias("rows"))
+    rows = rows.select(*keys, "seen", "list_type", F.size("rows").alias("n"), _items(els, F.col("rows"), selectors or {}).alias("items"))
+    count = lambda when: F.size(F.filter("items", when))
+    usable = F.array_max(F.transform(F.filter("items", lambda i: i["day"] <= reference), lambda i: F.struct(i["day"].alias("day"), (-i["seq"]).alias("order"), i["title"].alias("title"), i["href"].alias("href"))))
+    rows = rows.select("*", count(lambda i: i["day"].isNotNull()).alias("valid"), count(lambda i: i["day"].isNull()).alias("failed"), count(lambda i: i["day"] > reference).alias("future"), usable.alias("latest"))
+    none, skipped = F.col("seen").rlike("|".join(empty)), F.col("list_type").isin(*UNCHECKED_LISTS) | F.lower("seen").rlike("|".join(UNCHECKED_WORDS))
+    boundary = C.months_before(reference, months)
+    dated = ~none & ~skipped & (F.col("n") > 0)
+    verdict = F.when(none, T.REVIEW).when(skipped, T.NOT_APPLICABLE).when(F.col("n") == 0, T.MANUAL).otherwise(_list_verdict(F.col("valid"), F.col("future"), F.col("latest.day"), boundary))
+    applies = F.when(none, "required").when(skipped, "not_required").when(F.col("n") >= 2, "required").otherwise("uncertain")
+    only = lambda c: F.when(dated, c)
+    return rows.select(
+        *keys, applies.alias("applicability"), F.coalesce(only(F.col("valid")), F.lit(0)).alias("valid"), F.coalesce(only(F.col("failed")), F.lit(0)).alias("failed"), only(F.col("latest.day")).alias("latest_day"), only(F.col("latest.title")).alias("latest_title"), only(F.col("latest.href")).alias("latest_href"),
+        boundary.alias("boundary"), verdict.alias("verdict"), F.when(dated & (verdict == T.REVIEW), issue).alias("issue_type"), (verdict == T.MANUAL).alias("manual"),
+    )
 
 
 def list_freshness(items: DataFrame, keys: list[str], reference: Column, months: int = 3) -> DataFrame:
@@ -221,42 +341,83 @@ def list_freshness(items: DataFrame, keys: list[str], reference: Column, months:
     usable = F.when(F.col("day") <= reference, F.struct("day", (-F.col("seq")).alias("order"), "title"))
     boundary = C.months_before(reference, months)
     out = items.groupBy(*keys).agg(F.count("day").alias("valid"), (F.count(F.lit(1)) - F.count("day")).alias("failed"), F.count_if(F.col("day") > reference).alias("future"), F.max(usable).alias("latest"))
-    verdict = F.when(F.col("future") > 0, T.MANUAL).when(F.col("valid") == 0, T.UNCHECKABLE).when(F.col("latest.day") <= boundary, T.REVIEW).otherwise(T.OK)
+    verdict = _list_verdict(F.col("valid"), F.col("future"), F.col("latest.day"), boundary)
     return out.withColumn("verdict", verdict).select(*keys, "valid", "failed", "future", F.col("latest.day").alias("latest_day"), F.col("latest.title").alias("latest_title"), "verdict", F.when(F.col("verdict") == T.REVIEW, T.STALE_LIST).alias("issue_type"))
 
 
-def references(elements: DataFrame, keys: list[str], base: Column) -> DataFrame:
-    """Links, attachments, anchors, images, scripts and stylesheets of pages, in page order with their place among their kind."""
-    href = F.when(F.col("tag").isin("a", "link"), attribute("href")).otherwise(attribute("src"))
-    rows = elements.where(F.col("tag").isin("a", "img", "script", "link")).select("*", href.alias("href"))
-    kind = U.resource_kind(F.col("tag"), F.col("href"), attribute("download").isNotNull())
-    one = rows.where("href is not null").select("*", kind.alias("kind"))
-    many = rows.where((F.col("tag") == "img") & attribute("srcset").isNotNull()).withColumn("href", F.explode(U.srcset(attribute("srcset")))).withColumn("kind", F.lit("image"))
-    alt = F.when((attribute("role") == "presentation") & attribute("alt").isNull(), "").otherwise(attribute("alt"))
-    w = Window.partitionBy(*keys, "kind").orderBy("seq", "href")
-    place = F.concat("kind", F.lit("["), (F.row_number().over(w) - 1).cast("string"), F.lit("]"))
-    return one.unionByName(many).select(*keys, "seq", "kind", F.col("href").alias("original_url"), U.join(base, F.col("href")).alias("absolute_url"), "text", alt.alias("alt"), place.alias("location"))
+def references(pages: DataFrame, keys: list[str], base: Column) -> DataFrame:
+    """Links, attachments, anchors, images, scripts and stylesheets of parsed pages, in page order with their place among their kind."""
+    of = having(lambda e: e["tag"].isin("a", "img", "script", "link"))
+    href = lambda e: F.when(e["tag"].isin("a", "link"), attribute(e, "href")).otherwise(attribute(e, "src"))
+    alt = lambda e: F.when((attribute(e, "role") == "presentation") & attribute(e, "alt").isNull(), "").otherwise(attribute(e, "alt"))
+    many = lambda e: F.when((e["tag"] == "img") & attribute(e, "srcset").isNotNull(), U.srcset(attribute(e, "srcset"))).otherwise(F.array().cast("array<string>"))
+    urls = lambda e: F.filter(F.concat(F.array(href(e)), many(e)), lambda h: h.isNotNull())
+    row = lambda e, h: F.struct(e["seq"].alias("seq"), e["tag"].alias("tag"), h.alias("href"), e["text"].alias("text"), alt(e).alias("alt"), attribute(e, "download").isNotNull().alias("download"))
+    rows = pages.select(*keys, F.posexplode(F.flatten(F.transform(of, lambda e: F.transform(urls(e), lambda h: row(e, h))))).alias("at", "r")).select(*keys, "at", "r.*")
+    rows = rows.withColumn("kind", U.resource_kind(F.col("tag"), F.col("href"), F.col("download")))
+    place = F.concat("kind", F.lit("["), (F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("at")) - 1).cast("string"), F.lit("]"))
+    return rows.select(*keys, "seq", "kind", F.col("href").alias("original_url"), U.join(base, F.col("href")).alias("absolute_url"), "text", "alt", place.alias("location"))
+
 
+ANSWER = {"status_code": "int", "error": "string", "content_type": "string", "content_length": "bigint", "final_url": "string", "hops": "int"}
 
-def checked_resources(refs: DataFrame, answers: DataFrame) -> DataFrame:
+
+def answered(answers: DataFrame) -> DataFrame:
+    """One answer a URL, without its body: (url, head, got), of HEAD and of GET requests, each the facts that verdicts need.
+
+    answers: (url, status_code, content_type, content_length, body, error) and maybe method (GET if missing), final_url, hops. The length of the
+    header counts, else that of the body. Of several answers to one request the least in the order of its fields counts.
+    """
+    cols = {c: F.col(c).cast(t) if c in answers.columns else F.lit(None).cast(t) for c, t in ANSWER.items()}
+    cols["content_length"] = F.coalesce(cols["content_length"], F.octet_length("body").cast("bigint"))
+    start = F.col("body")
+    facts = F.struct(*[c.alias(n) for n, c in cols.items()], F.hex(F.substring(start, 1, 8)).alias("start"), F.lower(F.substring(start, 1, 1000).cast("string")).contains("captcha").alias("captcha"))
+    method = F.upper("method") if "method" in answers.columns else F.lit("GET")
+    rows = answers.select("url", method.alias("method"), facts.alias("a"))
+    return rows.groupBy("url").agg(F.min(F.when(F.col("method") == "HEAD", F.col("a"))).alias("head"), F.min(F.when(F.col("method") != "HEAD", F.col("a"))).alias("got"))
+
+
+def checked_resources(refs: DataFrame, answers: DataFrame, *, cached: DataFrame | None = None, max_hops: int = 3) -> DataFrame:
     """References (page_url, seq, kind, normalized_url, alt) with the verdict of their URL's answer.
 
-    Each URL is judged once; unsafe destinations and URLs without an answer can't be checked.
-    answers: (url, status_code, content_type, content_length, body, error).
+    Answers are brought to one row a URL before the join, and bodies stay behind. A HEAD counts unless it was refused (405, none, 403
+    of an attachment) or an attachment's had no bytes; then the GET does. 304 keeps an attachment's cached verdict (cached: normalized_url, verdict).
+    Unsafe destinations, unsafe or too many redirects, and URLs without an answer can't be checked.
     """
-    one = answers.dropDuplicates(["url"]).withColumnRenamed("url", "normalized_url")
+    one = answered(answers).withColumnRenamed("url", "normalized_url")
     rows = refs.join(one, "normalized_url", "left")
-    safe = U.safe_destination(F.col("normalized_url"))
-    verdict = C.resource_verdict(F.col("status_code"), F.col("error"), F.substring(F.col("body").cast("string"), 1, 4000))
-    mismatch = ~C.signature_matches(F.col("body"), F.col("content_type"))
-    image_type = ~F.lower(F.coalesce("content_type", F.lit("image/"))).startswith("image/") | (F.col("content_length") == 0)
+    old = cached.select("normalized_url", F.col("verdict").alias("old_verdict")) if cached is not None else None
+    rows = rows.join(old, "normalized_url", "left") if old is not None else rows.withColumn("old_verdict", F.lit(None).cast("string"))
+    head, kind = F.col("head.status_code"), F.col("kind")
+    refused = F.coalesce(head.isin(405, 0), F.lit(True)) | (head == 403) & (kind == "attachment") | (head == 200) & (kind == "attachment") & F.col("got").isNotNull()
+    rows = rows.withColumn("a", F.when(F.col("head").isNull() | refused & F.col("got").isNotNull(), F.col("got")).otherwise(F.col("head")))
+    a = lambda name: F.col(f"a.{name}")
+    unchanged = (a("status_code") == 304) & (kind == "attachment") & F.col("old_verdict").isNotNull()
+    moved = F.coalesce(a("final_url") != F.col("normalized_url"), F.lit(False))
+    plain = C.resource_verdict(a("status_code"), a("error"), F.when(a("captcha"), "captcha"))
+    http = F.concat(F.lit("HTTP "), a("status_code").cast("string"))
+    base = [
+        (~U.safe_destination(F.col("normalized_url")), T.UNCHECKABLE, F.lit("점검 제외 대상")),
+        (F.col("a").isNull(), T.UNCHECKABLE, F.lit("응답 없음")),
+        (unchanged, F.col("old_verdict"), F.lit("304 Not Modified")),
+        (moved & ~U.safe_destination(a("final_url")), T.UNCHECKABLE, F.lit("위험한 리다이렉트 목적지")),
+        (moved & (a("hops") > max_hops), T.UNCHECKABLE, F.lit("리다이렉트 횟수 상한 초과")),
+    ]
+    first_of = lambda i, last: F.coalesce(*[F.when(c, r[i]) for c, *r in base], last)
+    rows = rows.withColumn("v", first_of(0, plain)).withColumn("why", first_of(1, F.coalesce(a("error"), http)))
+    ok = F.col("v") == T.OK
+    size0 = F.coalesce(a("content_length") == 0, F.lit(False))
+    image_type = ~F.lower(F.coalesce(a("content_type"), F.lit(""))).startswith("image/")
+    wrong = C.attachment_mismatch(F.col("normalized_url"), a("content_type"), a("start"))
     found = [
-        (F.when(~safe, T.UNCHECKABLE).otherwise(verdict), F.when(~safe, "점검 제외 대상").otherwise(F.coalesce("error", F.concat(F.lit("HTTP "), F.col("status_code").cast("string")), F.lit("응답 없음")))),
-        (F.when((F.col("kind") == "image") & F.col("alt").isNull(), T.ERROR), F.lit("alt 없음")),
-        (F.when((F.col("kind") == "image") & (verdict == T.OK) & image_type, T.ERROR), F.lit("이미지 형식 불일치 또는 크기 0")),
-        (F.when((F.col("kind") == "attachment") & (verdict == T.OK) & (mismatch | (F.col("content_length") == 0)), T.ERROR), F.lit("첨부 형식 불일치 또는 크기 0")),
+        (ok & (kind == "image") & F.col("alt").isNull(), F.lit("이미지 alt 속성 누락"), T.LOW),
+        (ok & (kind == "image") & (image_type | size0), F.lit("이미지 Content-Type 또는 크기 오류"), T.MIDDLE),
+        (ok & (kind == "attachment") & ~unchanged & (wrong | size0), F.lit("첨부파일 크기 또는 시그니처 불일치"), T.MIDDLE),
     ]
-    return rows.withColumn("w", C.worst(found)).select(*refs.columns, "status_code", F.col("w.verdict").alias("verdict"), F.col("w.reason").alias("reason"))
+    bad = F.coalesce(*[F.when(c, F.struct(why.alias("why"), F.lit(s).alias("severity"))) for c, why, s in found])
+    severity = F.when(F.col("bad").isNotNull(), F.col("bad.severity")).when(F.col("v") == T.ERROR, T.HIGH).otherwise(T.TO_REVIEW)
+    rows = rows.withColumn("bad", bad).withColumn("status_code", a("status_code")).withColumn("content_length", a("content_length"))
+    return rows.select(*refs.columns, "status_code", "content_length", F.when(F.col("bad").isNotNull(), T.ERROR).otherwise(F.col("v")).alias("verdict"), F.coalesce("bad.why", "why").alias("reason"), severity.alias("severity"))
 
 
 def anchors(refs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -278,8 +439,12 @@ def attachment_decisions(refs: DataFrame, cache: DataFrame, today: Column, polic
 
 
 def updated_cache(cache: DataFrame, checked: DataFrame, today: Column, days: int = 30) -> DataFrame:
-    """Cache rows (normalized_url, original_pages, verdict, next_recheck_date) after checks (normalized_url, page_url, verdict)."""
-    new = checked.groupBy("normalized_url").agg(F.collect_set("page_url").alias("pages"), F.max_by("verdict", C.rank(F.col("verdict"))).alias("new_verdict"))
-    rows = cache.join(new, "normalized_url", "full_outer")
-    none = F.array().cast("array<string>")
-    return rows.select("normalized_url", F.array_sort(F.array_union(F.coalesce("original_pages", none), F.coalesce("pages", none))).alias("original_pages"), F.coalesce("new_verdict", "verdict").alias("verdict"), F.when(F.col("new_verdict").isNotNull(), F.date_add(today, days)).otherwise(F.col("next_recheck_date")).alias("next_recheck_date"))
+    """Cache rows (normalized_url, verdict, next_recheck_date) after checks (normalized_url, page_url, verdict); of several verdicts the worst counts."""
+    new = checked.groupBy("normalized_url").agg(F.max(F.struct(C.rank(F.col("verdict")).alias("rank"), F.col("verdict").alias("verdict"))).alias("new"))
+    rows = cache.select("normalized_url", "verdict", "next_recheck_date").join(new, "normalized_url", "full_outer")
+    return rows.select("normalized_url", F.coalesce("new.verdict", "verdict").alias("verdict"), F.when(F.col("new").isNotNull(), F.date_add(today, days)).otherwise(F.col("next_recheck_date")).alias("next_recheck_date"))
+
+
+def cached_pages(relations: DataFrame, checked: DataFrame) -> DataFrame:
+    """Which pages (page_url) refer to which attachment (normalized_url): a row for each pair, as an attachment may be on every page."""
+    return relations.select("normalized_url", "page_url").unionByName(checked.select("normalized_url", "page_url")).distinct()

@@ -62,7 +62,7 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     perf = rules.get("performance", {})
     reference = F.lit(at.date())
     pages = responses.where("html is not null").select(*KEYS, "html", F.lit("unknown").alias("page_type"))
-    elements = dom.elements(pages, KEYS).persist()
+    elements = dom.parsed(pages, KEYS).persist()
 
     found = occurrences(elements, ", ".join(rules.get("menu_selectors", ["nav a", "header a"])), at)
     maps = I.sitemap_urls(responses.select("target_id", "url", F.col("html").alias("text"))).where("kind = 'page'")
@@ -77,7 +77,7 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     patterns = fresh.get("content_type_patterns", {})
     dates = R.chosen_dates(R.date_candidates(elements, KEYS, selectors=fresh.get("date_selectors") or None), KEYS)
     freshness = R.content_freshness(pages, dates, KEYS, reference, required=patterns.get("required", ()), not_required=patterns.get("not_required", ()), review_days=int(fresh.get("default_review_days", 730)), tolerance=int(fresh.get("future_tolerance_days", 1)))
-    lists = R.list_freshness(R.list_items(elements, KEYS), KEYS, reference, int(fresh.get("list_calendar_months", 3)))
+    lists = R.page_lists(elements, KEYS, reference, months=int(fresh.get("list_calendar_months", 3)))
 
     refs = R.references(elements, KEYS, F.col("url")).withColumn("normalized_url", F.coalesce(U.normalize(F.col("absolute_url"), policy), F.col("absolute_url")))
     answers = responses.select(U.normalize(F.col("url"), policy).alias("url"), "status_code", F.element_at("headers", F.lit("content-type")).alias("content_type"), F.octet_length("body").cast("bigint").alias("content_length"), F.coalesce("body", F.col("html").cast("binary")).alias("body"), "error")

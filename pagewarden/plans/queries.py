@@ -213,21 +213,21 @@ EDGES = "SELECT DISTINCT user_id AS src, (user_id * 7 + event_id % 3) % (SELECT
 @query(f"WITH RECURSIVE e AS ({EDGES}), r(url, depth) AS (SELECT min(src), 0 FROM e UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 5) SELECT url, min(depth) AS depth FROM r GROUP BY url")
 def crawl_reachability(spark, sf):
     ev = table(spark, sf, "events")
-    n = ev.agg(F.max("user_id") + 1).first()[0]
-    edges = ev.select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("event_id") % 3) % n).alias("dst")).distinct()
+    n = ev.agg((F.max("user_id") + 1).alias("n"), F.lit(1).alias("one"))
+    edges = ev.withColumn("one", F.lit(1)).join(F.broadcast(n), "one").select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("event_id") % 3) % F.col("n")).alias("dst")).distinct()  # one row
     return I.reachable(edges, ev.agg(F.min("user_id").alias("url")), max_depth=5)
 
 
 @query(f"SELECT {HOST.format(u='url')} AS url, 'page' AS kind, url AS loc FROM pages")
 def sitemap_locations(spark, sf):
     entry = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    maps = table(spark, sf, "pages").groupBy(U.host(F.col("url")).alias("url"), (F.col("page_id") % 64).alias("part")).agg(F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("text"))
+    maps = table(spark, sf, "pages").select(U.host(F.col("url")).alias("url"), F.concat(F.lit('<?xml version="1.0"?><urlset>'), entry, F.lit("</urlset>")).alias("text"))
     return I.sitemap_urls(maps)
 
 
 @query("SELECT page_id, m[1] AS href, m[2] AS title, '' || m[2] AS menu_path FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a>', 1), regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a>', 2))) AS m FROM pages)")
 def menu_links(spark, sf):
-    return I.menu(dom.elements(table(spark, sf, "pages"), ["page_id"]), ["page_id"]).select("page_id", "href", "title", "menu_path")
+    return I.menu(dom.parsed(table(spark, sf, "pages"), ["page_id"]), ["page_id"]).select("page_id", "href", "title", "menu_path")
 
 
 @query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag")
@@ -286,7 +286,7 @@ def a11y_counts(spark, sf):
 
 @query("SELECT code, count(*) AS n FROM (SELECT 'empty-control' AS code, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\"></a>')) FROM pages UNION ALL SELECT 'image-alt', unnest(regexp_extract_all(html, '<img [^>]*>')) FROM pages) GROUP BY code")
 def a11y_elements(spark, sf):
-    return R.element_issues(dom.elements(table(spark, sf, "pages"), ["page_id"]), ["page_id"]).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return R.element_issues(dom.parsed(table(spark, sf, "pages"), ["page_id"]), ["page_id"]).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"SELECT page_id, sha256(trim(regexp_replace(html, '[ \t\n\r\f]+', ' ', 'g'))) AS content_hash FROM pages")
@@ -314,6 +314,186 @@ def a11y_cache_reuse(spark, sf):
     return R.reused(p, cache, "p1").select("page_id", "content_hash", "reuse")
 
 
+# Pages with faults that are put into them by their number, so that each rule has something to find.
+_FAULTS = [
+    ("<html lang=\"", "<html data-l=\""), ("<!DOCTYPE html>", ""), ("<!DOCTYPE html>", '<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0">'), ("<title>", "<title> </title><p hidden>"), ("<title>", "<title>Home</title><p hidden>"), ("<title>", "<title>a</title><title>"),
+    ('charset="utf-8"', 'charset="euc-kr"'), ('<meta charset="utf-8">', ""), ('<meta charset="utf-8">', '<meta charset="utf-8"><meta charset="euc-kr">'), ("<head>", '<head><meta name="viewport" content="width=device-width, user-scalable=no">'), ("<head>", '<head><meta name="viewport" content="width=1024, maximum-scale=1">'),
+    ("<nav>", '<a href="#c">Skip to content</a><nav>'), ("</head>", ""), ("</body>", "<form></body>"),
+]
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+FAULTY = f"faulty AS (SELECT page_id, url, CASE page_id % {len(_FAULTS)} " + " ".join(f"WHEN {i} THEN replace(html, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(_FAULTS)) + " END AS html FROM pages)"
+_CHARSETS = """list_distinct(list_transform(regexp_extract_all(html, 'charset="([^"]*)"', 1), lambda x: lower(x)))"""
+_TITLES = "regexp_extract_all(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+_VIEW = """regexp_extract(html, '<meta name="viewport" content="([^"]*)"', 1)"""
+_FAULT_RULES = [r for r in _RULES if r[0] not in ("encoding", "title")] + [
+    ("encoding", "점검 불가", "검토", "", f"len({_CHARSETS}) = 0"), ("encoding", "오류", "중", "", f"len({_CHARSETS}) > 1"), ("encoding", "검토 필요", "검토", "", f"len({_CHARSETS}) = 1 AND {_CHARSETS}[1] <> 'utf-8'"),
+    ("title", "오류", "중", "title", f"len({_TITLES}) <> 1 OR trim({_TITLES}[1]) = ''"), ("title-generic", "검토 필요", "하", "title", f"len({_TITLES}) = 1 AND lower(trim({_TITLES}[1])) IN ('홈', '페이지', 'home', 'untitled')"),
+    ("viewport-width", "검토 필요", "검토", "", f"{_VIEW} <> '' AND NOT contains({_VIEW}, 'width=device-width')"), ("viewport-zoom", "검토 필요", "검토", "", f"contains({_VIEW}, 'user-scalable=no') OR contains({_VIEW}, 'maximum-scale=1')"),
+]
+FAULT_ISSUES = f"{FAULTY}, iss AS (" + " UNION ALL ".join(f"SELECT page_id, '{c}' AS code, '{r}' AS result, '{s}' AS severity, '{e}' AS element FROM faulty WHERE {w}" for c, r, s, e, w in _FAULT_RULES) + ")"
+
+
+def _faulty(spark, sf) -> DataFrame:
+    k, html = F.col("page_id") % len(_FAULTS), F.lit(None)
+    for i, (a, b) in enumerate(_FAULTS):
+        html = F.when(k == i, F.replace(F.col("html"), F.lit(a), F.lit(b))).otherwise(html)
+    return dom.dealt(table(spark, sf, "pages")).select("page_id", "url", html.alias("html"))
+
+
+@query(f"WITH {FAULT_ISSUES} SELECT page_id, code, result, severity, element FROM iss")
+def a11y_source_faults(spark, sf):
+    return R.page_issues(_faulty(spark, sf), ["page_id", "url"]).select("page_id", "code", "result", "severity", "element")
+
+
+def _fault_rule(name: str, *codes: str) -> None:
+    def run(spark, sf):
+        return a11y_source_faults(spark, sf).where(F.col("code").isin(*codes))
+
+    QUERIES[name] = run
+    SQL[name] = f"WITH {FAULT_ISSUES} SELECT page_id, code, result, severity, element FROM iss WHERE code IN ({', '.join(map(_quoted, codes))})"
+
+
+_fault_rule("a11y_doctype_faults", "doctype")
+_fault_rule("a11y_syntax_faults", "html-syntax")
+_fault_rule("a11y_encoding_faults", "encoding")
+_fault_rule("a11y_title_faults", "title", "title-generic")
+_fault_rule("a11y_viewport_faults", "viewport", "viewport-width", "viewport-zoom")
+
+#: What is put at the end of a page's body, and what the rules say of it: code, result, severity, element.
+_PARTS = [
+    ('<p id=""></p>', [("empty-id", "검토 필요", "하", "p")]),
+    ('<p id="a"></p><b id="a"></b><i id="a"></i>', [("duplicate-id", "오류", "중", "a")]),
+    ('<input id="x"><textarea></textarea>', [("input-label", "오류", "중", "input"), ("input-label", "오류", "중", "textarea")]),
+    ('<input placeholder="p">', [("input-label", "검토 필요", "검토", "input")]),
+    ('<label for="y">L</label><select id="y"></select><label>in <input></label><input type="hidden"><textarea aria-label="t"></textarea>', []),
+    ('<input aria-labelledby="no">', [("input-label-ref", "오류", "중", "input")]),
+    ("<button></button><button> ok </button>", [("empty-control", "검토 필요", "검토", "button")]),
+    ('<a href="/q"><img src="i.png" alt=""></a>', [("icon-control", "수동확인 필요", "검토", "a")]),
+    ('<a href="/q"><img src="i.png" alt="ok"></a><img src="b.png" role="presentation">', []),
+    ('<button aria-labelledby="no2"></button>', [("accessible-name-ref", "오류", "중", "button")]),
+    ('<img src="a.png"><img src="b.png">', [("image-alt", "오류", "중", "img"), ("image-alt", "오류", "중", "img")]),
+    ('<a href="#none">Skip to content</a><a href="#top">본문 바로가기</a><a name="top">x</a>', [("skip-link-target", "오류", "중", "a")]),
+]
+_VALUES = ", ".join(f"({i}, '{c}', '{r}', '{s}', '{e}')" for i, (_, many) in enumerate(_PARTS) for c, r, s, e in many)
+
+
+def _with_end(spark, sf, ends: list, name: str = "page_id") -> DataFrame:
+    """Pages with a part before the end of their body, by their number; ends: columns or texts."""
+    k, end = F.col(name) % len(ends), F.lit("")
+    for i, e in enumerate(ends):
+        end = F.when(k == i, e).otherwise(end)
+    html = F.concat(F.regexp_replace("html", r"</body></html>\s*$", ""), end, F.lit("</body></html>"))
+    return table(spark, sf, "pages").select("page_id", "url", html.alias("html"))
+
+
+@query(f"SELECT page_id, code, result, severity, element FROM pages JOIN (VALUES {_VALUES}) v(k, code, result, severity, element) ON page_id % {len(_PARTS)} = k")
+def a11y_element_faults(spark, sf):
+    pages = dom.parsed(_with_end(spark, sf, [p for p, _ in _PARTS]), ["page_id"])
+    return R.element_issues(pages, ["page_id"]).select("page_id", "code", "result", "severity", "element")
+
+
+def _element_rule(name: str, *codes: str) -> None:
+    def run(spark, sf):
+        return a11y_element_faults(spark, sf).where(F.col("code").isin(*codes))
+
+    QUERIES[name] = run
+    SQL[name] = f"SELECT page_id, code, result, severity, element FROM pages JOIN (VALUES {_VALUES}) v(k, code, result, severity, element) ON page_id % {len(_PARTS)} = k WHERE code IN ({', '.join(map(_quoted, codes))})"
+
+
+_element_rule("a11y_id_faults", "empty-id", "duplicate-id")
+_element_rule("a11y_label_faults", "input-label-ref", "input-label")
+_element_rule("a11y_name_faults", "accessible-name-ref", "icon-control", "empty-control")
+_element_rule("a11y_skip_target_faults", "skip-link-target")
+_element_rule("a11y_image_faults", "image-alt")
+
+_REFS = [
+    ('<img src="i.png" srcset="j.png 1x, /k.png 2x"><script src="/s.js"></script>', [("image", "i.png"), ("image", "j.png"), ("image", "/k.png"), ("script", "/s.js")]),
+    ('<link rel="stylesheet" href="c.css"><a href="f.PDF?x=1">f</a><a href="g" download>g</a>', [("stylesheet", "c.css"), ("attachment", "f.PDF?x=1"), ("attachment", "g")]),
+    ('<a href="#part">p</a><a>none</a><img alt="x">', [("anchor", "#part")]),
+]
+
+
+@query("SELECT page_id, 'link' AS kind, href AS original_url FROM " + LINKS + f" UNION ALL SELECT page_id, kind, original_url FROM pages JOIN (VALUES {', '.join(f'({i}, {_quoted(k)}, {_quoted(u)})' for i, (_, many) in enumerate(_REFS) for k, u in many)}) v(k, kind, original_url) ON page_id % {len(_REFS)} = k")
+def resource_references(spark, sf):
+    pages = dom.parsed(_with_end(spark, sf, [p for p, _ in _REFS]), ["page_id", "url"])
+    return R.references(pages, ["page_id", "url"], F.col("url")).select("page_id", "kind", "original_url")
+
+
+@query("SELECT url AS page_url, 'http://x.test/' || page_id || '.js,http://x.test/i.png' AS mixed FROM pages WHERE starts_with(lower(url), 'https:') AND page_id % 2 = 0")
+def mixed_content(spark, sf):
+    bad = F.concat(F.lit('<img src="http://x.test/i.png"><script src="http://x.test/'), F.col("page_id"), F.lit('.js"></script><a href="http://x.test/">l</a>'))
+    pages = dom.parsed(_with_end(spark, sf, [bad, F.lit('<img src="https://x.test/i.png">')]), ["page_id", "url"])
+    refs = R.references(pages, ["page_id", "url"], F.col("url")).select(F.col("url").alias("page_url"), "kind", F.col("absolute_url").alias("normalized_url"))
+    return R.mixed_content(refs).select("page_url", F.array_join("mixed_content", ",").alias("mixed"))
+
+
+_ANCHORS = ["top", "gone", "", "unread"]
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 1 THEN '오류' WHEN 3 THEN '점검 불가' ELSE '정상' END AS verdict FROM pages")
+def anchor_targets(spark, sf):
+    """Anchors of pages against the ids and names of the pages that were read, those of every fourth weren't."""
+    ends = [F.lit('<p id="top">x</p><a name="foot"></a>')] * 4
+    pages = dom.parsed(_with_end(spark, sf, ends).where("page_id % 4 <> 3"), ["url"])
+    targets = pages.select(F.col("url").alias("document_url"), F.explode("elements").alias("e")).select("document_url", F.explode(F.array(dom.attribute(F.col("e"), "id"), dom.attribute(F.col("e"), "name"))).alias("ref")).where("ref is not null")
+    k, fragment = F.col("page_id") % 4, F.lit("")
+    for i, f in enumerate(_ANCHORS):
+        fragment = F.when(k == i, f).otherwise(fragment)
+    return R.anchors(table(spark, sf, "pages").select("page_id", F.col("url").alias("document_url"), fragment.alias("fragment")), targets).select("page_id", "verdict")
+
+
+def _answers(e: DataFrame) -> DataFrame:
+    """An answer of each event's URL: its status, type, first bytes and length by the event's number."""
+    i = F.col("event_id")
+    return e.select(
+        "normalized_url", F.col("normalized_url").alias("url"), F.when(i % 7 == 6, "HEAD").otherwise("GET").alias("method"), F.when(i % 7 == 1, 404).when(i % 7 == 2, 503).when(i % 7 == 3, 403).when(i % 7 == 6, 304).otherwise(200).alias("status_code"), F.when(i % 7 == 5, "ConnectTimeout").alias("error"),
+        F.when(i % 3 == 0, "text/html").when((i % 3 == 1) & (i % 5 == 0), "text/plain").when(i % 3 == 1, "image/png").otherwise("application/pdf").alias("content_type"), F.when(i % 11 == 0, 0).otherwise(10).cast("bigint").alias("content_length"), F.when(i % 13 == 0, "PK..").otherwise("%PDF-1.7").cast("binary").alias("body"),
+    )
+
+
+@query("""SELECT event_id, CASE WHEN i % 17 = 0 THEN '점검 불가' WHEN i % 7 = 6 THEN CASE WHEN k = 2 THEN '검토 필요' ELSE '검토 필요' END WHEN i % 7 IN (3, 5) THEN '점검 불가' WHEN i % 7 = 1 THEN '오류' WHEN i % 7 = 2 THEN '검토 필요'
+WHEN k = 1 AND (i % 4 = 0 OR i % 5 = 0 OR i % 11 = 0) THEN '오류' WHEN k = 2 AND (i % 13 = 0 OR i % 11 = 0) THEN '오류' ELSE '정상' END AS verdict FROM (SELECT event_id, event_id AS i, event_id % 3 AS k FROM events)""")
+def resource_checks(spark, sf):
+    """Links, images and attachments by the answers of their URLs; each seventeenth destination isn't safe, each seventh attachment is unchanged."""
+    i = F.col("event_id")
+    url = F.concat(F.when(i % 17 == 0, "http://127.0.0.1/").otherwise("https://h.test/"), i.cast("string"), F.when(i % 3 == 2, ".pdf").otherwise(""))
+    e = table(spark, sf, "events").select("event_id", url.alias("normalized_url"))
+    refs = e.select(F.col("event_id"), F.lit("p").alias("page_url"), i.cast("int").alias("seq"), F.when(i % 3 == 0, "link").when(i % 3 == 1, "image").otherwise("attachment").alias("kind"), "normalized_url", F.when(i % 4 != 0, "text").alias("alt"))
+    cached = e.where("event_id % 3 = 2").select("normalized_url", F.lit(T.REVIEW).alias("verdict"))
+    return R.checked_resources(refs, _answers(e), cached=cached).select("event_id", "verdict")
+
+
+@query("""SELECT page_id, kind, day, method, confidence::DOUBLE AS confidence FROM (SELECT page_id, page_id % 6 AS k, DATE '2023-01-01' + CAST(page_id % 500 AS INTEGER) AS d FROM pages) JOIN LATERAL (SELECT unnest([
+  {'k': 0, 'kind': 'published', 'day': d, 'method': 'time_datetime', 'confidence': 0.98}, {'k': 1, 'kind': 'modified', 'day': d, 'method': 'article_meta', 'confidence': 0.96}, {'k': 2, 'kind': 'published', 'day': d, 'method': 'json_ld', 'confidence': 0.94}, {'k': 2, 'kind': 'modified', 'day': d + 1, 'method': 'json_ld', 'confidence': 0.94},
+  {'k': 3, 'kind': 'published', 'day': d, 'method': 'label', 'confidence': 0.9}, {'k': 4, 'kind': 'modified', 'day': d, 'method': 'label', 'confidence': 0.88}, {'k': 4, 'kind': 'published', 'day': d + 2, 'method': 'time_datetime', 'confidence': 0.98}]) AS x) ON x.k = k
+  , LATERAL (SELECT x.kind AS kind, x.day AS day, x.method AS method, x.confidence AS confidence)""")
+def page_dates(spark, sf):
+    d = lambda n=0, f="yyyy-MM-dd": F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (F.col("page_id") % 500 + n).cast("int")), f)
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    ends = [
+        text('<time datetime="', d(), 'T09:30:00+09:00">soon</time>'), text('<meta property="article:modified_time" content="', d(), '">'),
+        text('<script type="application/ld+json">{"@graph": [{"@type": "x", "a": {"datePublished": "', d(), '"}}, {"date\\u004dodified": "', d(1), '"}]}</script><script type="application/ld+json">{</script>'),
+        text("<p>등록일 <span>", d(0, "yyyy.M.d"), "</span></p>"), text("<div>수정일 <time>", d(0, "yyyy년 M월 d일"), '</time> <time datetime="', d(2), '"></time></div>'), F.lit("<p>등록일 미정</p>"),
+    ]
+    pages = dom.parsed(_with_end(spark, sf, ends), ["page_id"])
+    return R.chosen_dates(R.date_candidates(pages, ["page_id"]), ["page_id"]).select("page_id", "kind", "day", "method", "confidence")
+
+
+_LIST_VERDICTS = {0: ("정상", 2), 1: ("검토 필요", 2), 2: ("수동확인 필요", 1), 3: ("점검 불가", 0), 4: ("검토 필요", 0), 5: ("해당 없음", 0), 6: ("정상", 1)}
+
+
+@query("SELECT page_id, CASE page_id % 7 " + " ".join(f"WHEN {k} THEN '{v}'" for k, (v, _) in _LIST_VERDICTS.items()) + " END AS verdict, CASE page_id % 7 " + " ".join(f"WHEN {k} THEN {n}" for k, (_, n) in _LIST_VERDICTS.items()) + " END AS valid, CASE page_id % 7 WHEN 0 THEN DATE '2026-08-01' WHEN 1 THEN DATE '2026-05-25' WHEN 6 THEN DATE '2026-07-01' END AS latest_day, CASE WHEN page_id % 7 = 1 THEN '게시 최신성 지연' END AS issue_type FROM pages")
+def page_list_freshness(spark, sf):
+    """Lists at the end of pages: fresh, stale at the boundary, with a future date, without dates, said to be empty, of a kind that isn't checked, with dates of other contexts."""
+    grid = lambda *rows: "<table><thead><tr><th>제목</th><th>조회</th><th>등록일</th></tr></thead><tbody>" + "".join(f'<tr><td><a href="/{t}">{t}</a></td><td>2026-08-09</td><td>{day}</td></tr>' for t, day in rows) + "</tbody></table>"
+    ends = [
+        grid(("a", "2026-08-01"), ("b", "2026-01-01")), grid(("a", "2026.5.25"), ("b", "2026-05-20")), grid(("a", "2026-08-26"), ("b", "-")), grid(("a", "-"), ("b", "-")), "<p>등록된 게시물이 없습니다</p>", "<h2>연혁</h2>" + grid(("a", "2026-08-01"), ("b", "-")),
+        '<div class="item"><h3>x</h3>행사기간 2026-08-20</div><div class="item"><a href="/y">y</a>행사기간 2026-08-20 <time datetime="2026-07-01"></time></div>',
+    ]
+    pages = _with_end(spark, sf, [F.lit(e) for e in ends])
+    return R.page_lists(dom.parsed(pages, ["page_id"]), ["page_id"], F.lit("2026-08-25").cast("date")).select("page_id", "verdict", "valid", "latest_day", "issue_type")
+
+
 # --- Dates -----------------------------------------------------------------------------------------------------------
 
 
@@ -398,10 +578,10 @@ def worst_verdict(spark, sf):
     return R.performance(_observed(spark, sf)).select("event_id", "verdict", "reason", "ssl_result")
 
 
-@query(f"WITH {_PERF} SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN sec >= 3 THEN '검토 필요' ELSE '정상' END AS verdict FROM rk WHERE s = 200 AND hops <= 3 AND bytes = 0 AND NOT soft) GROUP BY verdict")
+@query("SELECT event_id, CASE WHEN value / 100 >= 3 THEN '검토 필요' ELSE '정상' END AS verdict FROM events")
 def response_time_verdict(spark, sf):
-    rows = R.performance(_observed(spark, sf)).where("status_code = 200 and redirect_count <= 3 and received_bytes = 0 and event_id % 9 <> 0")
-    return rows.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    plain = _observed(spark, sf).withColumns({"status_code": F.lit(200), "redirect_count": F.lit(0), "received_bytes": F.lit(0), "html": F.lit("<p>ok</p>")})
+    return R.performance(plain).select("event_id", "verdict")
 
 
 @query("SELECT page_id, strlen(html) AS received_bytes, CASE WHEN strlen(html) / 1048576.0 >= 0.004 THEN '검토 필요' ELSE '정상' END AS verdict FROM pages")
@@ -439,7 +619,9 @@ def attachment_cache_decision(spark, sf):
     e = table(spark, sf, "events")
     i, url = F.col("event_id"), F.col("event_id").cast("string")
     refs = e.select("event_id", url.alias("normalized_url"), F.lit("h").alias("content_hash"), F.lit("f.pdf").alias("filename"), F.lit("t").alias("link_text"))
-    today = F.lit(e.agg(F.to_date(F.max("ts"))).first()[0])
+    last = e.agg(F.to_date(F.max("ts")).alias("today"), F.lit(1).alias("one"))
+    e = e.withColumn("one", F.lit(1)).join(F.broadcast(last), "one")  # one row
+    refs, today = e.select("event_id", "today", url.alias("normalized_url"), F.lit("h").alias("content_hash"), F.lit("f.pdf").alias("filename"), F.lit("t").alias("link_text")), F.col("today")
     cache = e.where(i % 5 != 0).select(
         url.alias("normalized_url"), F.when(i % 7 == 0, "p0").otherwise("p1").alias("policy_version"), F.when(i % 3 == 0, "old").otherwise("h").alias("content_hash"), F.when(i % 11 == 0, "g.pdf").otherwise("f.pdf").alias("filename"), F.lit("t").alias("link_text"),
         F.when(i % 13 == 0, T.ERROR).otherwise(T.OK).alias("verdict"), F.when(F.to_date("ts") <= F.date_sub(today, 10), F.to_date("ts")).otherwise(F.date_add(today, 1)).alias("next_recheck_date"),
@@ -447,16 +629,15 @@ def attachment_cache_decision(spark, sf):
     return R.attachment_decisions(refs, cache, today, "p1").select("event_id", "reuse", "reason")
 
 
-@query("SELECT user_id AS attachment, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS pages, max(CAST(ts AS DATE) + 30) AS next_recheck_date FROM events GROUP BY user_id")
+@query("SELECT user_id AS attachment, count(DISTINCT event_type) AS pages, max(CAST(ts AS DATE)) + 30 AS next_recheck_date FROM events GROUP BY user_id")
 def attachment_next_recheck(spark, sf):
-    e = table(spark, sf, "events")
-    last = e.groupBy(F.col("user_id").cast("string").alias("normalized_url"), F.col("event_type").alias("page_url")).agg(F.max(F.to_date("ts")).alias("d"))
-    empty = spark.createDataFrame([], "normalized_url string, original_pages array<string>, verdict string, next_recheck_date date")
-    day = F.max("d").over(Window.partitionBy("normalized_url"))
-    made = last.withColumn("day", day).withColumn("verdict", F.lit(T.OK))
-    out = R.updated_cache(empty, made, F.lit("1970-01-01").cast("date"))
-    days = made.groupBy("normalized_url").agg(F.max("day").alias("day"))
-    return out.join(days, "normalized_url").select(F.col("normalized_url").cast("bigint").alias("attachment"), F.array_join("original_pages", ",").alias("pages"), F.date_add("day", 30).alias("next_recheck_date"))
+    """The cache after each day's checks of attachments: the last day's counts; and how many pages refer to each."""
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("normalized_url"), F.col("event_type").alias("page_url"), F.to_date("ts").alias("day"), F.lit(T.OK).alias("verdict"))
+    days = e.groupBy("normalized_url").agg(F.max("day").alias("day"))
+    old = spark.createDataFrame([], "normalized_url string, verdict string, next_recheck_date date")
+    new = R.updated_cache(old, e, F.lit("1970-01-01").cast("date")).drop("next_recheck_date").join(days, "normalized_url")
+    pages = R.cached_pages(e.where("false"), e).groupBy("normalized_url").agg(F.count(F.lit(1)).alias("pages"))
+    return new.join(pages, "normalized_url").select(F.col("normalized_url").cast("bigint").alias("attachment"), "pages", F.date_add("day", 30).alias("next_recheck_date"))
 
 
 # --- Verdicts and lifecycles -----------------------------------------------------------------------------------------
@@ -509,31 +690,30 @@ def verdict_counts(spark, sf):
     return V.counts(V.page_verdicts(_checks(spark, sf), ["page_id"]))
 
 
-_SEEN = "seen AS (SELECT user_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day, CAST(count(*) AS BIGINT) AS hits FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL)"
-_LIFE = f"""{_SEEN}, life AS (SELECT user_id, day, hits, CASE WHEN lag(day) OVER w IS NULL THEN '신규' WHEN day - lag(day) OVER w > 1 THEN '재발' WHEN lag(hits) OVER w = hits THEN '지속' ELSE '변경' END AS status FROM seen WINDOW w AS (PARTITION BY user_id ORDER BY day))"""
+_SEEN = "seen AS (SELECT user_id, event_type, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day, CAST(count(*) AS BIGINT) AS hits FROM events GROUP BY ALL)"
+_LIFE = f"""{_SEEN}, life AS (SELECT user_id, event_type, day, hits, CASE WHEN lag(day) OVER w IS NULL THEN '신규' WHEN day - lag(day) OVER w > 1 THEN '재발' WHEN lag(hits) OVER w = hits THEN '지속' ELSE '변경' END AS status FROM seen WINDOW w AS (PARTITION BY user_id, event_type ORDER BY day))"""
 
 
 def _life(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events")
-    kind = e.agg(F.min("event_type").alias("event_type"))
-    seen = e.join(F.broadcast(kind), "event_type").groupBy("user_id", F.unix_date(F.to_date("ts")).alias("day")).agg(F.count(F.lit(1)).alias("hits"))  # one row
-    return V.lifecycle(seen, ["user_id"], "day", ["hits"])
+    seen = table(spark, sf, "events").groupBy("user_id", "event_type", F.unix_date(F.to_date("ts")).alias("day")).agg(F.count(F.lit(1)).alias("hits"))
+    return V.lifecycle(seen, ["user_id", "event_type"], "day", ["hits"])
 
 
-@query(f"WITH {_LIFE} SELECT user_id, day, hits, status FROM life")
+@query(f"WITH {_LIFE} SELECT user_id, event_type, day, hits, status FROM life")
 def issue_lifecycle(spark, sf):
     return _life(spark, sf)
 
 
-@query(f"WITH {_LIFE} SELECT user_id, count(*) AS seen, count(*) FILTER (status = '재발') AS recurred FROM life GROUP BY user_id")
+@query(f"WITH {_LIFE} SELECT user_id, event_type, count(*) AS seen, count(*) FILTER (status = '재발') AS recurred FROM life GROUP BY ALL")
 def issue_recurrence_counts(spark, sf):
-    return _life(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("status") == T.RECURRED).alias("recurred"))
+    return _life(spark, sf).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("status") == T.RECURRED).alias("recurred"))
 
 
-@query(f"WITH {_LIFE} SELECT user_id, array_to_string(list(status ORDER BY day)[-5:], ',') AS history FROM life GROUP BY user_id")
+@query(f"WITH {_LIFE} SELECT user_id, event_type, array_to_string(list(status ORDER BY day)[-5:], ',') AS history FROM life GROUP BY ALL")
 def issue_history_last_n(spark, sf):
-    h = F.array_sort(F.collect_list(F.struct("day", "status")))
-    return _life(spark, sf).groupBy("user_id").agg(h.alias("h")).select("user_id", F.array_join(F.transform(F.slice("h", F.greatest(F.size("h") - 4, F.lit(1)), 5), lambda x: x["status"]), ",").alias("history"))
+    last = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("day")))
+    held = _life(spark, sf).withColumn("rn", last).where("rn <= 5").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("day", "status"))).alias("h"))  # five at most
+    return held.select("user_id", "event_type", F.array_join(F.transform("h", lambda x: x["status"]), ",").alias("history"))
 
 
 _RUNS = """was AS (SELECT user_id, CASE WHEN user_id % 4 = 0 THEN '해결' WHEN user_id % 4 = 1 THEN '신규' ELSE '지속' END AS s, CASE WHEN user_id % 10 = 9 THEN '오탐' END AS m FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 <> 0),

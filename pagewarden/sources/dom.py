@@ -1,7 +1,17 @@
-"""HTML as a table of elements, parsed once for all rules that need structure."""
+"""HTML as elements, parsed once for all rules that need structure.
+
+A page is one row with an array of slim elements; rules filter and transform that array
+by column expressions, so that a plan parses each page once and moves no text. An element
+has its place (seq, the last seq inside it as end, its parent, its number among those of
+its tag), tag, attributes, tag path and own text. Only elements whose text some rule reads
+(TEXTS, or a class of TEXT_CLASSES) carry the text of all they hold, so nesting doesn't
+multiply a page.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterable
 from html.parser import HTMLParser
 
@@ -12,50 +22,77 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first kind ends an open element of the second kinds.
 ENDS = {"li": ("li",), "p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
-DEEPEST = 512  # what nests deeper holds nothing; its text is that of the element around
+#: Elements that carry their whole text, by tag or class.
+TEXTS = frozenset("a article button h1 h2 h3 h4 label li option script td th time title tr".split())
+TEXT_CLASSES = frozenset(("item", "card"))
+#: So do elements whose own text has one of these (fixed values: labels of dates).
+TEXT_MARKS = re.compile("게시일|등록일|작성일|발행일|수정일|변경일|갱신일")
 ELEMENT = pa.struct(
     [
-        ("seq", pa.int32()), ("parent", pa.int32()), ("end", pa.int32()), ("up", pa.list_(pa.int32())), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
+        ("seq", pa.int32()), ("parent", pa.int32()), ("end", pa.int32()), ("nth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
         ("own_text", pa.string()), ("text", pa.string()), ("path", pa.string()), ("before", pa.string()),
     ]
 )
-DDL = "array<struct<seq: int, parent: int, end: int, up: array<int>, depth: int, tag: string, attrs: map<string,string>, own_text: string, text: string, path: string, before: string>>"
+DDL = "array<struct<seq: int, parent: int, end: int, nth: int, tag: string, attrs: map<string,string>, own_text: string, text: string, path: string, before: string>>"
+PAGES_AT_ONCE = 50
+
+
+def _words(parts) -> str:
+    return " ".join(" ".join(parts).split())
 
 
 class _Tree(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, texts: frozenset[str] | None) -> None:
         super().__init__(convert_charrefs=True)
+        self.wanted = texts
         self.rows: list[dict] = []
         self.stack: list[int] = []
-        self.texts: list[tuple[int, str]] = []  # element and text, in order
-        self.marks: list[int] = []  # number of texts when each element opened
+        self.texts: list[str] = []
+        self.own: list[list[str]] = []  # of each element, its own texts
+        self.mark: list[int] = []  # number of texts when it opened
+        self.count: dict[str, int] = {}
+        self.siblings: dict[int, deque] = {}  # spans of the last three nodes in an element
 
     def handle_starttag(self, tag, attrs):
         for old in ENDS.get(tag, ()):
             if self.stack and self.rows[self.stack[-1]]["tag"] == old:
                 self._close(len(self.stack) - 1)
-        parent = self.stack[-1] if self.stack else -1
+        parent, seq = (self.stack[-1] if self.stack else -1), len(self.rows)
         held: dict[str, str] = {}
         for k, v in attrs:
             held.setdefault(k, v or "")
-        up = self.rows[parent]["path"] if parent >= 0 else ""
-        self.rows.append({"seq": len(self.rows), "parent": parent, "end": -1, "up": list(self.stack), "depth": len(self.stack), "tag": tag, "attrs": held, "own_text": "", "text": "", "path": f"{up}/{tag}"})
-        self.marks.append(len(self.texts))
-        if tag in VOID or len(self.stack) >= DEEPEST:
-            self.rows[-1]["end"] = len(self.rows) - 1
-            self.rows[-1]["span"] = (len(self.texts), len(self.texts))
+        nth = self.count.get(tag, 0)
+        self.count[tag] = nth + 1
+        path = f"{self.rows[parent]['path'] if parent >= 0 else ''}/{tag}"
+        # What a time stands behind: the three nodes before it.
+        before = _words(t for a, b in self.siblings.get(parent, ()) for t in self.texts[a:b]) if tag == "time" else ""
+        self.rows.append({"seq": seq, "parent": parent, "end": seq, "nth": nth, "tag": tag, "attrs": held, "own_text": "", "text": None, "path": path, "before": before})
+        self.own.append([])
+        self.mark.append(len(self.texts))
+        if tag in VOID:
+            self._finish(seq)
         else:
-            self.stack.append(len(self.rows) - 1)
+            self.stack.append(seq)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if self.stack and self.stack[-1] == len(self.rows) - 1:
             self._close(len(self.stack) - 1)
 
+    def _finish(self, i: int) -> None:
+        row = self.rows[i]
+        row["end"] = len(self.rows) - 1
+        row["own_text"] = _words(self.own[i])
+        if self.wanted is None or row["tag"] in self.wanted or not TEXT_CLASSES.isdisjoint(row["attrs"].get("class", "").split()) or TEXT_MARKS.search(row["own_text"]):
+            row["text"] = _words(self.texts[self.mark[i] :])
+        self._after(row["parent"], (self.mark[i], len(self.texts)))
+
+    def _after(self, parent: int, span: tuple[int, int]) -> None:
+        self.siblings.setdefault(parent, deque(maxlen=3)).append(span)
+
     def _close(self, level: int) -> None:
-        for i in self.stack[level:]:
-            self.rows[i]["end"] = len(self.rows) - 1
-            self.rows[i]["span"] = (self.marks[i], len(self.texts))
+        for i in reversed(self.stack[level:]):
+            self._finish(i)
         del self.stack[level:]
 
     def handle_endtag(self, tag):
@@ -65,63 +102,101 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.stack and data:
-            self.texts.append((self.stack[-1], data))
+        if data:
+            self.texts.append(data)
+            self._after(self.stack[-1] if self.stack else -1, (len(self.texts) - 1, len(self.texts)))
+            if self.stack:
+                self.own[self.stack[-1]].append(data)
 
     def done(self) -> list[dict]:
         self.close()
         self._close(0)
-        for i, row in enumerate(self.rows):
-            a, b = row.pop("span")
-            parts = [" ".join(t.split()) for _, t in self.texts[a:b]]
-            row["text"] = " ".join(p for p in parts if p)
-            row["own_text"] = " ".join(p for p in (" ".join(t.split()) for e, t in self.texts[a:b] if e == i) if p)
-            near = [" ".join(t.split()) for e, t in self.texts[max(0, a - 3) : a] if row["parent"] >= 0 and (e == row["parent"] or self.rows[e]["parent"] == row["parent"])]
-            row["before"] = " ".join(p for p in near if p)
         return self.rows
 
 
-def elements_of(source: str | None) -> list[dict]:
-    """Elements in order: seq, parent, the last seq inside (end), those around (up), depth, tag, attributes, own text, whole text, tag path, and text just before."""
-    tree = _Tree()
+def elements_of(source: str | None, texts: frozenset[str] | None = TEXTS) -> list[dict]:
+    """Elements in order. texts: the tags that carry their whole text; None: all."""
+    tree = _Tree(texts)
     tree.feed(source or "")
     return tree.done()
 
 
-def elements(pages: DataFrame, keys: Iterable[str], *, html_col: str = "html") -> DataFrame:
-    """A row for each element of each page, with the page's keys. Null or empty HTML has none."""
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a few large splits dealt out to all cores; what has a split for each fourth core or more isn't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n * 4 <= cores or n < min(cores, 8) else df
+
+
+def parsed(pages: DataFrame, keys: Iterable[str], *, html_col: str = "html", texts: frozenset[str] | None = TEXTS) -> DataFrame:
+    """The pages' keys and the array of their elements. Null or empty HTML has none."""
     keys = list(keys)
-    rows = pages.select(*keys, F.col(html_col).cast("string").alias("\x01html"))
+    rows = dealt(pages.select(*keys, F.col(html_col).cast("string").alias("\x01html")))
 
     def run(batches):
         for batch in batches:
-            found = pa.array([elements_of(h.as_py()) for h in batch.column(len(keys))], pa.list_(ELEMENT))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], found], names=[*keys, "elements"])
+            for a in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(a, PAGES_AT_ONCE)
+                found = pa.array([elements_of(h.as_py(), texts) for h in part.column(len(keys))], pa.list_(ELEMENT))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], found], names=[*keys, "elements"])
 
     schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), f"elements {DDL}"])
-    return rows.mapInArrow(run, schema).select(*keys, F.explode("elements").alias("e")).select(*keys, "e.*")
+    return rows.mapInArrow(run, schema)
+
+
+def elements(pages: DataFrame, keys: Iterable[str], **settings) -> DataFrame:
+    """A row for each element of each page, with the page's keys."""
+    keys = list(keys)
+    return parsed(pages, keys, **settings).select(*keys, F.explode("elements").alias("e")).select(*keys, "e.*")
+
 
+def having(when, array: Column | str = "elements") -> Column:
+    """The elements of an array for which when(element) holds."""
+    return F.filter(F.col(array) if isinstance(array, str) else array, lambda e: F.coalesce(when(e), F.lit(False)))
 
-def attribute(name: str) -> Column:
-    return F.col("attrs")[name]
 
+def attribute(e: Column, name: str) -> Column:
+    return e["attrs"][name]
 
-def has_class(name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(attribute("class"), F.lit("")), r"\s+"), name)
 
+def blank(c: Column) -> Column:
+    return F.trim(F.coalesce(c, F.lit(""))) == ""
 
-def selected(selector: str) -> Column:
-    """Filter over elements for a selector: comma lists of tag, .class, #id, or these at the end of a descendant chain of tags."""
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: within a filter or transform a column would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first(array: Column) -> Column:
+    return F.get(array, F.lit(0))
+
+
+def inside(e: Column, outer: Column) -> Column:
+    """Whether an element is inside another."""
+    return (e["seq"] > outer["seq"]) & (e["seq"] <= outer["end"])
+
+
+def has_class(e: Column, name: str) -> Column:
+    return F.array_contains(F.split(F.coalesce(attribute(e, "class"), F.lit("")), r"\s+"), name)
+
+
+def selected(e: Column, selector: str) -> Column:
+    """Whether an element fits a selector: comma lists of tag, .class, #id, or these at the end of a descendant chain of tags."""
     out = F.lit(False)
     for one in (s.strip() for s in selector.split(",") if s.strip()):
         *above, last = one.split()
         tag, cond = last, F.lit(True)
-        for sign, make in (("#", lambda v: attribute("id") == v), (".", has_class)):
+        for sign, make in (("#", lambda v: attribute(e, "id") == v), (".", lambda v: has_class(e, v))):
             if sign in tag:
                 tag, _, value = tag.partition(sign)
                 cond = cond & F.coalesce(make(value), F.lit(False))
-        cond = cond & (F.col("tag") == tag if tag else F.lit(True))
+        cond = cond & (e["tag"] == tag if tag else F.lit(True))
         if above:
-            cond = cond & F.col("path").rlike("/" + ".*/".join(above) + "/")
+            cond = cond & e["path"].rlike("(^|/)" + "/(?:.*/)?".join(above) + "/")
         out = out | cond
     return out
+
+
+def places(e: Column) -> Column:
+    return F.concat(e["tag"], F.lit("["), e["nth"].cast("string"), F.lit("]"))

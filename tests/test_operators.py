@@ -17,7 +17,7 @@ PAGE = """<!DOCTYPE html><html lang="ko"><head><title>공지</title><meta charse
 
 
 def elements(spark, html=PAGE):
-    return dom.elements(spark.createDataFrame([("t", "https://s.test/p", html)], "target_id string, url string, html string"), ["target_id", "url"])
+    return dom.parsed(spark.createDataFrame([("t", "https://s.test/p", html)], "target_id string, url string, html string"), ["target_id", "url"])
 
 
 def test_issues_of_source_and_tree(spark):
@@ -30,8 +30,8 @@ def test_issues_of_source_and_tree(spark):
     tree = sorted((r.code, r.result, r.location) for r in R.element_issues(elements(spark), ["target_id", "url"]).collect())
     assert tree == sorted(
         [
-            ("duplicate-id", T.ERROR, "p[1]|p[2]"), ("empty-id", T.REVIEW, "p[3]"), ("empty-control", T.REVIEW, "a[4]"), ("icon-control", T.MANUAL, "button[0]"),
-            ("image-alt", T.ERROR, "img[0]"), ("image-alt", T.ERROR, "img[2]"), ("input-label", T.REVIEW, "input[1]"), ("input-label-ref", T.ERROR, "input[3]"),
+            ("duplicate-id", T.ERROR, "p[2]|p[3]"), ("empty-id", T.REVIEW, "id[4]"), ("empty-control", T.REVIEW, "a[4]"), ("icon-control", T.MANUAL, "button[5]"),
+            ("image-alt", T.ERROR, "img[0]"), ("image-alt", T.ERROR, "img[2]"), ("input-label", T.REVIEW, "input[1]"), ("input-label-ref", T.ERROR, "input[4]"),
         ]
     )
 
@@ -50,7 +50,10 @@ def test_dates_that_fail_and_lists(spark):
     keys = ["target_id", "url"]
     e = elements(spark, "<p>수정일 2024.99.01</p><time>soon</time><time>2024-01-05</time>")
     got = {r.kind: (r.day, r.original) for r in R.chosen_dates(R.date_candidates(e, keys), keys).collect()}
-    assert got["modified"][0] == dt.date(2024, 1, 5) and got["published"] == (None, "soon")
+    assert got == {"modified": (dt.date(2024, 1, 5), "2024-01-05")}  # both times stand behind the label
+    e = elements(spark, "<p><time>soon</time></p><p><time>2024-01-05</time></p>")
+    got = {r.kind: (r.day, r.original) for r in R.chosen_dates(R.date_candidates(e, keys), keys).collect()}
+    assert got == {"published": (None, "soon"), "modified": (dt.date(2024, 1, 5), "2024-01-05")}
     page = "<ul>" + "".join(f'<li><a href="/{i}">n{i}</a> {d}</li>' for i, d in enumerate(["2026-05-25", "2026-05-20", "none"])) + "</ul>"
     items = R.list_items(elements(spark, page), keys)
     row = R.list_freshness(items, keys, F.lit("2026-08-25").cast("date")).first()
@@ -59,16 +62,19 @@ def test_dates_that_fail_and_lists(spark):
 
 
 def test_resources_anchors_cache(spark):
-    refs = spark.createDataFrame([("p", 1, "link", "https://a.test/1", None), ("p", 2, "image", "https://a.test/i", None), ("p", 3, "attachment", "https://a.test/f", None), ("p", 4, "link", "http://localhost/", None), ("p", 5, "link", "https://a.test/none", None)], "page_url string, seq int, kind string, normalized_url string, alt string")
-    answers = spark.createDataFrame([("https://a.test/1", 503, "text/html", 1, b"", None), ("https://a.test/i", 200, "image/png", 5, b"x", None), ("https://a.test/f", 200, "application/pdf", 5, b"PK..", None), ("https://a.test/f", 200, "application/pdf", 5, b"PK..", None)], "url string, status_code int, content_type string, content_length long, body binary, error string")
+    refs = spark.createDataFrame([("p", 1, "link", "https://a.test/1", None), ("p", 2, "image", "https://a.test/i", None), ("p", 3, "attachment", "https://a.test/f.pdf", None), ("p", 4, "link", "http://localhost/", None), ("p", 5, "link", "https://a.test/none", None)], "page_url string, seq int, kind string, normalized_url string, alt string")
+    answers = spark.createDataFrame([("https://a.test/1", 503, "text/html", 1, b"", None), ("https://a.test/i", 200, "image/png", 5, b"x", None), ("https://a.test/f.pdf", 200, "application/pdf", 5, b"PK..", None), ("https://a.test/f.pdf", 200, "application/pdf", 5, b"PK..", None)], "url string, status_code int, content_type string, content_length long, body binary, error string")
     got = {r.seq: r.verdict for r in R.checked_resources(refs, answers).collect()}
     assert got == {1: T.REVIEW, 2: T.ERROR, 3: T.ERROR, 4: T.UNCHECKABLE, 5: T.UNCHECKABLE}
     a = spark.createDataFrame([("d", "x"), ("d", "y"), ("e", "x"), ("d", "")], "document_url string, fragment string")
     seen = R.anchors(a, spark.createDataFrame([("d", "x")], "document_url string, ref string"))
     assert sorted((r.document_url, r.fragment, r.verdict) for r in seen.collect()) == sorted([("d", "x", T.OK), ("d", "y", T.ERROR), ("e", "x", T.UNCHECKABLE), ("d", "", T.OK)])
-    cache = spark.createDataFrame([("u", ["p0"], T.OK, dt.date(2026, 1, 1))], "normalized_url string, original_pages array<string>, verdict string, next_recheck_date date")
-    new = R.updated_cache(cache, spark.createDataFrame([("u", "p1", T.ERROR), ("v", "p1", T.OK)], "normalized_url string, page_url string, verdict string"), F.lit("2026-01-01").cast("date"))
-    assert sorted(map(tuple, new.collect())) == [("u", ["p0", "p1"], T.ERROR, dt.date(2026, 1, 31)), ("v", ["p1"], T.OK, dt.date(2026, 1, 31))]
+    cache = spark.createDataFrame([("u", T.OK, dt.date(2026, 1, 1))], "normalized_url string, verdict string, next_recheck_date date")
+    checked = spark.createDataFrame([("u", "p1", T.ERROR), ("u", "p1", T.OK), ("v", "p1", T.OK)], "normalized_url string, page_url string, verdict string")
+    new = R.updated_cache(cache, checked, F.lit("2026-01-01").cast("date"))
+    assert sorted(map(tuple, new.collect())) == [("u", T.ERROR, dt.date(2026, 1, 31)), ("v", T.OK, dt.date(2026, 1, 31))]
+    old = spark.createDataFrame([("u", "p0")], "normalized_url string, page_url string")
+    assert sorted(map(tuple, R.cached_pages(old, checked).collect())) == [("u", "p0"), ("u", "p1"), ("v", "p1")]
 
 
 def test_performance_boundaries(spark):
