@@ -23,41 +23,13 @@ def ranks_of(path: str) -> dict[bytes, int]:
 MOST_STATES = 250_000
 
 
-class Transducer:
-    """Deterministic transducer over the bytes of one piece, compiled from ranks as far as texts need it.
-
-    A state holds, for every place where a token still under way could have begun, the
-    trie node reached from there, the last token before that place, and how many tokens
-    fewer there were. Reading a byte ends exactly one token that the pair rule allows:
-    the tokens of a text are those of which every one encodes to itself and every
-    neighbouring pair encodes to itself. A transition carries the change of the count.
-    """
+class Borders:
+    """Which tokens may stand side by side: the tokens of a piece are those of which every one encodes to itself and every neighbouring pair encodes to itself."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}  # what a token last merged from; None: a text of its bytes is other tokens
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.hopes: dict[tuple[int, bytes], bool] = {}
-        self.root: dict = {}
-        for token in ranks:
-            node = self.root
-            for b in token:
-                node = node.setdefault(b, {})
-            node[-1] = token
-        self.few: dict[int, list[bytes] | None] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.states: list[tuple] = []
-        self.index: dict[tuple, int] = {}
-        self.step: dict[int, int] = {}
-        self.state(((id(self.root), b"", 0),), (self.root,))
-
-    def state(self, key: tuple, nodes: tuple) -> int:
-        if key not in self.index:
-            self.index[key] = len(self.states)
-            self.states.append((key, nodes))
-        return self.index[key]
 
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         if token not in self.halves:
@@ -98,6 +70,40 @@ class Transducer:
             else:
                 y_next, y = y_made, self.split(y)[0]
 
+
+class Transducer(Borders):
+    """Deterministic transducer over the bytes of one piece, compiled from ranks as far as texts need it.
+
+    A state holds, for every place where a token still under way could have begun, the
+    trie node reached from there, the last token before that place, and how many tokens
+    fewer there were. Reading a byte ends exactly one token that the pair rule allows.
+    A transition carries the change of the count.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.hopes: dict[tuple[int, bytes], bool] = {}
+        self.root: dict = {}
+        for token in ranks:
+            node = self.root
+            for b in token:
+                node = node.setdefault(b, {})
+            node[-1] = token
+        self.few: dict[int, list[bytes] | None] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: list[tuple] = []
+        self.index: dict[tuple, int] = {}
+        self.step: dict[int, int] = {}
+        self.state(((id(self.root), b"", 0),), (self.root,))
+
+    def state(self, key: tuple, nodes: tuple) -> int:
+        if key not in self.index:
+            self.index[key] = len(self.states)
+            self.states.append((key, nodes))
+        return self.index[key]
+
     def hope(self, node: dict, before: bytes) -> bool:
         """False if no token below node may follow before; only looked into if few are below."""
         key = (id(node), before)
@@ -131,6 +137,26 @@ class Transducer:
         out = self.step[at << 8 | b] = to << 9 | change + 256
         return out
 
+    @property
+    def start(self) -> tuple:
+        """The state before a piece, as states are kept: good after the tables start anew."""
+        return self.states[0]
+
+    def run(self, state: tuple, data: bytes, watch=None) -> tuple[tuple, int]:
+        """The state after data and how many tokens were added; watch(i, state, n) is told of each byte and ends the run if it returns true."""
+        if len(self.states) > MOST_STATES:
+            self.clear()
+        at, n, get = self.state(*state), 0, self.step.get
+        for i, b in enumerate(data):
+            to = get(at << 8 | b)
+            if to is None:
+                to = self.compiled(at, b)
+            at = to >> 9
+            n += (to & 511) - 256
+            if watch is not None and watch(i, self.states[at][0], n):
+                break
+        return self.states[at], n
+
     def count(self, piece: bytes) -> int:
         if len(self.states) > MOST_STATES:
             self.clear()
@@ -235,6 +261,14 @@ class Memo(dict):
         self[text] = out
         return out
 
+    def fill(self, found: dict) -> None:
+        """Takes over what was made elsewhere."""
+        self.chars += sum(map(len, found))
+        if len(self) + len(found) > self.most or self.chars > self.most_chars:
+            self.old, self.chars = dict(self), sum(map(len, found))
+            self.clear()
+        self.update(found)
+
 
 class Segments(Memo):
     """Memo from what stands between two spaces to what make gives for it and the space before it.
