@@ -10,9 +10,14 @@ transition carries the change of the token count. States and transitions are com
 when first reached and shared by all texts of a worker; if there are more than
 bpe.MOST_STATES the tables start anew.
 
-A text is read in chunks. The map of a chunk takes what an earlier chunk left open
-(an unread stretch of text since the last cut, see bpe.Segments) to the count of tokens
-finished and what the chunk leaves open. Such maps compose; a parallel prefix scan by
+A text is read in chunks that end at a cut (see bpe.Segments) if there is one: there every
+state is the first one again, so the map of such a chunk is a constant, its count, and
+maps compose by adding. A piece that is longer than a chunk (a text without blanks may be
+one piece) has chunks that end anywhere. Map is what such a chunk makes of the state before
+it: the state after it and the tokens added. It holds the run from the first state and, of
+its first MEET bytes, the states passed through; another state is read until it meets one of
+these, as states soon depend on the last bytes only (or to the chunk's end, if it meets none).
+A map has a fixed size however long the text is. Maps compose, and a parallel prefix scan by
 doubling gives the map, hence the count, up to each chunk's end.
 
 Special strings count as one token each, as the tokenizers library does by default.
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from pagewarden.llm.bpe import Memo, Segments, Transducer, Unclosed, segments, white
 from pagewarden.llm.common import spread, table
 
-CHUNK_CHARS = 32_768
+CHUNK_CHARS, MEET = 32_768, 64
 LIMIT = 1024
 #: The splitting pattern that a ByteLevel pre-tokenizer has (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,11 +52,13 @@ def byte_letters() -> dict[str, int]:
 
 @dataclass(slots=True)
 class Map:
-    """What a chunk makes of what was left open before it: head is read with that, n counts what follows, tail is left open."""
+    """What the chunks [first, last) of a piece make of the state before them."""
 
-    head: str
-    n: int | None  # None: no cut, all is head
-    tail: str
+    first: int
+    last: int
+    passed: list[tuple]  # state and count after each of the first MEET bytes, from the first state on
+    out: tuple  # the state after it, from the first state on
+    n: int  # the tokens added
 
 
 class Counter:
@@ -69,11 +76,19 @@ class Counter:
             ranks.setdefault(of(a) + of(b), i)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(held["added_tokens"], key=lambda t: -len(t["content"]))) or r"(?!)")
         self.transducer, self.chunk = Transducer(ranks), chunk
-        self.find = regex.compile(PATTERN).findall
+        self.find, self.iterate = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
         self.pieces = Memo(lambda p: self.transducer.count(p.encode()), 200_000)
         self.spaced = Segments(self._segment)
 
+    def _piece(self, piece: str) -> int:
+        if len(piece) > self.chunk:
+            chunks = [piece[i : i + self.chunk] for i in range(0, len(piece), self.chunk)]
+            return self.scan([self.map(chunks, i) for i in range(len(chunks))], chunks)[-1].n
+        return self.pieces[piece]
+
     def _segment(self, segment: str) -> int:
+        if len(segment) > self.chunk:
+            return sum(self._piece(m[0]) for m in self.iterate(segment))
         return sum([self.pieces[p] for p in self.find(segment)])
 
     def closed(self, text: str) -> int:
@@ -86,43 +101,61 @@ class Counter:
         except Unclosed:
             return sum(map(self._segment, segments(text)))
 
-    def map(self, chunk: str) -> Map:
-        a = _cut(chunk, 1)
-        if a < 0:
-            return Map(chunk, None, "")
-        b = _cut(chunk, -1)
-        return Map(chunk[:a], self.closed(chunk[a:b]) if b > a else 0, chunk[b:])
-
-    def then(self, x: Map, y: Map) -> Map:
-        left = x.head if x.n is None else x.tail
-        meets = left and y.head[:1] == " " and not white(left[-1])  # a cut just where they meet
-        if x.n is None:
-            if meets:
-                return Map(left, 0, y.head) if y.n is None else Map(left, self.closed(y.head) + y.n, y.tail)
-            return Map(left + y.head, y.n, y.tail)
-        if meets:
-            n = x.n + self.closed(left)
-            return Map(x.head, n, y.head) if y.n is None else Map(x.head, n + self.closed(y.head) + y.n, y.tail)
-        return Map(x.head, x.n, left + y.head) if y.n is None else Map(x.head, x.n + self.closed(left + y.head) + y.n, y.tail)
-
-    def scan(self, maps: list[Map]) -> list[Map]:
+    def map(self, chunks: list[str], i: int) -> Map:
+        t, passed = self.transducer, []
+
+        def watch(_, key, n):
+            passed.append((key, n))
+            return len(passed) == MEET
+
+        data = chunks[i].encode()
+        state, n = t.run(t.start, data[:MEET], watch)
+        out, more = t.run(state, data[MEET:])
+        return Map(i, i + 1, passed, out, n + more)
+
+    def after(self, m: Map, state: tuple, chunks: list[str]) -> tuple[tuple, int]:
+        """What a map makes of any state: the state after it, and the tokens added."""
+        t, met = self.transducer, []
+        if state[0] == t.start[0]:
+            return m.out, m.n
+
+        def watch(i, key, n):
+            if key == m.passed[i][0]:
+                met.append(n - m.passed[i][1])
+            return bool(met)
+
+        data = chunks[m.first].encode()
+        at, n = t.run(state, data[: len(m.passed)], watch)
+        if met:
+            return m.out, m.n + met[0]
+        at, more = t.run(at, data[len(m.passed) :])  # it met none: to the end of the first chunk, and on
+        n += more
+        for i in range(m.first + 1, m.last):
+            at, more = self.after(self.map(chunks, i), at, chunks)
+            n += more
+        return at, n
+
+    def then(self, x: Map, y: Map, chunks: list[str]) -> Map:
+        out, n = self.after(y, x.out, chunks)
+        return Map(x.first, y.last, x.passed, out, x.n + n)
+
+    def scan(self, maps: list[Map], chunks: list[str]) -> list[Map]:
         """Inclusive prefix scan: the map of each chunk composed with all before it, pairs first."""
         if len(maps) < 2:
             return maps
-        pairs = self.scan([self.then(maps[i], maps[i + 1]) for i in range(0, len(maps) - 1, 2)])
+        pairs = self.scan([self.then(maps[i], maps[i + 1], chunks) for i in range(0, len(maps) - 1, 2)], chunks)
         out = [maps[0]]
         for i in range(1, len(maps)):
-            out.append(pairs[i // 2] if i % 2 else self.then(pairs[i // 2 - 1], maps[i]))
+            out.append(pairs[i // 2] if i % 2 else self.then(pairs[i // 2 - 1], maps[i], chunks))
         return out
 
-    def ended(self, m: Map) -> int:
-        return self.closed(m.head) if m.n is None else self.closed(m.head) + m.n + self.closed(m.tail)
-
     def plain(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return self.closed(text)
-        maps = [self.map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)]
-        return self.ended(self.scan(maps)[-1])
+        n, at = 0, 0
+        while len(text) - at > self.chunk:
+            end = _cut(text, at + self.chunk)
+            n += self.closed(text[at:end])
+            at = end
+        return n + self.closed(text[at:] if at else text)
 
     def count(self, text: str) -> int:
         n, at = 0, 0
@@ -132,12 +165,12 @@ class Counter:
         return n + self.plain(text[at:])
 
 
-def _cut(text: str, way: int) -> int:
-    """The first or last cut of text, -1 if there is none. Its very first place is none: what stands before isn't known."""
-    i = text.find(" ", 1) if way > 0 else text.rfind(" ", 1)
+def _cut(text: str, at: int) -> int:
+    """The first cut of text from a place on, or its end."""
+    i = text.find(" ", at)
     while i > 0 and white(text[i - 1]):
-        i = text.find(" ", i + 1) if way > 0 else text.rfind(" ", 1, i)
-    return i if i > 0 else -1
+        i = text.find(" ", i + 1)
+    return i if i > 0 else len(text)
 
 
 _COUNTERS: dict[tuple, Counter] = {}

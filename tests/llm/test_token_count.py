@@ -44,12 +44,32 @@ def test_tables_start_anew_without_changing_counts(known, monkeypatch):
         assert own.count(text) == n(known, text)
 
 
-def test_prefix_scan_gives_the_count_up_to_each_chunk(known):
-    own = T.counter(PATH, 5)
-    text = "one two  three\nfour it's five 123 sixseven"
-    maps = own.scan([own.map(text[i : i + 5]) for i in range(0, len(text), 5)])
-    for i, m in enumerate(maps):
-        assert own.ended(m) == n(known, text[: 5 * (i + 1)])
+@pytest.mark.parametrize("meet", [0, 1, 3, 64])
+def test_prefix_scan_gives_the_count_up_to_each_chunk(known, meet, monkeypatch):
+    monkeypatch.setattr(T, "MEET", meet)
+    own = T.Counter(PATH, 5)
+    rng = random.Random(3)
+    for piece in ("internationalizationalities" * 3, "中文字符没有空格" * 4, "".join(rng.choice("aeinrst") for _ in range(60)), "a" * 64, "x" * 5):
+        chunks = [piece[i : i + 5] for i in range(0, len(piece), 5)]
+        maps = own.scan([own.map(chunks, i) for i in range(len(chunks))], chunks)
+        for i, m in enumerate(maps):
+            assert (m.first, m.last, m.n) == (0, i + 1, n(known, piece[: 5 * (i + 1)]))
+            assert len(m.passed) <= max(meet, 1)
+
+
+def test_long_texts_without_blanks_at_the_default_chunk(known):
+    import tracemalloc
+
+    rng = random.Random(5)
+    own = T.Counter(PATH)
+    letters = [rng.choice("etaoinshrdlu") for _ in range(70_000)]
+    for text in ("".join(letters), "".join(rng.choice("ABCDabcd0123+/") for _ in range(70_000)), "中文字符没有空格" * 9000, "word " * 20_000 + "".join(letters[:40_000]), "a" * 80_000):
+        assert own.count(text) == n(known, text)
+    long = "".join(rng.choices("ABCDabcd0123+/", k=1000)) * 2000
+    tracemalloc.start()
+    own.count(long)
+    assert tracemalloc.get_traced_memory()[1] < 30e6  # of 2 million characters, with what the memo keeps
+    tracemalloc.stop()
 
 
 def test_query(spark, tmp_path, known):
