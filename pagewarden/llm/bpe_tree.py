@@ -9,8 +9,11 @@ joined. What the joined parts say about a text [lo, hi) is a monoid element:
 
 The join re-encodes the window tail + head between the two bodies. If the right part
 has no cut the window grows by it and stays open; so ids are fixed only between two
-cuts, where matches of the splitting pattern provably begin anew. Decoding halves the
-ids likewise and concatenates bytes up the tree.
+cuts, where matches of the splitting pattern provably begin anew. A single match that is
+longer than a leaf is halved too: its halves' tokens are joined by encoding a window of
+tokens around the border again; it grows on each side until the tokens outside and in it
+provably stay as they are, since each pair of neighbours encodes to itself (bpe.Borders).
+Decoding halves the ids likewise and concatenates bytes up the tree.
 
 Null text is empty text. Every text round-trips; ids are those of the rank file.
 """
@@ -27,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm.bpe import Memo, Segments, Unclosed, merged, ranks_of, segments, white
+from pagewarden.llm.bpe import Borders, Memo, Segments, Unclosed, merged, ranks_of, segments, white
 from pagewarden.llm.common import spread, table
 
 LEAF_CHARS = 16_384
@@ -44,7 +47,8 @@ class Part:
 class Codec:
     def __init__(self, path: str, pattern: str, leaf: int = LEAF_CHARS):
         self.ranks, self.leaf = ranks_of(path), leaf
-        self.find = regex.compile(pattern).findall
+        self.find, self.iterate = regex.compile(pattern).findall, regex.compile(pattern).finditer
+        self.borders = Borders(self.ranks)
         self.pieces = Memo(self._piece, 150_000)
         self.spaced = Segments(self._segment)
         self.bytes = {i: b for b, i in self.ranks.items()}
@@ -52,10 +56,34 @@ class Codec:
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.get(data)
-        ids = [whole] if whole is not None else merged(data, self.ranks)
+        ids = [whole] if whole is not None else self._halved(data)
         return array("I", ids).tobytes()
 
+    def _halved(self, data: bytes) -> array:
+        """Ids of a piece's bytes."""
+        if len(data) <= self.leaf:
+            return array("I", merged(data, self.ranks))
+        half = len(data) // 2
+        return self._bordered(self._halved(data[:half]), self._halved(data[half:]))
+
+    def _bordered(self, x: array, y: array) -> array:
+        """Ids of two neighbouring stretches of a piece as those of both together."""
+        left, right, of, fits = 1, 1, self.bytes, self.borders.allowed
+        while True:
+            left, right = min(left, len(x)), min(right, len(y))
+            window = merged(b"".join([of[i] for i in [*x[len(x) - left :], *y[:right]]]), self.ranks)
+            grow_left = left < len(x) and not fits(of[x[len(x) - left - 1]], of[window[0]])
+            grow_right = right < len(y) and not fits(of[window[-1]], of[y[right]])
+            if not (grow_left or grow_right):
+                return x[: len(x) - left] + array("I", window) + y[right:]
+            left, right = left * 2 if grow_left else left, right * 2 if grow_right else right
+
     def _segment(self, segment: str) -> bytes:
+        if len(segment) > self.leaf:
+            out = bytearray()
+            for m in self.iterate(segment):
+                out += self.pieces[m[0]] if len(m[0]) <= self.leaf else self._piece(m[0])
+            return bytes(out)
         pieces = self.find(segment)
         return b"".join([self.pieces[p] for p in pieces])
 

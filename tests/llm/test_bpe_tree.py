@@ -39,6 +39,16 @@ def test_random_texts(known):
         assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == known.encode_ordinary(text), repr(text)
 
 
+def test_long_texts_at_the_default_leaf(known):
+    rng = random.Random(9)
+    own = bpe_tree.Codec(PATH, P.PATTERN)
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(60_000))
+    for text in (letters, "".join(rng.choice("ABCDabcd0123+/") for _ in range(60_000)), "中文字符没有空格" * 4000, "two words " * 5000, "a" * 50_000, "word " * 4000 + letters, " " * 40_000 + "x"):
+        ids = own.encode(text)
+        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == known.encode_ordinary(text), text[:20]
+        assert own.decode(ids) == text.encode()
+
+
 def test_pieces_merge_as_defined_and_counts_agree(known):
     own = Transducer(ranks_of(PATH))
     for piece in (b"the" * 90, b"abcabd" * 100, bytes(range(97, 123)) * 10, b"a" * 999):
