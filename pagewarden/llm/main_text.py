@@ -39,21 +39,24 @@ BESIDE_WORDS = frozenset(
 )
 #: Elements that aren't beside the article whatever their class, and words of a class that tell of a page's layout.
 WHOLE = frozenset("html body main article".split())
-_LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S+", re.I)
-#: Elements whose start closes an open paragraph; what an unclosed p held ends with it.
+_LAYOUT = re.compile(r"(?<!\S)(?:(?:has|no|with|without)[-_]\S+|\S+[-_](?:free|less|enabled|disabled|allowed|open|closed|on|off)(?!\S))", re.I)
+#: A paragraph, heading or item is only beside the article if a whole name of its class or id is such a word.
+SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li td dd blockquote pre".split())
+ENDED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _WORD = re.compile(r"[A-Za-z]+")
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 NAMES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "inside", "beside")
 DEPTH = 6
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _marked(tag: str, attributes: str, inside: int) -> bool:
     if tag in BESIDE:
-        return True
+        return tag != "header" or not inside  # an article's own header belongs to it
     if attributes and tag not in WHOLE:
         for a, b, c in _MARK.findall(attributes):
-            a, b, c = (_LAYOUT.sub("", x) for x in (a, b, c))
-            if not BESIDE_WORDS.isdisjoint(w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a or b or c))):
+            names = _LAYOUT.sub("", a or b or c)
+            words = names.split() if tag in SINGLE else _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names))
+            if not BESIDE_WORDS.isdisjoint(w.lower() for w in words):
                 return True
     return False
 
@@ -64,9 +67,24 @@ def blocks(source: str) -> list[tuple[str, list[float], bool]]:
     held: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int, int, int]] = []  # tag; whether it is inside, beside, data-main
-    inside = beside = main = link = heading = 0
+    inside = beside = main = heading = 0
+    link = 0  # 1: in a link; 2: in one that isn't closed before the next, which counts to the end of its block
+    events = list(markup.scan(source))
+    ends, last = {}, None  # whether what comes after the a at a place, of all a and /a, is its end
+    for i, (what, name, _) in enumerate(events):
+        if name == "a" and what in ("open", "close"):
+            if last is not None:
+                ends[last] = what == "close"
+            last = i if what == "open" else None
+
+    def popped() -> str:
+        nonlocal inside, beside, main
+        tag, i, b, m = stack.pop()
+        inside, beside, main = inside - i, beside - b, main - m
+        return tag
 
     def flush() -> None:
+        nonlocal link
         text = " ".join(html.unescape("".join(held)).split())
         if text:
             n = text.count(" ") + 1
@@ -74,8 +92,9 @@ def blocks(source: str) -> list[tuple[str, list[float], bool]]:
             out.append([text, n, min(m / n, 1.0), heading, inside, beside, main > 0])
         held.clear()
         linked.clear()
+        link = 0 if link == 2 and text else link
 
-    for what, name, rest in markup.scan(source):
+    for at, (what, name, rest) in enumerate(events):
         if what == "text":
             held.append(name)
             if link:
@@ -88,32 +107,33 @@ def blocks(source: str) -> list[tuple[str, list[float], bool]]:
                 flush()
                 # A block-level start tag ends an open paragraph or heading of its kind.
                 if stack and stack[-1][0] == "p" and name != "br":
-                    _, i, b, m = stack.pop()
-                    inside, beside, main = inside - i, beside - b, main - m
+                    popped()
+                # A list's item or a row's cell ends the one before.
+                if name in ENDED and stack and stack[-1][0] in ENDED[name]:
+                    popped()
                 if name == "main":  # what holds it isn't beside it, whatever its class
                     beside -= sum(b for t, _, b, _ in stack if t not in BESIDE)
                     stack = [(t, i, b if t in BESIDE else 0, m) for t, i, b, m in stack]
             heading = int(name in HEADINGS) if name in BLOCKS else heading
             if name == "a":
-                link += 1
+                link = 1 if ends.get(at) else 2
+                if not re.search(r"\bhref\b", rest, re.I):
+                    link = 0
             if name in VOID or rest.endswith("/"):
                 continue
             if name in BLOCKS:
-                i, b, m = int(name in INSIDE), int(_marked(name, rest)), int("data-main" in rest)
+                i, b, m = int(name in INSIDE), int(_marked(name, rest, inside)), int("data-main" in rest)
                 stack.append((name, i, b, m))
                 inside, beside, main = inside + i, beside + b, main + m
         elif what == "close":
             if name == "a":
-                link = max(0, link - 1)
+                link = 0
             elif name in BLOCKS:
                 flush()
                 heading = 0
                 if any(s[0] == name for s in stack):
-                    while stack:
-                        t, i, b, m = stack.pop()
-                        inside, beside, main = inside - i, beside - b, main - m
-                        if t == name:
-                            break
+                    while popped() != name:
+                        pass
     flush()
     rows = []
     for k, (text, n, d, h, i, b, m) in enumerate(out):
@@ -164,6 +184,8 @@ def labelled_pages() -> list[str]:
             f'<div class="cookie-notice">{text(25)}<button>{text(1)}</button></div><div id="content" data-main><h1>{text(5)}</h1>{"".join(f"<p>{text(max(n, 12))}</p>" for n in sizes)}</div><div id="comments"><p>{text(3)}</p><p>{text(40 + k)}</p></div><div class="footer">{foot}</div>',
             f'<form><label>{text(2)}</label><p>{text(14)}</p></form><article><p data-main>{text(sizes[0])}</p><aside>{text(20)}</aside><div class="share">{menu(3)}</div><p data-main>{text(12)} <a>{text(3)}</a></p><section class="comments"><p>{text(60)}</p></section></article><div class="related">{menu(5, 7)}</div>',
             f"<article data-main><h1>{text(4)}</h1>{paragraphs}</article>",
+            f'<header><h1>{text(3)}</h1></header><div id="wrap" class="no-sidebar"><article class="post-comment-free" data-main><header><h1>{text(5)}</h1></header>{paragraphs}<p class="notice-board">{text(sizes[0])}</p><p>{text(9)}<p>{text(7)}</article></div><div class="comment-list"><p>{text(44)}</p></div>',
+            f'<div><p class="share">{text(2)}<article data-main><p>{text(sizes[-1])}</p><ul><li>{text(4)}<li>{text(8)}</ul></article></div>',
             f"<div data-main><p>{text(25 + 200 * k)}</p></div>",
             f"<div data-main><p>{text(14 + 300 * k)}</p><p>{text(16)}</p></div>",
             f"<div>{menu(9, 2)}</div><div data-main><p>{text(20 + 9 * k)}</p><p>{text(35)}</p></div><div>{menu(4, 3)}</div><p>{text(3)}</p>",

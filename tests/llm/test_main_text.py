@@ -34,6 +34,33 @@ def test_marks_end_with_their_paragraph_and_layout_classes_are_none():
     assert [f[-1] for _, f, _ in blocks] == [1, 0, 0, 0]
 
 
+LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen."
+MENU = '<nav><ul><li><a href="/a">Menu</a><li><a href="/b">two</a></ul></nav>'
+FOOT = "<footer>foot note</footer>"
+
+
+def test_malformed_and_oddly_classed_pages():
+    """Pages and the text that a reader would call the article."""
+    for page, want in (
+        (f"{MENU}<article><p>{LONG}<p>{LONG}<p>{LONG}</article>{FOOT}", [LONG] * 3),
+        (f'{MENU}<article><p><a href="/x">see<p>{LONG}</p><p>{LONG}</p></article>{FOOT}', [LONG, LONG]),
+        (f'{MENU}<article><a name="top"><p>{LONG}</p><p>{LONG}</p></article>{FOOT}', [LONG, LONG]),
+        (f'{MENU}<article><p>{LONG} <a href="/x">see</p><p>{LONG}</p><p>{LONG}</p></article>{FOOT}', [f"{LONG} see", LONG, LONG]),
+        (f"{MENU}<article><ul><li>{LONG}<li>{LONG}</ul><p>{LONG}</article>{FOOT}", [LONG] * 3),
+        (f'<p class="share">Share now<article><p>{LONG}</p><p>{LONG}</p></article>{FOOT}', [LONG, LONG]),
+        (f'<p class="ad">Ad<div id="content"><p>{LONG}</p><p>{LONG} {LONG}</p></div>', [LONG, f"{LONG} {LONG}"]),
+        (f'{MENU}<article class="post-comment-free"><p>{LONG}</p></article>{FOOT}', [LONG]),
+        (f'{MENU}<article class="ad notice sidebar"><p>{LONG}</p></article>{FOOT}', [LONG]),
+        (f'{MENU}<article><p class="notice-board">{LONG}</p><p>{LONG}</p></article>{FOOT}', [LONG, LONG]),
+        (f'{MENU}<article><p class="notice">{LONG}</p><p>{LONG}</p></article>{FOOT}', [LONG]),
+        (f"<header><h1>Site</h1></header><article><header><h1>Head line</h1></header><p>{LONG}</p><footer>by</footer></article>", ["Head line", LONG]),
+        (f"<header><p>Site</p><header><p>again</p></header><p>{LONG}</p></header><main><p>{LONG}</p></main>", [LONG]),
+        (f'{MENU}<div class="has-sidebar"><article><p>{LONG}</p></article></div><div class="comment-list"><p>{LONG} {LONG}</p></div>', [LONG]),
+        (f'{MENU}<article><p>{LONG}</p><div class="ad-box">{LONG}</div><section id="comments"><p>{LONG}</p></section><p>{LONG}</p></article>', [LONG, LONG]),
+    ):
+        assert M.main_text(page) == " ".join(want), page
+
+
 def test_the_tree_fits_its_table_and_splits_on_density():
     rows = [b for p in M.labelled_pages() for b in M.blocks(p)]
     right = sum(M.decided(M.tree(), f) == y for _, f, y in rows)
