@@ -7,9 +7,10 @@ joins references by digest with a table of media, and keeps positions and captio
 ``stored`` keeps a text's UTF-8 bytes as media: zero bytes are appended up to a positive
 multiple of 64, and the payload is a grey image of 64 columns and 8 bits a sample (binary
 PGM); ``samples`` reads the payload back from the stored bytes. Equal texts have equal
-media, so a digest names the media of all copies. Media are kept once a digest and
-shard; shards (of the document id) let the many references of a much copied payload
-spread over tasks.
+media, so a digest names the media of all copies. A table holds the stored bytes once a
+digest and shard; shards (of the document id) let the many references of a much copied
+payload spread over tasks. References are joined with it by digest, and all features
+come from the bytes that the join returns.
 
 Null text is empty text (64 zero bytes). Null HTML has an empty sequence. A reference
 whose digest isn't in the table keeps its place with null media. Rows are treated one by
@@ -99,12 +100,13 @@ def sequence(pages: DataFrame, *, html_col: str = "html", out_col: str = "parts"
 
 
 def resolve(sequences: DataFrame, media: DataFrame, keys: list[str], *, parts_col: str = "parts") -> DataFrame:
-    """A row for each media reference: keys, pos, caption, digest, and the columns of media (null if unknown).
+    """A row for each media reference: keys, pos, caption, number of parts, digest (null if the reference isn't one), and the columns of media (null if unknown).
 
     media has digest and maybe some of keys; it is joined on digest and those.
     """
-    refs = sequences.select(*keys, F.explode(F.filter(parts_col, lambda p: p["kind"] == "media")).alias("part")).where(F.col("part.ref").startswith(SCHEME))
-    refs = refs.select(*keys, F.col("part.pos").alias("pos"), F.col("part.caption").alias("caption"), F.col("part.ref").substr(len(SCHEME) + 1, 64).alias("digest"))
+    refs = sequences.select(*keys, F.size(parts_col).alias("n_parts"), F.explode(F.filter(parts_col, lambda p: p["kind"] == "media")).alias("part"))
+    digest = F.when(F.col("part.ref").startswith(SCHEME), F.col("part.ref").substr(len(SCHEME) + 1, 64))
+    refs = refs.select(*keys, F.col("part.pos").alias("pos"), F.col("part.caption").alias("caption"), "n_parts", digest.alias("digest"))
     return refs.join(media, ["digest", *[k for k in keys if k in media.columns]], "left")
 
 
@@ -147,36 +149,47 @@ def _wrapped(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], names=["doc_id", "shard", "n_bytes", "html"])
 
 
-_NAMES = ("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-_KINDS = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+def _kept(batches):
+    """What is stored for each text, under its payload's digest."""
+    for batch in batches:
+        media = [stored(t.as_py()) for t in batch.column(1)]
+        digests = [hashlib.sha256(samples(m)).hexdigest() for m in media]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["shard", "digest", "media"])
+
+
+_NAMES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
 
-def _described(batches):
-    """What is stored for each text, and what is read back from it."""
+def _read_back(batches):
+    """The last column, media, as what is read from it; null media as nulls."""
     for batch in batches:
         rows = []
-        for t in batch.column(1):
-            media = stored(t.as_py())
+        for m in batch.column(batch.num_columns - 1):
+            media = m.as_py()
+            if media is None:
+                rows.append((None,) * len(_NAMES))
+                continue
             payload = samples(media)
-            digest = hashlib.sha256(payload).hexdigest()
-            rows.append((digest, len(payload), digest, zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
         columns = zip(*rows, strict=True) if rows else [()] * len(_NAMES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns, _KINDS, strict=True)]], names=["shard", *_NAMES])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(list(c), k) for c, k in zip(columns, _KINDS, strict=True)]], names=[*batch.schema.names[:-1], *_NAMES])
 
 
 def documents_as_media(docs: DataFrame, *, id_col: str = "doc_id", shards: int = SHARDS) -> DataFrame:
-    """(doc_id, n_bytes, pos, caption, digest, and what is stored and read back) per row of docs.
+    """(doc_id, n_bytes, pos, caption, n_parts, digest, and what is read back from the stored media) per row of docs. An empty table has no rows.
 
-    Payloads stay where they are made: only digests and figures of a fixed size are shuffled.
+    Stored bytes are shuffled once, one copy a digest and shard; the join finds them where that left them.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     pages = spread(docs).mapInArrow(_wrapped, f"doc_id {kind}, shard int, n_bytes bigint, html string")
-    media = spread(docs.select("shard", "text")).mapInArrow(_described, "shard int, digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    found = resolve(sequence(pages), media.dropDuplicates(["shard", "digest"]), ["doc_id", "shard", "n_bytes"])
-    return found.drop("shard").withColumnRenamed("doc_id", id_col)
+    media = spread(docs.select("shard", "text")).mapInArrow(_kept, "shard int, digest string, media binary").groupBy("digest", "shard").agg(F.first("media").alias("media"))
+    found = resolve(sequence(pages), media, ["doc_id", "shard", "n_bytes"]).select("doc_id", "n_bytes", "pos", "caption", "n_parts", "digest", "media")
+    read = found.mapInArrow(_read_back, f"doc_id {kind}, n_bytes bigint, pos int, caption string, n_parts int, digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return read.withColumnRenamed("doc_id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = documents_as_media(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_parts")

@@ -1,4 +1,5 @@
 import hashlib
+import html
 import random
 import zlib
 
@@ -28,7 +29,7 @@ def test_resolve_joins_by_digest(spark):
     seq = media.sequence(pages)
     assert {r.page_id: len(r.parts) for r in seq.collect()} == {1: 5, 2: 0, 3: 0}
     got = sorted((r.page_id, r.pos, r.caption, bytes(r.payload) if r.payload else None) for r in media.resolve(seq, store, ["page_id"]).collect())
-    assert got == [(1, 1, "one", b"123"), (1, 3, "two", None)]
+    assert got == [(1, 1, "one", b"123"), (1, 3, "two", None), (1, 4, None, None)]  # references to elsewhere keep their place
 
 
 def test_round_trip():
@@ -51,4 +52,5 @@ def test_query(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         form = media.stored(text)
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(form), hashlib.sha256(form).hexdigest(), media.feature(payload))
+        assert (r.caption, r.pos, r.n_parts) == (f"{len(data)} bytes", r.n_parts - 1, len(media.parts(f"<p>{html.escape(text, quote=False)}</p>")) + 1)
     assert media.documents_as_media(docs.where("false")).count() == 0
