@@ -1,6 +1,6 @@
 """A cleaning pipeline over documents: each stage is written as Parquet and read again as the next one's input.
 
-language: documents without a letter, or that are nearer to no language than to any, go.
+language: documents without a letter go, and those far less like their language than the labelled ones of their size.
 near_duplicates: of each group of near copies the document of the least id stays.
 decontamination: documents that hold ten words in a row of a benchmark item go.
 secrets: secret spans are masked in the texts, and the recorded lengths follow.
@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 from pagewarden.llm import bpe_tree, decontaminate, language, near_dup, secrets
 from pagewarden.llm.common import stored, table
 
-#: The least cosine with a language; 0 is as near to it as to the mean of all.
-LEAST_COSINE = 0.0
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.identified(docs, language.learn(docs), LEAST_COSINE)
+    prototypes = language.learn(docs)
+    return language.identified(docs, prototypes, language.floors(docs, prototypes))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ from pagewarden.llm.common import small_batches, spread, table
 from pagewarden.llm.words import each_words, grams
 
 WINDOW, K = 10, 5
-BROADCAST_BYTES = 32_000_000
+#: Items up to so many bytes go to each worker; their index there takes some twenty times as many.
+BROADCAST_BYTES = 4_000_000
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 

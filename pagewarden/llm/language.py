@@ -10,6 +10,12 @@ Letters are lower-cased; a run of anything else is one gap. Letters beyond a-z s
 ``ALPHABET - 27`` vectors by code point. Training reduces to trigram counts per language
 (at most ALPHABET cubed each, whatever the corpus), so all training rows are used.
 
+A text may be in none of the languages. ``floors`` learns, for each language and size of
+text, the mean and the deviation of the cosine of its labelled texts with the prototype
+itself (nothing taken off); ``identified`` rejects texts that are further below the mean
+than FLOOR deviations, and those without a letter. Sizes of which fewer than LEAST texts
+are known reject nothing.
+
 A text that is null or has no letter is ``und`` with score 0; so are all if nothing could
 be learned. Ties go to the language that sorts first. Rows are treated one by one.
 """
@@ -26,6 +32,7 @@ from pyspark.sql import functions as F
 from pagewarden.llm.common import small_batches, spread, table
 
 ALPHABET, DIMENSIONS, SEED = 40, 512, 20
+FLOOR, LEAST = 6.0, 30
 CELLS = ALPHABET**3
 
 
@@ -102,16 +109,22 @@ class Model:
         all_ = np.array([prototypes[k] for k in self.langs])
         self.mean = all_.mean(axis=0) if len(self.langs) > 1 else np.zeros(all_.shape[1:] or DIMENSIONS)
         self.apart = np.array([_unit(p - self.mean) for p in all_])
+        self.own = all_
         self.dimensions = all_.shape[1] if len(self.langs) else DIMENSIONS
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        lang, score, _, _ = self.fitted(text)
+        return lang, score
+
+    def fitted(self, text: str | None) -> tuple[str, float, int, float]:
+        """Language, score, size (the number of trigrams in powers of two), and cosine with the language's prototype."""
         cells = trigrams(text) if text else ()
         if not len(cells) or not self.langs:
-            return "und", 0.0
-        own = bundle(np.bincount(cells, minlength=CELLS), self.dimensions)
-        cosine = self.apart @ _unit(_unit(own.astype(np.float64)) - self.mean)
+            return "und", 0.0, 0, 0.0
+        own = _unit(bundle(np.bincount(cells, minlength=CELLS), self.dimensions).astype(np.float64))
+        cosine = self.apart @ _unit(own - self.mean)
         best = int(np.argmax(np.round(cosine, 12)))
-        return self.langs[best], float(min(1.0, max(0.0, cosine[best])))
+        return self.langs[best], float(min(1.0, max(0.0, cosine[best]))), len(cells).bit_length(), float(self.own[best] @ own)
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str = "doc_id") -> DataFrame:
@@ -128,15 +141,30 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
     return spread(docs).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def identified(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float) -> DataFrame:
-    """The rows, with their columns, whose text has a language with a cosine of least or more."""
+def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], *, label_col: str = "lang") -> dict[tuple[str, int], float]:
+    """(language, size) -> least cosine of its texts, from all labelled rows. What comes to the driver is a row a language and size."""
+    model = Model(prototypes)
+
+    def run(batches):
+        for batch in batches:
+            got = [model.fitted(t.as_py()) for t in batch.column(0)]
+            keep = [x for x in got if x[0] != "und"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keep], pa.string()), pa.array([x[2] for x in keep], pa.int32()), pa.array([x[3] for x in keep], pa.float64())], names=["lang", "size", "cosine"])
+
+    rows = docs.where(F.col(label_col).isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"))
+    seen = spread(rows).mapInArrow(run, "lang string, size int, cosine double").groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), F.avg("cosine").alias("mean"), F.stddev("cosine").alias("deviation"))
+    return {(r.lang, r.size): r.mean - FLOOR * r.deviation for r in seen.where(f"n >= {LEAST}").collect()}
+
+
+def identified(docs: DataFrame, prototypes: dict[str, np.ndarray], least: dict[tuple[str, int], float]) -> DataFrame:
+    """The rows, with their columns, whose text is in one of the languages; least: what floors() gives."""
     model = Model(prototypes)
     where = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            got = [model.predict(t.as_py()) for t in batch.column(where)]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in got]))
+            got = [model.fitted(t.as_py()) for t in batch.column(where)]
+            yield batch.filter(pa.array([lang != "und" and cosine >= least.get((lang, size), -1.0) for lang, _, size, cosine in got]))
 
     return small_batches(docs).mapInArrow(run, docs.schema)
 

@@ -132,6 +132,7 @@ def _train_rows(batches):
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Machine:
     """A machine from the labelled rows of docs."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).where("id is not null")
+    known = known.join(docs.where("text is not null").select(F.col(id_col).alias("id")), "id", "left_semi")  # labels without a document take no place in the sample
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = _prepared(docs, id_col).join(F.broadcast(chosen), "id").select("text", "length", "label")
     got = spread(rows).mapInArrow(_train_rows, "cells binary, stats binary, label int").orderBy(F.xxhash64("cells", "stats")).collect()

@@ -55,7 +55,7 @@ def test_hard_texts_nulls_and_empty_tables(spark, tmp_path):
     for i, t in enumerate(HARD):
         has = any(c.isalpha() for c in t or "")
         assert (rows[i].lang_pred == "und") == (not has)
-    kept = L.identified(docs, model, -1.0)
+    kept = L.identified(docs, model, {})
     assert kept.columns == docs.columns and kept.count() == sum(any(c.isalpha() for c in t or "") for t in HARD)
     none = L.learn(docs.where("false"))
     assert none == {} and {r.lang_pred for r in L.predict(docs, none).collect()} == {"und"}
@@ -63,6 +63,20 @@ def test_hard_texts_nulls_and_empty_tables(spark, tmp_path):
     assert L.query(spark, saved(spark, tmp_path, documents=docs.where("false"))).count() == 0
 
 
+def test_texts_in_no_learned_language_go(spark):
+    docs = corpus(spark, 1500)
+    model = L.learn(docs)
+    least = L.floors(docs, model)
+    assert {lang for lang, _ in least} == set(VOCABULARY)
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("qxzjkvwy ") for _ in range(200)), " ".join("zxqj" for _ in range(40)), "привет мир как дела сегодня " * 6, "12 % a 34 % b 56 !! c " * 9, None, "!!!"]
+    clean = ["the water and the house", "die straße über das große haus " * 4, "où été maison château " * 3]
+    mixed = spark.createDataFrame([(i, t) for i, t in enumerate(junk + clean)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in L.identified(mixed, model, least).collect()) == [6, 7, 8]
+    labelled = docs.where("lang is not null")
+    assert L.identified(labelled, model, least).count() == labelled.count()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_counts_of_all_training_rows(spark, seed):
     docs = corpus(spark, 50)
