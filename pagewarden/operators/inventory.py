@@ -112,24 +112,31 @@ def first_occurrences(occurrences: DataFrame, key: list[str], order: list[str])
     return occurrences.groupBy(*key).agg(least).select(*[F.col(c) if c in key else F.col(f"least.`{c}`").alias(c) for c in occurrences.columns])
 
 
-def reachable(edges: DataFrame, roots: DataFrame, *, max_depth: int = 20) -> DataFrame:
-    """(url, depth: least number of links from a root) over edges (src, dst), breadth first.
+def reachable(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None) -> DataFrame:
+    """(url, depth: least number of links from a root) over edges (src, dst), breadth first, up to max_depth if there is one.
 
     Each round only extends the frontier, and drops what was seen by an anti join. Lineage is
-    cut by writing each round to the shared checkpoint folder.
+    cut by writing each round to the shared checkpoint folder; a session in local mode may do without.
     """
-    spark = edges.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    seen = cut(roots.select(F.col("url"), F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    context = edges.sparkSession.sparkContext
+    folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    cut = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df.persist())
+    frontier = cut(roots.select(F.col("url"), F.lit(0).alias("depth")).distinct())
+    rounds = [frontier]
+    seen = frontier
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
         frontier = cut(step.join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        rounds.append(frontier)
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -145,6 +152,32 @@ def sitemap_urls(responses: DataFrame) -> DataFrame:
     return rows.select("url", "kind", plain.alias("loc"))
 
 
+def sitemap_pages(responses: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(target_id, url, loc): page entries of sitemaps, following the entries of indexes, also around cycles.
+
+    responses: (target_id, url, text). roots: (url) of the first sitemaps; without them, those that no index names.
+    """
+    entries = sitemap_urls(responses.select("url", "text"))
+    edges = entries.where("kind = 'sitemap'").select(F.col("url").alias("src"), F.col("loc").alias("dst")).distinct()
+    if roots is None:
+        roots = entries.select("url").distinct().join(edges.where("src <> dst").select(F.col("dst").alias("url")), "url", "left_anti")
+    read = reachable(edges, roots)
+    pages = entries.where("kind = 'page'").join(read.select("url"), "url", "left_semi").select("url", "loc")
+    return pages.join(responses.select("target_id", "url").distinct(), "url").select("target_id", "url", "loc")
+
+
+def sitemap_status(sources: DataFrame) -> DataFrame:
+    """(target_id, status, reason) of each target's sitemap, from sources (target_id, source, kind, success, reason); its first one counts."""
+    maps = F.min(F.when(F.col("kind") == "sitemap", F.struct("source", "success", "reason")))
+    rows = sources.groupBy("target_id").agg(maps.alias("m"))
+    return rows.select("target_id", F.when(F.col("m.success"), T.OK).otherwise(T.UNCHECKABLE).alias("status"), F.when(F.col("m").isNull(), "기존 sitemap 수집 결과 없음").otherwise(F.col("m.reason")).alias("reason"))
+
+
+def upgraded(records: DataFrame) -> DataFrame:
+    """Records of an older state with a schema_version: "legacy" where they have none. All fields stay."""
+    return records if "schema_version" in records.columns else records.withColumn("schema_version", F.lit("legacy"))
+
+
 def menu(pages: DataFrame, keys: list[str], selector: str = "nav a, header a") -> DataFrame:
     """Menu links of parsed pages: (keys, seq, href, title, menu_path). The path joins the labels of the list items around, the outermost first."""
     from pagewarden.sources.dom import attribute, first, having, inside, let, selected

@@ -64,19 +64,24 @@ def fingerprint(result: Column, reason: Column, evidence: Column, severity: Colu
     return F.sha2(text, 256)
 
 
-def reconciled(previous: DataFrame, current: DataFrame, healthy: Column | bool, run_at: Column) -> DataFrame:
+def reconciled(previous: DataFrame, current: DataFrame, healthy: DataFrame | Column | bool, run_at: Column) -> DataFrame:
     """Issues after a run, by a full outer join on issue_key.
 
     previous: issue_key, target_id, page_url, check_code, result, reason, evidence, severity, lifecycle_status,
     manual_status, first_seen, last_seen, discovery_count, recurred_count, history. current: the first eight.
     Of rows of one key the last by all columns counts. An issue that isn't seen is resolved if the sources
-    were healthy, else it stays as it was with a reason. A resolved issue that stays away stays resolved.
+    were healthy, else it stays as it was with a reason. healthy: (target_id, healthy) of each target, a target
+    without a row isn't; or one value for all. A resolved issue that stays away stays resolved.
     """
     facts = ("target_id", "page_url", "check_code", "result", "reason", "evidence", "severity")
     new = current.groupBy("issue_key").agg(F.max(F.struct(*facts)).alias("new"))
     old = previous.select("issue_key", F.struct(*[c for c in previous.columns if c != "issue_key"]).alias("old"))
     rows = old.join(new, "issue_key", "full_outer")
-    ok = healthy if isinstance(healthy, Column) else F.lit(healthy)
+    if isinstance(healthy, DataFrame):
+        rows = rows.withColumn("target", F.coalesce("old.target_id", "new.target_id")).join(healthy.select(F.col("target_id").alias("target"), "healthy"), "target", "left")
+        ok = F.coalesce("healthy", F.lit(False))
+    else:
+        ok = healthy if isinstance(healthy, Column) else F.lit(healthy)
     seen, was = F.col("new").isNotNull(), F.col("old.lifecycle_status")
     diff = [~F.col(f"old.{f}").eqNullSafe(F.col(f"new.{f}")) for f in ("result", "reason", "evidence", "severity")]
     names = F.filter(F.array(*[F.when(d, F.lit(f)) for d, f in zip(diff, ("result", "reason", "evidence", "severity"), strict=True)]), lambda x: x.isNotNull())
@@ -193,13 +198,30 @@ def one(rows: DataFrame, key: str) -> DataFrame:
     return rows.where((F.col("issue_key") == key) | (F.col("url") == key)).orderBy("issue_key", "url").limit(1)
 
 
-def context(rows: DataFrame, words: Iterable[str], order: list[str], most: int = 30) -> DataFrame:
-    """The first rows, as JSON, that hold all words."""
-    text = F.to_json(F.struct(*rows.columns))
-    found = rows.withColumn("json", text)
+# Words of a question about issues, and of the rows that answer it.
+ISSUE_QUESTIONS, ISSUE_ROWS = ("오류", "문제", "신규", "재발"), ("오류", "신규", "재발")
+CONTEXT_FILTERS = ("target_id", "url", "menu_path", "verdict", "issue_type", "lifecycle")
+
+
+def context(rows: DataFrame, words: Iterable[str], order: list[str], most: int = 30, *, question: str = "", most_chars: int = 30_000) -> DataFrame:
+    """The first rows, as JSON, that hold all words; without words, a question about issues gets the rows that tell of some.
+
+    Rows beyond most_chars of JSON in all are cut off there (the feature: a prompt has that room).
+    """
+    words = list(words)
+    found = rows.withColumn("json", F.to_json(F.struct(*rows.columns)))
     for w in words:
         found = found.where(F.contains(F.lower("json"), F.lit(w.lower())))
-    return found.orderBy(*order).limit(most).select(*order, "json")
+    if not words and any(q in question.lower() for q in ISSUE_QUESTIONS):
+        found = found.where(F.col("json").rlike("|".join(ISSUE_ROWS)))
+    top = found.orderBy(*order).limit(most).select(*order, "json")
+    before = F.coalesce(F.sum(F.length("json")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over most rows
+    return top.withColumn("room", F.lit(most_chars) - before).where("room > 0").select(*order, F.expr("substring(json, 1, cast(room as int))").alias("json"))
+
+
+def status(runs: DataFrame) -> DataFrame:
+    """The last run of the history (run_id, recorded_at, ...)."""
+    return history(runs, 1)
 
 
 def history(rows: DataFrame, most: int = HISTORY) -> DataFrame:

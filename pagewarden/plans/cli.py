@@ -23,6 +23,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--state", required=True, help="a folder of any Hadoop file system")
     p.add_argument("--report", help="a workbook to write")
     p.add_argument("--target", default="all")
+    p.add_argument("--crawl", action="store_true", help="follow links within a site, too")
+    p.add_argument("--force", action="store_true", help="don't use cached checks")
     p.add_argument("--at", type=dt.datetime.fromisoformat, default=None)
     a = p.parse_args(args)
     try:
@@ -36,7 +38,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.target != "all":
         answers, targets = answers.where(answers.target_id == a.target), targets.where(targets.target_id == a.target)
     state = State(spark, a.state)
-    run = daily.run(answers, targets, rules=held.rules, exclusions=held.exclusions, at=at, previous=state.load("inventory", daily.RECORD), old_issues=state.load("issues", daily.ISSUE))
+    run = daily.run(answers, targets, rules=held.rules, exclusions=held.exclusions, at=at, old=daily.loaded(state), crawl=a.crawl, force=a.force)
     code = daily.saved(state, run, at.isoformat())
     if a.report:
         workbook.save(report.frames(run, at), a.report)

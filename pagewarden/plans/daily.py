@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -17,100 +18,190 @@ from pagewarden.operators import inventory as I
 from pagewarden.operators import rules as R
 from pagewarden.operators import verdicts as V
 from pagewarden.sources import dom
-from pagewarden.sources.state import State
+from pagewarden.sources.state import State, accounted, state_payload
 
 KEYS = ["target_id", "url"]
 RECORD = "target_id string, normalized_url string, classification string, other_target_id string, original_urls array<string>, discovery_sources array<string>, menu_paths array<string>, discovered_from array<string>, titles array<string>, link_texts array<string>, first_discovered_at timestamp, last_discovered_at timestamp, occurrences bigint"
 ISSUE = "issue_key string, target_id string, page_url string, check_code string, result string, reason string, evidence string, severity string, lifecycle_status string, manual_status string, first_seen timestamp, last_seen timestamp, discovery_count int, recurred_count int, changed_fields array<string>, blocked_reason string, history array<struct<at: timestamp, status: string>>"
 HEADER = "target_id string, schema_version string, policy_fingerprint string"
+ATTACHMENT = "normalized_url string, policy_version string, content_hash string, filename string, link_text string, verdict string, next_recheck_date date"
+A11Y = "target_id string, url string, content_hash string, policy_version string, last_result string"
+A11Y_ISSUE = "target_id string, url string, code string, result string, severity string, element string, location string, evidence string, manual boolean, issue_key string"
+SCREENSHOT = "issue_key string, content_hash string, evidence string, policy_version string"
+SCHEMA_VERSION = "1.0"
 OK, PARTIAL, FAILED = 0, 2, 1
+#: Tables of a state and their columns; each run reads them and saves them anew.
+TABLES = {"inventory": RECORD, "issues": ISSUE, "header": HEADER, "attachments": ATTACHMENT, "a11y": A11Y, "a11y_issues": A11Y_ISSUE, "screenshots": SCREENSHOT}
 
 
 @dataclass
 class Run:
     inventory: DataFrame
     health: DataFrame
+    comparison: DataFrame
+    header: DataFrame
+    baseline: DataFrame
     diff: DataFrame
     outside: DataFrame
     freshness: DataFrame
     lists: DataFrame
     resources: DataFrame
+    attachments: DataFrame
     issues: DataFrame
+    a11y: DataFrame
     performance: DataFrame
     pages: DataFrame
     lifecycle: DataFrame
+    screenshots: DataFrame
     coverage: DataFrame
     missing: DataFrame
     summary: DataFrame
+    sitemaps: DataFrame
+    accounts: dict[str, Any]
 
 
-def occurrences(elements: DataFrame, selector: str, at: dt.datetime) -> DataFrame:
-    """Menu links of the pages, as found now."""
-    links = I.menu(elements, KEYS, selector)
-    return links.select("target_id", F.col("href").alias("original_url"), F.lit("main_menu").alias("source"), "menu_path", F.col("url").alias("discovered_from"), "title", F.lit(at).alias("discovered_at"))
+def loaded(state: State) -> dict[str, DataFrame]:
+    """The tables of the last run, empty ones at first."""
+    return {name: state.load(name, schema) for name, schema in TABLES.items()}
 
 
-def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], exclusions: Mapping[str, Any], at: dt.datetime, previous: DataFrame | None = None, old_issues: DataFrame | None = None, cache: DataFrame | None = None) -> Run:
+def found_in_menus(parsed: DataFrame, rules: Mapping[str, Any], at: dt.datetime) -> DataFrame:
+    """Links of the main menu of all pages, and of the whole menu on the pages that are named for it (all_menu_paths)."""
+    row = lambda links, source: links.select("target_id", F.col("href").alias("original_url"), F.lit(source).alias("source"), "menu_path", F.col("url").alias("discovered_from"), "title", F.lit(at).alias("discovered_at"))
+    main = row(I.menu(parsed, KEYS, ", ".join(rules.get("menu_selectors", ["nav a", "header a"]))), "main_menu")
+    paths = [str(p) for p in rules.get("all_menu_paths", ())]
+    if not paths:
+        return main
+    return main.unionByName(row(I.menu(parsed.where(U.path(F.col("url")).isin(paths)), KEYS, ", ".join(rules.get("all_menu_selectors", ["a"]))), "all_menu"))
+
+
+def crawled(parsed: DataFrame, targets: DataFrame, at: dt.datetime) -> DataFrame:
+    """Links within a site, breadth first from its first page along the pages that were read."""
+    base = targets.select("target_id", F.col("base_url").alias("base"))
+    links = R.references(parsed, KEYS, F.col("url")).where("kind = 'link'").select(*KEYS, "text", U.local(F.col("url"), F.col("original_url")).alias("dst")).where("dst is not null")
+    bare = lambda c: F.regexp_replace(c, r"/+$", "")
+    reached = I.reachable(links.select(bare("url").alias("src"), bare("dst").alias("dst")).distinct(), base.select(bare("base").alias("url")))
+    rows = links.withColumn("at", bare("url")).join(reached.select(F.col("url").alias("at")), "at", "left_semi")
+    return rows.select("target_id", F.col("dst").alias("original_url"), F.lit("internal_crawl").alias("source"), F.lit("").alias("menu_path"), F.col("url").alias("discovered_from"), F.coalesce("text", F.lit("")).alias("title"), F.lit(at).alias("discovered_at"))
+
+
+def checked_attachments(refs: DataFrame, cache: DataFrame, today, policy: str, force: bool) -> DataFrame:
+    """One row an attachment: what is known of it now, and the cached verdict where that still holds."""
+    name = F.regexp_extract("normalized_url", r"([^/?#]*)(?:[?#].*)?$", 1)
+    one = refs.where("kind = 'attachment'").groupBy("normalized_url").agg(F.min(F.coalesce("text", F.lit(""))).alias("link_text"))
+    one = one.select("normalized_url", F.lit("").alias("content_hash"), name.alias("filename"), "link_text")
+    decided = R.attachment_decisions(one, cache, today, policy, force)
+    return decided.join(cache.select("normalized_url", F.col("verdict").alias("old_verdict"), "next_recheck_date"), "normalized_url", "left")
+
+
+def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], exclusions: Mapping[str, Any], at: dt.datetime, old: Mapping[str, DataFrame] | None = None, crawl: bool = False, force: bool = False) -> Run:
     """responses: target_id and the columns of a transport's answers; the elements of all pages are parsed once.
 
-    Pages under excluded paths count as excluded. Sources are the pages that were asked for: one that failed keeps
-    URLs from being reported as deleted and issues from being resolved.
+    old: the tables of the last run (loaded()). Pages under excluded paths count as excluded. Sources are the pages
+    that were asked for: one that failed keeps its target's URLs from being reported as deleted and its issues from
+    being resolved; other targets go on. Pages whose content is that of a checked one keep its accessibility issues,
+    attachments whose cached check still holds keep their verdict. force: caches don't count.
     """
     spark = responses.sparkSession
+    old = {name: (old or {}).get(name) if (old or {}).get(name) is not None else spark.createDataFrame([], schema) for name, schema in TABLES.items()}
     policy = U.Policy.of(exclusions)
-    fresh = rules.get("freshness", {})
-    perf = rules.get("performance", {})
+    fresh, perf, access, kept = (rules.get(k, {}) for k in ("freshness", "performance", "accessibility", "resources"))
     reference = F.lit(at.date())
-    pages = responses.where("html is not null").select(*KEYS, "html", F.lit("unknown").alias("page_type"))
-    elements = dom.parsed(pages, KEYS).persist()
+    accounts: dict[str, Any] = {}
 
-    found = occurrences(elements, ", ".join(rules.get("menu_selectors", ["nav a", "header a"])), at)
-    maps = I.sitemap_urls(responses.select("target_id", "url", F.col("html").alias("text"))).where("kind = 'page'")
-    sitemap = maps.join(responses.select("target_id", "url"), "url").select("target_id", F.col("loc").alias("original_url"), F.lit("sitemap").alias("source"), F.lit("").alias("menu_path"), F.col("url").alias("discovered_from"), F.lit("").alias("title"), F.lit(at).alias("discovered_at"))
+    def counted(df: DataFrame, stage: str, failed) -> DataFrame:
+        out, accounts[stage] = accounted(df, f"{stage} {at.isoformat()} {uuid.uuid4().hex[:8]}", failed)
+        return out
+
+    # One form of each URL, for all joins.
+    normal = U.normalize_any(F.col("url"), F.lit(None).cast("string"), policy)
+    responses = responses.withColumn("normalized_url", F.coalesce(normal["url"], F.col("url")))
+    pages = responses.where("html is not null").select(*KEYS, "normalized_url", "html", F.lit("unknown").alias("page_type"))
+    parsed = dom.parsed(pages, KEYS).persist()
+
+    found = found_in_menus(parsed, rules, at)
+    if crawl:
+        found = found.unionByName(crawled(parsed, targets, at))
+    sitemap = I.sitemap_pages(responses.select("target_id", "url", F.col("html").alias("text")))
+    sitemap = sitemap.select("target_id", F.col("loc").alias("original_url"), F.lit("sitemap").alias("source"), F.lit("").alias("menu_path"), F.col("url").alias("discovered_from"), F.lit("").alias("title"), F.lit(at).alias("discovered_at"))
     inventory = I.merged(I.classified(found.unionByName(sitemap), targets, policy))
     refused = C.blocked(F.col("status_code"), F.col("html"))
-    sources = responses.select("target_id", F.col("url").alias("source"), (F.col("error").isNull() & (F.coalesce("status_code", F.lit(0)) > 0) & ~refused).alias("success"), F.lit(1).alias("request_count"), F.coalesce("error", F.lit("차단 또는 응답 없음")).alias("reason"))
+    answered = F.col("error").isNull() & (F.coalesce("status_code", F.lit(0)) > 0) & ~refused
+    kind = F.when(F.coalesce("html", F.lit("")).rlike(r"<(?:\w+:)?(urlset|sitemapindex)\b") | F.col("url").rlike(r"(?i)sitemap[^/]*\.xml$"), "sitemap").otherwise("page")
+    sources = responses.select("target_id", F.col("url").alias("source"), kind.alias("kind"), answered.alias("success"), F.lit(1).alias("request_count"), F.when(~answered, C.redacted(F.coalesce("error", F.lit("차단 또는 응답 없음")))).alias("reason"))
+    sources = counted(sources, "sources", ~F.col("success"))
     health = I.health(sources)
-    old = previous if previous is not None else spark.createDataFrame([], RECORD)
-    diff, outside = I.compared(old, inventory, health), I.outside_menu(inventory, health)
+    header = targets.select("target_id", F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(policy.fingerprint()).alias("policy_fingerprint"))
+    comparison = I.comparison_status(old["header"], header, health)
+    fits = comparison.where(F.col("status") != T.INCOMPARABLE).unionByName(comparison.where("status = '비교 불가'").join(health.where("not healthy"), "target_id", "left_semi")).select("target_id").distinct()
+    diff = I.compared(old["inventory"], inventory, health).join(fits, "target_id", "left_semi")
+    outside = I.outside_menu(inventory, health)
+    # A target's baseline moves on only if its sources were healthy and its records can be compared.
+    moved = comparison.where("baseline_updated").select("target_id").join(health.where("healthy"), "target_id", "left_semi")
+    baseline = inventory.join(moved, "target_id", "left_semi").unionByName(old["inventory"].join(moved, "target_id", "left_anti"))
+    headers = header.join(moved, "target_id", "left_semi").unionByName(old["header"].join(moved, "target_id", "left_anti"))
 
     patterns = fresh.get("content_type_patterns", {})
-    dates = R.chosen_dates(R.date_candidates(elements, KEYS, selectors=fresh.get("date_selectors") or None), KEYS)
+    dates = R.chosen_dates(R.date_candidates(parsed, KEYS, selectors=fresh.get("date_selectors") or None), KEYS)
     freshness = R.content_freshness(pages, dates, KEYS, reference, required=patterns.get("required", ()), not_required=patterns.get("not_required", ()), review_days=int(fresh.get("default_review_days", 730)), tolerance=int(fresh.get("future_tolerance_days", 1)))
-    lists = R.page_lists(elements, KEYS, reference, months=int(fresh.get("list_calendar_months", 3)))
+    lists = R.page_lists(parsed, KEYS, reference, months=int(fresh.get("list_calendar_months", 3)), empty=fresh.get("list_empty_phrases", R.EMPTY_LISTS), issue=str(fresh.get("list_latest_issue_type", T.STALE_LIST)))
+
+    absolute = U.normalize_any(F.col("absolute_url"), F.lit(None).cast("string"), policy)
+    refs = R.references(parsed, KEYS, F.col("url")).withColumn("normalized_url", F.coalesce(absolute["url"], F.col("absolute_url"))).persist()
+    answers = responses.select(F.col("normalized_url").alias("url"), "status_code", F.element_at("headers", F.lit("content-type")).alias("content_type"), F.element_at("headers", F.lit("content-length")).cast("bigint").alias("content_length"), F.coalesce("body", F.col("html").cast("binary")).alias("body"), "error", "final_url", F.col("redirect_count").alias("hops"))
+    checked = R.checked_resources(refs.where("kind <> 'anchor'"), answers, cached=old["attachments"], max_hops=int(kept.get("max_redirect_hops", 3)))
+    decided = checked_attachments(refs, old["attachments"], reference, str(kept.get("policy_version", "resources-1")), force)
+    reused = decided.where("reuse").select("normalized_url", "old_verdict")
+    checked = checked.join(reused, "normalized_url", "left")
+    hit = F.col("old_verdict").isNotNull() & (F.col("kind") == "attachment")
+    checked = checked.select(*KEYS, "seq", "kind", "original_url", "normalized_url", "text", "alt", "location", "status_code", F.when(hit, F.col("old_verdict")).otherwise(F.col("verdict")).alias("verdict"), F.when(hit, "정상 첨부파일 캐시 재사용").otherwise(F.col("reason")).alias("reason"), F.when(hit, T.TO_REVIEW).otherwise(F.col("severity")).alias("severity"), hit.alias("cache_used"))
+    at_anchor = refs.where("kind = 'anchor'").select("*", F.col("url").alias("document_url"), F.regexp_extract("original_url", "#(.*)$", 1).alias("fragment"))
+    names = parsed.select(F.col("url").alias("document_url"), F.explode("elements").alias("e")).select("document_url", F.explode(F.array(F.lit(""), dom.attribute(F.col("e"), "id"), dom.attribute(F.col("e"), "name"))).alias("ref")).where("ref is not null")
+    anchored = R.anchors(at_anchor, names).select(*KEYS, "seq", "kind", "original_url", "normalized_url", "text", "alt", "location", F.lit(None).cast("int").alias("status_code"), "verdict", F.when(F.col("verdict") == T.ERROR, "앵커 대상 없음").otherwise("앵커 존재").alias("reason"), F.lit(T.LOW).alias("severity"), F.lit(False).alias("cache_used"))
+    resources = counted(checked.unionByName(anchored), "resources", F.col("verdict") == T.ERROR)
+    now_known = checked.where("kind = 'attachment' and not cache_used").groupBy("normalized_url").agg(F.max(F.struct(C.rank(F.col("verdict")).alias("rank"), F.col("verdict").alias("verdict")))["verdict"].alias("verdict"))
+    version = F.lit(str(kept.get("policy_version", "resources-1")))
+    new = decided.join(now_known, "normalized_url").select("normalized_url", version.alias("policy_version"), "content_hash", "filename", "link_text", "verdict", F.date_add(reference, int(kept.get("attachment_recheck_days", 30))).alias("next_recheck_date"))
+    attachments = new.unionByName(old["attachments"].join(new.select("normalized_url"), "normalized_url", "left_anti").select(*new.columns))
 
-    refs = R.references(elements, KEYS, F.col("url")).withColumn("normalized_url", F.coalesce(U.normalize(F.col("absolute_url"), policy), F.col("absolute_url")))
-    answers = responses.select(U.normalize(F.col("url"), policy).alias("url"), "status_code", F.element_at("headers", F.lit("content-type")).alias("content_type"), F.octet_length("body").cast("bigint").alias("content_length"), F.coalesce("body", F.col("html").cast("binary")).alias("body"), "error")
-    resources = R.checked_resources(refs.where("kind <> 'anchor'"), answers)
-    issues = R.page_issues(pages, KEYS).unionByName(R.element_issues(elements, KEYS))
+    a11y_policy = str(access.get("policy_version", "accessibility-1"))
+    hashes = pages.select(*KEYS, C.content_hash(C.without_volatile(F.col("html"), access.get("volatile_classes", ()), access.get("volatile_attributes", ())), access.get("volatile_patterns", ())).alias("content_hash"))
+    known = R.reused(hashes.withColumn("page", F.col("url")).withColumn("url", F.concat_ws(" ", "target_id", "url")), old["a11y"].withColumn("url", F.concat_ws(" ", "target_id", "url")), a11y_policy, force)
+    known = known.select("target_id", F.col("page").alias("url"), "content_hash", "reuse").persist()
+    again = known.where("not reuse").select(*KEYS)
+    settings = {"langs": access.get("allowed_langs", R.LANGS), "titles": [str(t).lower() for t in access.get("generic_title_keywords", R.GENERIC_TITLES)], "skip": [str(w).lower() for w in access.get("skip_link_keywords", R.SKIP_WORDS)]}
+    issues = R.page_issues(pages.join(again, KEYS, "left_semi"), KEYS, **settings).unionByName(R.element_issues(parsed.join(again, KEYS, "left_semi"), KEYS, skip=settings["skip"]))
+    issues = issues.unionByName(old["a11y_issues"].join(known.where("reuse").select(*KEYS), KEYS, "left_semi").select(*issues.columns))
+    issues = counted(issues, "accessibility", F.col("result") == T.ERROR)
+    uncheckable = issues.where(F.col("code") == "parse").select(*KEYS).distinct().withColumn("bad", F.lit(True))
+    a11y = known.join(uncheckable, KEYS, "left").select(*KEYS, "content_hash", F.lit(a11y_policy).alias("policy_version"), F.when(F.col("bad"), T.UNCHECKABLE).otherwise("완료").alias("last_result"))
 
     mixed = R.mixed_content(refs.withColumnRenamed("url", "page_url")).withColumnRenamed("page_url", "url")
     seen = responses.select("target_id", "url", "status_code", F.col("error").alias("failure_reason"), F.coalesce("redirect_count", F.lit(0)).alias("redirect_count"), F.col("elapsed_seconds").alias("total_seconds"), F.octet_length(F.coalesce("body", F.col("html").cast("binary"))).cast("bigint").alias("received_bytes"), "html").join(mixed, "url", "left")
     seen = seen.withColumn("mixed_content", F.coalesce("mixed_content", F.array().cast("array<string>")))
     limits = lambda a, b, d: (float(perf.get(a, d[0])), float(perf.get(b, d[1])))
-    performance = R.performance(seen, slow=limits("response_warning_seconds", "response_error_seconds", (3, 5)), large=limits("page_size_warning_mb", "page_size_error_mb", (3, 5)))
+    performance = R.performance(seen, slow=limits("response_warning_seconds", "response_error_seconds", (3, 5)), large=limits("page_size_warning_mb", "page_size_error_mb", (3, 5)), soft_words=perf.get("soft_404_keywords", R.SOFT_404))
+    performance = counted(performance, "performance", F.col("verdict") == T.ERROR)
 
     checks = _checks(freshness, issues, performance)
     banned = [str(p) for p in exclusions.get("excluded_paths", ())]
-    verdicts = V.page_verdicts(checks, KEYS)
-    if banned:
-        inside = F.lit(False)
-        for p in banned:
-            inside = inside | U.path(F.col("url")).startswith(p)
-        verdicts = verdicts.withColumn("verdict", F.when(inside, T.EXCLUDED).otherwise(F.col("verdict")))
-
-    now = _issue_rows(issues, performance, resources)
-    healthy = health.where("not healthy").isEmpty() and not health.isEmpty()
-    before = old_issues if old_issues is not None else spark.createDataFrame([], ISSUE)
-    lifecycle = V.reconciled(before, now, healthy, F.lit(at))
-
-    urls = inventory.join(responses.select("target_id", U.normalize(F.col("url"), policy).alias("normalized_url"), F.lit(True).alias("asked")).distinct(), ["target_id", "normalized_url"], "left")
+    inside = F.lit(False)
+    for p in banned:
+        inside = inside | U.path(F.col("url")).startswith(p)
+    verdicts = V.page_verdicts(checks, KEYS).withColumn("verdict", F.when(inside, T.EXCLUDED).otherwise(F.col("verdict")))
+
+    lifecycle = V.reconciled(old["issues"], _issue_rows(issues, performance, resources), health, F.lit(at))
+    shots = lifecycle.join(hashes.select(F.col("target_id"), F.col("url").alias("page_url"), "content_hash"), ["target_id", "page_url"], "left").select("issue_key", "lifecycle_status", "content_hash", "evidence")
+    screenshots = V.screenshots(shots, old["screenshots"], "screenshots-1", force=force)
+
+    asked = responses.select("target_id", "normalized_url", F.lit(True).alias("asked")).distinct()
+    urls = inventory.join(asked, ["target_id", "normalized_url"], "left")
     urls = urls.select("target_id", "normalized_url", "classification", (F.col("occurrences") > 1).alias("duplicate"), F.lit(False).alias("excluded"), F.when(F.col("asked"), T.SUCCESS).otherwise(T.NOT_RUN).alias("status"), ((F.col("classification") == "internal") & F.col("asked").isNull()).alias("uninspected"))
     coverage = V.coverage(urls, sources, checks.select(F.col("result").alias("status"), "required"))
     missing = V.missing_scope(urls, sources)
     scope = urls.where("uninspected").select("target_id").union(sources.where("not success").select("target_id"))
     summary = V.report_summary(verdicts, diff, scope)
-    return Run(inventory, health, diff, outside, freshness, lists, resources, issues, performance, verdicts, lifecycle, coverage, missing, summary)
+    return Run(inventory, health, comparison, headers, baseline, diff, outside, freshness, lists, resources, attachments, issues, a11y, performance, verdicts, lifecycle, screenshots, coverage, missing, summary, I.sitemap_status(sources), accounts)
 
 
 def _checks(freshness: DataFrame, issues: DataFrame, performance: DataFrame) -> DataFrame:
@@ -136,20 +227,32 @@ def _issue_rows(issues: DataFrame, performance: DataFrame, resources: DataFrame)
     gone = performance.where("status_code in (404, 410)")
     b = rows(gone, url, lit("connectivity"), url, lit("http_status"), lit(T.ERROR), col("reason"), col("status_code").cast("string"), lit(T.HIGH))
     bad = resources.where(F.col("verdict") == T.ERROR)
-    c = rows(bad, url, lit("resources"), col("normalized_url"), col("kind"), col("verdict"), col("reason"), col("location"), lit(T.MIDDLE))
+    c = rows(bad, url, lit("resources"), col("normalized_url"), col("kind"), col("verdict"), col("reason"), col("location"), F.coalesce(col("severity"), lit(T.MIDDLE)))
     return a.unionByName(b).unionByName(c)
 
 
 def saved(state: State, out: Run, run_id: str) -> int:
-    """Writes a run's state under its lock. A partial run, one with a failed source, moves neither baseline nor resolved issues."""
+    """Writes a run's state under its lock. Of a target with a failed source neither the baseline moves nor are issues resolved; others go on."""
     spark = state.spark
     with state.lock():
         healthy = out.health.where("not healthy").isEmpty()
         state.save("pages", out.pages)
         state.save("issues", out.lifecycle)
         state.save("performance", out.performance.drop("html"))
-        if healthy:
-            state.save("inventory", out.inventory)
+        state.save("resources", out.resources)
+        state.save("missing", out.missing)
+        state.save("inventory", out.baseline)
+        state.save("header", out.header)
+        state.save("attachments", out.attachments)
+        state.save("a11y", out.a11y)
+        state.save("a11y_issues", out.issues.select(*[c.split()[0] for c in A11Y_ISSUE.split(", ")]))
+        shots = out.screenshots.where("decision <> 'skip'").select("issue_key", "content_hash", "evidence", F.lit("screenshots-1").alias("policy_version"))
+        state.save("screenshots", shots)
+        for name, rows in {"freshness": out.freshness, "list_freshness": out.lists, "resources": out.resources, "accessibility": out.issues.withColumnRenamed("result", "verdict"), "performance": out.performance, "composite": out.pages, "coverage": out.missing.withColumnRenamed("kind", "verdict")}.items():
+            state.save(f"payload_{name}", state_payload(rows, name))
         code = OK if healthy else PARTIAL
+        # A stage's counts come from the first write that ran it; Observation.get waits for none that never ran.
+        counts = [(run_id, stage, *map(int, (seen.get["processed"], seen.get["failed"]))) for stage, seen in out.accounts.items() if stage in ("resources", "performance", "accessibility")]
+        state.save("stages", spark.createDataFrame(counts, "run_id string, stage string, processed bigint, failed bigint"))
         state.append_history(spark.createDataFrame([(run_id, code)], "run_id string, exit_code int"))
     return code

@@ -87,6 +87,14 @@ def read_fixture(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def report_files(spark: SparkSession, root: str, pattern: str = "*.xlsx") -> DataFrame:
+    """(path, name, modified, bytes) of the reports under a folder; what a path names outside it isn't there."""
+    if ".." in pattern or "/" in pattern:
+        raise ValueError("a pattern of file names is needed")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
 def state_payload(rows: DataFrame, issue_type: str, by: str = "verdict") -> DataFrame:
     """One JSON document of counts by verdict, keys sorted."""
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.sort_array(F.collect_list(F.struct(by, "n"))).alias("c"))

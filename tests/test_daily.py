@@ -34,17 +34,62 @@ def test_two_runs(spark, tmp_path):
     assert one.resources.where(f"verdict = '{T.ERROR}'").count() > 0 and one.lists.count() >= 0 and one.outside.count() == 0 and one.missing.count() >= 1
     assert daily.saved(state, one, "r1") == daily.OK
 
-    broken = run(spark, responses(spark, ("https://s.test/p", None, None, "timeout")), dt.datetime(2026, 3, 2), previous=state.load("inventory", daily.RECORD), old_issues=state.load("issues", daily.ISSUE))
+    broken = run(spark, responses(spark, ("https://s.test/p", None, None, "timeout")), dt.datetime(2026, 3, 2), old=daily.loaded(state))
     assert {r.status for r in broken.diff.collect()} == {T.DELETION_UNSURE}
     assert T.RESOLVED not in {r.lifecycle_status for r in broken.lifecycle.collect()}
-    assert daily.saved(state, broken, "r2") == daily.PARTIAL and len(state.versions("inventory")) == 1
+    assert daily.saved(state, broken, "r2") == daily.PARTIAL
+    assert sorted(map(str, state.load("inventory", daily.RECORD).collect())) == sorted(map(str, state.load("inventory", daily.RECORD, back=1).collect()))
 
-    fixed = run(spark, responses(spark, home, ("https://s.test/a", 200, PAGE, None)), dt.datetime(2026, 3, 3), previous=state.load("inventory", daily.RECORD), old_issues=state.load("issues", daily.ISSUE))
+    fixed = run(spark, responses(spark, home, ("https://s.test/a", 200, PAGE, None)), dt.datetime(2026, 3, 3), old=daily.loaded(state))
     told = {(r.page_url, r.check_code): r.lifecycle_status for r in fixed.lifecycle.collect()}
     assert told["https://s.test/a", "connectivity"] == T.RESOLVED and told["https://s.test/p", "empty-id"] == T.PERSISTING
     assert {r.status for r in fixed.diff.collect()} <= {T.KEPT, T.CHANGED}
 
 
+def test_two_sites_of_which_one_fails(spark, tmp_path):
+    """A Korean path, an index of sitemaps, links to follow, caches, and health by target."""
+    state = State(spark, f"file://{tmp_path}/state")
+    index = "<sitemapindex><sitemap><loc>https://s.test/s1.xml</loc></sitemap><sitemap><loc>https://s.test/sitemap.xml</loc></sitemap></sitemapindex>"
+    pages = '<urlset><url><loc>https://s.test/%ED%95%9C%EA%B8%80</loc></url><url><loc>https://s.test/only</loc></url></urlset>'
+    home = '<!DOCTYPE html><html lang="ko"><head><title>홈 화면</title><meta charset="utf-8"></head><body><nav><a href="/한글">한글</a></nav><a href="#none">x</a><a href="#here">y</a><p id="here"></p><a href="/f.pdf">f</a><a href="/deep">d</a></body></html>'
+    targets = spark.createDataFrame([("s", "https://s.test", []), ("u", "https://u.test", [])], "target_id string, base_url string, allowed_domains array<string>")
+
+    def answers(second_ok: bool):
+        rows = [
+            ("s", "https://s.test/", 200, home, None), ("s", "https://s.test/한글", 200, home, None), ("s", "https://s.test/deep", 200, "<a href='/deeper'>z</a>", None), ("s", "https://s.test/sitemap.xml", 200, index, None), ("s", "https://s.test/s1.xml", 200, pages, None), ("s", "https://s.test/f.pdf", 200, None, None),
+            ("u", "https://u.test/", 200 if second_ok else None, home if second_ok else None, None if second_ok else "ConnectTimeout token=abc"),
+        ]
+        full = [(t, u, c, h, b"%PDF-1" if u.endswith("pdf") else None, {"content-type": "application/pdf" if u.endswith("pdf") else "text/html"}, 0.1, u, 0, e, "http") for t, u, c, h, e in rows]
+        return spark.createDataFrame(full, "target_id string, " + RESPONSE)
+
+    go = lambda ok, day: daily.run(answers(ok), targets, rules={}, exclusions={}, at=dt.datetime(2026, 3, day), old=daily.loaded(state), crawl=True)
+    one = go(True, 1)
+    urls = {r.normalized_url: set(r.discovery_sources) for r in one.inventory.where("target_id = 's' and classification = 'internal'").collect()}
+    korean = "https://s.test/%ED%95%9C%EA%B8%80"
+    assert urls[korean] == {"main_menu", "sitemap", "internal_crawl"} and urls["https://s.test/only"] == {"sitemap"} and urls["https://s.test/deeper"] == {"internal_crawl"}
+    assert {r.subject for r in one.missing.where("kind = 'page'").collect()} >= {"https://s.test/only"} and korean not in {r.subject for r in one.missing.collect()}
+    anchors = {(r.original_url, r.verdict) for r in one.resources.where("kind = 'anchor'").collect()}
+    assert anchors == {("#none", T.ERROR), ("#here", T.OK)}
+    assert {r.status for r in one.sitemaps.where("target_id = 's'").collect()} == {T.OK} and {r.decision for r in one.screenshots.collect()} == {"capture"}
+    assert daily.saved(state, one, "r1") == daily.OK
+    stages = {r.stage: (r.processed, r.failed) for r in state.load("stages", "run_id string, stage string, processed bigint, failed bigint").collect()}
+    assert stages["performance"][0] == 7 and stages["resources"][0] == one.resources.count()
+
+    two = go(False, 2)
+    assert {r.verdict for r in two.resources.where("kind = 'attachment' and cache_used").collect()} == {T.OK}
+    assert two.issues.count() == one.issues.where("target_id = 's'").count()  # kept from the cache
+    told = {(r.target_id, r.lifecycle_status) for r in two.lifecycle.collect()}
+    assert ("s", T.PERSISTING) in told and not any(t == "u" and s == T.RESOLVED for t, s in told)
+    assert {r.target_id: r.healthy for r in two.health.collect()} == {"s": True, "u": False}
+    assert {r.status for r in two.diff.where("target_id = 'u'").collect()} == {T.DELETION_UNSURE} and {r.status for r in two.diff.where("target_id = 's'").collect()} == {T.KEPT}
+    assert "[REDACTED]" in [r.reason for r in two.missing.where("kind = 'source'").collect()][0]
+    assert daily.saved(state, two, "r2") == daily.PARTIAL
+    assert {r.target_id for r in state.load("inventory", daily.RECORD).collect()} == {"s", "u"}
+
+    changed = daily.run(answers(True), targets, rules={}, exclusions={"ignored_query_parameters": ["x"]}, at=dt.datetime(2026, 3, 3), old=daily.loaded(state))
+    assert {r.status for r in changed.comparison.collect()} == {T.INCOMPARABLE} and changed.diff.count() == 0
+
+
 def test_nothing_to_do(spark):
     out = run(spark, responses(spark), dt.datetime(2026, 3, 1))
     assert out.pages.count() == 0 and out.inventory.count() == 0 and out.lifecycle.count() == 0
