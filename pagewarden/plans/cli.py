@@ -42,6 +42,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     code = daily.saved(state, run, at.isoformat())
     if a.report:
         workbook.save(report.frames(run, at), a.report)
+    run.release()
     return code
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
+import functools
 from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -18,7 +18,7 @@ from pagewarden.operators import inventory as I
 from pagewarden.operators import rules as R
 from pagewarden.operators import verdicts as V
 from pagewarden.sources import dom
-from pagewarden.sources.state import State, accounted, state_payload
+from pagewarden.sources.state import State, state_payload
 
 KEYS = ["target_id", "url"]
 RECORD = "target_id string, normalized_url string, classification string, other_target_id string, original_urls array<string>, discovery_sources array<string>, menu_paths array<string>, discovered_from array<string>, titles array<string>, link_texts array<string>, first_discovered_at timestamp, last_discovered_at timestamp, occurrences bigint"
@@ -57,7 +57,13 @@ class Run:
     missing: DataFrame
     summary: DataFrame
     sitemaps: DataFrame
-    accounts: dict[str, Any]
+    accounts: dict[str, DataFrame]
+    held: list[DataFrame]
+
+    def release(self) -> None:
+        """Lets go of the tables that a run keeps for its results; to be called when these were written."""
+        for df in self.held:
+            df.unpersist()
 
 
 def loaded(state: State) -> dict[str, DataFrame]:
@@ -107,32 +113,38 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     policy = U.Policy.of(exclusions)
     fresh, perf, access, kept = (rules.get(k, {}) for k in ("freshness", "performance", "accessibility", "resources"))
     reference = F.lit(at.date())
-    accounts: dict[str, Any] = {}
+    accounts: dict[str, DataFrame] = {}
+    held: list[DataFrame] = []
+
+    def kept_for_all(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
 
     def counted(df: DataFrame, stage: str, failed) -> DataFrame:
-        out, accounts[stage] = accounted(df, f"{stage} {at.isoformat()} {uuid.uuid4().hex[:8]}", failed)
+        out = kept_for_all(df)
+        accounts[stage] = out.agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("processed"), F.count_if(failed).alias("failed"))
         return out
 
     # One form of each URL, for all joins.
     normal = U.normalize_any(F.col("url"), F.lit(None).cast("string"), policy)
-    responses = responses.withColumn("normalized_url", F.coalesce(normal["url"], F.col("url")))
+    responses = kept_for_all(responses.withColumn("normalized_url", F.coalesce(normal["url"], F.col("url"))))
     pages = responses.where("html is not null").select(*KEYS, "normalized_url", "html", F.lit("unknown").alias("page_type"))
-    parsed = dom.parsed(pages, KEYS).persist()
+    parsed = kept_for_all(dom.parsed(pages, KEYS))
 
     found = found_in_menus(parsed, rules, at)
     if crawl:
         found = found.unionByName(crawled(parsed, targets, at))
     sitemap = I.sitemap_pages(responses.select("target_id", "url", F.col("html").alias("text")))
     sitemap = sitemap.select("target_id", F.col("loc").alias("original_url"), F.lit("sitemap").alias("source"), F.lit("").alias("menu_path"), F.col("url").alias("discovered_from"), F.lit("").alias("title"), F.lit(at).alias("discovered_at"))
-    inventory = I.merged(I.classified(found.unionByName(sitemap), targets, policy))
+    inventory = kept_for_all(I.merged(I.classified(found.unionByName(sitemap), targets, policy)))
     refused = C.blocked(F.col("status_code"), F.col("html"))
     answered = F.col("error").isNull() & (F.coalesce("status_code", F.lit(0)) > 0) & ~refused
     kind = F.when(F.coalesce("html", F.lit("")).rlike(r"<(?:\w+:)?(urlset|sitemapindex)\b") | F.col("url").rlike(r"(?i)sitemap[^/]*\.xml$"), "sitemap").otherwise("page")
     sources = responses.select("target_id", F.col("url").alias("source"), kind.alias("kind"), answered.alias("success"), F.lit(1).alias("request_count"), F.when(~answered, C.redacted(F.coalesce("error", F.lit("차단 또는 응답 없음")))).alias("reason"))
     sources = counted(sources, "sources", ~F.col("success"))
-    health = I.health(sources)
+    health = kept_for_all(I.health(sources))
     header = targets.select("target_id", F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(policy.fingerprint()).alias("policy_fingerprint"))
-    comparison = I.comparison_status(old["header"], header, health)
+    comparison = kept_for_all(I.comparison_status(old["header"], header, health))
     fits = comparison.where(F.col("status") != T.INCOMPARABLE).unionByName(comparison.where("status = '비교 불가'").join(health.where("not healthy"), "target_id", "left_semi")).select("target_id").distinct()
     diff = I.compared(old["inventory"], inventory, health).join(fits, "target_id", "left_semi")
     outside = I.outside_menu(inventory, health)
@@ -147,7 +159,8 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     lists = R.page_lists(parsed, KEYS, reference, months=int(fresh.get("list_calendar_months", 3)), empty=fresh.get("list_empty_phrases", R.EMPTY_LISTS), issue=str(fresh.get("list_latest_issue_type", T.STALE_LIST)))
 
     absolute = U.normalize_any(F.col("absolute_url"), F.lit(None).cast("string"), policy)
-    refs = R.references(parsed, KEYS, F.col("url")).withColumn("normalized_url", F.coalesce(absolute["url"], F.col("absolute_url"))).persist()
+    refs = R.references(parsed, KEYS, F.col("url")).withColumn("normalized_url", F.coalesce(absolute["url"], F.col("absolute_url")))
+    refs = kept_for_all(refs)
     answers = responses.select(F.col("normalized_url").alias("url"), "status_code", F.element_at("headers", F.lit("content-type")).alias("content_type"), F.element_at("headers", F.lit("content-length")).cast("bigint").alias("content_length"), F.coalesce("body", F.col("html").cast("binary")).alias("body"), "error", "final_url", F.col("redirect_count").alias("hops"))
     checked = R.checked_resources(refs.where("kind <> 'anchor'"), answers, cached=old["attachments"], max_hops=int(kept.get("max_redirect_hops", 3)))
     decided = checked_attachments(refs, old["attachments"], reference, str(kept.get("policy_version", "resources-1")), force)
@@ -167,7 +180,7 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     a11y_policy = str(access.get("policy_version", "accessibility-1"))
     hashes = pages.select(*KEYS, C.content_hash(C.without_volatile(F.col("html"), access.get("volatile_classes", ()), access.get("volatile_attributes", ())), access.get("volatile_patterns", ())).alias("content_hash"))
     known = R.reused(hashes.withColumn("page", F.col("url")).withColumn("url", F.concat_ws(" ", "target_id", "url")), old["a11y"].withColumn("url", F.concat_ws(" ", "target_id", "url")), a11y_policy, force)
-    known = known.select("target_id", F.col("page").alias("url"), "content_hash", "reuse").persist()
+    known = kept_for_all(known.select("target_id", F.col("page").alias("url"), "content_hash", "reuse"))
     again = known.where("not reuse").select(*KEYS)
     settings = {"langs": access.get("allowed_langs", R.LANGS), "titles": [str(t).lower() for t in access.get("generic_title_keywords", R.GENERIC_TITLES)], "skip": [str(w).lower() for w in access.get("skip_link_keywords", R.SKIP_WORDS)]}
     issues = R.page_issues(pages.join(again, KEYS, "left_semi"), KEYS, **settings).unionByName(R.element_issues(parsed.join(again, KEYS, "left_semi"), KEYS, skip=settings["skip"]))
@@ -188,9 +201,10 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     inside = F.lit(False)
     for p in banned:
         inside = inside | U.path(F.col("url")).startswith(p)
+    checks = kept_for_all(checks)
     verdicts = V.page_verdicts(checks, KEYS).withColumn("verdict", F.when(inside, T.EXCLUDED).otherwise(F.col("verdict")))
 
-    lifecycle = V.reconciled(old["issues"], _issue_rows(issues, performance, resources), health, F.lit(at))
+    lifecycle = kept_for_all(V.reconciled(old["issues"], _issue_rows(issues, performance, resources), health, F.lit(at)))
     shots = lifecycle.join(hashes.select(F.col("target_id"), F.col("url").alias("page_url"), "content_hash"), ["target_id", "page_url"], "left").select("issue_key", "lifecycle_status", "content_hash", "evidence")
     screenshots = V.screenshots(shots, old["screenshots"], "screenshots-1", force=force)
 
@@ -201,7 +215,7 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     missing = V.missing_scope(urls, sources)
     scope = urls.where("uninspected").select("target_id").union(sources.where("not success").select("target_id"))
     summary = V.report_summary(verdicts, diff, scope)
-    return Run(inventory, health, comparison, headers, baseline, diff, outside, freshness, lists, resources, attachments, issues, a11y, performance, verdicts, lifecycle, screenshots, coverage, missing, summary, I.sitemap_status(sources), accounts)
+    return Run(inventory, health, comparison, headers, baseline, diff, outside, freshness, lists, resources, attachments, issues, a11y, performance, verdicts, lifecycle, screenshots, coverage, missing, summary, I.sitemap_status(sources), accounts, held)
 
 
 def _checks(freshness: DataFrame, issues: DataFrame, performance: DataFrame) -> DataFrame:
@@ -251,8 +265,7 @@ def saved(state: State, out: Run, run_id: str) -> int:
         for name, rows in {"freshness": out.freshness, "list_freshness": out.lists, "resources": out.resources, "accessibility": out.issues.withColumnRenamed("result", "verdict"), "performance": out.performance, "composite": out.pages, "coverage": out.missing.withColumnRenamed("kind", "verdict")}.items():
             state.save(f"payload_{name}", state_payload(rows, name))
         code = OK if healthy else PARTIAL
-        # A stage's counts come from the first write that ran it; Observation.get waits for none that never ran.
-        counts = [(run_id, stage, *map(int, (seen.get["processed"], seen.get["failed"]))) for stage, seen in out.accounts.items() if stage in ("resources", "performance", "accessibility")]
-        state.save("stages", spark.createDataFrame(counts, "run_id string, stage string, processed bigint, failed bigint"))
+        stages = functools.reduce(DataFrame.unionByName, out.accounts.values())
+        state.save("stages", stages.select(F.lit(run_id).alias("run_id"), "stage", "processed", "failed"))
         state.append_history(spark.createDataFrame([(run_id, code)], "run_id string, exit_code int"))
     return code

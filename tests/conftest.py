@@ -16,6 +16,7 @@ def spark():
         .appName("pagewarden-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-pagewarden-"))
