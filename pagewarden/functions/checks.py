@@ -128,9 +128,9 @@ def redacted(text: Column) -> Column:
 
 
 def cell(value: Column) -> Column:
-    """Text for a worksheet: no control characters, no formulas, at most 32767 characters."""
-    plain = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    return F.substring(F.when(plain.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), plain)).otherwise(plain), 1, 32767)
+    """Text for a worksheet: no control characters, at most 32767 characters, and a quote before what could be a formula."""
+    plain = F.substring(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), 1, 32767)
+    return F.when(plain.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), plain)).otherwise(plain)
 
 
 def link_cell(value: Column) -> Column:

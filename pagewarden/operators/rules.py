@@ -27,6 +27,8 @@ OTHER_DATES = ("수정일", "최종수정", "행사기간", "접수기간", "조
 UNCHECKED_LISTS, UNCHECKED_WORDS = ("calendar", "history", "table_stat", "menu", "gallery"), ("연혁", "달력", "관련 사이트")
 UNDATED_PAGES = ("list", "listing", "search")
 SOFT_404 = ("페이지를 찾을 수 없습니다", "존재하지 않습니다", "오류가 발생했습니다")
+#: Codes of source_issues' rules, in their order.
+SOURCE_CODES = ("doctype", *["html-syntax"] * len(BALANCED), "encoding", "encoding", "title", "title-generic", "lang", "lang", "skip-link", "viewport", "viewport-width", "viewport-zoom")
 ISSUE_COLUMNS = ("code", "result", "severity", "element", "location", "evidence", "manual")
 
 
@@ -40,8 +42,11 @@ def tag_count(html: Column, token: str) -> Column:
     return ((F.length(low) - F.length(F.replace(low, F.lit(token), F.lit("")))) / len(token)).cast("int")
 
 
-def source_issues(html: Column, http_charset: Column | None = None, langs: Iterable[str] = LANGS, titles: Iterable[str] = GENERIC_TITLES, skip: Iterable[str] = SKIP_WORDS) -> Column:
-    """Array of issues that the HTML source tells without a tree, in one scan: declaration, balance, charset, title, language, viewport, skip link."""
+def source_issues(html: Column, http_charset: Column | None = None, langs: Iterable[str] = LANGS, titles: Iterable[str] = GENERIC_TITLES, skip: Iterable[str] = SKIP_WORDS, codes: Iterable[str] | None = None) -> Column:
+    """Array of issues that the HTML source tells without a tree, in one scan: declaration, balance, charset, title, language, viewport, skip link.
+
+    codes: only these rules are computed (and parse, for pages without HTML).
+    """
     declared = F.regexp_extract(F.lower(F.substring(html, 1, 500)), r"^\s*<!doctype\s+html([^>]*)>", 1)
     has_type = F.lower(F.substring(html, 1, 500)).rlike(r"^\s*<!doctype\s+html[^>]*>")
     metas = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<meta\s+charset\s*=\s*[\"']?([\w-]+)"), 1), F.lower)
@@ -71,6 +76,7 @@ def source_issues(html: Column, http_charset: Column | None = None, langs: Itera
         _issue((F.trim(view) != "") & ~view.contains("width=device-width"), "viewport-width", T.REVIEW, T.TO_REVIEW, evidence=view),
         _issue(view.contains("user-scalable=no") | view.contains("maximum-scale=1"), "viewport-zoom", T.REVIEW, T.TO_REVIEW, evidence=view, manual=True),
     ]
+    rows = [r for c, r in zip(SOURCE_CODES, rows, strict=True) if codes is None or c in codes]
     missing = F.array(_issue(html.isNull(), "parse", T.UNCHECKABLE, T.TO_REVIEW, evidence=F.lit("HTML 본문 없음")))
     return F.when(html.isNull(), missing).otherwise(F.filter(F.array(*rows), lambda r: r.isNotNull()))
 

@@ -203,10 +203,10 @@ ISSUE_QUESTIONS, ISSUE_ROWS = ("오류", "문제", "신규", "재발"), ("오류
 CONTEXT_FILTERS = ("target_id", "url", "menu_path", "verdict", "issue_type", "lifecycle")
 
 
-def context(rows: DataFrame, words: Iterable[str], order: list[str], most: int = 30, *, question: str = "", most_chars: int = 30_000) -> DataFrame:
+def context(rows: DataFrame, words: Iterable[str], order: list[str], most: int = 30, *, question: str = "", most_chars: int | None = None) -> DataFrame:
     """The first rows, as JSON, that hold all words; without words, a question about issues gets the rows that tell of some.
 
-    Rows beyond most_chars of JSON in all are cut off there (the feature: a prompt has that room).
+    With most_chars, the JSON of all rows together is cut off there (the feature: a prompt has that room).
     """
     words = list(words)
     found = rows.withColumn("json", F.to_json(F.struct(*rows.columns)))
@@ -215,6 +215,8 @@ def context(rows: DataFrame, words: Iterable[str], order: list[str], most: int =
     if not words and any(q in question.lower() for q in ISSUE_QUESTIONS):
         found = found.where(F.col("json").rlike("|".join(ISSUE_ROWS)))
     top = found.orderBy(*order).limit(most).select(*order, "json")
+    if most_chars is None:
+        return top
     before = F.coalesce(F.sum(F.length("json")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over most rows
     return top.withColumn("room", F.lit(most_chars) - before).where("room > 0").select(*order, F.expr("substring(json, 1, cast(room as int))").alias("json"))
 

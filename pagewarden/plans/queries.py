@@ -176,6 +176,17 @@ def menu_outside(spark, sf):
     return I.outside_menu(_records(spark, sf), I.health(_health(spark, sf)))
 
 
+OUTSIDE = f"""WITH {OCCURRENCES}, {HEALTH}, sole AS (SELECT target_id, normalized_url, length(normalized_url) % 3 = 0 AS outside FROM rec)
+SELECT target_id, normalized_url, '메뉴 외 페이지' AS status FROM sole JOIN health USING (target_id) WHERE healthy AND outside UNION ALL SELECT DISTINCT target_id, NULL, '메뉴 연결 여부 점검 불가' FROM sole JOIN health USING (target_id) WHERE NOT healthy AND outside"""
+
+
+@query(OUTSIDE)
+def menu_outside_records(spark, sf):
+    """Records, all taken for internal ones, of which every third length of URL was found in sitemaps alone."""
+    only = F.when(F.length("normalized_url") % 3 == 0, F.array(F.lit("sitemap"))).otherwise(F.array(F.lit("main_menu"), F.lit("sitemap")))
+    return I.outside_menu(_records(spark, sf).withColumns({"discovery_sources": only, "classification": F.lit("internal")}), I.health(_health(spark, sf)))
+
+
 def _runs(spark, sf) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", F.regexp_extract(U.host(F.col("url")), r"([^.]+\.[^.]+)$", 1).alias("target_id"), U.normalize(F.col("url")).alias("normalized_url"), F.regexp_extract("html", r'<html lang="(\w+)"', 1).alias("titles"))
     rec = p.withColumn("classification", F.when(F.col("page_id") % 2 == 0, "internal").otherwise("external"))
@@ -256,8 +267,8 @@ _RULES = [
 ISSUES = "iss AS (" + " UNION ALL ".join(f"SELECT page_id, url, '{c}' AS code, '{r}' AS result, '{s}' AS severity, '{e}' AS element FROM pages WHERE {w}" for c, r, s, e, w in _RULES) + ")"
 
 
-def _issues(spark, sf) -> DataFrame:
-    return R.page_issues(table(spark, sf, "pages"), ["page_id", "url"])
+def _issues(spark, sf, codes=None) -> DataFrame:
+    return R.page_issues(dom.dealt(table(spark, sf, "pages")), ["page_id", "url"], codes=codes)
 
 
 @query(f"WITH {ISSUES} SELECT page_id, code, result, severity, element, substr(sha256(page_id || '|' || url || '|' || code || '|'), 1, 20) AS issue_key FROM iss")
@@ -269,7 +280,7 @@ def _rule(code: str) -> None:
     name = f"a11y_{code.replace('-', '_')}"
 
     def run(spark, sf):
-        return _issues(spark, sf).where(F.col("code") == code).select("page_id", "result", "severity", "element")
+        return _issues(spark, sf, (code,)).select("page_id", "result", "severity", "element")
 
     QUERIES[name] = run
     SQL[name] = f"WITH {ISSUES} SELECT page_id, result, severity, element FROM iss WHERE code = '{code}'"
@@ -473,7 +484,7 @@ def page_dates(spark, sf):
     ends = [
         text('<time datetime="', d(), 'T09:30:00+09:00">soon</time>'), text('<meta property="article:modified_time" content="', d(), '">'),
         text('<script type="application/ld+json">{"@graph": [{"@type": "x", "a": {"datePublished": "', d(), '"}}, {"date\\u004dodified": "', d(1), '"}]}</script><script type="application/ld+json">{</script>'),
-        text("<p>등록일 <span>", d(0, "yyyy.M.d"), "</span></p>"), text("<div>수정일 <time>", d(0, "yyyy년 M월 d일"), '</time> <time datetime="', d(2), '"></time></div>'), F.lit("<p>등록일 미정</p>"),
+        text("<p>등록일 <span>", d(0, "yyyy.M.d"), "</span></p>"), text("<div>수정일 <time>", d(0, "yyyy년 M월 d일"), '</time></div><p><time datetime="', d(2), '"></time></p>'), F.lit("<p>등록일 미정</p>"),
     ]
     pages = dom.parsed(_with_end(spark, sf, ends), ["page_id"])
     return R.chosen_dates(R.date_candidates(pages, ["page_id"]), ["page_id"]).select("page_id", "kind", "day", "method", "confidence")
@@ -645,7 +656,7 @@ def attachment_next_recheck(spark, sf):
 
 def _checks(spark, sf) -> DataFrame:
     """Three checks of each page: its title and language rules, and one that ran on every fourth page only."""
-    issues = _issues(spark, sf).where(F.col("code").isin("title", "lang", "viewport", "encoding")).select("page_id", "code", "result", "severity", "location", "manual", F.lit(True).alias("required"))
+    issues = _issues(spark, sf, ("title", "lang", "viewport", "encoding")).select("page_id", "code", "result", "severity", "location", "manual", F.lit(True).alias("required"))
     p = table(spark, sf, "pages")
     base = p.select("page_id", F.lit("connectivity").alias("code"), F.when(F.col("page_id") % 9 == 0, T.ERROR).when(F.col("page_id") % 10 == 0, T.UNCHECKABLE).otherwise(T.OK).alias("result"), F.lit(T.LOW).alias("severity"), F.lit("").alias("location"), F.lit(False).alias("manual"), F.lit(True).alias("required"))
     console = p.select("page_id", F.lit("console").alias("code"), F.when(F.col("page_id") % 4 == 0, T.OK).otherwise(T.NOT_RUN).alias("result"), F.lit(None).cast("string").alias("severity"), F.lit("").alias("location"), F.lit(False).alias("manual"), (F.col("page_id") % 8 < 4).alias("required"))
@@ -831,7 +842,7 @@ def context_topk(spark, sf):
     return V.context(table(spark, sf, "documents").select("doc_id", "text"), ["scum", "the"], ["doc_id"]).select("doc_id")
 
 
-@query(r"SELECT doc_id, substr(CASE WHEN regexp_matches(t, '^[=+\-@]') THEN '''' || t ELSE t END, 1, 32767) AS cell FROM (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 4 = 0 THEN '=' ELSE '' END || text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t FROM documents)")
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\-@]') THEN '''' || t ELSE t END AS cell FROM (SELECT doc_id, substr(regexp_replace(CASE WHEN doc_id % 4 = 0 THEN '=' ELSE '' END || text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), 1, 32767) AS t FROM documents)")
 def report_cell_sanitize(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", C.cell(F.concat(F.when(F.col("doc_id") % 4 == 0, "=").otherwise(""), F.col("text"))).alias("cell"))
@@ -841,8 +852,9 @@ def report_cell_sanitize(spark, sf):
 def report_summary(spark, sf):
     rows = _results(spark, sf)
     k = F.col("page_id") % 7
-    diff = rows.select("target_id", F.when(k == 0, T.ADDED).when(k == 1, T.DELETED).when(k == 2, T.CHANGED).otherwise(T.KEPT).alias("status"))
-    return V.report_summary(rows, diff, rows.where("target_id = 't0'"))
+    named = table(spark, sf, "pages").select("page_id", F.concat(F.lit("t"), (F.col("page_id") % 3).cast("string")).alias("target_id"))
+    diff = named.select("target_id", F.when(k == 0, T.ADDED).when(k == 1, T.DELETED).when(k == 2, T.CHANGED).otherwise(T.KEPT).alias("status"))
+    return V.report_summary(rows, diff, named.where("target_id = 't0'"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS name FROM orders WHERE o_orderkey % 10 <> 0 AND CAST(o_orderdate AS DATE) < DATE '1997-06-30' - 90")
@@ -867,6 +879,44 @@ def transport_fallback(spark, sf):
     return chosen.groupBy(C.status_verdict(F.col("status_code")).alias("verdict"), "transport").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 404 WHEN 1 THEN 301 ELSE 200 END AS status_code FROM pages")
+def recorded_answers(spark, sf):
+    """Answers recorded of the exact URL, of one with a slash at its end, or not at all (an empty 200)."""
+    from pagewarden.sources.transport import recorded
+
+    k = F.col("page_id") % 4
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.col("url"), F.lit("#"), F.col("page_id")).alias("url"))
+    known = p.where(k < 2).select(F.when(k == 1, F.concat("url", F.lit("/"))).otherwise(F.col("url")).alias("url"), F.when(k == 0, 404).otherwise(301).alias("status_code"))
+    return p.join(recorded(p.select("url"), known), "url").select("page_id", "status_code")
+
+
+@query(r"SELECT doc_id, doc_id % 5 IN (1, 2, 3) OR regexp_matches(lower(substr(text, 1, 4000)), 'captcha|waf') AS refused FROM documents")
+def transport_refusals(spark, sf):
+    k = F.col("doc_id") % 5
+    return table(spark, sf, "documents").select("doc_id", C.transport_blocked(F.when(k == 1, 401).when(k == 2, 403).when(k == 3, 429).otherwise(200), F.col("text")).alias("refused"))
+
+
+@query("SELECT regexp_extract(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '([^.]+[.][^.]+)$', 1) AS target_id, CASE WHEN min(page_id) % 2 = 0 THEN '정상' ELSE '점검 불가' END AS status FROM pages GROUP BY ALL")
+def sitemap_status(spark, sf):
+    site = F.regexp_extract(U.host(F.col("url")), r"([^.]+\.[^.]+)$", 1)
+    p = table(spark, sf, "pages").groupBy(site.alias("target_id")).agg(F.min("page_id").alias("i"))
+    maps = p.select("target_id", F.lit("s.xml").alias("source"), F.lit("sitemap").alias("kind"), (F.col("i") % 2 == 0).alias("success"), F.lit("r").alias("reason"))
+    return I.sitemap_status(maps.unionByName(maps.withColumns({"kind": F.lit("page"), "source": F.lit("a")}))).select("target_id", "status")
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 4 <> 3")
+def sitemap_index_pages(spark, sf):
+    """Pages that an index of sitemaps, one of them an index itself, leads to: a sitemap a page, those of every fourth are named by none."""
+    i = F.col("page_id")
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://m.test/"), i, F.lit(".xml")).alias("url"), F.concat(F.lit("https://p.test/"), i).alias("page"))
+    tag = lambda kind, entry, *locs: F.concat(F.lit(f"<{kind}>"), *[x for loc in locs for x in (F.lit(f"<{entry}><loc>"), loc, F.lit(f"</loc></{entry}>"))], F.lit(f"</{kind}>"))
+    maps = p.select(F.lit("t").alias("target_id"), "url", tag("urlset", "url", F.col("page")).alias("text"))
+    index = p.where(i % 4 != 3).select(F.lit("t").alias("target_id"), F.concat(F.lit("https://m.test/index"), F.col("page_id"), F.lit(".xml")).alias("url"), tag("sitemapindex", "sitemap", F.col("url"), F.lit("https://m.test/root.xml")).alias("text"))
+    root = p.where(i == 0).select(F.lit("t").alias("target_id"), F.lit("https://m.test/root.xml").alias("url"), tag("sitemapindex", "sitemap", F.lit("https://m.test/index0.xml")).alias("text"))
+    roots = index.select("url").unionByName(root.select("url"))
+    return I.sitemap_pages(maps.unionByName(index).unionByName(root), roots).select(F.regexp_extract("loc", r"(\d+)$", 1).cast("bigint").alias("page_id"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Verdicts of all pages by host."""
     return site_stats(spark, sf)

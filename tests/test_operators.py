@@ -155,6 +155,9 @@ def test_query_interface(spark):
     assert f.count() == 6 and V.summary(f).first().error == f.where(F.col("verdict") == T.ERROR).count()
     assert [r.url for r in V.page_of(rows, "title", True, 2, 3).collect()] == ["https://a.test/6", "https://a.test/5", "https://a.test/4"]
     assert V.one(rows, "k3").first().title == "T3" and len(V.context(rows, ["t1", "오류"], ["url"], 2).collect()) == 2
+    assert {T.ERROR in r.json or T.NEW in r.json for r in V.context(rows, [], ["url"], question="어떤 오류?").collect()} == {True}
+    cut = [len(r.json) for r in V.context(rows, [], ["url"], 5, most_chars=400).collect()]
+    assert sum(cut) == 400 and len(cut) == 3
     for bad in ({"page": 0}, {"size": 101}, {"sort": "x"}):
         try:
             V.page_of(rows, **bad)

@@ -1,4 +1,5 @@
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 import yaml
@@ -90,10 +91,22 @@ def test_fetch_is_paced_bounded_and_never_fails(spark):
     assert [(r.url, r.status_code, r.error) for r in rows] == [("a", 200, None), ("b", None, "OSError: no")]
 
 
+def test_report_files_and_dated_reports(spark, tmp_path):
+    workbook.save_dated({}, f"{tmp_path}/r", "2026-01-02")
+    got = {(r.name, r.path.split("/")[-2]) for r in state.report_files(spark, f"file://{tmp_path}/r").collect()}
+    assert {d for _, d in got} == {"2026-01-02", "latest"}
+    with pytest.raises(ValueError):
+        state.report_files(spark, f"file://{tmp_path}/r", "../*")
+
+
 def test_workbook(spark, tmp_path):
     df = spark.createDataFrame([("t", "=1+1", "https://a.test/", T.OK)], "target_id string, page_title string, url string, verdict string")
     path = workbook.save({"콘텐츠 최신성": df}, f"{tmp_path}/r/latest.xlsx")
     with zipfile.ZipFile(path) as z:
-        book, one, two = (z.read(n).decode() for n in ("xl/workbook.xml", "xl/worksheets/sheet1.xml", "xl/worksheets/sheet2.xml"))
+        book, one, two, links, styles = (z.read(n).decode() for n in ("xl/workbook.xml", "xl/worksheets/sheet1.xml", "xl/worksheets/sheet2.xml", "xl/worksheets/_rels/sheet2.xml.rels", "xl/styles.xml"))
+    assert 'Target="https://a.test/" TargetMode="External"' in links and two.count("<hyperlink ") == 1 and 'r:id="l1"' in two
+    assert all(c in styles for c in ("1F4E78", "D9E1F2", "E7E6E6")) and '<c r="A1" t="inlineStr" s="1">' in two
+    for n in (one, two, links, styles):
+        ElementTree.fromstring(n.encode())
     assert [book.index(s) for s in workbook.SHEETS] == sorted(book.index(s) for s in workbook.SHEETS)
     assert workbook.EMPTY in one and "'=1+1" in two and 'state="frozen"' in two and "hyperlink" in two
