@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 
@@ -299,3 +301,97 @@ _SLOW = regex.compile(r"[\s\x1c-\x1f\x85]*[^\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+
 
 def segments(text: str) -> list[str]:
     return _SLOW.findall(text)
+
+
+#: Letters that are letters to any library and that lower-casing keeps so, of one or two bytes of UTF-8; words of them are merged side by side.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,24}")
+#: What may follow the letters of a word and is matched apart from them.
+ENDINGS = frozenset(["", ".", ",", ";", ":", "!", "?", "...", ")", '"', ".)", ",)", '."', ',"', "-", "!!", *(p + x for p in ("", ".", ",") for x in ("%%%", "***", "###", "$$$", "&&&"))])
+NO_PAIR = 1 << 40
+
+
+class SideBySide:
+    """Byte-pair merges of many words at once: each round merges, in every word, the pair of lowest rank, the leftmost of equal ones."""
+
+    def __init__(self, plain: np.ndarray, last: np.ndarray, merges: list[tuple[int, int, int, int]]):
+        """plain, last: the id of each byte, and of a word's last byte; merges: (left id, right id, rank, id made), ids and ranks under 65536."""
+        self.plain, self.last = plain, last
+        left, right, rank, made = (np.array(x, np.int64) for x in zip(*merges, strict=True))
+        keys, values = left << 16 | right, rank << 16 | made
+        # A table of keys by hash; the bits after a pair's rank say what it becomes.
+        self.bits, self.probes = max(16, int(len(keys)).bit_length() + 2), 0
+        self.key, self.value = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NO_PAIR, np.int64)
+        todo = np.sort(np.unique(keys, return_index=True)[1])  # of a repeated pair the first counts
+        at = self._hash(keys)
+        while len(todo):
+            free = todo[self.key[at[todo]] == -1]
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.key[at[first]], self.value[at[first]] = keys[first], values[first]
+            todo = np.setdiff1d(todo, first)
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and result of pairs, NO_PAIR if they don't merge."""
+        keys = a << 16 | b
+        at = self._hash(keys)
+        found = self.key[at]
+        out = np.where(found == keys, self.value[at], NO_PAIR)
+        open_ = np.flatnonzero((found != keys) & (found != -1))
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.key[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.value[at[open_[hit]]]
+            open_ = open_[~hit & (found != -1)]
+        return out
+
+    def ids(self, words: list[bytes], kind: str = "<u2") -> list[bytes]:
+        """Ids of each word as integers of that kind."""
+        size = np.array([len(w) for w in words])
+        order = np.argsort(size, kind="stable")
+        out: list[bytes] = [b""] * len(words)
+        for a in range(0, len(words), 4096):
+            rows = order[a : a + 4096]
+            for i, found in zip(rows.tolist(), self._block([words[i] for i in rows.tolist()], size[rows], kind), strict=True):
+                out[i] = found
+        return out
+
+    def _block(self, words: list[bytes], size: np.ndarray, kind: str) -> list[bytes]:
+        n, width = len(words), int(size.max())
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
+        at = np.arange(width)
+        ids = np.where(at == size[:, None] - 1, self.last[raw], self.plain[raw])
+        size = size.copy()
+        rank = np.full((n, width), NO_PAIR, np.int64)
+        if width > 1:
+            inside = at[1:] < size[:, None]
+            rank[:, :-1][inside] = self.ranked(ids[:, :-1][inside], ids[:, 1:][inside])
+        live = np.arange(n)
+        while len(live):
+            best = rank[live].argmin(axis=1)
+            value = rank[live, best]
+            more = value != NO_PAIR
+            live, best, value = live[more], best[more], value[more]
+            if not len(live):
+                break
+            own, held = ids[live], rank[live]
+            shift = np.minimum(at + (at > best[:, None]), width - 1)
+            own, held = np.take_along_axis(own, shift, 1), np.take_along_axis(held, shift, 1)
+            j = np.arange(len(live))
+            own[j, best] = value & 0xFFFF
+            size[live] -= 1
+            now = size[live]
+            held[j, now - 1] = NO_PAIR
+            some = np.flatnonzero(best > 0)
+            held[some, best[some] - 1] = self.ranked(own[some, best[some] - 1], own[some, best[some]])
+            some = np.flatnonzero(best < now - 1)
+            held[some, best[some]] = self.ranked(own[some, best[some]], own[some, best[some] + 1])
+            ids[live], rank[live] = own, held
+        small = ids.astype(kind)
+        return [small[i, :k].tobytes() for i, k in enumerate(size.tolist())]

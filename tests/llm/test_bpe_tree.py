@@ -49,6 +49,19 @@ def test_long_texts_at_the_default_leaf(known):
         assert own.decode(ids) == text.encode()
 
 
+def test_words_merged_side_by_side_are_those_of_the_library(known):
+    rng = random.Random(6)
+    own = bpe_tree.Codec(PATH, P.PATTERN)
+    parts = ["in", "th", "an", "re", "er", "tion", "ß", "É", "ü", "a", "b", "q", "zz", "the", "Ing", "aaaa"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) + rng.choice(sorted(bpe_tree.ENDINGS))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(100)] + ["don't x'S. ªb A1 " + "a" * 25, "ÿ × é  two"]
+    own.prepare(texts)
+    assert own.side is not None and len(own.spaced) > 3000
+    for text in texts:
+        ids = own.encode(text)
+        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == known.encode_ordinary(text), text
+
+
 def test_pieces_merge_as_defined_and_counts_agree(known):
     own = Transducer(ranks_of(PATH))
     for piece in (b"the" * 90, b"abcabd" * 100, bytes(range(97, 123)) * 10, b"a" * 999):
