@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from pagewarden.functions import checks as C
 
@@ -23,8 +24,10 @@ def order_of(name: str) -> tuple[str, ...]:
 
 def recorded(urls: DataFrame, responses: DataFrame) -> DataFrame:
     """Each URL with its recorded response: of the exact URL, else of it without its last slashes, else an empty 200."""
-    one = responses.dropDuplicates(["url"])
-    held = F.struct(*[c for c in one.columns if c != "url"])
+    names = [c for c in responses.columns if c != "url"]
+    order = F.struct(*[c for c in names if not isinstance(responses.schema[c].dataType, MapType)])
+    one = responses.groupBy("url").agg(F.min_by(F.struct(*names), order).alias("r")).select("url", "r.*")  # of several the least
+    held = F.struct(*names)
     exact = one.select("url", held.alias("exact"))
     loose = one.select(F.regexp_replace("url", "/+$", "").alias("bare"), "url", held.alias("loose")).groupBy("bare").agg(F.min_by("loose", "url").alias("loose"))
     rows = urls.select("url").distinct().join(exact, "url", "left").withColumn("bare", F.regexp_replace("url", "/+$", "")).join(loose, "bare", "left").withColumn("r", F.coalesce("exact", "loose"))

@@ -71,7 +71,7 @@ def test_fixture_is_read_strictly(spark, tmp_path):
 
 
 def test_recorded_and_fallback(spark):
-    held = spark.createDataFrame([("https://a.test/x/", 404, "h")], "url string, status_code int, html string")
+    held = spark.createDataFrame([("https://a.test/x/", 500, "h"), ("https://a.test/x/", 404, "h")], "url string, status_code int, html string")
     got = {r.url: r.status_code for r in transport.recorded(spark.createDataFrame([("https://a.test/x",), ("https://a.test/x/",), ("https://b.test",)], "url string"), held).collect()}
     assert got == {"https://a.test/x": 404, "https://a.test/x/": 404, "https://b.test": 200}
     rows = [("1", "proxy_http", None, None, "refused"), ("1", "http", 200, "", None), ("2", "proxy_http", 403, "", None), ("2", "http", 200, "", None), ("3", "proxy_http", None, None, "a"), ("3", "http", None, None, "b"), ("3", "browser", None, None, "c")]
