@@ -21,13 +21,13 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out anew only if the scan has fewer splits than the cluster has cores.
+    """Deal rows out anew only if the scan has few splits: up to a fourth as many as the cluster has cores, or fewer than cores and eight.
 
-    Such an input is a few splits at most, so the shuffle is bounded; a large
-    input already has enough splits and isn't moved.
+    What is moved is those few splits; a larger input isn't.
     """
     cores = small_batches(df).sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n * 4 <= cores or n < min(cores, 8) else df
 
 
 def shared_dir(spark: SparkSession) -> str:

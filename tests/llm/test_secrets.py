@@ -113,3 +113,28 @@ def test_query_and_redact(spark, tmp_path):
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {i: None if t is None else S.redacted(t) for i, t in enumerate(texts)}
     assert S.scan(docs.where("false")).count() == 0 and S.redact(docs.where("false")).count() == 0
+
+
+def test_recall_and_precision_on_planted_values():
+    """Strong values after credential words are found whole, whatever their characters; weak ones and prose are left alone."""
+    import random
+    import string
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 8)))
+    prose = lambda: " ".join(word() for _ in range(rng.randint(3, 20)))
+    names, signs = ["password", "pwd", "secret", "api_key", "access-key", "auth_key", "Token", "passphrase"], [": ", "=", " = ", "=>", ':"', "='"]
+    found = weak = 0
+    n = 400
+    for _ in range(n):
+        strong = "".join(rng.choice(string.ascii_letters + string.digits + "!#$%&*+-./?@^_~") for _ in range(rng.randint(14, 40)))
+        sign = rng.choice(signs)
+        close = {'"': '"', "'": "'"}.get(sign[-1], "")
+        text = f"{prose()} {rng.choice(names)}{sign}{strong}{close} {prose()}"
+        a = text.index(strong)
+        spans = S.find(text)
+        found += any(s[0] <= a and s[1] >= a + len(strong) for s in spans) or strong not in S.redacted(text) and not any(strong[i : i + 6] in S.redacted(text) for i in range(len(strong) - 5))
+        low = rng.choice(["summer", "monkey1", "qwerty", "aaaaaaa", "1234567", "1999", "love"])
+        weak += any(s[2] == "guess" for s in S.find(f"{prose()} {rng.choice(names)}: {low} {prose()}"))
+        assert not S.find(prose())
+    assert found / n > 0.99 and weak / n < 0.01
