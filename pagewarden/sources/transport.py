@@ -77,3 +77,53 @@ def fetched(urls: DataFrame, client: Callable[[str], Mapping], *, interval: floa
             yield pd.DataFrame(rows, columns=names)
 
     return chosen.mapInPandas(run, RESPONSE)
+
+
+RESOURCE = "url string, method string, status_code int, content_type string, content_length bigint, body binary, final_url string, hops int, error string"
+
+
+def resource_answers(refs: DataFrame, client: Callable[[str, str], Mapping], *, interval: float = 1.0, budget: int = 10, retries: int = 1) -> DataFrame:
+    """Live answers to checks of resources (normalized_url, kind): what rules.checked_resources takes.
+
+    Each safe URL is asked for once, whatever refers to it, by HEAD; by GET too if that was refused (405, none, 403 of an
+    attachment) or an attachment's may have bytes to look at. One task asks in turn, with a pause between requests; all requests
+    share the budget, and URLs beyond it have no row. Failures are rows with an error. client(method, url) gives a row's fields.
+    """
+    from pagewarden.functions.urls import safe_destination
+
+    known = refs.where(safe_destination(F.col("normalized_url"))).groupBy(F.col("normalized_url").alias("url")).agg(F.max(F.col("kind") == "attachment").alias("attached"))
+    chosen = known.orderBy("url").limit(budget).coalesce(1)
+
+    def run(batches):
+        import pandas as pd
+
+        names = [c.split()[0] for c in RESOURCE.split(", ")]
+        left, last = budget, 0.0
+
+        def ask(method: str, url: str) -> dict:
+            nonlocal left, last
+            left -= 1
+            got: Mapping = {}
+            for _ in range(retries + 1):
+                time.sleep(max(0.0, last + interval - time.monotonic()))
+                last = time.monotonic()
+                try:
+                    got = client(method, url)
+                    break
+                except Exception as e:  # a failed request is a row
+                    got = {"status_code": 0, "error": f"{type(e).__name__}: {e}"}
+            return {**dict.fromkeys(names), **got, "url": url, "method": method}
+
+        for batch in batches:
+            rows = []
+            for url, attached in zip(batch["url"], batch["attached"], strict=True):
+                if left <= 0:
+                    break
+                head = ask("HEAD", url)
+                rows.append(head)
+                status = head["status_code"]
+                if left > 0 and (status in (405, 0, None) or attached and status in (403, 200)):
+                    rows.append(ask("GET", url))
+            yield pd.DataFrame(rows, columns=names)
+
+    return chosen.mapInPandas(run, RESOURCE)

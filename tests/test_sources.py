@@ -99,6 +99,25 @@ def test_report_files_and_dated_reports(spark, tmp_path):
         state.report_files(spark, f"file://{tmp_path}/r", "../*")
 
 
+def test_resources_are_asked_for_once_by_head_then_get(spark):
+    from pagewarden.operators import rules as R
+
+    def client(method, url):
+        if url.endswith("down"):
+            raise OSError("no")
+        if url.endswith("old") and method == "HEAD":
+            return {"status_code": 405}
+        return {"status_code": 200, "content_type": "application/pdf" if url.endswith("pdf") else "text/html", "content_length": 9, "body": b"%PDF-1.7" if method == "GET" else b"", "final_url": url}
+
+    rows = [("link", "https://a.test/old"), ("link", "https://a.test/old"), ("attachment", "https://a.test/f.pdf"), ("link", "https://b.test/down"), ("link", "http://localhost/x"), ("link", "https://a.test/")]
+    refs = spark.createDataFrame([("p", i, k, u, None) for i, (k, u) in enumerate(rows)], "page_url string, seq int, kind string, normalized_url string, alt string")
+    answers = transport.resource_answers(refs, client, interval=0.0).persist()
+    assert sorted((r.method, r.url[14:]) for r in answers.collect()) == [("GET", "/down"), ("GET", "/f.pdf"), ("GET", "/old"), ("HEAD", "/"), ("HEAD", "/down"), ("HEAD", "/f.pdf"), ("HEAD", "/old")]
+    got = {r.seq: r.verdict for r in R.checked_resources(refs, answers).collect()}
+    assert got == {0: T.OK, 1: T.OK, 2: T.OK, 3: T.UNCHECKABLE, 4: T.UNCHECKABLE, 5: T.OK}
+    assert transport.resource_answers(refs, client, interval=0.0, budget=3).count() == 3
+
+
 def test_workbook(spark, tmp_path):
     df = spark.createDataFrame([("t", "=1+1", "https://a.test/", T.OK)], "target_id string, page_title string, url string, verdict string")
     path = workbook.save({"콘텐츠 최신성": df}, f"{tmp_path}/r/latest.xlsx")
