@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewarden.llm import bpe_tree, decontaminate, language, main_text, media, near_dup, quality, secrets, token_count, token_files
+from pagewarden.llm import bpe_tree, code_compression, decontaminate, language, main_text, media, near_dup, quality, secrets, token_count, token_files
 
 QUERIES = {
     "op1_guess_cost_secrets": secrets.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_bpe_tree": bpe_tree.query,
     "op9_mixed_range_coder": token_files.query,
     "op10_winnowing": decontaminate.query,
+    "op13_cover_tree_codes": code_compression.query,
 }
 SQL = {"op10_winnowing": decontaminate.SQL}
