@@ -47,11 +47,12 @@ class Part:
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str, leaf: int = LEAF_CHARS):
-        self.ranks, self.leaf = ranks_of(path), leaf
+    def __init__(self, path: str, pattern: str, leaf: int = LEAF_CHARS, ranks: dict[bytes, int] | None = None):
+        """ranks: those of path if it isn't a rank file itself."""
+        self.ranks, self.leaf = ranks_of(path) if ranks is None else ranks, leaf
         self.find, self.iterate = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.borders = Borders(self.ranks)
-        self.side = _side_by_side(path, pattern)
+        self.side = _side_by_side(path, pattern) if ranks is None else _all_merges(ranks, pattern)
         self.pieces = Memo(self._piece, 150_000)
         self.spaced = Segments(self._segment)
         self.bytes = {i: b for b, i in self.ranks.items()}
@@ -172,8 +173,11 @@ _LETTERS_FIRST = r" ?\p{L}"
 
 @functools.lru_cache(2)
 def _side_by_side(path: str, pattern: str) -> SideBySide | None:
-    """All merges of the rank file as pairs; None if ids or the pattern don't fit it."""
-    ranks = ranks_of(path)
+    return _all_merges(ranks_of(path), pattern)
+
+
+def _all_merges(ranks: dict[bytes, int], pattern: str) -> SideBySide | None:
+    """All merges of the ranks as pairs; None if ids or the pattern don't fit it."""
     fits = regex.compile(pattern).findall
     if max(ranks.values()) > 65535 or _LETTERS_FIRST not in pattern or any(fits(f" Wörd{e}") != [" Wörd", *([e] if e else [])] for e in ENDINGS):
         return None
