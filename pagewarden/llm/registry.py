@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewarden.llm import alignment, bpe_tree, code_compression, decontaminate, language, main_text, media, near_dup, quality, secrets, token_count, token_files
+from pagewarden.llm import alignment, bpe_tree, chat_trees, code_compression, decontaminate, language, main_text, media, near_dup, quality, secrets, token_count, token_files
 
 QUERIES = {
     "op1_guess_cost_secrets": secrets.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_tree": bpe_tree.query,
     "op9_mixed_range_coder": token_files.query,
     "op10_winnowing": decontaminate.query,
+    "op11_reply_tree_chats": chat_trees.query,
     "op12_cross_tokenizer_alignment": alignment.query,
     "op13_cover_tree_codes": code_compression.query,
 }
