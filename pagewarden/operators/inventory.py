@@ -179,14 +179,14 @@ def upgraded(records: DataFrame) -> DataFrame:
 
 
 def menu(pages: DataFrame, keys: list[str], selector: str = "nav a, header a") -> DataFrame:
-    """Menu links of parsed pages: (keys, seq, href, title, menu_path). The path joins the labels of the list items around, the outermost first."""
-    from pagewarden.sources.dom import attribute, first, having, inside, let, selected
+    """Menu links of pages that were parsed with the selector: (keys, seq, href, title, menu_path). The path joins the labels of the list items around, the outermost first."""
+    from pagewarden.sources.dom import attribute, first, fits, having, inside, let, text_of
 
-    els = F.col("elements")
-    links = having(lambda e: selected(e, selector) & attribute(e, "href").isNotNull(), els)
+    els, fit = F.col("elements"), fits(pages)
+    links = having(lambda e: fit(e, selector) & attribute(e, "href").isNotNull(), els)
     anchors = having(lambda e: e["tag"] == "a", els)
-    label = lambda i, of: F.coalesce(first(F.filter(of, lambda a: a["parent"] == i["seq"]))["text"], i["own_text"])
+    label = lambda i, of: let(first(F.filter(of, lambda a: a["parent"] == i["seq"])), lambda a: F.coalesce(text_of(a), i["own_text"]))
     items = let(anchors, lambda of: F.transform(having(lambda e: e["tag"] == "li", els), lambda i: F.struct(i["seq"].alias("seq"), i["end"].alias("end"), label(i, of).alias("label"))))
     around = lambda a, many: F.array_join(F.transform(F.filter(many, lambda i: inside(a, i) & (i["label"] != "")), lambda i: i["label"]), " > ")
-    rows = let(items, lambda many: F.transform(links, lambda a: F.struct(a["seq"].alias("seq"), attribute(a, "href").alias("href"), F.coalesce(a["text"], F.lit("")).alias("title"), around(a, many).alias("menu_path"))))
+    rows = let(items, lambda many: F.transform(links, lambda a: F.struct(a["seq"].alias("seq"), attribute(a, "href").alias("href"), text_of(a).alias("title"), around(a, many).alias("menu_path"))))
     return pages.select(*keys, F.explode(rows).alias("m")).select(*keys, "m.*")

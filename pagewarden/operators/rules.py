@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagewarden.functions import checks as C
 from pagewarden.functions import terms as T
 from pagewarden.functions import urls as U
-from pagewarden.sources.dom import attribute, blank, first, has_class, having, inside, let, places, selected
+from pagewarden.sources.dom import attribute, before, blank, first, fits, has_class, having, inside, let, places, text_of
 
 GENERIC_TITLES = ("홈", "페이지", "home", "untitled")
 LANGS = ("ko", "ko-KR", "en", "en-US")
@@ -110,13 +110,13 @@ def _id_issues(els: Column) -> Column:
     return let(held, lambda h: F.concat(empty(h), let(ranked(h), lambda s: let(again(s), told))))
 
 
-def _control_issues(els: Column, names: Column) -> Column:
+def _control_issues(els: Column, names: Column, fit) -> Column:
     kinds = lambda e: e["tag"].isin("input", "select", "textarea") & ~F.lower(F.coalesce(attribute(e, "type"), F.lit(""))).isin("hidden", "submit", "button", "reset", "image")
     every = F.transform(having(lambda e: e["tag"].isin("input", "select", "textarea"), els), lambda e, i: F.struct(e.alias("e"), F.concat(e["tag"], F.lit("["), i.cast("string"), F.lit("]")).alias("at")))
     pointed = lambda e: F.split(F.trim(F.coalesce(attribute(e, "aria-labelledby"), F.lit(""))), r"\s+")
     lost = lambda e, n: ~blank(attribute(e, "aria-labelledby")) & (F.size(F.array_except(pointed(e), n)) > 0)
     labels = F.transform(having(lambda e: (e["tag"] == "label") & attribute(e, "for").isNotNull(), els), lambda e: attribute(e, "for"))
-    bare = lambda e, f: blank(attribute(e, "aria-label")) & blank(attribute(e, "aria-labelledby")) & ~e["path"].contains("/label/") & ~(~blank(attribute(e, "id")) & F.array_contains(f, F.coalesce(attribute(e, "id"), F.lit(""))))
+    bare = lambda e, f: blank(attribute(e, "aria-label")) & blank(attribute(e, "aria-labelledby")) & ~fit(e, "label *") & ~(~blank(attribute(e, "id")) & F.array_contains(f, F.coalesce(attribute(e, "id"), F.lit(""))))
     hint = lambda e: ~blank(attribute(e, "placeholder"))
     issue = lambda x, n, f: (
         F.when(~kinds(x["e"]), None)
@@ -130,7 +130,7 @@ def _name_issues(els: Column, ids: Column) -> Column:
     every = F.transform(having(lambda e: e["tag"].isin("a", "button"), els), lambda e, i: F.struct(e.alias("e"), F.concat(e["tag"], F.lit("["), i.cast("string"), F.lit("]")).alias("at")))
     images = having(lambda e: e["tag"] == "img", els)
     pointed = lambda e: F.split(F.trim(F.coalesce(attribute(e, "aria-labelledby"), F.lit(""))), r"\s+")
-    nameless = lambda e: blank(e["text"]) & blank(attribute(e, "aria-label"))
+    nameless = lambda e: blank(text_of(e)) & blank(attribute(e, "aria-label"))
     gone = lambda e, n: F.array_except(pointed(e), n)
     image = lambda e, m: first(F.filter(m, lambda i: inside(i, e)))
     issue = lambda x, n, m: (
@@ -151,11 +151,11 @@ def element_issues(pages: DataFrame, keys: list[str], *, skip: Iterable[str] = S
     els = F.col("elements")
     ids = F.transform(having(lambda e: ~blank(attribute(e, "id")), els), lambda e: attribute(e, "id"))
     names = F.array_distinct(F.concat(ids, F.transform(having(lambda e: ~blank(attribute(e, "name")), els), lambda e: attribute(e, "name"))))
-    skips = having(lambda e: (e["tag"] == "a") & attribute(e, "href").startswith("#") & F.lower(e["text"]).rlike("|".join(skip)), els)
+    skips = having(lambda e: (e["tag"] == "a") & attribute(e, "href").startswith("#") & F.lower(text_of(e)).rlike("|".join(skip)), els)
     target = lambda e: F.substring(attribute(e, "href"), F.lit(2), F.length(attribute(e, "href")))
     lost = let(names, lambda n: F.transform(F.filter(skips, lambda e: ~F.array_contains(n, target(e))), lambda e: _found(e, "skip-link-target", T.ERROR, T.MIDDLE, attribute(e, "href"), location=F.lit(""))))
     bare = F.transform(having(lambda e: (e["tag"] == "img") & attribute(e, "alt").isNull() & (F.coalesce(attribute(e, "role"), F.lit("")) != "presentation"), els), lambda e: _found(e, "image-alt", T.ERROR, T.MIDDLE))
-    found = F.filter(F.concat(_id_issues(els), _control_issues(els, names), _name_issues(els, ids), lost, bare), lambda i: i.isNotNull())
+    found = F.filter(F.concat(_id_issues(els), _control_issues(els, names, fits(pages)), _name_issues(els, ids), lost, bare), lambda i: i.isNotNull())
     out = pages.select(*keys, F.explode(found).alias("i")).select(*keys, "i.*")
     return out.withColumn("issue_key", C.key(*[F.col(k) for k in keys], F.col("code"), F.col("location"), size=20))
 
@@ -221,9 +221,9 @@ def _json_dates(scripts: Column) -> Column:
 def date_candidates(pages: DataFrame, keys: list[str], labels=DATE_LABELS, selectors: dict[str, list[str]] | None = None) -> DataFrame:
     """(keys, kind, day, original, method, confidence, priority, seq) of parsed pages: every place of a page that may date it.
 
-    Pages whose page_type (if they have that column) is a list have none. Selectors need pages that were parsed with texts=None.
+    Pages whose page_type (if they have that column) is a list have none. selectors, by kind: those that the pages were parsed with.
     """
-    els = F.col("elements")
+    els, fit = F.col("elements"), fits(pages)
     of = lambda text: F.when(F.lower(text).rlike("|".join(labels["modified"])), "modified").when(F.lower(text).rlike("|".join(labels["published"])), "published")
 
     def row(e, kind, original, method, confidence, priority):
@@ -231,8 +231,8 @@ def date_candidates(pages: DataFrame, keys: list[str], labels=DATE_LABELS, selec
         return F.struct(lit(kind).alias("kind"), original.alias("original"), lit(method).alias("method"), lit(confidence).cast("double").alias("confidence"), F.lit(priority).alias("priority"), e["seq"].alias("seq"))
 
     explicit = lambda e: ~blank(attribute(e, "datetime"))
-    stamp = lambda e: F.when(explicit(e), attribute(e, "datetime")).otherwise(F.coalesce(e["text"], e["own_text"]))
-    own = lambda e: of(F.concat_ws(" ", e["before"], F.split(F.coalesce(attribute(e, "class"), F.lit("")), r"\s+")[0]))
+    stamp = lambda e: F.when(explicit(e), attribute(e, "datetime")).otherwise(text_of(e))
+    own = lambda e: of(F.concat_ws(" ", before(e), F.split(F.coalesce(attribute(e, "class"), F.lit("")), r"\s+")[0]))
     times = F.transform(having(lambda e: e["tag"] == "time", els), lambda e: F.struct(e.alias("e"), own(e).alias("own")))
     # The first unlabelled time is the publication's, unless an earlier one was taken for it.
     taken = lambda t: F.array_position(F.transform(t, lambda x: F.coalesce(x["own"], F.lit("published"))), "published")
@@ -241,10 +241,10 @@ def date_candidates(pages: DataFrame, keys: list[str], labels=DATE_LABELS, selec
     prop = lambda e: F.coalesce(attribute(e, "property"), attribute(e, "name"))
     metas = F.transform(having(lambda e: (e["tag"] == "meta") & prop(e).isin("article:published_time", "article:modified_time") & ~blank(attribute(e, "content")), els), lambda e: row(e, F.when(prop(e) == "article:published_time", "published").otherwise("modified"), attribute(e, "content"), "article_meta", 0.96, 2))
     said = F.transform(F.col("said"), lambda x: row(x, x["kind"], x["raw"], "json_ld", 0.94, 3))
-    date = lambda e: F.regexp_extract(F.coalesce(e["text"], e["own_text"]), C.DATE, 0)
+    date = lambda e: F.regexp_extract(text_of(e), C.DATE, 0)
     labelled = F.transform(having(lambda e: ~e["tag"].isin("script", "style") & of(e["own_text"]).isNotNull() & (date(e) != ""), els), lambda e: row(e, of(e["own_text"]), date(e), "label", 0.90, 4))
-    chosen = [F.slice(F.transform(having(lambda e, s=s: selected(e, s), els), lambda e, name=name: row(e, name, stamp(e), "configured_selector", 0.86, 5)), 1, 1) for name, many in (selectors or {}).items() for s in many]
-    scripts = F.transform(having(lambda e: (e["tag"] == "script") & F.lower(attribute(e, "type")).contains("ld+json"), els), lambda e: F.struct(e["seq"].alias("seq"), F.coalesce(e["text"], F.lit("")).alias("text")))
+    chosen = [F.slice(F.transform(having(lambda e, s=s: fit(e, s), els), lambda e, name=name: row(e, name, stamp(e), "configured_selector", 0.86, 5)), 1, 1) for name, many in (selectors or {}).items() for s in many]
+    scripts = F.transform(having(lambda e: (e["tag"] == "script") & F.lower(attribute(e, "type")).contains("ld+json"), els), lambda e: F.struct(e["seq"].alias("seq"), text_of(e).alias("text")))
     if "page_type" in pages.columns:
         pages = pages.where(~F.lower(F.coalesce("page_type", F.lit(""))).isin(*UNDATED_PAGES))
     rows = pages.withColumn("said", _json_dates(scripts)).select(*keys, F.explode(F.concat(timed, metas, said, labelled, *chosen)).alias("c"))
@@ -270,29 +270,29 @@ def content_freshness(pages: DataFrame, dates: DataFrame, keys: list[str], refer
     return applied.select(*keys, *([] if "url" in keys else ["url"]), "applicability", "published", "modified", F.when(F.col("applicability") == "required", F.datediff(reference, F.col("day"))).alias("elapsed_days"), verdict.alias("verdict"))
 
 
-def _rows_of(els: Column, selectors: dict[str, list[str]]) -> Column:
+def _rows_of(els: Column, selectors: dict[str, list[str]], fit) -> Column:
     """The rows of a page's list: by selector, or the first kind of container of which there are two at least."""
     if selectors:
-        rows = having(lambda e: selected(e, selectors["row"][0]), els) if selectors.get("row") else F.slice(els, 1, 0)
+        rows = having(lambda e: fit(e, selectors["row"][0]), els) if selectors.get("row") else F.slice(els, 1, 0)
         if selectors.get("container"):
-            return let(first(having(lambda e: selected(e, selectors["container"][0]), els)), lambda c: F.when(c.isNull(), rows).otherwise(having(lambda e: inside(e, c), rows)))
+            return let(first(having(lambda e: fit(e, selectors["container"][0]), els)), lambda c: F.when(c.isNull(), rows).otherwise(having(lambda e: inside(e, c), rows)))
         return rows
-    kinds = [lambda e: e["path"].rlike("/table/(?:.*/)?tbody/(?:.*/)?tr$"), lambda e: e["tag"] == "article", lambda e: has_class(e, "item"), lambda e: has_class(e, "card"), lambda e: e["tag"] == "li"]
+    kinds = [lambda e: fit(e, "table tbody tr"), lambda e: e["tag"] == "article", lambda e: has_class(e, "item"), lambda e: has_class(e, "card"), lambda e: e["tag"] == "li"]
     several = [F.filter(F.array(having(kind, els)), lambda k: F.size(k) >= 2) for kind in kinds]
     return F.coalesce(first(F.concat(*several)), F.slice(els, 1, 0))
 
 
-def _items(els: Column, rows: Column, selectors: dict[str, list[str]]) -> Column:
+def _items(els: Column, rows: Column, selectors: dict[str, list[str]], fit) -> Column:
     """(seq, day, original, title, href, timed) of each row; dates of other contexts don't count unless a posted one is named too."""
     one = lambda name: (selectors.get(name) or [None])[0]
     tagged = lambda *tags: having(lambda e: e["tag"].isin(*tags), els)
-    of = lambda name, default: having(lambda e: selected(e, one(name)), els) if one(name) else default
+    of = lambda name, default: having(lambda e: fit(e, one(name)), els) if one(name) else default
     any_of = lambda text, words: text.rlike("|".join(words))
     table = lambda r: F.element_at(F.filter(tagged("table"), lambda t: inside(r, t)), -1)
-    heads = lambda t: F.transform(having(lambda e: (e["tag"] == "th") & e["path"].contains("/thead/") & inside(e, t), els), lambda e: any_of(F.lower(F.coalesce(e["text"], F.lit(""))), POSTED))
+    heads = lambda t: F.transform(having(lambda e: fit(e, "thead th") & inside(e, t), els), lambda e: any_of(F.lower(text_of(e)), POSTED))
     # The column under a head that names the posting date, from 1; 0 if there is none.
     column = F.lit(0) if one("date") else let(first(rows), lambda r: F.when(F.exists(tagged("table"), lambda t: inside(r, t)), let(table(r), lambda t: F.array_position(heads(t), True).cast("int"))).otherwise(0))
-    text = lambda e: F.coalesce(e["text"], e["own_text"])
+    text = text_of
 
     def item(r, at, times, cells, titles, links):
         within = lambda many: first(F.filter(many, lambda e: inside(e, r)))
@@ -309,8 +309,9 @@ def _items(els: Column, rows: Column, selectors: dict[str, list[str]]) -> Column
 
 def list_items(pages: DataFrame, keys: list[str], selectors: dict[str, list[str]] | None = None) -> DataFrame:
     """(keys, seq, day, original, title, href, timed) of the rows of parsed pages' lists."""
-    rows = pages.select(*keys, "elements", _rows_of(F.col("elements"), selectors or {}).alias("rows"))
-    return rows.select(*keys, F.explode(_items(F.col("elements"), F.col("rows"), selectors or {})).alias("i")).select(*keys, "i.*")
+    fit = fits(pages)
+    rows = pages.select(*keys, "elements", "texts", _rows_of(F.col("elements"), selectors or {}, fit).alias("rows"))
+    return rows.select(*keys, F.explode(_items(F.col("elements"), F.col("rows"), selectors or {}, fit)).alias("i")).select(*keys, "i.*")
 
 
 def _list_verdict(valid: Column, future: Column, latest: Column, boundary: Column) -> Column:
@@ -322,11 +323,11 @@ def page_lists(pages: DataFrame, keys: list[str], reference: Column, *, months:
 
     pages may have list_type. Only what the page shows is looked at.
     """
-    els = F.col("elements")
+    els, fit = F.col("elements"), fits(pages)
     seen = F.array_join(F.transform(having(lambda e: ~e["tag"].isin("script", "style", "template"), els), lambda e: e["own_text"]), " ")
     kind = F.lower(F.coalesce("list_type", F.lit(""))) if "list_type" in pages.columns else F.lit("")
-    rows = pages.select(*keys, "elements", seen.alias("seen"), kind.alias("list_type"), _rows_of(els, selectors or {}).alias("rows"))
-    rows = rows.select(*keys, "seen", "list_type", F.size("rows").alias("n"), _items(els, F.col("rows"), selectors or {}).alias("items"))
+    rows = pages.select(*keys, "elements", "texts", seen.alias("seen"), kind.alias("list_type"), _rows_of(els, selectors or {}, fit).alias("rows"))
+    rows = rows.select(*keys, "seen", "list_type", F.size("rows").alias("n"), _items(els, F.col("rows"), selectors or {}, fit).alias("items"))
     count = lambda when: F.size(F.filter("items", when))
     usable = F.array_max(F.transform(F.filter("items", lambda i: i["day"] <= reference), lambda i: F.struct(i["day"].alias("day"), (-i["seq"]).alias("order"), i["title"].alias("title"), i["href"].alias("href"))))
     rows = rows.select("*", count(lambda i: i["day"].isNotNull()).alias("valid"), count(lambda i: i["day"].isNull()).alias("failed"), count(lambda i: i["day"] > reference).alias("future"), usable.alias("latest"))
@@ -358,7 +359,7 @@ def references(pages: DataFrame, keys: list[str], base: Column) -> DataFrame:
     alt = lambda e: F.when((attribute(e, "role") == "presentation") & attribute(e, "alt").isNull(), "").otherwise(attribute(e, "alt"))
     many = lambda e: F.when((e["tag"] == "img") & attribute(e, "srcset").isNotNull(), U.srcset(attribute(e, "srcset"))).otherwise(F.array().cast("array<string>"))
     urls = lambda e: F.filter(F.concat(F.array(href(e)), many(e)), lambda h: h.isNotNull())
-    row = lambda e, h: F.struct(e["seq"].alias("seq"), e["tag"].alias("tag"), h.alias("href"), e["text"].alias("text"), alt(e).alias("alt"), attribute(e, "download").isNotNull().alias("download"))
+    row = lambda e, h: F.struct(e["seq"].alias("seq"), e["tag"].alias("tag"), h.alias("href"), text_of(e).alias("text"), alt(e).alias("alt"), attribute(e, "download").isNotNull().alias("download"))
     rows = pages.select(*keys, F.posexplode(F.flatten(F.transform(of, lambda e: F.transform(urls(e), lambda h: row(e, h))))).alias("at", "r")).select(*keys, "at", "r.*")
     rows = rows.withColumn("kind", U.resource_kind(F.col("tag"), F.col("href"), F.col("download")))
     place = F.concat("kind", F.lit("["), (F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("at")) - 1).cast("string"), F.lit("]"))

@@ -71,14 +71,19 @@ def loaded(state: State) -> dict[str, DataFrame]:
     return {name: state.load(name, schema) for name, schema in TABLES.items()}
 
 
+def menu_selectors(rules: Mapping[str, Any]) -> tuple[str, str]:
+    """Of the main menu and of the whole menu."""
+    return ", ".join(rules.get("menu_selectors", ["nav a", "header a"])), ", ".join(rules.get("all_menu_selectors", ["a"]))
+
+
 def found_in_menus(parsed: DataFrame, rules: Mapping[str, Any], at: dt.datetime) -> DataFrame:
     """Links of the main menu of all pages, and of the whole menu on the pages that are named for it (all_menu_paths)."""
     row = lambda links, source: links.select("target_id", F.col("href").alias("original_url"), F.lit(source).alias("source"), "menu_path", F.col("url").alias("discovered_from"), "title", F.lit(at).alias("discovered_at"))
-    main = row(I.menu(parsed, KEYS, ", ".join(rules.get("menu_selectors", ["nav a", "header a"]))), "main_menu")
+    main = row(I.menu(parsed, KEYS, menu_selectors(rules)[0]), "main_menu")
     paths = [str(p) for p in rules.get("all_menu_paths", ())]
     if not paths:
         return main
-    return main.unionByName(row(I.menu(parsed.where(U.path(F.col("url")).isin(paths)), KEYS, ", ".join(rules.get("all_menu_selectors", ["a"]))), "all_menu"))
+    return main.unionByName(row(I.menu(parsed.where(U.path(F.col("url")).isin(paths)), KEYS, menu_selectors(rules)[1]), "all_menu"))
 
 
 def crawled(parsed: DataFrame, targets: DataFrame, at: dt.datetime) -> DataFrame:
@@ -129,7 +134,7 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     normal = U.normalize_any(F.col("url"), F.lit(None).cast("string"), policy)
     responses = kept_for_all(responses.withColumn("normalized_url", F.coalesce(normal["url"], F.col("url"))))
     pages = responses.where("html is not null").select(*KEYS, "normalized_url", "html", F.lit("unknown").alias("page_type"))
-    parsed = kept_for_all(dom.parsed(pages, KEYS))
+    parsed = kept_for_all(dom.parsed(pages, KEYS, selectors=[*menu_selectors(rules), *(s for many in (fresh.get("date_selectors") or {}).values() for s in many)]))
 
     found = found_in_menus(parsed, rules, at)
     if crawl:

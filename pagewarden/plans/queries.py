@@ -11,6 +11,7 @@ from pagewarden.functions import urls as U
 from pagewarden.operators import inventory as I
 from pagewarden.operators import rules as R
 from pagewarden.operators import verdicts as V
+from pagewarden.operators import versions as VS
 from pagewarden.sources import dom
 
 QUERIES: dict = {}
@@ -505,6 +506,48 @@ def page_list_freshness(spark, sf):
     return R.page_lists(dom.parsed(pages, ["page_id"]), ["page_id"], F.lit("2026-08-25").cast("date")).select("page_id", "verdict", "valid", "latest_day", "issue_type")
 
 
+# --- Versions of pages ---------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'full_html_fallback' ELSE 'main, #content' END AS hash_scope, CASE page_id % 3 WHEN 2 THEN NULL WHEN 0 THEN sha256('<main id="m" nonce="n' || page_id || '"><p title="a &amp; b">x &lt; ' || page_id || '</p> <b>y</b></main>') ELSE sha256('<div id="content">z</div>') END AS content_hash,
+CASE page_id % 3 WHEN 0 THEN '.ad,@data-at,@nonce,pattern:[0-9]+ views' WHEN 1 THEN '.view-count' ELSE '' END AS removed FROM pages""")
+def content_hash_selector(spark, sf):
+    """Hashes of the part of each page that a selector scopes; every third page has none, and the whole page counts (its hash and what was left out aren't compared here)."""
+    n = F.col("page_id").cast("string")
+    ends = [
+        F.concat(F.lit('<main id=m nonce="n'), n, F.lit('"><p nonce="x" title="a &amp; b" data-at="'), n, F.lit('">x &lt; '), n, F.lit('</p>\n 17 views<b>y</b><div class="ad big"><p>buy <span class="ad">now</span></div></main>')),
+        F.concat(F.lit('<div id="content">z<i class="view-count">'), n, F.lit("</i></div>")), F.lit("<p>none</p>"),
+    ]
+    out = VS.content_hashes(_with_end(spark, sf, ends), ["page_id"], selector="main, #content", volatile_selectors=[".ad", ".view-count"], volatile_attributes=["data-at"], patterns=["[0-9]+ views"])
+    return out.select("page_id", "hash_scope", F.when(F.col("hash_scope") != dom.FULL, F.col("content_hash")).alias("content_hash"), F.when(F.col("hash_scope") != dom.FULL, F.array_join("removed", ",")).otherwise("").alias("removed"))
+
+
+_CHANGES = [
+    ("<section><p>a</p><ul><li>1</li><li>2</li></ul></section>", "<section><p>b</p><ul><li>1</li><li>2</li></ul></section>", [("changed", "p", "a", "b")]),
+    ("<section><ul><li>1</li></ul></section>", "<section><ul><li>1</li><li>2 <b>x</b></li></ul></section>", [("changed", "ul", "", ""), ("added", "li", None, "2")]),
+    ('<section class="a"><i>1</i><div><p>x</p></div></section>', '<section class="b"><i>1</i></section>', [("changed", "section", "", ""), ("removed", "div", "", None)]),
+    ('<section nonce="1"><p>same</p></section>', '<section nonce="2"><p> same </p></section>', []),
+]
+_CHANGED_ROWS = ", ".join(f"({i}, " + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for i, (*_, many) in enumerate(_CHANGES) for row in many)
+
+
+@query(f"SELECT page_id, status, tag, before, after FROM pages JOIN (VALUES {_CHANGED_ROWS}) v(k, status, tag, before, after) ON page_id % {len(_CHANGES)} = k")
+def changed_subtrees(spark, sf):
+    """Parts of pages that differ between two versions, found by the digests of subtrees."""
+    versions = [dom.parsed(_with_end(spark, sf, [F.lit(c[v]) for c in _CHANGES]), ["page_id"], digests=True) for v in (0, 1)]
+    return VS.changed_subtrees(*versions, ["page_id"]).select("page_id", "status", "tag", "before", "after")
+
+
+@query("SELECT page_id, 't' || (page_id % 5) AS title, DATE '2026-01-01' + CAST(page_id % 200 AS INTEGER) AS day FROM pages")
+def list_items_by_selector(spark, sf):
+    """Rows of a list by configured selectors: container, row, title and date, with combinators, attributes and places among siblings."""
+    day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("page_id") % 200).cast("int")), "yyyy.MM.dd")
+    end = F.concat(F.lit('<div class="old"><p class="row"><b>no</b></p></div><div class="board main" data-kind="list-news"><p class="head">h</p><div class="row"><em>2020-01-01</em><span>t'), (F.col("page_id") % 5).cast("string"), F.lit("</span><em>"), day, F.lit('</em></div><div class="row hidden"><span>x</span></div></div>'))
+    chosen = {"container": ['.board[data-kind^="list"]'], "row": [".head ~ .row:not(.hidden)"], "title": [".row > span"], "date": ["em:nth-of-type(2)"]}
+    pages = dom.parsed(_with_end(spark, sf, [end]), ["page_id"], selectors=[s for many in chosen.values() for s in many])
+    return R.list_items(pages, ["page_id"], chosen).select("page_id", "title", "day")
+
+
 # --- Dates -----------------------------------------------------------------------------------------------------------
 
 
