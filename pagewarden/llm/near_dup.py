@@ -15,8 +15,11 @@ tuple are in one bucket.
    k-mers. A pair of n and m distinct k-mers can reach THRESHOLD only with a common one among
    the first n - o + 1 of one and the first m - o + 1 of the other, rarest first, where o is
    the overlap that THRESHOLD asks of these sizes. So each text keeps few k-mers, and texts of
-   a large bucket meet only where that holds; nothing is capped or lost. The classes are those
-   of all pairs that share a bucket.
+   a large bucket meet only where that holds; nothing is capped or lost. A k-mer of one class
+   is left out, one of several pairs the rest of its texts with those of its largest class, never
+   these with each other. Each text has PARITY bits, of its k-mers' numbers by hash, even or odd: two
+   texts differ in as many k-mers at least as in bits, so that most pairs of a template's texts
+   that only differ too much are dropped within the join. The classes are those of all pairs that share a bucket.
 3. A pair is verified by an alignment of both texts' distinct k-mers in their order
    within a band. Matched k-mers over all distinct k-mers must be THRESHOLD or more. The
    band is as wide as that threshold allows, so it loses no pair.
@@ -47,6 +50,7 @@ K, LENGTH, BANDS, THRESHOLD, SEED = 5, 4, 24, 0.8, 5
 #: Texts of so many distinct k-mers also have tuples of this length, in so many bands.
 SHORT, SHORT_LENGTH, SHORT_BANDS = 40, 2, 14
 LARGE = 50
+PARITY = 512
 #: Ids of the texts to be compared are broadcast up to so many bytes.
 BROADCAST_BYTES = 16_000_000
 U64 = np.uint64
@@ -115,8 +119,17 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
     return found / (n + m - found) if found >= least else 0.0
 
 
+PARITIES = [f"p{i}" for i in range(PARITY // 64)]
+
+
+def parity(kmers: np.ndarray) -> np.ndarray:
+    """PARITY bits of distinct k-mers, as 64-bit integers: whether an odd number of them falls on each."""
+    odd = np.bincount((kmers >> U64(13)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _texts(with_kmers: bool, k: int):
-    """(id, key, n, buckets) or (key, kmers) of each text."""
+    """(id, key, n, buckets) or (key, kmers, parities) of each text."""
 
     def run(batches):
         for batch in batches:
@@ -130,9 +143,10 @@ def _texts(with_kmers: bool, k: int):
                     keys.append(digest.digest())
                     kmers = grams(own, k)
                     sizes.append(len(np.unique(kmers)))
-                    found.append(labelled(kmers)[1].tobytes() if with_kmers else sketch(kmers))
+                    found.append(labelled(kmers)[1] if with_kmers else sketch(kmers))
             if with_kmers:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "kmers"])
+                bits = np.array([parity(x) for x in found], np.int64).reshape(len(found), len(PARITIES))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary()), *[pa.array(b) for b in bits.T]], names=["key", "kmers", *PARITIES])
             else:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "n", "buckets"])
 
@@ -190,7 +204,7 @@ def _distinct(met: DataFrame) -> DataFrame:
 
 
 def _other(members: DataFrame) -> DataFrame:
-    return members.withColumnsRenamed({"key": "b", "n": "m", "of": "with", "rank": "at"})
+    return members.withColumnsRenamed({"key": "b", "n": "m", "of": "with", "rank": "at", **{p: f"{p}_" for p in PARITIES}})
 
 
 def crossing(members: DataFrame, threshold: float) -> DataFrame:
@@ -204,14 +218,27 @@ def _overlap(n: str, m: str, threshold: float):
     return F.ceil(threshold / (1 + threshold) * (F.col(n) + F.col(m)) - 1e-6)
 
 
+def _near(threshold: float):
+    """Whether the parities of texts of n and m k-mers differ in no more bits than such texts may in k-mers."""
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_"))) for p in PARITIES), F.lit(0))
+    return apart <= F.col("n") + F.col("m") - 2 * _overlap("n", "m", threshold)
+
+
+def near(pairs: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that bits (key, n, parities) don't rule out."""
+    return pairs.join(bits.withColumnRenamed("key", "a"), "a").join(_other(bits), "b").where(_near(threshold)).select("a", "b")
+
+
 def close(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of keys in two classes of that share a k-mer g within the ranks that their sizes allow."""
+    """Distinct pairs (a, b) of keys in two classes of that share a k-mer g within the ranks that their sizes allow, and whose parities don't rule them out."""
     need = _overlap("n", "m", threshold)
-    shorter = prefixes.where(F.col("rank") <= F.col("n") - _overlap("n", "n", threshold) + 1)
-    met = shorter.join(_other(prefixes), "g").where(
-        (F.col("of") != F.col("with")) & (F.col("n") <= F.col("m")) & (F.col("n") >= threshold * F.col("m") - 1e-6) & (F.col("rank") <= F.col("n") - need + 1) & (F.col("at") <= F.col("m") - need + 1)
-    )
-    return _distinct(met)
+    # Of each k-mer of several classes the one with most texts: of a pair in two classes one at least is outside it.
+    most = prefixes.groupBy("g", "of").agg(F.count(F.lit(1)).alias("held")).groupBy("g").agg(F.max(F.struct("held", "of")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g", F.col("top.of").alias("top"))
+    marked = prefixes.join(most, "g").withColumn("minor", F.col("of") != F.col("top")).drop("top")
+    shorter = marked.where(F.col("rank") <= F.col("n") - _overlap("n", "n", threshold) + 1)
+    fits = (F.col("of") != F.col("with")) & (F.col("n") <= F.col("m")) & (F.col("n") >= threshold * F.col("m") - 1e-6) & (F.col("rank") <= F.col("n") - need + 1) & (F.col("at") <= F.col("m") - need + 1) & _near(threshold)
+    pairs = [shorter.where(one).drop("minor").join(_other(marked.where(other).drop("minor")), "g").where(fits) for one, other in (("minor", "true"), ("not minor", "minor"))]
+    return _distinct(pairs[0].select("key", "b").unionByName(pairs[1].select("key", "b")))
 
 
 def _each_kmer(batches):
@@ -249,7 +276,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", k: int = K, threshold: f
     ids = central.select("id").distinct()
     held = ids.agg(F.sum(F.length(F.col("id").cast("string")) + 40)).first()[0] or 0
     again = rows.join(F.broadcast(ids) if held <= broadcast_bytes else ids, "id", "left_semi")
-    kmers = keep(spread(again).mapInArrow(_texts(True, k), "key binary, kmers binary").dropDuplicates(["key"]), "kmers")
+    kmers = keep(spread(again).mapInArrow(_texts(True, k), "key binary, kmers binary, " + ", ".join(f"{p} bigint" for p in PARITIES)).dropDuplicates(["key"]), "kmers")
 
     # First the most central text of each bucket.
     members = central.select("key", "central", F.explode("groups").alias("g"))
@@ -268,9 +295,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", k: int = K, threshold: f
     keep.drop(central, met)
     many = mixed.where(f"size > {LARGE}").select("key", "n", "of").distinct()
     each = keep(many.join(kmers, "key").select("key", "n", "of", "kmers").mapInArrow(_each_kmer, "key binary, n bigint, of binary, g bigint"), "each")
-    rare = keep(prefixes(each, threshold), "prefixes")
+    rare = keep(prefixes(each, threshold).join(kmers.select("key", *PARITIES), "key"), "prefixes")
     keep.drop(each)
-    rest = keep(crossing(mixed.where(f"size <= {LARGE}").drop("size"), threshold).unionByName(close(rare, threshold)).distinct(), "rest")
+    bits = classed.select("key", "n").join(kmers.select("key", *PARITIES), "key")
+    small = near(crossing(mixed.where(f"size <= {LARGE}").drop("size"), threshold), bits, threshold)
+    rest = keep(small.unionByName(close(rare, threshold)).distinct(), "rest")
     more = keep(verified(rest, kmers, threshold), "more")
     of = classed.select("key", "of")
     more = more.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))

@@ -112,13 +112,49 @@ def test_pairs_of_a_large_bucket_by_their_rarest_kmers(spark):
         own = [x if rng.random() > i / 300 else rng.randrange(10**9) for x in base][: rng.randint(50, 60)]
         rows.append((bytes([i]), len(own), bytes([rng.randrange(100)]) if i % 3 else b"same", own))
     each = spark.createDataFrame([(k, n, c, g) for k, n, c, own in rows for g in own], "key binary, n bigint, of binary, g bigint")
-    pairs = N.close(N.prefixes(each, 0.8), 0.8)
+    bits = spark.createDataFrame([(k, *N.parity(np.array(sorted({*own}), np.uint64) << np.uint64(13)).tolist()) for k, _, _, own in rows], "key binary, " + ", ".join(f"{p} bigint" for p in N.PARITIES))
+    pairs = N.close(N.prefixes(each, 0.8).join(bits, "key"), 0.8)
     got = {(bytes(r.a), bytes(r.b)) for r in pairs.collect()}
     share = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
     want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[2] != y[2] and share(x[3], y[3]) >= 0.8}
     assert want <= got and len(want) > 100 and len(got) < len(rows) ** 2 / 3
 
 
+def family(n, seed=21):
+    """Texts of one template of 150 words with four words changed each: hardly two are similar enough, all share most k-mers."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(150), 4):
+            w[at] = f"c{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_template_families_verify_pairs_in_proportion(spark, monkeypatch):
+    seen, plain = [], N.verified
+    monkeypatch.setattr(N, "verified", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    rows = family(40)
+    assert sorted(tuple(r) for r in N.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == brute(rows)
+    seen.clear()
+    N.classes(spark.createDataFrame(family(300), "doc_id bigint, text string")).count()
+    few = sum(seen)
+    seen.clear()
+    N.classes(spark.createDataFrame(family(1200), "doc_id bigint, text string")).count()
+    assert sum(seen) < few * 4**1.2, (few, sum(seen))
+
+
+def test_parities_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for n in (5, 60, 700, 5000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([np.delete(a, rng.choice(n, n // 7, replace=False)), rng.integers(0, 2**63, n // 30).astype(np.uint64)])
+        apart = sum(int(x ^ y).bit_count() if x ^ y >= 0 else (int(x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(N.parity(a).tolist(), N.parity(b).tolist(), strict=True))
+        assert apart <= len(np.setxor1d(a, b))
+
+
 def shares(a, b):
     return bool({x for x in N.sketch(a) if x is not None} & {x for x in N.sketch(b) if x is not None})
 
