@@ -1,47 +1,5 @@
-"""A tolerant scanner over HTML text: a stream of texts, opened and closed tags."""
+"""HTML text as a stream of texts and tags: the library's scanner, under the name that this subpackage's operators use."""
 
-from __future__ import annotations
+from pagewarden.sources.markup import attributes, scan
 
-import html
-import re
-from collections.abc import Iterator
-
-_TAG = re.compile(r"""<(?:!--(?:[^-]|-(?!->))*(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""")
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-#: Elements whose content isn't markup.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")
-_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
-
-
-def attributes(source: str) -> dict[str, str]:
-    """Lower-cased names; of a repeated name the first counts."""
-    out: dict[str, str] = {}
-    for name, a, b, c in _ATTRIBUTE.findall(source):
-        out.setdefault(name.lower(), html.unescape(a or b or c))
-    return out
-
-
-def scan(source: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text as written, ""), ("open", tag, attributes as written), ("close", tag, ""), ("raw", tag, content)."""
-    at, n = 0, len(source)
-    while at < n:
-        m = _TAG.search(source, at)
-        if m is None:
-            yield "text", source[at:], ""
-            return
-        if m.start() > at:
-            yield "text", source[at : m.start()], ""
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            yield "close", tag, ""
-            continue
-        yield "open", tag, m[3]
-        if tag in RAW and not m[3].endswith("/"):
-            e = _END[tag].search(source, at)
-            stop = e.start() if e else n
-            yield "raw", tag, source[at:stop]
-            yield "close", tag, ""
-            at = e.end() if e else n
+__all__ = ["attributes", "scan"]

@@ -1,7 +1,9 @@
 import html
 import re
+import time
 
 from pagewarden.llm import main_text as M
+from pagewarden.llm import media
 
 from .texts import saved
 
@@ -31,7 +33,8 @@ def test_marks_end_with_their_paragraph_and_layout_classes_are_none():
     ):
         assert M.main_text(before + article + after).endswith(want), before
     blocks = M.blocks(f'<p class="ad">Buy<div id="content" class="no-sidebar">{article}</div>')
-    assert [f[-1] for _, f, _ in blocks] == [1, 0, 0, 0]
+    beside = [M.NAMES.index(n) for n in ("beside", "named")]
+    assert [sum(f[i] for i in beside) for _, f, _ in blocks] == [1, 0, 0, 0]
 
 
 LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen."
@@ -69,7 +72,31 @@ def test_the_tree_fits_its_table_and_splits_on_density():
     def used(t):
         return set() if len(t) == 1 else {M.NAMES[t[0]]} | used(t[2]) | used(t[3])
 
-    assert "beside" in used(M.tree()) and used(M.tree()) & {"words", "links", "links_before", "links_after"}
+    assert used(M.tree()) >= {"beside", "words", "links", "inside", "notice", "under_comments"} and used(M.tree()) & {"words_before", "words_after", "links_before", "links_after"}
+
+
+def test_names_alone_dont_decide():
+    """Articles in containers with marked names, and boilerplate without any mark."""
+    body = f"<h1>Head of it</h1><p>{LONG}</p><p>{LONG} {LONG}</p><p>{LONG}</p>"
+    want = f"Head of it {LONG} {LONG} {LONG} {LONG}"
+    for page in (
+        f'{MENU}<div class="social-science">{body}</div>{FOOT}', f'{MENU}<section id="menu-recipes">{body}</section>{FOOT}', f'{MENU}<div class="widget-container content">{body}</div>{FOOT}', f'<form id="aspnetForm">{MENU}<div>{body}</div>{FOOT}</form>',
+        f"{MENU}<article>{body}</article><div><h3>Comments</h3><p>{LONG}</p><p>{LONG} {LONG}</p></div>{FOOT}", f"<p>We use cookies to improve this site. Accept all cookies?</p><article>{body}</article>{FOOT}", f'{MENU}<p title="x>{LONG}</p><article>{body}</article>',
+    ):
+        assert M.main_text(page).endswith(want) and '<' not in M.main_text(page), page[:80]
+        assert "cookies" not in M.main_text(page) and M.main_text(page).count("fourteen") <= 5
+    comments = f'{MENU}<article><p>{LONG}</p></article><section id="comments">' + f"<p>{LONG} {LONG}</p>" * 9 + "</section>"
+    assert M.main_text(comments) == LONG
+
+
+def test_hard_pages_take_time_in_proportion():
+    for source in ("<a " * 333_333, "<div>" * 200_000, "<main>" * 160_000, "<div class=ad><main>" * 50_000, "<!--" * 250_000, '<p title="x>Hello ' * 60_000, "<div>" * 60_000 + "</p>" * 90_000 + "</div>" * 60_000, "<article><h3>Comments</h3>" * 40_000, "<a href=x>" * 90_000):
+        began = time.process_time()
+        M.main_text(source)
+        assert time.process_time() - began < 5, source[:20]
+        began = time.process_time()
+        media.parts(source)
+        assert time.process_time() - began < 5, source[:20]
 
 
 def test_on_given_pages_against_their_articles(spark):
