@@ -262,12 +262,13 @@ def labelled_pages() -> list[str]:
             f"<div>{menu(6, 2)}</div><article data-main><p>{text(20 + k)}</p><p><a href=a>{text(6)}</a></p><p>{text(2 + 4 * k)}</p></article>",
             f"<div>{menu(4 + k, 3)}</div><div data-main><p>{text(28)}</p><p>{text(13 + 3 * k)} <a href=a>{text(6)}</a></p><p>{text(17 + k)}</p></div>",
             # A link of a word or two before an article's text leads elsewhere.
-            f"<article><p><a href=a>{text(1 + k % 2)}</a></p><p data-main>{text(13 + 5 * k)}</p><p data-main>{text(14)}</p></article><footer>{foot}</footer>",
+            f"<nav>{menu(4)}</nav><article><p><a href=a>{text(1 + k % 2)}</a></p><p data-main>{text(13 + 5 * k)}</p><p data-main>{text(14)}</p></article><footer>{foot}</footer>",
             # Words of notices in an article.
             f"<nav>{menu(4)}</nav><article data-main><h1>{text(5)}</h1><p>{text(9 + 7 * k)}</p><p>{text(1)} rights reserved</p></article><footer>{foot}</footer>",
             f"<nav>{menu(4)}</nav><article data-main><p>copyright {text(2)}</p><p>{text(12)}</p><p>{text(4)} cookies {text(2 + k)}</p><p>{text(21)}</p></article><footer>{foot}</footer>",
             f"<p>{text(5 + k)} cookies {text(2)}</p><article data-main><p>{text(30 + k)}</p><p>{text(1)} cookies {text(3)}</p></article>",
             f"<p>{text(3)} privacy {text(2 + k)}</p><p>{text(7)} consent</p><article data-main><h1>{text(4)}</h1><p>© {text(3)}</p><p>{text(16 + k)}</p><p>{text(3)} privacy</p></article><p>{text(2)} rights reserved</p>",
+            f"<nav>{menu(3)}</nav><div data-main><h1>{text(1 + k % 3)}</h1><p>{text(17 + 6 * k)}</p><p>{text(12)}</p></div><div>{menu(4, 2)}</div><p>{text(2)}</p>",
             # Content whose containers have marked names.
             f'<nav>{menu(4)}</nav><div class="social-science" data-main><h1>{text(5)}</h1>{paragraphs}<p>{text(24)}</p></div><div class="share">{menu(3)}</div><footer>{foot}</footer>',
             f'<form id="mainform"><div class="menu">{menu(6)}</div><div data-main><h1>{text(4)}</h1>{paragraphs}<p>{text(33)}</p></div><div class="footer">{foot}</div></form>',
