@@ -9,6 +9,7 @@ from pagewarden.functions import terms as T
 from pagewarden.functions import urls as U
 
 SETS = ("original_urls", "discovery_sources", "menu_paths", "discovered_from", "titles", "link_texts")
+REQUEST_LIMIT = "요청 상한 도달"
 COMPARED = ("titles", "link_texts", "menu_paths", "discovery_sources", "discovered_from", "classification", "other_target_id")
 
 
@@ -61,7 +62,7 @@ def health(sources: DataFrame, max_requests: int | None = None) -> DataFrame:
     failed = F.array_sort(F.collect_set(F.when(~F.coalesce("success", F.lit(False)), F.coalesce("source", F.lit("unknown")))))
     out = sources.groupBy("target_id").agg(failed.alias("failed"), F.max("request_count").alias("requests"))
     full = F.lit(False) if max_requests is None else F.coalesce(F.col("requests") >= max_requests, F.lit(False))
-    reason = F.when(F.size("failed") > 0, F.concat(F.lit("수집원 실패: "), F.array_join("failed", ", "))).when(full, "요청 상한 도달")
+    reason = F.when(F.size("failed") > 0, F.concat(F.lit("수집원 실패: "), F.array_join("failed", ", "))).when(full, REQUEST_LIMIT)
     return out.select("target_id", reason.isNull().alias("healthy"), reason.alias("reason"))
 
 
@@ -105,6 +106,13 @@ def comparison_status(previous_header: DataFrame, current_header: DataFrame, hea
     return rows.select("target_id", status.alias("status"), (F.col("had").isNull() | (same & healthy)).alias("baseline_updated"))
 
 
+def comparable(previous_header: DataFrame, current_header: DataFrame) -> DataFrame:
+    """(target_id) of targets without an earlier record, or with one of the same schema and policy, whatever their sources' health."""
+    old = previous_header.select("target_id", F.struct("schema_version", "policy_fingerprint").alias("old"))
+    rows = current_header.join(old, "target_id", "left")
+    return rows.where(F.col("old").isNull() | F.col("old").eqNullSafe(F.struct("schema_version", "policy_fingerprint"))).select("target_id").distinct()
+
+
 def first_occurrences(occurrences: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in that order. Minima combine before the shuffle, so a key found everywhere is no hot group."""
     rest = [c for c in occurrences.columns if c not in key and c not in order]

@@ -222,6 +222,7 @@ def date_candidates(pages: DataFrame, keys: list[str], labels=DATE_LABELS, selec
     """(keys, kind, day, original, method, confidence, priority, seq) of parsed pages: every place of a page that may date it.
 
     Pages whose page_type (if they have that column) is a list have none. selectors, by kind: those that the pages were parsed with.
+    A column own_names names the selectors of each page's own (dom.parsed(own=...)); those of dates are date.published and date.modified.
     """
     els, fit = F.col("elements"), fits(pages)
     of = lambda text: F.when(F.lower(text).rlike("|".join(labels["modified"])), "modified").when(F.lower(text).rlike("|".join(labels["published"])), "published")
@@ -244,6 +245,9 @@ def date_candidates(pages: DataFrame, keys: list[str], labels=DATE_LABELS, selec
     date = lambda e: F.regexp_extract(text_of(e), C.DATE, 0)
     labelled = F.transform(having(lambda e: ~e["tag"].isin("script", "style") & of(e["own_text"]).isNotNull() & (date(e) != ""), els), lambda e: row(e, of(e["own_text"]), date(e), "label", 0.90, 4))
     chosen = [F.slice(F.transform(having(lambda e, s=s: fit(e, s), els), lambda e, name=name: row(e, name, stamp(e), "configured_selector", 0.86, 5)), 1, 1) for name, many in (selectors or {}).items() for s in many]
+    if "own_names" in pages.columns:
+        named = F.filter(F.transform("own_names", lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda x: x["n"].startswith("date."))
+        chosen.append(F.flatten(F.transform(named, lambda x: F.slice(F.transform(having(lambda e: fit(e, x["i"]), els), lambda e: row(e, F.substring(x["n"], 6, 99), stamp(e), "configured_selector", 0.86, 5)), 1, 1))))
     scripts = F.transform(having(lambda e: (e["tag"] == "script") & F.lower(attribute(e, "type")).contains("ld+json"), els), lambda e: F.struct(e["seq"].alias("seq"), text_of(e).alias("text")))
     if "page_type" in pages.columns:
         pages = pages.where(~F.lower(F.coalesce("page_type", F.lit(""))).isin(*UNDATED_PAGES))
@@ -270,28 +274,46 @@ def content_freshness(pages: DataFrame, dates: DataFrame, keys: list[str], refer
     return applied.select(*keys, *([] if "url" in keys else ["url"]), "applicability", "published", "modified", F.when(F.col("applicability") == "required", F.datediff(reference, F.col("day"))).alias("elapsed_days"), verdict.alias("verdict"))
 
 
-def _rows_of(els: Column, selectors: dict[str, list[str]], fit) -> Column:
+def _chosen(pages: DataFrame, selectors: dict[str, list[str]]):
+    """A function of a part of lists (container, row, title, link, date): (whether a selector is configured for it, whether an element fits it)."""
+    fit, own = fits(pages), "own_names" in pages.columns
+
+    def of(name: str):
+        fixed = (selectors.get(name) or [None])[0]
+        if fixed is not None:
+            return F.lit(True), lambda e: fit(e, fixed)
+        if not own:
+            return F.lit(False), lambda e: F.lit(False)
+        at = F.array_position("own_names", f"list.{name}").cast("int")
+        return F.coalesce(at > 0, F.lit(False)), lambda e: (at > 0) & fit(e, at - 1)
+
+    any_own = F.exists("own_names", lambda n: n.startswith("list.")) if own else F.lit(False)
+    return of, F.lit(bool(selectors)) | F.coalesce(any_own, F.lit(False))
+
+
+def _rows_of(els: Column, chosen, fit) -> Column:
     """The rows of a page's list: by selector, or the first kind of container of which there are two at least."""
-    if selectors:
-        rows = having(lambda e: fit(e, selectors["row"][0]), els) if selectors.get("row") else F.slice(els, 1, 0)
-        if selectors.get("container"):
-            return let(first(having(lambda e: fit(e, selectors["container"][0]), els)), lambda c: F.when(c.isNull(), rows).otherwise(having(lambda e: inside(e, c), rows)))
-        return rows
+    of, configured = chosen
+    has_row, is_row = of("row")
+    has_container, is_container = of("container")
+    rows = having(is_row, els)
+    within = let(first(having(is_container, els)), lambda c: F.when(c.isNull(), rows).otherwise(having(lambda e: inside(e, c), rows)))
     kinds = [lambda e: fit(e, "table tbody tr"), lambda e: e["tag"] == "article", lambda e: has_class(e, "item"), lambda e: has_class(e, "card"), lambda e: e["tag"] == "li"]
     several = [F.filter(F.array(having(kind, els)), lambda k: F.size(k) >= 2) for kind in kinds]
-    return F.coalesce(first(F.concat(*several)), F.slice(els, 1, 0))
+    none = F.slice(els, 1, 0)
+    return F.when(configured, F.when(has_row & has_container, within).when(has_row, rows).otherwise(none)).otherwise(F.coalesce(first(F.concat(*several)), none))
 
 
-def _items(els: Column, rows: Column, selectors: dict[str, list[str]], fit) -> Column:
+def _items(els: Column, rows: Column, chosen, fit) -> Column:
     """(seq, day, original, title, href, timed) of each row; dates of other contexts don't count unless a posted one is named too."""
-    one = lambda name: (selectors.get(name) or [None])[0]
+    named, _ = chosen
     tagged = lambda *tags: having(lambda e: e["tag"].isin(*tags), els)
-    of = lambda name, default: having(lambda e: fit(e, one(name)), els) if one(name) else default
+    of = lambda name, default: F.when(named(name)[0], having(named(name)[1], els)).otherwise(default)
     any_of = lambda text, words: text.rlike("|".join(words))
     table = lambda r: F.element_at(F.filter(tagged("table"), lambda t: inside(r, t)), -1)
     heads = lambda t: F.transform(having(lambda e: fit(e, "thead th") & inside(e, t), els), lambda e: any_of(F.lower(text_of(e)), POSTED))
     # The column under a head that names the posting date, from 1; 0 if there is none.
-    column = F.lit(0) if one("date") else let(first(rows), lambda r: F.when(F.exists(tagged("table"), lambda t: inside(r, t)), let(table(r), lambda t: F.array_position(heads(t), True).cast("int"))).otherwise(0))
+    column = F.when(named("date")[0], 0).otherwise(let(first(rows), lambda r: F.when(F.exists(tagged("table"), lambda t: inside(r, t)), let(table(r), lambda t: F.array_position(heads(t), True).cast("int"))).otherwise(0)))
     text = text_of
 
     def item(r, at, times, cells, titles, links):
@@ -309,9 +331,10 @@ def _items(els: Column, rows: Column, selectors: dict[str, list[str]], fit) -> C
 
 def list_items(pages: DataFrame, keys: list[str], selectors: dict[str, list[str]] | None = None) -> DataFrame:
     """(keys, seq, day, original, title, href, timed) of the rows of parsed pages' lists."""
-    fit = fits(pages)
-    rows = pages.select(*keys, "elements", "texts", _rows_of(F.col("elements"), selectors or {}, fit).alias("rows"))
-    return rows.select(*keys, F.explode(_items(F.col("elements"), F.col("rows"), selectors or {}, fit)).alias("i")).select(*keys, "i.*")
+    fit, chosen = fits(pages), _chosen(pages, selectors or {})
+    own = ["own_names"] if "own_names" in pages.columns and "own_names" not in keys else []
+    rows = pages.select(*keys, *own, "elements", "texts", _rows_of(F.col("elements"), chosen, fit).alias("rows"))
+    return rows.select(*keys, F.explode(_items(F.col("elements"), F.col("rows"), chosen, fit)).alias("i")).select(*keys, "i.*")
 
 
 def _list_verdict(valid: Column, future: Column, latest: Column, boundary: Column) -> Column:
@@ -321,13 +344,14 @@ def _list_verdict(valid: Column, future: Column, latest: Column, boundary: Colum
 def page_lists(pages: DataFrame, keys: list[str], reference: Column, *, months: int = 3, selectors: dict[str, list[str]] | None = None, empty: Iterable[str] = EMPTY_LISTS, issue: str = T.STALE_LIST) -> DataFrame:
     """Freshness of the list that each parsed page holds, by the first rule that fits: a phrase that says it is empty, a kind of list that needs no check, no rows, then the dates of its rows.
 
-    pages may have list_type. Only what the page shows is looked at.
+    pages may have list_type, and own_names of their own selectors (dom.parsed(own=...)): list.container, list.row, list.title, list.link, list.date. Only what the page shows is looked at.
     """
-    els, fit = F.col("elements"), fits(pages)
+    els, fit, chosen = F.col("elements"), fits(pages), _chosen(pages, selectors or {})
+    own = ["own_names"] if "own_names" in pages.columns and "own_names" not in keys else []
     seen = F.array_join(F.transform(having(lambda e: ~e["tag"].isin("script", "style", "template"), els), lambda e: e["own_text"]), " ")
     kind = F.lower(F.coalesce("list_type", F.lit(""))) if "list_type" in pages.columns else F.lit("")
-    rows = pages.select(*keys, "elements", "texts", seen.alias("seen"), kind.alias("list_type"), _rows_of(els, selectors or {}, fit).alias("rows"))
-    rows = rows.select(*keys, "seen", "list_type", F.size("rows").alias("n"), _items(els, F.col("rows"), selectors or {}, fit).alias("items"))
+    rows = pages.select(*keys, *own, "elements", "texts", seen.alias("seen"), kind.alias("list_type"), _rows_of(els, chosen, fit).alias("rows"))
+    rows = rows.select(*keys, "seen", "list_type", F.size("rows").alias("n"), _items(els, F.col("rows"), chosen, fit).alias("items"))
     count = lambda when: F.size(F.filter("items", when))
     usable = F.array_max(F.transform(F.filter("items", lambda i: i["day"] <= reference), lambda i: F.struct(i["day"].alias("day"), (-i["seq"]).alias("order"), i["title"].alias("title"), i["href"].alias("href"))))
     rows = rows.select("*", count(lambda i: i["day"].isNotNull()).alias("valid"), count(lambda i: i["day"].isNull()).alias("failed"), count(lambda i: i["day"] > reference).alias("future"), usable.alias("latest"))

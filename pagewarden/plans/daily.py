@@ -17,6 +17,7 @@ from pagewarden.functions import urls as U
 from pagewarden.operators import inventory as I
 from pagewarden.operators import rules as R
 from pagewarden.operators import verdicts as V
+from pagewarden.operators import versions as VS
 from pagewarden.sources import dom
 from pagewarden.sources.state import State, state_payload
 
@@ -25,7 +26,7 @@ RECORD = "target_id string, normalized_url string, classification string, other_
 ISSUE = "issue_key string, target_id string, page_url string, check_code string, result string, reason string, evidence string, severity string, lifecycle_status string, manual_status string, first_seen timestamp, last_seen timestamp, discovery_count int, recurred_count int, changed_fields array<string>, blocked_reason string, history array<struct<at: timestamp, status: string>>"
 HEADER = "target_id string, schema_version string, policy_fingerprint string"
 ATTACHMENT = "normalized_url string, policy_version string, content_hash string, filename string, link_text string, verdict string, next_recheck_date date"
-A11Y = "target_id string, url string, content_hash string, policy_version string, last_result string"
+A11Y = "target_id string, url string, content_hash string, hash_scope string, removed array<string>, policy_version string, last_result string"
 A11Y_ISSUE = "target_id string, url string, code string, result string, severity string, element string, location string, evidence string, manual boolean, issue_key string"
 SCREENSHOT = "issue_key string, content_hash string, evidence string, policy_version string"
 SCHEMA_VERSION = "1.0"
@@ -76,6 +77,15 @@ def menu_selectors(rules: Mapping[str, Any]) -> tuple[str, str]:
     return ", ".join(rules.get("menu_selectors", ["nav a", "header a"])), ", ".join(rules.get("all_menu_selectors", ["a"]))
 
 
+def own_selectors(targets: DataFrame) -> DataFrame:
+    """(target_id, own_names, own_selectors) of each target's configured selectors of dates (date.<kind>, all of them) and lists (list.<part>, the first)."""
+    kind = "map<string,array<string>>"
+    held = {c: F.coalesce(F.col(c).cast(kind), F.create_map().cast(kind)) if c in targets.columns else F.create_map().cast(kind) for c in ("date_selectors", "list_selectors")}
+    rows = lambda name, c, many: F.flatten(F.transform(F.map_entries(c), lambda e: F.transform(many(e["value"]), lambda s: F.struct(F.concat(F.lit(name), e["key"]).alias("n"), s.alias("s")))))
+    both = F.concat(rows("date.", held["date_selectors"], lambda v: v), rows("list.", held["list_selectors"], lambda v: F.slice(v, 1, 1)))
+    return targets.select("target_id", both.alias("x")).select("target_id", F.transform("x", lambda x: x["n"]).alias("own_names"), F.transform("x", lambda x: x["s"]).alias("own_selectors"))
+
+
 def found_in_menus(parsed: DataFrame, rules: Mapping[str, Any], at: dt.datetime) -> DataFrame:
     """Links of the main menu of all pages, and of the whole menu on the pages that are named for it (all_menu_paths)."""
     row = lambda links, source: links.select("target_id", F.col("href").alias("original_url"), F.lit(source).alias("source"), "menu_path", F.col("url").alias("discovered_from"), "title", F.lit(at).alias("discovered_at"))
@@ -133,8 +143,9 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     # One form of each URL, for all joins.
     normal = U.normalize_any(F.col("url"), F.lit(None).cast("string"), policy)
     responses = kept_for_all(responses.withColumn("normalized_url", F.coalesce(normal["url"], F.col("url"))))
-    pages = responses.where("html is not null").select(*KEYS, "normalized_url", "html", F.lit("unknown").alias("page_type"))
-    parsed = kept_for_all(dom.parsed(pages, KEYS, selectors=[*menu_selectors(rules), *(s for many in (fresh.get("date_selectors") or {}).values() for s in many)]))
+    pages = responses.where("html is not null").select(*KEYS, "normalized_url", "html", *[F.col(c) if c in responses.columns else F.lit(default).alias(c) for c, default in (("page_type", "unknown"), ("list_type", ""))])
+    pages = pages.join(own_selectors(targets), "target_id", "left")
+    parsed = kept_for_all(dom.parsed(pages, [*KEYS, "page_type", "list_type", "own_names"], own="own_selectors", selectors=[*menu_selectors(rules), *(s for many in (fresh.get("date_selectors") or {}).values() for s in many)]))
 
     found = found_in_menus(parsed, rules, at)
     if crawl:
@@ -145,13 +156,14 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     refused = C.blocked(F.col("status_code"), F.col("html"))
     answered = F.col("error").isNull() & (F.coalesce("status_code", F.lit(0)) > 0) & ~refused
     kind = F.when(F.coalesce("html", F.lit("")).rlike(r"<(?:\w+:)?(urlset|sitemapindex)\b") | F.col("url").rlike(r"(?i)sitemap[^/]*\.xml$"), "sitemap").otherwise("page")
-    sources = responses.select("target_id", F.col("url").alias("source"), kind.alias("kind"), answered.alias("success"), F.lit(1).alias("request_count"), F.when(~answered, C.redacted(F.coalesce("error", F.lit("차단 또는 응답 없음")))).alias("reason"))
-    sources = counted(sources, "sources", ~F.col("success"))
-    health = kept_for_all(I.health(sources))
+    sources = responses.select("target_id", F.col("url").alias("source"), kind.alias("kind"), answered.alias("success"), F.when(~answered, C.redacted(F.coalesce("error", F.lit("차단 또는 응답 없음")))).alias("reason"))
+    sources = counted(sources.join(responses.groupBy("target_id").agg(F.count(F.lit(1)).alias("request_count")), "target_id"), "sources", ~F.col("success"))
+    limit = (rules.get("crawl") or {}).get("max_urls")
+    health = kept_for_all(I.health(sources, int(limit) if limit is not None else None))
     header = targets.select("target_id", F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(policy.fingerprint()).alias("policy_fingerprint"))
     comparison = kept_for_all(I.comparison_status(old["header"], header, health))
-    fits = comparison.where(F.col("status") != T.INCOMPARABLE).unionByName(comparison.where("status = '비교 불가'").join(health.where("not healthy"), "target_id", "left_semi")).select("target_id").distinct()
-    diff = I.compared(old["inventory"], inventory, health).join(fits, "target_id", "left_semi")
+    # Records of another policy aren't compared, whether their sources failed or not.
+    diff = I.compared(old["inventory"], inventory, health).join(I.comparable(old["header"], header), "target_id", "left_semi")
     outside = I.outside_menu(inventory, health)
     # A target's baseline moves on only if its sources were healthy and its records can be compared.
     moved = comparison.where("baseline_updated").select("target_id").join(health.where("healthy"), "target_id", "left_semi")
@@ -183,8 +195,9 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     attachments = new.unionByName(old["attachments"].join(new.select("normalized_url"), "normalized_url", "left_anti").select(*new.columns))
 
     a11y_policy = str(access.get("policy_version", "accessibility-1"))
-    hashes = pages.select(*KEYS, C.content_hash(C.without_volatile(F.col("html"), access.get("volatile_classes", ()), access.get("volatile_attributes", ())), access.get("volatile_patterns", ())).alias("content_hash"))
-    known = R.reused(hashes.withColumn("page", F.col("url")).withColumn("url", F.concat_ws(" ", "target_id", "url")), old["a11y"].withColumn("url", F.concat_ws(" ", "target_id", "url")), a11y_policy, force)
+    volatile = [*access.get("volatile_selectors", ()), *(f".{c}" for c in access.get("volatile_classes", ()))]
+    hashes = kept_for_all(VS.content_hashes(pages, KEYS, selector=str(access.get("content_selector", "")), volatile_selectors=volatile, volatile_attributes=access.get("volatile_attributes", ()), patterns=access.get("volatile_patterns", ())))
+    known = R.reused(hashes.select(*KEYS, "content_hash").withColumn("page", F.col("url")).withColumn("url", F.concat_ws(" ", "target_id", "url")), old["a11y"].withColumn("url", F.concat_ws(" ", "target_id", "url")), a11y_policy, force)
     known = kept_for_all(known.select("target_id", F.col("page").alias("url"), "content_hash", "reuse"))
     again = known.where("not reuse").select(*KEYS)
     settings = {"langs": access.get("allowed_langs", R.LANGS), "titles": [str(t).lower() for t in access.get("generic_title_keywords", R.GENERIC_TITLES)], "skip": [str(w).lower() for w in access.get("skip_link_keywords", R.SKIP_WORDS)]}
@@ -192,7 +205,7 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     issues = issues.unionByName(old["a11y_issues"].join(known.where("reuse").select(*KEYS), KEYS, "left_semi").select(*issues.columns))
     issues = counted(issues, "accessibility", F.col("result") == T.ERROR)
     uncheckable = issues.where(F.col("code") == "parse").select(*KEYS).distinct().withColumn("bad", F.lit(True))
-    a11y = known.join(uncheckable, KEYS, "left").select(*KEYS, "content_hash", F.lit(a11y_policy).alias("policy_version"), F.when(F.col("bad"), T.UNCHECKABLE).otherwise("완료").alias("last_result"))
+    a11y = known.join(uncheckable, KEYS, "left").join(hashes.select(*KEYS, "hash_scope", "removed"), KEYS, "left").select(*KEYS, "content_hash", "hash_scope", "removed", F.lit(a11y_policy).alias("policy_version"), F.when(F.col("bad"), T.UNCHECKABLE).otherwise("완료").alias("last_result"))
 
     mixed = R.mixed_content(refs.withColumnRenamed("url", "page_url")).withColumnRenamed("page_url", "url")
     seen = responses.select("target_id", "url", "status_code", F.col("error").alias("failure_reason"), F.coalesce("redirect_count", F.lit(0)).alias("redirect_count"), F.col("elapsed_seconds").alias("total_seconds"), F.octet_length(F.coalesce("body", F.col("html").cast("binary"))).cast("bigint").alias("received_bytes"), "html").join(mixed, "url", "left")
@@ -217,7 +230,8 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     urls = inventory.join(asked, ["target_id", "normalized_url"], "left")
     urls = urls.select("target_id", "normalized_url", "classification", (F.col("occurrences") > 1).alias("duplicate"), F.lit(False).alias("excluded"), F.when(F.col("asked"), T.SUCCESS).otherwise(T.NOT_RUN).alias("status"), ((F.col("classification") == "internal") & F.col("asked").isNull()).alias("uninspected"))
     coverage = V.coverage(urls, sources, checks.select(F.col("result").alias("status"), "required"))
-    missing = V.missing_scope(urls, sources)
+    capped = health.where(F.col("reason") == I.REQUEST_LIMIT).select(F.lit("limit").alias("kind"), F.col("target_id").alias("subject"), "reason")
+    missing = V.missing_scope(urls, sources).unionByName(capped)
     scope = urls.where("uninspected").select("target_id").union(sources.where("not success").select("target_id"))
     summary = V.report_summary(verdicts, diff, scope)
     return Run(inventory, health, comparison, headers, baseline, diff, outside, freshness, lists, resources, attachments, issues, a11y, performance, verdicts, lifecycle, screenshots, coverage, missing, summary, I.sitemap_status(sources), accounts, held)
@@ -250,27 +264,31 @@ def _issue_rows(issues: DataFrame, performance: DataFrame, resources: DataFrame)
     return a.unionByName(b).unionByName(c)
 
 
+#: Results of a run that later runs don't read; they are kept for those who ask what it found.
+RESULTS = ("diff", "outside", "comparison", "coverage", "summary", "freshness", "lists", "sitemaps", "pages", "performance", "resources", "missing")
+
+
 def saved(state: State, out: Run, run_id: str) -> int:
-    """Writes a run's state under its lock. Of a target with a failed source neither the baseline moves nor are issues resolved; others go on."""
+    """Writes a run's tables under its lease as one commit: a run that dies in between leaves those of the run before. Of a target with a failed source neither the baseline moves nor are issues resolved; others go on."""
     spark = state.spark
-    with state.lock():
+    with state.lock() as lease, state.commit(lease, run_id) as to:
         healthy = out.health.where("not healthy").isEmpty()
-        state.save("pages", out.pages)
-        state.save("issues", out.lifecycle)
-        state.save("performance", out.performance.drop("html"))
-        state.save("resources", out.resources)
-        state.save("missing", out.missing)
-        state.save("inventory", out.baseline)
-        state.save("header", out.header)
-        state.save("attachments", out.attachments)
-        state.save("a11y", out.a11y)
-        state.save("a11y_issues", out.issues.select(*[c.split()[0] for c in A11Y_ISSUE.split(", ")]))
+        for name in RESULTS:
+            to.save(name, getattr(out, name).drop("html"))
+        to.save("issues", out.lifecycle)
+        to.save("inventory", out.baseline)
+        to.save("header", out.header)
+        to.save("attachments", out.attachments)
+        to.save("a11y", out.a11y)
+        to.save("a11y_issues", out.issues.select(*[c.split()[0] for c in A11Y_ISSUE.split(", ")]))
         shots = out.screenshots.where("decision <> 'skip'").select("issue_key", "content_hash", "evidence", F.lit("screenshots-1").alias("policy_version"))
-        state.save("screenshots", shots)
+        to.save("screenshots", shots)
         for name, rows in {"freshness": out.freshness, "list_freshness": out.lists, "resources": out.resources, "accessibility": out.issues.withColumnRenamed("result", "verdict"), "performance": out.performance, "composite": out.pages, "coverage": out.missing.withColumnRenamed("kind", "verdict")}.items():
-            state.save(f"payload_{name}", state_payload(rows, name))
+            to.save(f"payload_{name}", state_payload(rows, name))
+            lease.renew()
         code = OK if healthy else PARTIAL
         stages = functools.reduce(DataFrame.unionByName, out.accounts.values())
-        state.save("stages", stages.select(F.lit(run_id).alias("run_id"), "stage", "processed", "failed"))
-        state.append_history(spark.createDataFrame([(run_id, code)], "run_id string, exit_code int"))
+        to.save("stages", stages.select(F.lit(run_id).alias("run_id"), "stage", "processed", "failed"))
+        to.save("runs", spark.createDataFrame([(run_id, code)], "run_id string, exit_code int"))
+    state.append_history(spark.createDataFrame([(run_id, code)], "run_id string, exit_code int"))
     return code

@@ -90,6 +90,56 @@ def test_two_sites_of_which_one_fails(spark, tmp_path):
     assert {r.status for r in changed.comparison.collect()} == {T.INCOMPARABLE} and changed.diff.count() == 0
 
 
+def test_policy_goes_before_health_and_the_request_limit_counts(spark):
+    """With a new policy nothing is compared, also if a source failed; a run that used up its requests doesn't tell what was deleted."""
+    home, more = ("https://s.test/p", 200, PAGE, None), ("https://s.test/q", None, None, "timeout")
+    first = run(spark, responses(spark, home), dt.datetime(2026, 3, 1))
+    old = {"inventory": first.baseline.persist(), "header": first.header.persist()}
+    targets = spark.createDataFrame([("s", "https://s.test", [])], "target_id string, base_url string, allowed_domains array<string>")
+    other = daily.run(responses(spark, more), targets, rules=RULES, exclusions=EXCLUSIONS | {"ignored_query_parameters": ["z"]}, at=dt.datetime(2026, 3, 2), old=old)
+    assert other.diff.count() == 0 and {r.status for r in other.comparison.collect()} == {T.INCOMPARABLE}
+    full = daily.run(responses(spark, ("https://s.test/x", 200, "<p>x", None)), targets, rules=RULES | {"crawl": {"max_urls": 1}}, exclusions=EXCLUSIONS, at=dt.datetime(2026, 3, 2), old=old)
+    assert {r.status for r in full.diff.collect()} == {T.DELETION_UNSURE} and [(r.kind, r.subject) for r in full.missing.where("kind = 'limit'").collect()] == [("limit", "s")]
+
+
+def test_targets_have_selectors_of_their_own(spark):
+    page = '<div class="d">2024-02-03</div><div class="e">2023-01-01</div><div class="b"><p class="r"><b>T1</b><i>2026-02-01</i></p><p class="r"><b>T2</b><i>2026-01-01</i></p></div><p class="r"><b>T3</b><i>2026-02-28</i></p>'
+    kinds = "map<string,array<string>>"
+    targets = spark.createDataFrame([("s", "https://s.test", [], {"published": [".none", ".d"]}, {"container": [".b"], "row": [".r"], "title": ["b"], "date": ["i"]}), ("u", "https://u.test", [], {"modified": [".d + .e"]}, {})], f"target_id string, base_url string, allowed_domains array<string>, date_selectors {kinds}, list_selectors {kinds}")
+    rows = [(t, f"https://{t}.test/p", 200, page, None, {}, 0.5, "", 0, None, "http") for t in "su"]
+    out = daily.run(spark.createDataFrame(rows, "target_id string, " + RESPONSE), targets, rules=RULES, exclusions=EXCLUSIONS, at=dt.datetime(2026, 3, 1))
+    dates = {r.target_id: (r.published, r.modified) for r in out.freshness.collect()}
+    assert dates == {"s": (dt.date(2024, 2, 3), None), "u": (None, dt.date(2023, 1, 1))}
+    lists = {r.target_id: (r.valid, r.latest_title, r.latest_day) for r in out.lists.collect()}
+    assert lists == {"s": (2, "T1", dt.date(2026, 2, 1)), "u": (0, None, None)}
+
+
+def test_a_run_that_dies_while_it_is_saved_leaves_the_run_before(spark, tmp_path, monkeypatch):
+    from pagewarden.sources import state as S
+
+    state = State(spark, f"file://{tmp_path}/state")
+    one = run(spark, responses(spark, ("https://s.test/p", 200, PAGE, None)), dt.datetime(2026, 3, 1))
+    assert daily.saved(state, one, "r1") == daily.OK
+    before = {n: state.versions(n) for n in ("issues", "inventory", "diff", "summary", "coverage", "runs")}
+    assert all(before.values()) and state.load("diff", one.diff.schema).count() == one.diff.count()
+    plain, calls = S.Commit.save, []
+
+    def dies(self, name, df):
+        calls.append(name)
+        if name == "header":
+            raise RuntimeError("killed")
+        return plain(self, name, df)
+
+    monkeypatch.setattr(S.Commit, "save", dies)
+    two = run(spark, responses(spark, ("https://s.test/p", 200, "<p>new", None)), dt.datetime(2026, 3, 2), old=daily.loaded(state))
+    try:
+        daily.saved(state, two, "r2")
+        raise AssertionError
+    except RuntimeError:
+        pass
+    assert len(calls) > 10 and {n: state.versions(n) for n in before} == before and [r.run_id for r in state.load("runs", "run_id string, exit_code int").collect()] == ["r1"]
+
+
 def test_nothing_to_do(spark):
     out = run(spark, responses(spark), dt.datetime(2026, 3, 1))
     assert out.pages.count() == 0 and out.inventory.count() == 0 and out.lifecycle.count() == 0

@@ -54,6 +54,58 @@ def test_state_versions_history_and_lock(spark, tmp_path):
         pass
 
 
+def test_tables_of_a_run_are_seen_together(spark, tmp_path):
+    """A run that dies between any two tables leaves those of the run before, and the next one clears away what it left."""
+    s = state.State(spark, f"file://{tmp_path}/s")
+    tables = ("a", "b", "c")
+    with s.commit(run="1") as c:
+        for t in tables:
+            c.save(t, spark.range(1))
+    for dies_after in range(len(tables) + 1):
+        with pytest.raises(RuntimeError), s.lock() as lease, s.commit(lease, "2") as c:
+            for t in tables[:dies_after]:
+                c.save(t, spark.range(9))
+            raise RuntimeError
+        assert [s.load(t, "id long").count() for t in tables] == [1, 1, 1]
+    with s.commit(run="3") as c:
+        c.save("a", spark.range(2))
+    assert [s.load(t, "id long").count() for t in tables] == [2, 1, 1] and s.manifests()[-1]["run"] == "3"
+    assert s.load("a", "id long", back=1).count() == 1
+    assert [len(s._written(t)) for t in tables] == [2, 1, 1]
+
+
+def test_a_lease_that_ended_is_taken_over_and_its_holder_refused(spark, tmp_path):
+    now = [1000.0]
+    s = state.State(spark, f"file://{tmp_path}/s", clock=lambda: now[0])
+    dead = s.acquire(seconds=60)
+    with pytest.raises(state.LockedError):
+        s.acquire()
+    now[0] += 50
+    dead.renew()
+    now[0] += 50
+    with pytest.raises(state.LockedError):
+        s.acquire()
+    now[0] += 61
+    late = s.commit(dead, "late")
+    writer = late.__enter__()
+    writer.save("t", spark.range(7))
+    with s.lock() as lease:
+        assert lease.epoch == dead.epoch + 1
+        with pytest.raises(state.FencedError):
+            writer.save("t", spark.range(8))
+        with s.commit(lease, "new") as c:
+            c.save("t", spark.range(3))
+        with pytest.raises(state.FencedError):
+            late.__exit__(None, None, None)
+        dead.release()  # of no effect
+        with pytest.raises(state.LockedError):
+            s.acquire()
+    assert s.load("t", "id long").count() == 3 and [m["run"] for m in s.manifests()] == ["new"]
+    # A manifest of an older epoch that got in all the same is never the newest.
+    s._write(f"manifests/{dead.epoch:012d}-000009.json", {"epoch": dead.epoch, "run": "late", "tables": {"t": 99}})
+    assert s.manifests()[-1]["run"] == "new" and s.acquire().epoch == 3
+
+
 def test_accounts_and_payload(spark):
     df, seen = state.accounted(spark.range(5), "checks", F.col("id") > 2)
     df.write.format("noop").mode("overwrite").save()
