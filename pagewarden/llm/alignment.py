@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,9 @@ from pagewarden.llm.common import Scratch, pieces, spread, table
 from pagewarden.llm.token_count import PATTERN, byte_letters
 
 BATCH_CHARS = 1_000_000
+#: Texts with a match of the splitting pattern that may be longer go to bpe_tree, which takes n log n for it.
+LONG_MATCH = 2000
+_BLANKS = re.compile(r"\s\s++")
 SPACE = "▁"
 
 
@@ -123,9 +127,11 @@ def _first_common(ends_a: np.ndarray, ends_b: np.ndarray, start: np.ndarray, sto
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        import tiktoken
 
         self.bytes_a = byte_vocabulary(path_a)
-        self.codec = Codec(path_a, PATTERN, ranks={t: i for i, t in enumerate(self.bytes_a)})
+        ranks = {t: i for i, t in enumerate(self.bytes_a)}
+        self.encoding, self.codec = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), Codec(path_a, PATTERN, ranks=ranks)
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = piece_vocabulary(self.model)
         self.size_a, self.size_b = (np.array([len(t) for t in v], np.int64) for v in (self.bytes_a, self.bytes_b))
@@ -134,15 +140,20 @@ class Aligner:
         self.names_a = np.array([f"{i}{x}" for x in ",|" for i in range(len(self.bytes_a))], object)
         self.names_b = np.array([f"{i}{x}" for x in ",;" for i in range(len(self.bytes_b))], object)
 
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of A: ids follow the merges, so that they are ranks, too."""
+        if len(text) > LONG_MATCH and (max(map(len, text.split(" "))) >= LONG_MATCH or any(len(m) >= LONG_MATCH for m in _BLANKS.findall(text))):
+            return np.frombuffer(self.codec.encode(text), "<u4")
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
+
     def align(self, texts: list[str]) -> Aligned:
         lead = [" " + t if t else "" for t in texts]
-        self.codec.prepare(lead)
-        a, b = [], []
+        a, b, none = [], [], np.zeros(0, np.uint32)
         for text, own, pieces_ in zip(texts, lead, self.model.encode(texts, num_threads=1), strict=True):
-            x, y = (self.codec.encode(own), pieces_) if text else (b"", [])
+            x, y = (self.encode(own), pieces_) if text else (none, [])
             if b"".join(map(self.bytes_b.__getitem__, y)) != own.encode():  # those of A are the text's in any case
-                x, y = b"", []
-            a.append(np.frombuffer(x, "<u4"))
+                x, y = none, []
+            a.append(x)
             b.append(np.array(y, np.uint32))
         from_a, from_b = (np.cumsum([0, *map(len, x)]) for x in (a, b))
         a, b = (np.concatenate([np.zeros(0, np.uint32), *x]) for x in (a, b))
