@@ -275,11 +275,11 @@ def saved(state: State, out: Run, run_id: str) -> int:
         healthy = out.health.where("not healthy").isEmpty()
         for name in RESULTS:
             to.save(name, getattr(out, name).drop("html"))
-        to.save("issues", out.lifecycle)
-        to.save("inventory", out.baseline)
+        to.save("issues", out.lifecycle, keys=["issue_key"])
+        to.save("inventory", out.baseline, keys=["target_id", "normalized_url"])
         to.save("header", out.header)
-        to.save("attachments", out.attachments)
-        to.save("a11y", out.a11y)
+        to.save("attachments", out.attachments, keys=["normalized_url"])
+        to.save("a11y", out.a11y, keys=KEYS)
         to.save("a11y_issues", out.issues.select(*[c.split()[0] for c in A11Y_ISSUE.split(", ")]))
         shots = out.screenshots.where("decision <> 'skip'").select("issue_key", "content_hash", "evidence", F.lit("screenshots-1").alias("policy_version"))
         to.save("screenshots", shots)

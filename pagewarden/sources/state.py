@@ -7,10 +7,14 @@ manifest names (of a commit that died, or old ones) are dropped by the next comm
 A lease has an epoch, which grows with each holder, and a time at which it ends unless it is renewed. A manifest carries the epoch
 of its writer in its name: a holder whose lease was taken over is refused, and a manifest that it got in all the same is
 older than those of the newer epoch and never is the newest.
+
+A table that is saved by keys is bucketed and sorted by them, one file a bucket; its layout is in the manifest, so that any session
+reads it as such. A join on these keys moves and sorts the other side only, however large the kept one has grown.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -64,13 +68,24 @@ class Commit:
     """New versions of some tables, to be seen together."""
 
     def __init__(self, state: State, lease: Lease | None):
-        self.state, self.lease, self.made = state, lease, {}
+        self.state, self.lease, self.made, self.layouts = state, lease, {}, {}
 
-    def save(self, name: str, df: DataFrame) -> int:
+    def save(self, name: str, df: DataFrame, keys: list[str] | None = None, buckets: int | None = None) -> int:
+        """keys: the table is bucketed and sorted by them, in as many buckets as shuffles have partitions unless told otherwise."""
         if self.lease is not None:
             self.lease.check()
         version = max([0, *self.state._written(name)]) + 1
-        df.write.parquet(self.state._path(name, version))
+        path = self.state._path(name, version)
+        self.layouts.pop(name, None)
+        if keys:
+            n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            layout = {"keys": list(keys), "buckets": n, "columns": [[f.name, f.dataType.simpleString()] for f in df.schema]}
+            # The partitioning is that of the buckets: a task writes one file.
+            dealt = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet").option("path", path)
+            dealt.saveAsTable(self.state._table(name, version))
+            self.layouts[name] = layout
+        else:
+            df.write.parquet(path)
         self.made[name] = version
         return version
 
@@ -84,6 +99,17 @@ class State:
     def _path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v{version}"
 
+    def _table(self, name: str, version: int) -> str:
+        """The name under which this session knows a bucketed version."""
+        return f"state_{hashlib.sha256(self.root.encode()).hexdigest()[:16]}_{name}_v{version}"
+
+    def _known(self, name: str, version: int, layout: dict) -> DataFrame:
+        """A bucketed version as a table; a session that didn't write it is told of its layout."""
+        columns = ", ".join(f"`{c}` {kind}" for c, kind in layout["columns"])
+        keys = ", ".join(f"`{k}`" for k in layout["keys"])
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(name, version)} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {layout['buckets']} BUCKETS LOCATION '{self._path(name, version)}'")
+        return self.spark.table(self._table(name, version))
+
     def _names(self, folder: str) -> list[str]:
         fs, p = _fs(self.spark, f"{self.root}/{folder}")
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
@@ -166,7 +192,7 @@ class State:
         if newest["epoch"] > epoch:
             raise FencedError(f"epoch {newest['epoch']} has written {self.root}")
         number = int(newest["name"].split("-")[1].split(".")[0]) + 1 if newest["name"] and newest["epoch"] == epoch else 1
-        if not self._write(f"manifests/{epoch:012d}-{number:06d}.json", {"epoch": epoch, "run": run, "tables": newest["tables"] | made.made}, new=True):
+        if not self._write(f"manifests/{epoch:012d}-{number:06d}.json", {"epoch": epoch, "run": run, "tables": newest["tables"] | made.made, "layouts": {k: v for k, v in newest.get("layouts", {}).items() if k not in made.made} | made.layouts}, new=True):
             raise FencedError(f"another commit of epoch {epoch} was written meanwhile")
         self._dropped()
 
@@ -184,6 +210,7 @@ class State:
             if name not in ("manifests", "lease", "run_history", "crawls") and not name.startswith("."):
                 for version in self._written(name):
                     if version not in held.get(name, ()):
+                        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name, version)}")  # the session's; the files are next
                         fs, p = _fs(self.spark, self._path(name, version))
                         fs.delete(p, True)
 
@@ -202,7 +229,13 @@ class State:
         found = self.versions(name)
         if len(found) <= back:
             return self.spark.createDataFrame([], schema)
+        layout = next((m["layouts"][name] for m in self.manifests() if m["tables"].get(name) == found[-1 - back] and name in m.get("layouts", {})), None)
         try:
+            if layout is not None:
+                want = self.spark.createDataFrame([], schema).schema
+                known = self._known(name, found[-1 - back], layout)
+                # Columns that an older version lacks are null.
+                return known.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in known.columns and known.schema[f.name].dataType != f.dataType else F.col(f.name) if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want])
             return self.spark.read.schema(schema).parquet(self._path(name, found[-1 - back]))
         except Exception as e:
             raise StateError(f"{name}: {e}") from e

@@ -106,6 +106,55 @@ def test_a_lease_that_ended_is_taken_over_and_its_holder_refused(spark, tmp_path
     assert s.manifests()[-1]["run"] == "new" and s.acquire().epoch == 3
 
 
+def exchanges(df):
+    """Plan lines of exchanges, and of scans, in the plan as it ran."""
+    df.write.format("noop").mode("overwrite").save()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.count("Exchange hashpartitioning"), text
+
+
+def test_joins_with_bucketed_state_leave_it_in_place(spark, tmp_path):
+    """The kept side of a comparison and of a reconciliation is neither shuffled nor, with a file a bucket, sorted."""
+    from pagewarden.operators import inventory as I
+    from pagewarden.operators import verdicts as V
+    from pagewarden.plans import daily
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = state.State(spark, f"file://{tmp_path}/s")
+        fill = lambda schema, rows: spark.createDataFrame(rows, schema)
+        names = [c.split()[0] for c in daily.RECORD.replace("array<string>", "a").split(", ")]
+        record = lambda i, title: tuple("t" if n == "target_id" else f"u{i}" if n == "normalized_url" else [title] if n == "titles" else None for n in names)
+        old, new = fill(daily.RECORD, [record(i, "a") for i in range(60)]), fill(daily.RECORD, [record(i, "a" if i % 2 else "b") for i in range(5, 70)])
+        with s.commit() as c:
+            c.save("inventory", old, keys=["target_id", "normalized_url"])
+            c.save("plain", old)
+        healths = fill("target_id string, healthy boolean, reason string", [("t", True, None)])
+        other = state.State(spark.newSession(), s.root)  # a session that didn't write it
+        for held in (s.load("inventory", daily.RECORD), other.load("inventory", daily.RECORD)):
+            kept = I.compared(held, new, healths)
+            assert sorted(map(str, kept.collect())) == sorted(map(str, I.compared(s.load("plain", daily.RECORD), new, healths).collect()))
+        n_plain, _ = exchanges(I.compared(s.load("plain", daily.RECORD), new, healths))
+        n_kept, plan = exchanges(I.compared(s.load("inventory", daily.RECORD), new, healths))
+        assert n_kept < n_plain and "SelectedBucketsCount" in plan, plan
+
+        issue = "issue_key string, target_id string, page_url string, check_code string, result string, reason string, evidence string, severity string"
+        seen = fill(issue, [(f"k{i}", "t", "p", "c", "r", "x", "e", "s") for i in range(40)])
+        empty = s.load("issues", daily.ISSUE)
+        first = V.reconciled(empty, seen, True, F.lit("2026-01-01").cast("timestamp"))
+        with s.commit() as c:
+            c.save("issues", first, keys=["issue_key"])
+            c.save("plain_issues", first)
+        again = lambda name: V.reconciled(s.load(name, daily.ISSUE), seen.where("issue_key <> 'k3'"), True, F.lit("2026-01-02").cast("timestamp"))
+        assert sorted(map(str, again("issues").collect())) == sorted(map(str, again("plain_issues").collect()))
+        assert exchanges(again("issues"))[0] < exchanges(again("plain_issues"))[0]
+        with s.commit() as c:
+            c.save("inventory", new, keys=["target_id", "normalized_url"], buckets=2)
+        assert s.load("inventory", daily.RECORD).count() == 65 and s.load("inventory", daily.RECORD, back=1).count() == 60
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_accounts_and_payload(spark):
     df, seen = state.accounted(spark.range(5), "checks", F.col("id") > 2)
     df.write.format("noop").mode("overwrite").save()
