@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,16 +152,87 @@ def reachable(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = Non
     return seen
 
 
+def _sitemap(pieces) -> list[tuple[str, str]]:
+    """(kind, loc) of a sitemap's entries, read piece by piece; ValueError if it isn't whole XML of that kind."""
+    parser = expat.ParserCreate()  # prefixes stay as written, declared or not
+    out: list[tuple[str, str]] = []
+    path: list[str] = []
+    held: list[str] = []
+
+    def start(name, _):
+        path.append(name.rpartition(":")[2])
+        if len(path) == 1 and path[0] not in ("urlset", "sitemapindex"):
+            raise ValueError(f"no sitemap: <{path[0]}>")
+        held.clear()
+
+    def end(_):
+        if len(path) == 3 and path[2] == "loc" and path[1] in ("url", "sitemap") and (loc := "".join(held).strip()):
+            out.append(("page" if path[1] == "url" else "sitemap", loc))
+        path.pop()
+
+    def entity(*_):
+        raise ValueError("a sitemap declares no entities")
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.EntityDeclHandler = start, end, held.append, entity
+    try:
+        for piece in pieces:
+            parser.Parse(piece, False)
+        parser.Parse(b"", True)
+    except expat.ExpatError as e:
+        raise ValueError(str(e)) from e
+    return out
+
+
+def _unpacked(body: bytes, most: int, step: int = 1 << 20):
+    """A body in pieces; one in gzip form is unpacked piece by piece, up to so many bytes."""
+    if body[:2] != b"\x1f\x8b":
+        for i in range(0, len(body), step):
+            yield body[i : i + step]
+        return
+    gzip, rest, n = zlib.decompressobj(31), body, 0
+    while rest and not gzip.eof:
+        piece = gzip.decompress(rest, step)
+        n += len(piece)
+        if n > most:
+            raise ValueError(f"more than {most} bytes")
+        rest = gzip.unconsumed_tail
+        yield piece
+        if not piece and not rest:
+            break
+    if not gzip.eof:
+        raise ValueError("the gzip form ends early")
+
+
+#: What a sitemap may have unpacked.
+MOST_SITEMAP_BYTES = 52_428_800
+
+
+def sitemap_entries(responses: DataFrame) -> DataFrame:
+    """(url, kind, loc, error) of sitemap XML in (url, text, and maybe body: bytes, also in gzip form): a row an entry (page, or a further sitemap), or one with an error for a sitemap that can't be read.
+
+    A sitemap is read by an incremental parser; its entries count once all of it was read. Answers that are no sitemap have no rows.
+    """
+    body = F.col("body") if "body" in responses.columns else F.lit(None).cast("binary")
+    text = F.col("text").cast("string")
+    packed = F.hex(F.substring(body, 1, 2)) == "1F8B"
+    named = F.coalesce(text, F.substring(body, 1, 4000).cast("string")).rlike(r"<(?:\w+:)?(urlset|sitemapindex)\b")
+    rows = responses.select("url", F.when(packed | text.isNull(), body).otherwise(F.encode(F.regexp_replace(text, r"^\s*<\?xml[^>]*\?>", ""), "UTF-8")).alias("source"), (F.coalesce(packed, F.lit(False)) | F.coalesce(named, F.lit(False))).alias("is_map"))
+
+    def run(batches):
+        for batch in batches:
+            for url, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    found, error = _sitemap(_unpacked(source.as_py() or b"", MOST_SITEMAP_BYTES)), None
+                except (ValueError, zlib.error) as e:
+                    found, error = [(None, None)], str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([url] * len(found), pa.string()), pa.array([k for k, _ in found], pa.string()), pa.array([loc for _, loc in found], pa.string()), pa.array([error] * len(found), pa.string())], names=["url", "kind", "loc", "error"])
+
+    return rows.where("is_map").select("url", "source").mapInArrow(run, "url string, kind string, loc string, error string")
+
+
 def sitemap_urls(responses: DataFrame) -> DataFrame:
-    """(url, kind, loc) of sitemap XML in (url, text): page entries, or further sitemaps. XML that can't be read has no rows."""
-    readable = F.col("text").rlike(r"(?s)<(?:\w+:)?(urlset|sitemapindex)\b.*</(?:\w+:)?(urlset|sitemapindex)>\s*$")
-    kind = F.when(F.col("text").rlike(r"<(?:\w+:)?sitemapindex\b"), "sitemap").otherwise("page")
-    locs = F.regexp_extract_all("text", F.lit(r"(?s)<(?:\w+:)?loc\s*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc\s*>"), 1)
-    rows = responses.where(readable).select("url", kind.alias("kind"), F.explode(locs).alias("loc"))
-    plain = F.col("loc")
-    for ref, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(ref), F.lit(c))
-    return rows.select("url", "kind", plain.alias("loc"))
+    """(url, kind, loc) of sitemap_entries(). XML that can't be read has no rows."""
+    return sitemap_entries(responses).where("error is null").select("url", "kind", "loc")
 
 
 def sitemap_pages(responses: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -165,7 +240,7 @@ def sitemap_pages(responses: DataFrame, roots: DataFrame | None = None) -> DataF
 
     responses: (target_id, url, text). roots: (url) of the first sitemaps; without them, those that no index names.
     """
-    entries = sitemap_urls(responses.select("url", "text"))
+    entries = sitemap_urls(responses.select("url", "text", *(["body"] if "body" in responses.columns else [])))
     edges = entries.where("kind = 'sitemap'").select(F.col("url").alias("src"), F.col("loc").alias("dst")).distinct()
     if roots is None:
         roots = entries.select("url").distinct().join(edges.where("src <> dst").select(F.col("dst").alias("url")), "url", "left_anti")

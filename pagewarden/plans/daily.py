@@ -150,7 +150,7 @@ def run(responses: DataFrame, targets: DataFrame, *, rules: Mapping[str, Any], e
     found = found_in_menus(parsed, rules, at)
     if crawl:
         found = found.unionByName(crawled(parsed, targets, at))
-    sitemap = I.sitemap_pages(responses.select("target_id", "url", F.col("html").alias("text")))
+    sitemap = I.sitemap_pages(responses.select("target_id", "url", F.col("html").alias("text"), "body"))
     sitemap = sitemap.select("target_id", F.col("loc").alias("original_url"), F.lit("sitemap").alias("source"), F.lit("").alias("menu_path"), F.col("url").alias("discovered_from"), F.lit("").alias("title"), F.lit(at).alias("discovered_at"))
     inventory = kept_for_all(I.merged(I.classified(found.unionByName(sitemap), targets, policy)))
     refused = C.blocked(F.col("status_code"), F.col("html"))

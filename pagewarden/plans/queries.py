@@ -237,6 +237,29 @@ def sitemap_locations(spark, sf):
     return I.sitemap_urls(maps)
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 4 = 3 THEN NULL WHEN page_id % 4 = 1 THEN 'sitemap' ELSE 'page' END AS kind, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://x.test/s' || page_id || '.xml' WHEN 2 THEN 'https://x.test/a&b<' END AS loc, page_id % 4 = 3 AS faulty FROM pages""")
+def sitemap_entries(spark, sf):
+    """Sitemaps by an incremental parser: page entries in gzip form, indexes with a prefix, CDATA, and broken ones as rows with an error."""
+    import gzip
+
+    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+
+    @F.pandas_udf("binary")
+    def packed(text):
+        return text.map(lambda t: gzip.compress(t.encode()))
+
+    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    text = (
+        F.when(k == 0, F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> '), escaped, F.lit(" </loc><lastmod>2026-01-01</lastmod></url></urlset>")))
+        .when(k == 1, F.concat(F.lit('<s:sitemapindex xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:sitemap><s:loc>https://x.test/s'), n, F.lit(".xml</s:loc></s:sitemap></s:sitemapindex>")))
+        .when(k == 2, F.lit("<urlset><url><loc><![CDATA[https://x.test/a&b<]]></loc></url><other><loc>no</loc></other></urlset>"))
+        .otherwise(F.lit("<urlset><url><loc>https://x.test/</loc></url><url>"))
+    )
+    maps = table(spark, sf, "pages").select(n.alias("id"), F.when(k != 0, text).alias("text"), F.when(k == 0, packed(F.when(k == 0, text).otherwise(""))).alias("body"))
+    out = I.sitemap_entries(maps.select(F.col("id").alias("url"), "text", "body"))
+    return out.select(F.col("url").cast("bigint").alias("page_id"), "kind", "loc", F.col("error").isNotNull().alias("faulty"))
+
+
 @query("SELECT page_id, m[1] AS href, m[2] AS title, '' || m[2] AS menu_path FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a>', 1), regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a>', 2))) AS m FROM pages)")
 def menu_links(spark, sf):
     return I.menu(dom.parsed(table(spark, sf, "pages"), ["page_id"]), ["page_id"]).select("page_id", "href", "title", "menu_path")

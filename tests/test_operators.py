@@ -173,3 +173,16 @@ def test_screenshots_retention_and_keys(spark):
     f = spark.createDataFrame([(n,) for n in ("2026-01-01", "2026-08-20", "latest", "2026-99-01")], "name string")
     assert [r.name for r in V.expired(f, F.lit("2026-08-26").cast("date"), 30).collect()] == ["2026-01-01"]
     assert len(spark.range(1).select(C.key(F.lit("a"), F.lit(None), size=20).alias("k")).first().k) == 20
+
+
+def test_large_and_broken_sitemaps(spark):
+    import gzip
+
+    many = "<urlset>" + "".join(f"<url><loc>https://s.test/{i}?a=1&amp;b</loc></url>" for i in range(50_000)) + "</urlset>"
+    packed = gzip.compress(many.encode())
+    rows = [("big", None, packed), ("cut", None, packed[: len(packed) // 2]), ("open", many[:-20], None), ("html", "<html>no map</html>", None), ("null", None, None), ("bomb", '<!DOCTYPE x [<!ENTITY a "b">]><urlset><url><loc>&a;</loc></url></urlset>', None), ("empty", "<urlset/>", None)]
+    out = I.sitemap_entries(spark.createDataFrame(rows, "url string, text string, body binary")).persist()
+    assert {r.url: r.n for r in out.where("error is null").groupBy("url").agg(F.count("*").alias("n")).collect()} == {"big": 50_000}
+    assert out.where("loc = 'https://s.test/49999?a=1&b' and kind = 'page'").count() == 1
+    assert {r.url for r in out.where("error is not null").collect()} == {"cut", "open", "bomb"}
+    assert I.sitemap_urls(spark.createDataFrame(rows[1:], "url string, text string, body binary")).count() == 0
