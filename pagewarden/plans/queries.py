@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewarden.functions import addresses as AD
 from pagewarden.functions import checks as C
 from pagewarden.functions import terms as T
 from pagewarden.functions import urls as U
@@ -12,6 +13,7 @@ from pagewarden.operators import inventory as I
 from pagewarden.operators import rules as R
 from pagewarden.operators import verdicts as V
 from pagewarden.operators import versions as VS
+from pagewarden.plans import tables as TF
 from pagewarden.sources import dom
 
 QUERIES: dict = {}
@@ -529,6 +531,32 @@ def page_list_freshness(spark, sf):
     return R.page_lists(dom.parsed(pages, ["page_id"]), ["page_id"], F.lit("2026-08-25").cast("date")).select("page_id", "verdict", "valid", "latest_day", "issue_type")
 
 
+@query("SELECT n_nationkey, count(*) AS events, min(x) AS least FROM (SELECT (event_id * 104729) % 4294967296 AS x FROM events) JOIN nation ON x BETWEEN CAST(n_nationkey AS BIGINT) * 171798691 AND CAST(n_nationkey AS BIGINT) * 171798691 + 300000000 GROUP BY n_nationkey")
+def address_ranges(spark, sf):
+    """Addresses in ranges that overlap, by an equi-join on blocks of hex digits; every second address is written as one of version 6."""
+    x = (F.col("event_id") * 104729) % (1 << 32)
+    byte = lambda n: F.shiftright(x, n).bitwiseAND(F.lit(255)).cast("string")
+    quad = F.concat_ws(".", *[byte(n) for n in (24, 16, 8, 0)])
+    e = table(spark, sf, "events").select(x.alias("x"), AD.canonical(F.when(F.col("event_id") % 2 == 0, quad).otherwise(F.concat(F.lit("[::ffff:"), quad, F.lit("]")))).alias("address"))
+    ends = lambda n: F.concat(F.lit(AD.MAPPED), F.lpad(F.lower(F.hex(F.least(F.col("n_nationkey").cast("bigint") * 171798691 + n, F.lit((1 << 32) - 1)))), 8, "0"))
+    ranges = table(spark, sf, "nation").select("n_nationkey", ends(0).alias("first"), ends(300_000_000).alias("last"))
+    return AD.ranged(e, ranges).groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("events"), F.min("x").alias("least"))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag")
+def sql_page_elements(spark, sf):
+    """A table function in SQL, over all pages."""
+    TF.register(spark)
+    return spark.sql("SELECT tag, count(*) AS n FROM page_elements(TABLE(SELECT page_id, html FROM {pages})) GROUP BY tag", pages=table(spark, sf, "pages"))
+
+
+@query("SELECT page_id, m[1] AS href, m[2] AS title, '' || m[2] AS menu_path FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a>', 1), regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a>', 2))) AS m FROM pages)")
+def sql_menu_links(spark, sf):
+    """Menu links by a table function with a selector."""
+    TF.register(spark)
+    return spark.sql("SELECT page_id, href, title, menu_path FROM menu_links(TABLE(SELECT page_id, html FROM {pages}), selector => 'nav li > a')", pages=table(spark, sf, "pages"))
+
+
 # --- Versions of pages ---------------------------------------------------------------------------------------------------
 
 
