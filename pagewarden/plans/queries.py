@@ -11,6 +11,7 @@ from pagewarden.functions import terms as T
 from pagewarden.functions import urls as U
 from pagewarden.operators import inventory as I
 from pagewarden.operators import rules as R
+from pagewarden.operators import search as SX
 from pagewarden.operators import verdicts as V
 from pagewarden.operators import versions as VS
 from pagewarden.plans import tables as TF
@@ -920,6 +921,20 @@ def results_search(spark, sf):
     return V.filtered(_results(spark, sf), {}, "BLOG").select("page_id", "url")
 
 
+@query(f"WITH {RESULTS} SELECT page_id, url FROM res WHERE contains(lower(url), 'blog')")
+def results_search_index(spark, sf):
+    """The same search by an index of trigrams."""
+    rows = _results(spark, sf)
+    return SX.search(rows, SX.index(rows, "page_id", "url"), "BLOG", "page_id", "url").select("page_id", "url")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
+def document_search_index(spark, sf):
+    """Whole texts of all documents by an index of trigrams."""
+    docs = table(spark, sf, "documents")
+    return SX.search(docs, SX.index(docs, "doc_id", "text"), "License", "doc_id", "text").select("doc_id")
+
+
 @query(f"WITH {RESULTS} SELECT count(*) AS total, count(*) FILTER (verdict = '정상') AS ok, count(*) FILTER (verdict = '검토 필요') AS review, count(*) FILTER (verdict = '오류') AS error, count(*) FILTER (verdict = '점검 불가') AS uncheckable, count(*) FILTER (verdict = '제외') AS excluded, count(*) FILTER (lifecycle = '신규') AS \"new\", count(*) FILTER (lifecycle = '지속') AS persisting, 0::BIGINT AS changed, 0::BIGINT AS recurred, 0::BIGINT AS resolved FROM res WHERE target_id = 't2'")
 def results_summary(spark, sf):
     return V.summary(V.filtered(_results(spark, sf), {"target_id": "t2"}))
