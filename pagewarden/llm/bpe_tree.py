@@ -15,7 +15,8 @@ tokens around the border again; it grows on each side until the tokens outside a
 provably stay as they are, since each pair of neighbours encodes to itself (bpe.Borders).
 Decoding halves the ids likewise and concatenates bytes up the tree.
 
-Null text is empty text. Every text round-trips; ids are those of the rank file.
+Null text is empty text. Every text round-trips; ids are those of the rank file. Repeated rows and
+null ids are rows of their own, an empty table gives no rows, other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

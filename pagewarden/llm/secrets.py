@@ -8,7 +8,8 @@ year, a repeated character, a walk along keys or an alphabet, or brute force. Co
 are decimal logarithms of guesses and add up; values of ``threshold`` or more that
 reach beyond the base spans are added whole as spans of kind ``guess``. Base spans always stay.
 
-Null text is empty text; texts without a span have none. Rows are treated one by one.
+Null text is empty text; texts without a span have none. Rows are treated one by one: repeated rows and
+null ids are rows of their own, an empty table gives no rows, other columns are not read, whatever their names.
 Offsets count code points, ends are exclusive. The search is linear in the value's
 length, so values are never cut.
 """

@@ -21,7 +21,8 @@ A map has a fixed size however long the text is. Maps compose, and a parallel pr
 doubling gives the map, hence the count, up to each chunk's end.
 
 Special strings count as one token each, as the tokenizers library does by default.
-Null text is empty text: no tokens.
+Null text is empty text: no tokens. Repeated rows and null ids are rows of their own, an empty
+table gives no rows, other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -223,3 +223,8 @@ def test_components(spark):
     got = {r.node: r.component for r in N.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
+
+
+def test_components_leave_out_edges_with_a_null_end(spark):
+    edges = spark.createDataFrame([(1, 2), (None, 2), (3, None), (None, None), (2, 5)], "a bigint, b bigint")
+    assert {(r.node, r.component) for r in N.components(edges).collect()} == {(1, 1), (2, 1), (5, 1)}
