@@ -14,6 +14,7 @@ from pagewarden.functions import urls as U
 
 SETS = ("original_urls", "discovery_sources", "menu_paths", "discovered_from", "titles", "link_texts")
 REQUEST_LIMIT = "요청 상한 도달"
+MERGED_ROUNDS = 8
 COMPARED = ("titles", "link_texts", "menu_paths", "discovery_sources", "discovered_from", "classification", "other_target_id")
 
 
@@ -127,7 +128,8 @@ def first_occurrences(occurrences: DataFrame, key: list[str], order: list[str])
 def reachable(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(url, depth: least number of links from a root) over edges (src, dst), breadth first, up to max_depth if there is one.
 
-    Each round only extends the frontier, and drops what was seen by an anti join. Lineage is
+    Each round only extends the frontier, and drops what was seen by an anti join. What was seen is one table and
+    the rounds since it was written, MERGED_ROUNDS at most, so that a round of a long chain doesn't read all before it one by one. Lineage is
     cut by writing each round to the shared checkpoint folder; a session in local mode may do without.
     """
     context = edges.sparkSession.sparkContext
@@ -138,17 +140,16 @@ def reachable(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = Non
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     cut = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df.persist())
     frontier = cut(roots.select(F.col("url"), F.lit(0).alias("depth")).distinct())
-    rounds = [frontier]
-    seen = frontier
-    depth = 0
+    seen, parts, depth = frontier, 1, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
         frontier = cut(step.join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
-        seen = seen.unionByName(frontier)
+        seen, parts = seen.unionByName(frontier), parts + 1
+        if parts > MERGED_ROUNDS:
+            seen, parts = cut(seen), 1
     return seen
 
 

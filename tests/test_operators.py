@@ -117,6 +117,13 @@ def test_reachability_with_cycles(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 2}
 
 
+def test_reachability_along_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(I, "MERGED_ROUNDS", 2)
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n5", "n0")], "src string, dst string")
+    got = {r.url: r.depth for r in I.reachable(e, spark.createDataFrame([("n0",), ("n0",)], "url string")).collect()}
+    assert got == {f"n{i}": i for i in range(10)}
+
+
 def test_page_verdict_and_completeness(spark):
     rows = [("a", "x", T.OK, None, True, False), ("a", "y", T.NOT_RUN, None, True, False), ("a", "z", T.UNCHECKABLE, None, False, False), ("b", "x", T.OK, T.HIGH, True, False), ("c", "x", T.UNCHECKABLE, None, True, False), ("d", "x", T.OK, None, True, True), ("e", "x", T.NOT_APPLICABLE, T.LOW, True, False), ("e", "w", T.REVIEW, T.LOW, True, False)]
     df = spark.createDataFrame(rows, "url string, code string, result string, severity string, required boolean, manual boolean").withColumn("location", F.lit(""))
