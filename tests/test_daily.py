@@ -124,11 +124,11 @@ def test_a_run_that_dies_while_it_is_saved_leaves_the_run_before(spark, tmp_path
     assert all(before.values()) and state.load("diff", one.diff.schema).count() == one.diff.count()
     plain, calls = S.Commit.save, []
 
-    def dies(self, name, df):
+    def dies(self, name, df, **more):
         calls.append(name)
         if name == "header":
             raise RuntimeError("killed")
-        return plain(self, name, df)
+        return plain(self, name, df, **more)
 
     monkeypatch.setattr(S.Commit, "save", dies)
     two = run(spark, responses(spark, ("https://s.test/p", 200, "<p>new", None)), dt.datetime(2026, 3, 2), old=daily.loaded(state))
