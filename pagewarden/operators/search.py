@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
 GRAM = 3
+#: Characters of a text at most.
+MOST = (1 << 31) - 1
 
 
 def _grams(text: Column) -> Column:
-    """Distinct trigrams of a text; a shorter one has none."""
-    n = F.length(text)
-    places = F.when(n >= GRAM, F.sequence(F.lit(1), n - GRAM + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(GRAM))))
+    """Distinct trigrams of a text; a shorter one has none.
+
+    They are cut in GRAM passes, each from one of the first places on: a substring for each place would walk to it from the text's start.
+    """
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(F.substring(text, k, MOST), F.lit(f"(?s).{{{GRAM}}}"), 0) for k in range(1, GRAM + 1)]))
 
 
 def _differences(places: Column) -> Column:
@@ -57,9 +60,9 @@ def candidates(found: DataFrame, needle: str) -> DataFrame:
     grams = needle_grams(needle)
     if not grams:
         raise ValueError(f"a needle of {GRAM} characters is needed")
-    mine = found.where(F.col("gram").isin(grams))
-    blocks = mine.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select("block")
-    met = _unfolded(mine.join(blocks, "block", "left_semi")).groupBy("block", "place").agg(F.count(F.lit(1)).alias("n"))
+    # A block has a row for each of the needle's trigrams at most; counted beside the rows, so that the index is made or read once.
+    mine = found.where(F.col("gram").isin(grams)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("block")))
+    met = _unfolded(mine.where(F.col("n") == len(grams))).groupBy("block", "place").agg(F.count(F.lit(1)).alias("n"))
     return met.where(F.col("n") == len(grams)).select((F.col("block") * BLOCK + F.col("place")).alias("id"))
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -26,3 +27,26 @@ def test_only_rows_of_the_needle_are_read(spark, tmp_path):
     found.write.format("noop").mode("overwrite").save()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(gram, [abc,bcd])" in plan
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh가😀\n ") for _ in range(320_000))
+
+    def took(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string").coalesce(1)
+        at = time.monotonic()
+        found = {r.gram for r in X.index(df, "id", "t").select("gram").collect()}
+        return time.monotonic() - at, found
+
+    took(["warm up"])
+    short, _ = took([text[i : i + 20_000] for i in range(0, len(text), 20_000)])
+    whole, found = took([text])
+    assert found == {text[i : i + 3] for i in range(len(text) - 2)}  # of whole characters, line ends among them
+    assert whole < 5 * short + 2
+
+
+def test_an_index_is_made_once_a_search(spark):
+    df = spark.range(50).selectExpr("id", "concat('License ', id) t")
+    plan = X.candidates(X.index(df, "id", "t"), "License")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
