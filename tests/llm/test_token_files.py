@@ -151,3 +151,25 @@ def test_words_that_are_kept_change_nothing(monkeypatch, most, room, piece):
         for t, ids in zip(texts, own.encode(pa.array(texts)), strict=True):
             assert ids.tolist() == known.encode(t or "", add_special_tokens=False).ids, repr(t)
         assert len(own.memo.words) <= most and len(own.memo.words) == len(own.memo.sizes) and own.memo.sizes.sum() == len(own.memo.ids)
+
+
+def test_all_of_a_long_document_is_counted(monkeypatch):
+    # what comes after twice a segment is as easy to predict as what comes before
+    rng = np.random.default_rng(9)
+    ids = np.concatenate([np.tile(rng.integers(0, 49000, 50), 200) for _ in range(4)]).astype(np.uint32)
+    monkeypatch.setattr(T, "SEGMENT", 5000)
+    (p,) = T.pack([ids])
+    assert (T.unpack([p])[0] == ids).all() and len(p) < len(ids) * 0.4
+    first = T.pack([ids[:10000]])[0]
+    for bad in (p[:-1], p[:20], p[: len(first) - 1], b""):
+        with pytest.raises((ValueError, IndexError)):
+            T.unpack([bad])
+
+
+def test_a_missing_part_is_found(monkeypatch):
+    monkeypatch.setattr(T, "SEGMENT", 1000)
+    p = T.pack([np.arange(4000, dtype=np.uint32)])[0]
+    second = len(T._packed(np.arange(2000, dtype=np.uint32), 1))
+    for bad in (p[:second], p[second:] + p[:second], p[:second] + p):
+        with pytest.raises(ValueError):
+            T.unpack([bad])
