@@ -161,10 +161,9 @@ def element_issues(pages: DataFrame, keys: list[str], *, skip: Iterable[str] = S
 
 
 def reused(hashes: DataFrame, cache: DataFrame, policy: str, force: bool = False) -> DataFrame:
-    """hashes (url, content_hash) with reuse: whether the cached check (url, content_hash, policy_version, last_result) still holds."""
-    old = cache.select("url", F.col("content_hash").alias("old_hash"), "policy_version", "last_result")
-    same = (F.col("old_hash") == F.col("content_hash")) & (F.col("policy_version") == policy) & (F.col("last_result") != T.UNCHECKABLE)
-    return hashes.join(old, "url", "left").select(*hashes.columns, (F.coalesce(same, F.lit(False)) & F.lit(not force)).alias("reuse"))
+    """hashes (url, content_hash), each once, with reuse: whether a cached check (url, content_hash, policy_version, last_result) of its URL still holds."""
+    held = cache.where((F.col("policy_version") == policy) & (F.col("last_result") != T.UNCHECKABLE)).select("url", "content_hash", F.lit(True).alias("_held")).distinct()
+    return hashes.join(held, ["url", "content_hash"], "left").select(*hashes.columns, (F.coalesce("_held", F.lit(False)) & F.lit(not force)).alias("reuse"))
 
 
 def performance(seen: DataFrame, *, slow: tuple[float, float] = (3.0, 5.0), large: tuple[float, float] = (3.0, 5.0), hops: int = 3, soft_words: Iterable[str] = SOFT_404) -> DataFrame:
