@@ -186,10 +186,10 @@ def performance(seen: DataFrame, *, slow: tuple[float, float] = (3.0, 5.0), larg
     return seen.withColumn("w", C.worst(found)).select(*seen.columns, F.col("w.verdict").alias("verdict"), F.col("w.reason").alias("reason"), notes.alias("notes"), ssl.alias("ssl_result"))
 
 
-def mixed_content(refs: DataFrame) -> DataFrame:
-    """(page_url, mixed_content) of https pages that load http resources."""
+def mixed_content(refs: DataFrame, keys: Iterable[str] = ("page_url",)) -> DataFrame:
+    """(keys, mixed_content) of https pages that load http resources; keys: what tells pages apart, page_url among them."""
     hit = refs.where((U.scheme(F.col("page_url")) == "https") & (U.scheme(F.col("normalized_url")) == "http") & ~F.col("kind").isin("link", "anchor"))
-    return hit.groupBy("page_url").agg(F.array_sort(F.collect_set("normalized_url")).alias("mixed_content"))
+    return hit.groupBy(*keys).agg(F.array_sort(F.collect_set("normalized_url")).alias("mixed_content"))
 
 
 def _walked(text: str) -> list[tuple[str, str]]:

@@ -16,13 +16,13 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def shared(tmp_path_factory):
     c, path = duckdb.connect(), tmp_path_factory.mktemp("shared")
-    c.execute(f"CREATE TABLE p AS SELECT page_id, CASE WHEN page_id = 1 THEN NULL ELSE min(url) OVER (PARTITION BY page_id // 8) END AS url, html FROM '{SF}/pages.parquet'")
+    c.execute(f"CREATE TABLE p AS SELECT page_id, CASE WHEN page_id = 1 THEN NULL ELSE max(url) OVER (PARTITION BY page_id // 8) END AS url, html FROM '{SF}/pages.parquet'")
     c.execute(f"COPY (SELECT * FROM p UNION ALL SELECT page_id + 1001, url, html FROM p UNION ALL SELECT page_id + 2002, url, html FROM p) TO '{path}/pages.parquet'")
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/pages.parquet'")
     return c, str(path)
 
 
-@pytest.mark.parametrize("name", ["a11y_cache_reuse", "anchor_targets"])
+@pytest.mark.parametrize("name", ["a11y_cache_reuse", "anchor_targets", "mixed_content"])
 def test_pages_that_share_a_url_are_told_apart(spark, shared, name):
     duck, path = shared
     r = duck.execute(own.SQL[name])
